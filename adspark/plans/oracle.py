@@ -41,3 +41,334 @@ q("campaign_conversion_rate", """
 SELECT campaign_id, count(*) AS impressions, CAST(sum(conversion_flag) AS BIGINT) AS conversions,
        round(avg(CAST(conversion_flag AS DOUBLE)), 9) AS conv_rate
 FROM lab GROUP BY campaign_id""")
+
+
+# --------------------------------------------------------------------------
+# Helper CTE text
+# --------------------------------------------------------------------------
+from adspark.operators.features import (  # noqa: E402
+    BOOLEAN_FEATURES,
+    CATEGORICAL_FEATURES,
+    NUMERIC_CATEGORICALS,
+    NUMERIC_FEATURES,
+)
+from adspark.operators.useragent import UA_FIELDS, sql_rule_expr  # noqa: E402
+from adspark.sources.fixtures import CNXN_TYPES  # noqa: E402
+
+UA_SELECT = ", ".join(f"{sql_rule_expr('coalesce(user_agent, {q})'.format(q=chr(39) * 2), f)} AS {f}"
+                      for f in UA_FIELDS)
+
+SPLIT_U = sql_u("'split42'", "campaign_id", "event_id")
+
+CLEAN_CTES = f"""
+cleaned AS (SELECT lab.*, {UA_SELECT} FROM lab),
+splitc AS (
+  SELECT * EXCLUDE (_u), CASE WHEN _u < 0.8 THEN 'train' WHEN _u < 0.9 THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, {SPLIT_U} AS _u FROM cleaned)
+),
+train AS (SELECT * FROM splitc WHERE split = 'train')"""
+
+
+def cat_value_sql(f: str) -> str:
+    if f in NUMERIC_CATEGORICALS:
+        return f"CAST(coalesce(CAST({f} AS BIGINT), -1) AS VARCHAR)"
+    return f"coalesce(CAST({f} AS VARCHAR), '-1')"
+
+
+def num_select_sql() -> str:
+    parts = [f"CAST({b} AS DOUBLE) AS {b}_d" for b in BOOLEAN_FEATURES]
+    for col, period, stem in [("impression_hour", 24.0, "hour"), ("impression_dayofweek", 7.0, "day")]:
+        parts.append(f"sin((2 * pi()) * CAST({col} AS DOUBLE) / CAST({period} AS DOUBLE)) AS {stem}_sin")
+        parts.append(f"cos((2 * pi()) * CAST({col} AS DOUBLE) / CAST({period} AS DOUBLE)) AS {stem}_cos")
+    return ", ".join(parts)
+
+
+NUM_NAMES = [f"{b}_d" for b in BOOLEAN_FEATURES] + ["hour_sin", "hour_cos", "day_sin", "day_cos"]
+
+ENC_CTES = CLEAN_CTES + ",\n" + "enc_long AS (\n" + "\n  UNION\n".join(
+    f"  SELECT '{f}' AS feature, {cat_value_sql(f)} AS category, "
+    f"{'coalesce(CAST(' + f + ' AS BIGINT), -1)' if f in NUMERIC_CATEGORICALS else 'CAST(NULL AS BIGINT)'} AS sort_num FROM train"
+    for f in CATEGORICAL_FEATURES) + "\n),\n" + """enc AS (
+  SELECT feature, category,
+         CAST(dense_rank() OVER (PARTITION BY feature ORDER BY sort_num NULLS LAST, category) - 1 AS BIGINT) AS code
+  FROM enc_long
+),
+train_num AS (SELECT *, """ + num_select_sql() + """ FROM train),
+scaler AS (
+""" + "\n  UNION ALL\n".join(
+    f"  SELECT '{nf}' AS feature, avg({nn}) AS mean, "
+    f"CASE WHEN coalesce(stddev_pop({nn}), 0) = 0 THEN 1.0 ELSE stddev_pop({nn}) END AS scale FROM train_num"
+    for nf, nn in zip(NUMERIC_FEATURES, NUM_NAMES)) + "\n),\n" + \
+    "all_num AS (SELECT *, " + num_select_sql() + " FROM splitc)"
+
+
+def encoded_sql(reserve: bool = False) -> str:
+    """Select list + joins applying the encoder to splitc rows (alias s)."""
+    sel, joins = [], []
+    for i, f in enumerate(CATEGORICAL_FEATURES):
+        code = f"e{i}.code + 1" if reserve else f"e{i}.code"
+        sel.append(f"coalesce({code}, 0) AS {f}")
+        joins.append(f"LEFT JOIN enc e{i} ON e{i}.feature = '{f}' AND e{i}.category = {cat_value_sql('s.' + f)}")
+    return ", ".join(sel), "\n".join(joins)
+
+
+def scaled_sql(alias: str = "s") -> str:
+    parts = []
+    for nf, nn in zip(NUMERIC_FEATURES, NUM_NAMES):
+        parts.append(f"(({alias}.{nn} - (SELECT mean FROM scaler WHERE feature = '{nf}')) / "
+                     f"(SELECT scale FROM scaler WHERE feature = '{nf}'))")
+    return parts
+
+
+# --------------------------------------------------------------------------
+# Cleaning and filters
+# --------------------------------------------------------------------------
+q("drop_prefix", "SELECT event_id, campaign_id, unique_id, cnxn_type, dma FROM imp")
+
+q("fill_missing", """
+SELECT event_id, conv_event_id, coalesce(cnxn_type, 'Unknown') AS cnxn_type, coalesce(dma, CAST(-1 AS SMALLINT)) AS dma,
+       coalesce(prizm_premier_code, '-1') AS prizm_premier_code, coalesce(goal_name, 'No Goal Name') AS goal_name,
+       coalesce(user_agent, '') AS user_agent
+FROM lab""")
+
+q("enforce_schema", """
+SELECT event_id, conv_event_id, CAST(campaign_id AS BIGINT) AS campaign_id, CAST(dma AS SMALLINT) AS dma,
+       CAST(conversion_flag AS TINYINT) AS conversion_flag, CAST(impression_hour AS TINYINT) AS impression_hour,
+       CAST(impression_dayofweek AS TINYINT) AS impression_dayofweek
+FROM lab""")
+
+ORACLE_SQL["coerce_timestamp"] = """
+SELECT event_id, parsed IS NULL AS is_null, epoch_us(parsed) AS epoch_us
+FROM (SELECT event_id,
+             TRY_CAST(CASE WHEN event_id % 10 = 0 THEN 'garbage' ELSE CAST(ts AS VARCHAR) END AS TIMESTAMP) AS parsed
+      FROM events)"""
+
+q("time_features", """
+SELECT event_id, CAST(hour(dttm_utc) AS INTEGER) AS impression_hour,
+       CAST(isodow(dttm_utc) - 1 AS INTEGER) AS impression_dayofweek FROM imp""")
+
+q("limit_impressions", "SELECT event_id, campaign_id, unique_id FROM imp ORDER BY event_id LIMIT 100")
+
+q("scan_filter_campaign", "SELECT event_id, campaign_id, unique_id FROM imp WHERE campaign_id = 42")
+
+# --------------------------------------------------------------------------
+# Joins
+# --------------------------------------------------------------------------
+q("label_dedup", """
+SELECT i.event_id, f.conv_event_id, CAST(f.conv_event_id IS NOT NULL AS TINYINT) AS conversion_flag,
+       coalesce(f.n_conversions, 0) AS n_conversions
+FROM imp i LEFT JOIN first_conv f
+  ON i.campaign_id = f.imp_click_campaign_id AND i.unique_id = f.imp_click_unique_id""", """
+first_conv AS (
+  SELECT imp_click_campaign_id, imp_click_unique_id, conv_event_id, n_conversions FROM (
+    SELECT *, row_number() OVER (PARTITION BY imp_click_campaign_id, imp_click_unique_id
+                                 ORDER BY conv_dttm_utc, conv_event_id) AS rn,
+              count(*) OVER (PARTITION BY imp_click_campaign_id, imp_click_unique_id) AS n_conversions
+    FROM conv) WHERE rn = 1)""")
+
+q("label_with_goal", """
+SELECT i.event_id, c.conv_event_id, coalesce(c.goal_name, 'No Goal Name') AS goal_name,
+       CAST(c.conv_dttm_utc IS NOT NULL AS TINYINT) AS conversion_flag
+FROM imp i LEFT JOIN conv c ON i.unique_id = c.imp_click_unique_id""")
+
+q("label_by_time_key", """
+SELECT i.event_id, c.conv_event_id, CAST(c.conv_dttm_utc IS NOT NULL AS TINYINT) AS conversion_flag
+FROM imp i LEFT JOIN conv c
+  ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
+ AND CAST(i.dttm_utc AS DATE) = CAST(c.conv_dttm_utc AS DATE)""")
+
+q("device_type_lookup", """
+SELECT i.event_id, i.device_type, d.full_name AS device_type_full FROM imp i LEFT JOIN dev d ON i.device_type = d.short
+UNION ALL
+SELECT c.conv_event_id AS event_id, c.conv_device_type AS device_type, d.full_name AS device_type_full
+FROM conv c LEFT JOIN dev d ON c.conv_device_type = d.short""", f"dev AS ({DEVICE_TYPES_SQL})")
+
+q("conversion_latency", """
+SELECT device_type_full, count(*) AS n, round(avg(latency_s), 3) AS mean_s,
+       round(quantile_cont(latency_s, 0.5), 3) AS median_s, round(min(latency_s), 3) AS min_s,
+       round(max(latency_s), 3) AS max_s
+FROM (SELECT d.full_name AS device_type_full,
+             (epoch_us(c.conv_dttm_utc) - epoch_us(i.dttm_utc)) / 1e6 AS latency_s
+      FROM imp i JOIN conv c ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
+                            AND c.conv_dttm_utc >= i.dttm_utc
+      LEFT JOIN dev d ON i.device_type = d.short)
+GROUP BY device_type_full""", f"dev AS ({DEVICE_TYPES_SQL})")
+
+ORACLE_SQL["orders_returns_label"] = """
+SELECT o.o_orderkey, l.l_linenumber, CAST(l.l_orderkey IS NOT NULL AS TINYINT) AS returned
+FROM orders o LEFT JOIN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') l
+  ON o.o_orderkey = l.l_orderkey"""
+
+# --------------------------------------------------------------------------
+# Aggregation and profiling
+# --------------------------------------------------------------------------
+q("rank_campaigns", """
+SELECT *, row_number() OVER (ORDER BY conv_rate DESC, campaign_id ASC) AS rank FROM (
+  SELECT campaign_id, count(*) AS impressions, CAST(sum(conversion_flag) AS BIGINT) AS conversions,
+         round(avg(CAST(conversion_flag AS DOUBLE)), 9) AS conv_rate
+  FROM lab GROUP BY campaign_id)""")
+
+q("count_pos_neg", """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE conversion_flag = 1) AS n_pos,
+       count(*) FILTER (WHERE conversion_flag <> 1) AS n_neg FROM lab""")
+
+q("pos_weight", """
+SELECT n_pos, n_neg, round(CASE WHEN n_pos = 0 THEN 1.0 ELSE CAST(n_neg AS DOUBLE) / n_pos END, 9) AS pos_weight
+FROM (SELECT count(*) FILTER (WHERE conversion_flag = 1) AS n_pos,
+             count(*) FILTER (WHERE conversion_flag <> 1) AS n_neg FROM lab)""")
+
+q("split_label_rate", f"""
+SELECT split, count(*) AS n_rows, round(avg(CAST(conversion_flag AS DOUBLE)), 9) AS label_rate
+FROM (SELECT *, CASE WHEN _u < 0.8 THEN 'train' WHEN _u < 0.9 THEN 'val' ELSE 'test' END AS split
+      FROM (SELECT *, {SPLIT_U} AS _u FROM lab))
+GROUP BY split""")
+
+_PROFILE_COLS = ["cnxn_type", "dma", "country", "prizm_premier_code", "device_type", "user_agent", "goal_name",
+                 "conv_event_id"]
+q("missing_counts", "SELECT * FROM (\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_missing, "
+    f"round((count(*) - count({c})) * 100.0 / greatest(count(*), 1), 9) AS pct_missing FROM lab"
+    for c in _PROFILE_COLS) + "\n) WHERE n_missing > 0")
+
+q("distinct_profile", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM lab"
+    for c in ["campaign_id", "unique_id", "cnxn_type", "dma", "country", "prizm_premier_code", "device_type",
+              "user_agent"]))
+
+q("describe_numeric", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", round(CAST(count({c}) AS DOUBLE), 6) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+       round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std, round(min(CAST({c} AS DOUBLE)), 6) AS min,
+       round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS p25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS p50,
+       round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS p75, round(max(CAST({c} AS DOUBLE)), 6) AS max FROM imp"""
+    for c in ["value", "dma", "campaign_id"]))
+
+_CAT_COLS = ["cnxn_type", "country", "prizm_premier_code", "device_type", "goal_name"]
+q("describe_categorical", """
+SELECT "column", sum(n) AS count, count(*) AS unique,
+       max(CASE WHEN rn = 1 THEN value END) AS top, max(n) AS freq
+FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC) AS rn
+      FROM (SELECT "column", value, count(*) AS n FROM (
+""" + "\n UNION ALL\n".join(f"        SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM lab"
+                              for c in _CAT_COLS) + """
+      ) WHERE value IS NOT NULL GROUP BY "column", value))
+GROUP BY "column" """)
+
+q("crosstab_goal", """
+SELECT d.full_name AS device_type_full,
+       count(*) FILTER (WHERE c.goal_name = 'lead') AS lead,
+       count(*) FILTER (WHERE c.goal_name = 'content') AS content
+FROM conv c LEFT JOIN dev d ON c.conv_device_type = d.short
+GROUP BY d.full_name""", f"dev AS ({DEVICE_TYPES_SQL})")
+
+q("value_counts", "SELECT cnxn_type, count(*) AS n FROM imp GROUP BY cnxn_type")
+
+q("histogram", """
+SELECT bin, count(*) AS n FROM (
+  SELECT CAST(CASE WHEN value < 0.0 THEN 0 WHEN value >= 100.0 THEN 21
+                   ELSE floor(20 * (value - 0.0) / (100.0 - 0.0)) + 1 END AS BIGINT) AS bin
+  FROM imp WHERE value IS NOT NULL) GROUP BY bin""")
+
+# --------------------------------------------------------------------------
+# Splits and sampling
+# --------------------------------------------------------------------------
+q("hash_split", f"""
+SELECT event_id, conv_event_id, CASE WHEN _u < 0.8 THEN 'train' WHEN _u < 0.9 THEN 'val' ELSE 'test' END AS split
+FROM (SELECT *, {SPLIT_U} AS _u FROM lab)""")
+
+_DEDUP_CTE = """
+first_conv AS (
+  SELECT imp_click_campaign_id, imp_click_unique_id, conv_event_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY imp_click_campaign_id, imp_click_unique_id
+                                 ORDER BY conv_dttm_utc, conv_event_id) AS rn FROM conv) WHERE rn = 1),
+dedup AS (
+  SELECT i.*, f.conv_event_id, CAST(f.conv_event_id IS NOT NULL AS TINYINT) AS conversion_flag
+  FROM imp i LEFT JOIN first_conv f
+    ON i.campaign_id = f.imp_click_campaign_id AND i.unique_id = f.imp_click_unique_id)"""
+
+q("stratified_split", f"""
+SELECT event_id, conversion_flag,
+       CASE WHEN rn <= round(n * CAST(0.7 AS DOUBLE)) THEN 'train'
+            WHEN rn <= round(n * CAST(0.7 AS DOUBLE)) + round(n * CAST(0.15 AS DOUBLE)) THEN 'val'
+            ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY conversion_flag ORDER BY {sql_u("'strat7'", 'event_id')}, event_id) AS rn,
+             count(*) OVER (PARTITION BY conversion_flag) AS n FROM dedup)""", _DEDUP_CTE)
+
+q("sample_per_campaign", f"""
+SELECT event_id, campaign_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY {sql_u("'sample11'", 'event_id')}, event_id) AS rn
+  FROM imp) WHERE rn <= 10""")
+
+q("ratio_sample", f"""
+SELECT event_id, conversion_flag FROM dedup, rate
+WHERE conversion_flag = 1 OR {sql_u("'ratio5'", 'event_id')} < least(1.0, r)""", _DEDUP_CTE + """,
+rate AS (SELECT CASE WHEN n = 0 THEN 0.0 ELSE CAST(2.0 AS DOUBLE) * p / n END AS r FROM (
+  SELECT count(*) FILTER (WHERE conversion_flag = 1) AS p, count(*) FILTER (WHERE conversion_flag <> 1) AS n
+  FROM dedup))""")
+
+q("ratio_sample_replace", f"""
+SELECT event_id, conversion_flag, 1 AS copy_id FROM dedup WHERE conversion_flag = 1
+UNION ALL
+SELECT event_id, conversion_flag, CAST(unnest(generate_series(1, copies)) AS INTEGER) AS copy_id FROM (
+  SELECT d.event_id, d.conversion_flag,
+         CAST((SELECT count(*) FROM cdf WHERE {sql_u("'ratio5'", 'd.event_id')} >= cdf.c) AS INTEGER) AS copies
+  FROM dedup d WHERE d.conversion_flag <> 1) WHERE copies > 0""", _DEDUP_CTE + """,
+rate AS (SELECT CASE WHEN n = 0 THEN 0.0 ELSE CAST(2.0 AS DOUBLE) * p / n END AS r FROM (
+  SELECT count(*) FILTER (WHERE conversion_flag = 1) AS p, count(*) FILTER (WHERE conversion_flag <> 1) AS n
+  FROM dedup)),
+cdf AS (SELECT sum(exp(-r) * pow(r, m) / CAST(factorial(CAST(m AS INTEGER)) AS DOUBLE)) OVER (ORDER BY m) AS c
+        FROM rate, range(0, 20) t(m))""")
+
+q("shuffled_order", f"""
+SELECT event_id, row_number() OVER (ORDER BY {sql_u("'perm3'", 'event_id')}, event_id) AS imp_id FROM imp""")
+
+q("assign_users", f"""
+SELECT event_id, CAST(floor({sql_u("'user1'", 'event_id')} * 1000) AS BIGINT) AS user_id FROM imp""")
+
+# --------------------------------------------------------------------------
+# User agents and features
+# --------------------------------------------------------------------------
+q("ua_enrich", f"SELECT event_id, {UA_SELECT} FROM imp")
+
+q("ua_distinct", f"SELECT user_agent, {UA_SELECT} FROM (SELECT DISTINCT coalesce(user_agent, '') AS user_agent FROM imp)")
+
+q("numeric_features", """
+SELECT event_id, conv_event_id, """ + ", ".join(f"{b}_d AS {b}" for b in BOOLEAN_FEATURES) + ", " +
+  ", ".join(f"round({c}, 9) AS {c}" for c in ["hour_sin", "hour_cos", "day_sin", "day_cos"]) +
+  " FROM (SELECT *, " + num_select_sql() + " FROM cleaned)", CLEAN_CTES)
+
+q("fit_ordinal_encoder", "SELECT feature, category, code FROM enc", ENC_CTES)
+
+q("category_sizes", "SELECT feature, CAST(count(*) + 1 AS BIGINT) AS size FROM enc GROUP BY feature", ENC_CTES)
+
+_sel, _joins = encoded_sql()
+q("ordinal_encode", f"SELECT s.event_id, s.conv_event_id, s.split, {_sel} FROM splitc s\n{_joins}", ENC_CTES)
+_sel_r, _joins_r = encoded_sql(reserve=True)
+q("ordinal_encode_reserve", f"SELECT s.event_id, s.conv_event_id, s.split, {_sel_r} FROM splitc s\n{_joins_r}",
+  ENC_CTES)
+
+q("fit_scaler", "SELECT feature, round(mean, 9) AS mean, round(scale, 9) AS scale FROM scaler", ENC_CTES)
+
+q("scale_features", "SELECT s.event_id, s.conv_event_id, " + ", ".join(
+    f"round({e}, 6) AS {nf}" for e, nf in zip(scaled_sql(), NUMERIC_FEATURES)) + " FROM all_num s", ENC_CTES)
+
+_sel_p, _joins_p = encoded_sql()
+_cat_p = ", ".join(f"coalesce(e{i}.code, 0) AS cat_{i}" for i in range(len(CATEGORICAL_FEATURES)))
+_num_p = ", ".join(f"round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 4) AS num_{i}" for i, e in enumerate(scaled_sql()))
+q("processed_features", f"""
+SELECT s.event_id, s.conv_event_id, s.split, {_cat_p}, {_num_p},
+       CAST(s.conversion_flag AS FLOAT) AS conversion_flag
+FROM all_num s
+{_joins_p}""", ENC_CTES)
+
+_cat_arr = "[" + ", ".join(f"coalesce(e{i}.code, 0)" for i in range(len(CATEGORICAL_FEATURES))) + "]"
+q("feature_vectors", f"""
+SELECT s.event_id, s.conv_event_id, {_cat_arr} AS cat, 8 AS n_num, CAST(s.conversion_flag AS FLOAT) AS label
+FROM all_num s
+{_joins_p}""", ENC_CTES)
+
+q("feature_counts", "SELECT CAST(9 AS BIGINT) AS n_cat, CAST(8 AS BIGINT) AS n_num, count(*) AS n_rows FROM splitc",
+  ENC_CTES)
+
+q("one_hot", "SELECT event_id, conv_event_id, " + ", ".join(
+    f"CAST(coalesce(cnxn_type, '-1') = '{lv}' AS TINYINT) AS \"cnxn_type_{lv}\"" for lv in sorted(CNXN_TYPES)) +
+  " FROM splitc", ENC_CTES)

@@ -58,3 +58,328 @@ def q_campaign_conversion_rate(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return q_campaign_conversion_rate(spark, sf)
+
+
+# --------------------------------------------------------------------------
+# Shared derived tables
+# --------------------------------------------------------------------------
+from adspark.operators import clean as C  # noqa: E402
+from adspark.operators import features as FE  # noqa: E402
+from adspark.operators import sampling as P  # noqa: E402
+from adspark.operators import useragent as UA  # noqa: E402
+
+
+def cleaned(spark, sf):
+    """Labelled impressions with user-agent fields (the reference's 'cleaned' stage)."""
+    return UA.ua_enrich(labelled(spark, sf))
+
+
+def split_cleaned(spark, sf):
+    return P.hash_split(cleaned(spark, sf))
+
+
+def fitted(spark, sf):
+    """(split rows, encoder, scaler) with transforms fitted on the train split."""
+    rows = split_cleaned(spark, sf)
+    train = rows.where(F.col("split") == "train")
+    enc = FE.fit_ordinal_encoder(train)
+    sc = FE.fit_scaler(FE.numeric_features(train))
+    return rows, enc, sc
+
+
+# --------------------------------------------------------------------------
+# Cleaning and filters
+# --------------------------------------------------------------------------
+@register("drop_prefix")
+def q_drop_prefix(spark, sf):
+    df = imps(spark, sf).withColumn("aip_segment", F.lit(None).cast("string")) \
+        .withColumn("aip_score", F.lit(None).cast("double"))
+    return C.drop_prefix(df, "aip").select("event_id", "campaign_id", "unique_id", "cnxn_type", "dma")
+
+
+@register("fill_missing")
+def q_fill_missing(spark, sf):
+    df = labelled(spark, sf).select("event_id", "conv_event_id", "cnxn_type", "dma", "prizm_premier_code",
+                                    "goal_name", "user_agent")
+    return C.fill_missing(df, {"cnxn_type": "Unknown", "goal_name": "No Goal Name", "dma": -1,
+                               "prizm_premier_code": "-1", "user_agent": ""})
+
+
+@register("enforce_schema")
+def q_enforce_schema(spark, sf):
+    df = labelled(spark, sf).select("event_id", "conv_event_id", "campaign_id", "dma", "conversion_flag",
+                                    "impression_hour", "impression_dayofweek")
+    return C.enforce_schema(df, {"campaign_id": "bigint", "dma": "smallint", "conversion_flag": "tinyint",
+                                 "impression_hour": "tinyint", "impression_dayofweek": "tinyint"})
+
+
+@register("coerce_timestamp")
+def q_coerce_timestamp(spark, sf):
+    ev = FX.load(spark, sf, "events")
+    text = F.when(F.col("event_id") % 10 == 0, F.lit("garbage")).otherwise(F.col("ts").cast("string"))
+    parsed = C.coerce_timestamps(ev.select("event_id", text.alias("ts_text")), ["ts_text"])
+    return parsed.select("event_id", F.col("ts_text").isNull().alias("is_null"),
+                         F.unix_micros(F.col("ts_text")).alias("epoch_us"))
+
+
+@register("time_features")
+def q_time_features(spark, sf):
+    df = imps(spark, sf).withColumnRenamed("dttm_utc", "impression_dttm_utc")
+    return C.time_features(df).select("event_id", "impression_hour", "impression_dayofweek")
+
+
+@register("limit_impressions")
+def q_limit_impressions(spark, sf):
+    return C.limit_impressions(imps(spark, sf), 100).select("event_id", "campaign_id", "unique_id")
+
+
+@register("scan_filter_campaign")
+def q_scan_filter_campaign(spark, sf):
+    return C.filter_eq(imps(spark, sf), "campaign_id", 42).select("event_id", "campaign_id", "unique_id")
+
+
+# --------------------------------------------------------------------------
+# Joins
+# --------------------------------------------------------------------------
+@register("label_dedup")
+def q_label_dedup(spark, sf):
+    return L.label_dedup(imps(spark, sf), convs(spark, sf)).select(
+        "event_id", "conv_event_id", "conversion_flag", "n_conversions")
+
+
+@register("label_with_goal")
+def q_label_with_goal(spark, sf):
+    return L.label_with_goal(imps(spark, sf), convs(spark, sf)).select(
+        "event_id", "conv_event_id", "goal_name", "conversion_flag")
+
+
+@register("label_by_time_key")
+def q_label_by_time_key(spark, sf):
+    return L.label_by_time_key(imps(spark, sf), convs(spark, sf)).select(
+        "event_id", "conv_event_id", "conversion_flag")
+
+
+@register("device_type_lookup")
+def q_device_type_lookup(spark, sf):
+    lk = FX.device_types(spark)
+    i = L.device_type_lookup(imps(spark, sf), lk).select("event_id", "device_type", "device_type_full")
+    c = L.device_type_lookup(convs(spark, sf), lk, code_col="conv_device_type").select(
+        F.col("conv_event_id").alias("event_id"), F.col("conv_device_type").alias("device_type"),
+        "device_type_full")
+    return i.unionByName(c)
+
+
+@register("conversion_latency")
+def q_conversion_latency(spark, sf):
+    lat = L.conversion_latency(imps(spark, sf), convs(spark, sf))
+    lat = L.device_type_lookup(lat, FX.device_types(spark))
+    s = A.latency_summary(lat, "device_type_full")
+    return s.select("device_type_full", "n", rd("mean_s", 3).alias("mean_s"), rd("median_s", 3).alias("median_s"),
+                    rd("min_s", 3).alias("min_s"), rd("max_s", 3).alias("max_s"))
+
+
+@register("orders_returns_label")
+def q_orders_returns_label(spark, sf):
+    """The larger label join of FIXTURES.md: orders left join returned lineitems."""
+    o = FX.load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    li = FX.load(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber")
+    j = o.join(li, o["o_orderkey"] == li["l_orderkey"], "left")
+    return j.select("o_orderkey", "l_linenumber", F.col("l_orderkey").isNotNull().cast("tinyint").alias("returned"))
+
+
+# --------------------------------------------------------------------------
+# Aggregation and profiling
+# --------------------------------------------------------------------------
+@register("rank_campaigns")
+def q_rank_campaigns(spark, sf):
+    r = A.rank_campaigns(A.campaign_conversion_rate(labelled(spark, sf)))
+    return r.select("campaign_id", "impressions", "conversions", rd("conv_rate").alias("conv_rate"), "rank")
+
+
+@register("count_pos_neg")
+def q_count_pos_neg(spark, sf):
+    return A.count_pos_neg(labelled(spark, sf))
+
+
+@register("pos_weight")
+def q_pos_weight(spark, sf):
+    return A.pos_weight(labelled(spark, sf)).select("n_pos", "n_neg", rd("pos_weight").alias("pos_weight"))
+
+
+@register("split_label_rate")
+def q_split_label_rate(spark, sf):
+    s = A.split_label_rate(P.hash_split(labelled(spark, sf)))
+    return s.select("split", "n_rows", rd("label_rate").alias("label_rate"))
+
+
+PROFILE_COLS = ["cnxn_type", "dma", "country", "prizm_premier_code", "device_type", "user_agent", "goal_name",
+                "conv_event_id"]
+
+
+@register("missing_counts")
+def q_missing_counts(spark, sf):
+    m = A.missing_counts(labelled(spark, sf), PROFILE_COLS)
+    return m.select("column", "n_missing", rd("pct_missing").alias("pct_missing"))
+
+
+@register("distinct_profile")
+def q_distinct_profile(spark, sf):
+    return A.distinct_profile(labelled(spark, sf), ["campaign_id", "unique_id", "cnxn_type", "dma", "country",
+                                                    "prizm_premier_code", "device_type", "user_agent"])
+
+
+@register("describe_numeric")
+def q_describe_numeric(spark, sf):
+    d = A.describe_numeric(imps(spark, sf), ["value", "dma", "campaign_id"])
+    return d.select("column", *[rd(c, 6).alias(c) for c in ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]])
+
+
+@register("describe_categorical")
+def q_describe_categorical(spark, sf):
+    return A.describe_categorical(labelled(spark, sf), ["cnxn_type", "country", "prizm_premier_code",
+                                                        "device_type", "goal_name"])
+
+
+@register("crosstab_goal")
+def q_crosstab_goal(spark, sf):
+    c = L.device_type_lookup(convs(spark, sf), FX.device_types(spark), code_col="conv_device_type")
+    return A.crosstab(c, "device_type_full", "goal_name", FX.GOAL_NAMES)
+
+
+@register("value_counts")
+def q_value_counts(spark, sf):
+    return A.value_counts(imps(spark, sf), "cnxn_type")
+
+
+@register("histogram")
+def q_histogram(spark, sf):
+    return A.histogram(imps(spark, sf), "value", 0.0, 100.0, 20)
+
+
+# --------------------------------------------------------------------------
+# Splits and sampling
+# --------------------------------------------------------------------------
+@register("hash_split")
+def q_hash_split(spark, sf):
+    return P.hash_split(labelled(spark, sf)).select("event_id", "conv_event_id", "split")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    d = L.label_dedup(imps(spark, sf), convs(spark, sf))
+    return P.stratified_split(d).select("event_id", "conversion_flag", "split")
+
+
+@register("sample_per_campaign")
+def q_sample_per_campaign(spark, sf):
+    return P.sample_per_group(imps(spark, sf), 10).select("event_id", "campaign_id")
+
+
+@register("ratio_sample")
+def q_ratio_sample(spark, sf):
+    d = L.label_dedup(imps(spark, sf), convs(spark, sf))
+    return P.ratio_sample(d, k=2.0).select("event_id", "conversion_flag")
+
+
+@register("ratio_sample_replace")
+def q_ratio_sample_replace(spark, sf):
+    d = L.label_dedup(imps(spark, sf), convs(spark, sf))
+    return P.ratio_sample(d, k=2.0, replace=True).select("event_id", "conversion_flag", "copy_id")
+
+
+@register("shuffled_order")
+def q_shuffled_order(spark, sf):
+    return P.shuffled_order(imps(spark, sf)).select("event_id", "imp_id")
+
+
+@register("assign_users")
+def q_assign_users(spark, sf):
+    return P.assign_users(imps(spark, sf), 1000).select("event_id", "user_id")
+
+
+# --------------------------------------------------------------------------
+# User agents and features
+# --------------------------------------------------------------------------
+@register("ua_enrich")
+def q_ua_enrich(spark, sf):
+    return UA.ua_enrich(imps(spark, sf)).select("event_id", *UA.UA_FIELDS)
+
+
+@register("ua_distinct")
+def q_ua_distinct(spark, sf):
+    return UA.distinct_user_agents(imps(spark, sf))
+
+
+@register("numeric_features")
+def q_numeric_features(spark, sf):
+    n = FE.numeric_features(cleaned(spark, sf))
+    return n.select("event_id", "conv_event_id", *FE.BOOLEAN_FEATURES,
+                    *[rd(c).alias(c) for c in ["hour_sin", "hour_cos", "day_sin", "day_cos"]])
+
+
+@register("fit_ordinal_encoder")
+def q_fit_ordinal_encoder(spark, sf):
+    _, enc, _ = fitted(spark, sf)
+    return enc
+
+
+@register("category_sizes")
+def q_category_sizes(spark, sf):
+    _, enc, _ = fitted(spark, sf)
+    return FE.category_sizes(enc)
+
+
+@register("ordinal_encode")
+def q_ordinal_encode(spark, sf):
+    rows, enc, _ = fitted(spark, sf)
+    return FE.ordinal_encode(rows, enc).select("event_id", "conv_event_id", "split", *FE.CATEGORICAL_FEATURES)
+
+
+@register("ordinal_encode_reserve")
+def q_ordinal_encode_reserve(spark, sf):
+    rows, enc, _ = fitted(spark, sf)
+    return FE.ordinal_encode(rows, enc, unknown="reserve").select("event_id", "conv_event_id", "split",
+                                                                  *FE.CATEGORICAL_FEATURES)
+
+
+@register("fit_scaler")
+def q_fit_scaler(spark, sf):
+    _, _, sc = fitted(spark, sf)
+    return sc.select("feature", rd("mean").alias("mean"), rd("scale").alias("scale"))
+
+
+@register("scale_features")
+def q_scale_features(spark, sf):
+    rows, _, sc = fitted(spark, sf)
+    s = FE.scale_features(FE.numeric_features(rows), sc, out_type="double")
+    return s.select("event_id", "conv_event_id", *[rd(c, 6).alias(c) for c in FE.NUMERIC_FEATURES])
+
+
+@register("processed_features")
+def q_processed_features(spark, sf):
+    rows, enc, sc = fitted(spark, sf)
+    p = FE.processed_features(rows, enc, sc, keep=["event_id", "conv_event_id", "split"])
+    return p.select("event_id", "conv_event_id", "split", *[f"cat_{i}" for i in range(9)],
+                    *[rd(F.col(f"num_{i}").cast("double"), 4).alias(f"num_{i}") for i in range(8)],
+                    "conversion_flag")
+
+
+@register("feature_vectors")
+def q_feature_vectors(spark, sf):
+    rows, enc, sc = fitted(spark, sf)
+    p = FE.processed_features(rows, enc, sc, keep=["event_id", "conv_event_id"])
+    v = FE.feature_vectors(p, keep=["event_id", "conv_event_id"])
+    return v.select("event_id", "conv_event_id", "cat", F.size("num").alias("n_num"), "label")
+
+
+@register("feature_counts")
+def q_feature_counts(spark, sf):
+    rows, enc, sc = fitted(spark, sf)
+    return A.feature_counts(FE.processed_features(rows, enc, sc))
+
+
+@register("one_hot")
+def q_one_hot(spark, sf):
+    rows, enc, _ = fitted(spark, sf)
+    oh = FE.one_hot(rows, enc, "cnxn_type")
+    return oh.select("event_id", "conv_event_id", *[c for c in oh.columns if c.startswith("cnxn_type_")])
