@@ -372,3 +372,274 @@ q("feature_counts", "SELECT CAST(9 AS BIGINT) AS n_cat, CAST(8 AS BIGINT) AS n_n
 q("one_hot", "SELECT event_id, conv_event_id, " + ", ".join(
     f"CAST(coalesce(cnxn_type, '-1') = '{lv}' AS TINYINT) AS \"cnxn_type_{lv}\"" for lv in sorted(CNXN_TYPES)) +
   " FROM splitc", ENC_CTES)
+
+
+# --------------------------------------------------------------------------
+# Campaigns, candidates, auction
+# --------------------------------------------------------------------------
+def U(salt: str, *keys: str) -> str:
+    return sql_u(f"'{salt}'", *keys)
+
+
+D = "CAST({} AS DOUBLE)".format
+
+CAMP_CTES = f"""
+rates AS (SELECT campaign_id, avg(CAST(conversion_flag AS DOUBLE)) AS conv_rate FROM lab GROUP BY campaign_id),
+camps AS (
+  SELECT campaign_id, conv_rate AS true_conv_rate, vpc AS value_per_conv,
+         vpc * ({D(1.1)} + {D(1.9)} * {U('cpa0', 'campaign_id')}) AS target_cpa,
+         {D(1000.0)} AS budget,
+         CAST(row_number() OVER (ORDER BY campaign_id) AS INTEGER) AS ordinal
+  FROM (SELECT *, least(greatest(({D(0.8)} + {D(0.4)} * {U('vpc0', 'campaign_id')}) / conv_rate, {D(0.5)}), {D(500.0)}) AS vpc
+        FROM rates WHERE conv_rate > 0)
+),
+aimp AS (SELECT event_id AS imp_id, unique_id AS user_id, CAST(campaign_id AS VARCHAR) AS imp_campaign_id_sampled_from,
+                dttm_utc FROM imp)"""
+
+PCONV = {"random": U("pconv", "a.imp_id", "c.campaign_id"), "heuristic": D(1.0), "rate": "c.true_conv_rate"}
+
+
+def log_ctes(pred: str) -> str:
+    return f"""
+pairs_{pred} AS (
+  SELECT a.imp_id, a.user_id, a.imp_campaign_id_sampled_from, c.campaign_id, c.ordinal, c.value_per_conv,
+         c.budget, {PCONV[pred]} AS pconv, {PCONV[pred]} * c.value_per_conv AS score
+  FROM aimp a CROSS JOIN camps c
+),
+best_{pred} AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY imp_id ORDER BY score DESC, ordinal ASC) AS rn,
+              count(*) OVER (PARTITION BY imp_id) AS eligible_campaigns
+    FROM pairs_{pred}) WHERE rn = 1
+),
+out_{pred} AS (
+  SELECT *, bid * ({D(0.9)} + {D(0.2)} * {U('price', 'imp_id')}) AS market_price FROM (
+    SELECT *, pconv * value_per_conv AS expected_value, greatest({D(0.0)}, {D(0.9)} * (pconv * value_per_conv)) AS bid
+    FROM best_{pred})
+),
+log_{pred} AS (
+  SELECT imp_id, imp_campaign_id_sampled_from, user_id, campaign_id, value_per_conv AS campaign_value_per_conv,
+         expected_value, bid, market_price, bid > market_price AS win, pconv,
+         CASE WHEN bid > market_price THEN expected_value - market_price ELSE 0.0 END AS utility,
+         budget - sum(CASE WHEN bid > market_price THEN market_price ELSE 0.0 END)
+                  OVER (PARTITION BY campaign_id ORDER BY imp_id ROWS UNBOUNDED PRECEDING) AS budget_remaining,
+         eligible_campaigns, score AS chosen_score
+  FROM out_{pred}
+)"""
+
+
+AUCTION = CAMP_CTES + "," + log_ctes("random")
+ALL_POLICIES = CAMP_CTES + "," + log_ctes("random") + "," + log_ctes("heuristic") + "," + log_ctes("rate") + """,
+plogs AS (SELECT *, 'random' AS policy FROM log_random UNION ALL SELECT *, 'heuristic' FROM log_heuristic
+          UNION ALL SELECT *, 'rate' FROM log_rate)"""
+_LOG_D = ["campaign_value_per_conv", "expected_value", "bid", "market_price", "pconv", "utility",
+          "budget_remaining", "chosen_score"]
+_LOG_COLS = ["imp_id", "imp_campaign_id_sampled_from", "user_id", "campaign_id", "campaign_value_per_conv",
+             "expected_value", "bid", "market_price", "win", "pconv", "utility", "budget_remaining",
+             "eligible_campaigns", "chosen_score"]
+ROUNDED_LOG = ", ".join(f"round({c}, 9) AS {c}" if c in _LOG_D else c for c in _LOG_COLS)
+
+q("campaign_params", """
+SELECT campaign_id, ordinal, round(true_conv_rate, 9) AS true_conv_rate, round(value_per_conv, 9) AS value_per_conv,
+       round(target_cpa, 9) AS target_cpa, budget FROM camps""", CAMP_CTES)
+
+q("candidate_scores", "SELECT imp_id, campaign_id, round(pconv, 9) AS pconv, round(score, 9) AS score FROM pairs_random",
+  AUCTION)
+
+q("candidate_diagnostics", """
+SELECT p.imp_id, p.campaign_id, round(p.pconv, 9) AS pconv, round(p.score, 9) AS score,
+       round(p.value_per_conv, 9) AS value_per_conv, round(c.true_conv_rate, 9) AS true_conv_rate, p.budget
+FROM pairs_rate p JOIN camps c USING (campaign_id)""", CAMP_CTES + "," + log_ctes("rate"))
+
+q("best_campaign", "SELECT imp_id, campaign_id, round(score, 9) AS chosen_score, eligible_campaigns FROM best_random",
+  AUCTION)
+
+q("policy_heuristic", "SELECT imp_id, campaign_id, round(pconv, 9) AS pconv, round(score, 9) AS chosen_score FROM best_heuristic",
+  CAMP_CTES + "," + log_ctes("heuristic"))
+
+q("policy_random", "SELECT imp_id, campaign_id, round(pconv, 9) AS pconv, round(score, 9) AS chosen_score FROM best_random",
+  AUCTION)
+
+q("bid_price", "SELECT imp_id, round(expected_value, 9) AS expected_value, round(bid, 9) AS bid FROM out_random", AUCTION)
+
+_Z = (f"sqrt(-2.0 * ln(greatest({U('price1', 'imp_id')}, {D(1e-12)}))) * "
+      f"cos({D(2.0)} * pi() * {U('price2', 'imp_id')})")
+q("market_outcome", f"""
+SELECT imp_id, round(market_price, 9) AS market_price, bid > market_price AS win,
+       round({D(0.005)} * exp({D(0.5)} * ({_Z})), 9) AS lognormal_price,
+       bid > {D(0.005)} * exp({D(0.5)} * ({_Z})) AS lognormal_win
+FROM out_random""", AUCTION)
+
+q("auction_log", f"SELECT {ROUNDED_LOG} FROM log_random", AUCTION)
+
+q("frequency_cap", """
+SELECT imp_id, user_id, campaign_id, win_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, campaign_id ORDER BY imp_id) AS win_no
+  FROM log_random WHERE win) WHERE win_no <= 3""", AUCTION)
+
+q("budget_pacing", """
+SELECT imp_id, campaign_id, round(cum - market_price, 9) AS spent_before, round(budget - cum, 9) AS budget_remaining
+FROM (SELECT l.imp_id, l.campaign_id, l.market_price, c.budget,
+             sum(l.market_price) OVER (PARTITION BY l.campaign_id ORDER BY l.imp_id ROWS UNBOUNDED PRECEDING) AS cum
+      FROM log_random l JOIN camps c USING (campaign_id) WHERE l.win)
+WHERE cum - market_price < budget""", AUCTION)
+
+q("eligible_campaigns", """
+SELECT a.imp_id, a.user_id,
+       count(*) FILTER (WHERE (bc.cut IS NULL OR a.imp_id <= bc.cut) AND (uc.cut IS NULL OR a.imp_id <= uc.cut))
+         AS eligible_campaigns
+FROM aimp a CROSS JOIN camps c
+LEFT JOIN bc ON bc.campaign_id = c.campaign_id
+LEFT JOIN uc ON uc.user_id = a.user_id AND uc.campaign_id = c.campaign_id
+GROUP BY a.imp_id, a.user_id""", AUCTION + """,
+bc AS (SELECT campaign_id, min(imp_id) AS cut FROM (
+         SELECT l.campaign_id, l.imp_id, c.budget,
+                sum(l.market_price) OVER (PARTITION BY l.campaign_id ORDER BY l.imp_id ROWS UNBOUNDED PRECEDING) AS cum
+         FROM log_random l JOIN camps c USING (campaign_id) WHERE l.win) WHERE cum >= budget GROUP BY campaign_id),
+uc AS (SELECT user_id, campaign_id, imp_id AS cut FROM (
+         SELECT *, row_number() OVER (PARTITION BY user_id, campaign_id ORDER BY imp_id) AS rn FROM log_random WHERE win)
+       WHERE rn = 3)""")
+
+q("run_summary", """
+SELECT t.*, r.total_remaining, r.avg_remaining, r.exhausted_campaigns FROM (
+  SELECT count(*) AS processed, count(*) FILTER (WHERE win) AS wins,
+         round(sum(CASE WHEN win THEN market_price ELSE 0.0 END), 9) AS spend,
+         round(sum(utility), 9) AS total_utility,
+         round(sum(CASE WHEN win THEN pconv ELSE 0.0 END), 9) AS expected_conversions,
+         count(DISTINCT campaign_id) AS campaigns_touched FROM log_random) t,
+ (SELECT round(sum(rem), 9) AS total_remaining, round(avg(rem), 9) AS avg_remaining,
+         count(*) FILTER (WHERE rem <= 0) AS exhausted_campaigns
+  FROM (SELECT c.budget - coalesce(s.spent, 0.0) AS rem FROM camps c LEFT JOIN (
+          SELECT campaign_id, sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spent FROM log_random
+          GROUP BY campaign_id) s USING (campaign_id))) r""", AUCTION)
+
+# --------------------------------------------------------------------------
+# Metrics
+# --------------------------------------------------------------------------
+SCORED = f"""
+rates_s AS (SELECT campaign_id, avg(CAST(conversion_flag AS DOUBLE)) AS conv_rate FROM lab GROUP BY campaign_id),
+sc AS (SELECT l.event_id, l.campaign_id,
+              round(least(greatest({D(0.5)} * r.conv_rate + {D(0.5)} * {U('score', 'l.event_id')}, {D(0.0)}), {D(1.0)}), 2) AS score,
+              CAST(l.conversion_flag AS INTEGER) AS label
+       FROM lab l JOIN rates_s r USING (campaign_id)),
+g AS (SELECT score AS s, CAST(sum(label) AS DOUBLE) AS pos, CAST(count(*) - sum(label) AS DOUBLE) AS neg FROM sc GROUP BY score),
+cum AS (SELECT *, coalesce(sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_above,
+                  coalesce(sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_above
+        FROM g),
+cm AS (SELECT count(*) FILTER (WHERE score < 0.5 AND label <> 1) AS tn, count(*) FILTER (WHERE score >= 0.5 AND label <> 1) AS fp,
+              count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp
+       FROM sc)"""
+
+
+def _lossexpr(w: str = "1.0") -> str:
+    p = f"least(greatest(CAST(score AS DOUBLE), {D(1e-7)}), {D(1.0 - 1e-7)})"
+    return f"-({w} * CAST(label AS DOUBLE) * ln({p}) + (1.0 - CAST(label AS DOUBLE)) * ln(1.0 - {p}))"
+
+
+q("roc_auc", "SELECT round(sum(neg * (pos_above + pos / 2.0)) / (sum(pos) * sum(neg)), 9) AS roc_auc FROM cum", SCORED)
+
+q("average_precision", """
+SELECT round(sum(pos * (pos_above + pos) / ((pos_above + pos) + (neg_above + neg))) / sum(pos), 9) AS average_precision
+FROM cum""", SCORED)
+
+q("log_loss", f"SELECT round(avg({_lossexpr()}), 9) AS log_loss FROM sc", SCORED)
+
+q("weighted_log_loss", f"""
+SELECT round(avg({_lossexpr('w.w')}), 9) AS weighted_log_loss FROM sc,
+  (SELECT CASE WHEN count(*) FILTER (WHERE label = 1) = 0 THEN 1.0
+               ELSE CAST(count(*) FILTER (WHERE label <> 1) AS DOUBLE) / count(*) FILTER (WHERE label = 1) END AS w
+   FROM sc) w""", SCORED)
+
+
+def _r(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END"
+
+
+_P, _R = _r("tp", "tp + fp"), _r("tp", "tp + fn")
+q("threshold_metrics", f"""
+SELECT {D(0.5)} AS threshold, tp + fp + fn + tn AS n, round({_r('tp + tn', 'tp + fp + fn + tn')}, 9) AS accuracy,
+       round({_P}, 9) AS precision, round({_R}, 9) AS recall,
+       round(CASE WHEN {_P} + {_R} = 0 THEN 0.0 ELSE 2 * {_P} * {_R} / ({_P} + {_R}) END, 9) AS f1
+FROM cm""", SCORED)
+
+q("confusion_matrix", "SELECT tn, fp, fn, tp FROM cm", SCORED)
+
+_P0, _R0 = _r("tn", "tn + fn"), _r("tn", "tn + fp")
+_F = "CASE WHEN {p} + {r} = 0 THEN 0.0 ELSE 2 * {p} * {r} / ({p} + {r}) END".format
+q("classification_report", f"""
+SELECT class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1,
+       round(support, 9) AS support FROM (
+  SELECT '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1, s0 AS support FROM x
+  UNION ALL SELECT '1', p1, r1, f1, s1 FROM x
+  UNION ALL SELECT 'macro avg', p0 * 0.5 + p1 * 0.5, r0 * 0.5 + r1 * 0.5, f0 * 0.5 + f1 * 0.5, s0 + s1 FROM x
+  UNION ALL SELECT 'weighted avg', p0 * (s0 / (s0 + s1)) + p1 * (s1 / (s0 + s1)), r0 * (s0 / (s0 + s1)) + r1 * (s1 / (s0 + s1)),
+                   f0 * (s0 / (s0 + s1)) + f1 * (s1 / (s0 + s1)), s0 + s1 FROM x)""", SCORED + f""",
+x AS (SELECT {_P0} AS p0, {_R0} AS r0, {_F(p=_P0, r=_R0)} AS f0, CAST(tn + fp AS DOUBLE) AS s0,
+             {_P} AS p1, {_R} AS r1, {_F(p=_P, r=_R)} AS f1, CAST(tp + fn AS DOUBLE) AS s1 FROM cm)""")
+
+_REL = """rel AS (SELECT CAST(least(floor(score * 15), 14) AS INTEGER) AS bin, count(*) AS n,
+                avg(CAST(score AS DOUBLE)) AS avg_score, avg(CAST(label AS DOUBLE)) AS avg_label FROM sc GROUP BY 1)"""
+q("calibration_error", "SELECT round(sum(n * abs(avg_score - avg_label)) / sum(n), 9) AS ece FROM rel",
+  SCORED + "," + _REL)
+q("reliability_table", "SELECT bin, n, round(avg_score, 9) AS avg_score, round(avg_label, 9) AS avg_label FROM rel",
+  SCORED + "," + _REL)
+
+q("roc_auc_binned", """
+SELECT round(sum((fpr - coalesce(fpr2, 0.0)) * (tpr + coalesce(tpr2, 0.0)) / 2.0), 9) AS roc_auc_binned FROM (
+  SELECT tpr, fpr, lead(tpr) OVER (ORDER BY t) AS tpr2, lead(fpr) OVER (ORDER BY t) AS fpr2 FROM (
+    SELECT t, tp / max(tp) OVER () AS tpr, fp / max(fp) OVER () AS fpr, tp_all FROM (
+      SELECT t, CAST(sum(pos) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS tp,
+                CAST(sum(cnt - pos) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS fp, 0 AS tp_all
+      FROM (SELECT g.t, coalesce(b.pos, 0) AS pos, coalesce(b.cnt, 0) AS cnt
+            FROM range(-1, 256) g(t) LEFT JOIN (
+              SELECT CAST(least(greatest(floor(score * 255), -1), 255) AS INTEGER) AS k, sum(label) AS pos, count(*) AS cnt
+              FROM sc GROUP BY 1) b ON b.k = g.t))
+  ) WHERE t >= 0)""", SCORED)
+
+q("best_run", f"""
+SELECT arg_min(run, (val_loss, run)) AS best_run, round(min(val_loss), 9) AS best_loss FROM (
+  SELECT split AS run, avg({_lossexpr()}) AS val_loss FROM (
+    SELECT *, CASE WHEN _u < 0.8 THEN 'train' WHEN _u < 0.9 THEN 'val' ELSE 'test' END AS split
+    FROM (SELECT *, {SPLIT_U} AS _u FROM sc)) GROUP BY split)""", SCORED)
+
+# --------------------------------------------------------------------------
+# Policy analytics
+# --------------------------------------------------------------------------
+_WEEK = """wk AS (SELECT imp_id, CAST(floor(date_diff('day', (SELECT min(CAST(dttm_utc AS DATE)) FROM aimp),
+                                                CAST(dttm_utc AS DATE)) / 7) AS INTEGER) AS day FROM aimp)"""
+
+q("policy_comparison", """
+SELECT policy, impressions, wins, round(spend, 9) AS spend, round(expected_conversions, 9) AS expected_conversions,
+       round(revenue_uplift, 9) AS revenue_uplift,
+       round(CASE WHEN expected_conversions = 0 THEN NULL ELSE spend / expected_conversions END, 9) AS cpa
+FROM (SELECT policy, count(*) AS impressions, count(*) FILTER (WHERE win) AS wins,
+             sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spend,
+             sum(CASE WHEN win THEN pconv ELSE 0.0 END) AS expected_conversions,
+             sum(CASE WHEN win THEN expected_value - market_price ELSE 0.0 END) AS revenue_uplift
+      FROM plogs GROUP BY policy)""", ALL_POLICIES)
+
+q("marginal_cpa", """
+SELECT p.policy, p.day, round(p.spend - coalesce(b.spend, 0.0), 9) AS delta_spend,
+       round(p.conv - coalesce(b.conv, 0.0), 9) AS delta_conv,
+       round(CASE WHEN p.conv - coalesce(b.conv, 0.0) = 0 THEN NULL
+                  ELSE (p.spend - coalesce(b.spend, 0.0)) / (p.conv - coalesce(b.conv, 0.0)) END, 9) AS marginal_cpa
+FROM per p LEFT JOIN (SELECT * FROM per WHERE policy = 'random') b ON p.day = b.day
+WHERE p.policy <> 'random'""", ALL_POLICIES + "," + _WEEK + """,
+per AS (SELECT policy, day, sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spend,
+               sum(CASE WHEN win THEN pconv ELSE 0.0 END) AS conv
+        FROM plogs JOIN wk USING (imp_id) GROUP BY policy, day)""")
+
+q("pacing_error", """
+SELECT campaign_id, day, round(cum_spend, 9) AS cum_spend, round(planned, 9) AS planned,
+       round(abs(cum_spend - planned) / planned, 9) AS pacing_error
+FROM (SELECT p.campaign_id, p.day, sum(p.spend) OVER (PARTITION BY p.campaign_id ORDER BY p.day ROWS UNBOUNDED PRECEDING) AS cum_spend,
+             c.budget * (p.day + 1) / CAST((SELECT max(day) + 1 FROM wk) AS DOUBLE) AS planned
+      FROM (SELECT campaign_id, day, sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spend
+            FROM log_random JOIN wk USING (imp_id) GROUP BY campaign_id, day) p JOIN camps c USING (campaign_id))""",
+  AUCTION + "," + _WEEK)
+
+q("auction_summary", """
+SELECT campaign_id, count(*) AS impressions, count(*) FILTER (WHERE win) AS wins,
+       round(avg(CAST(win AS DOUBLE)), 9) AS win_rate, round(sum(CASE WHEN win THEN market_price ELSE 0.0 END), 9) AS spend,
+       round(quantile_cont(market_price, 0.5), 9) AS median_price, round(quantile_cont(market_price, 0.9), 9) AS p90_price
+FROM log_random GROUP BY campaign_id""", AUCTION)

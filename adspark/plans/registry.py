@@ -383,3 +383,270 @@ def q_one_hot(spark, sf):
     rows, enc, _ = fitted(spark, sf)
     oh = FE.one_hot(rows, enc, "cnxn_type")
     return oh.select("event_id", "conv_event_id", *[c for c in oh.columns if c.startswith("cnxn_type_")])
+
+
+# --------------------------------------------------------------------------
+# Campaigns, candidates, auction
+# --------------------------------------------------------------------------
+from adspark.functions.hashing import u as _u  # noqa: E402
+from adspark.operators import allocate as AL  # noqa: E402
+from adspark.operators import candidates as CA  # noqa: E402
+from adspark.operators import metrics as M  # noqa: E402
+from adspark.operators import policy as PO  # noqa: E402
+
+BETA = 0.9
+TAU = 3
+BUDGET = 1000.0
+
+
+def campaigns(spark, sf, budget: float = BUDGET):
+    return CA.campaign_params(A.campaign_conversion_rate(labelled(spark, sf)), budget=budget)
+
+
+def auction_imps(spark, sf):
+    """Impressions in stream order: imp_id = event_id, user = unique_id."""
+    return imps(spark, sf).select(F.col("event_id").alias("imp_id"), F.col("unique_id").alias("user_id"),
+                                  F.col("campaign_id").cast("string").alias("imp_campaign_id_sampled_from"),
+                                  "dttm_utc")
+
+
+def stateless_log(spark, sf, predictor="random", budget: float = BUDGET):
+    camps = CA.collect_campaigns(campaigns(spark, sf, budget))
+    return AL.stateless_auction(auction_imps(spark, sf), camps, predictor=predictor, beta=BETA)
+
+
+LOG_DOUBLES = ["campaign_value_per_conv", "expected_value", "bid", "market_price", "pconv", "utility",
+               "budget_remaining", "chosen_score"]
+
+
+def rounded_log(log):
+    return log.select(*[rd(c).alias(c) if c in LOG_DOUBLES else F.col(c) for c in AL.LOG_COLUMNS])
+
+
+@register("campaign_params")
+def q_campaign_params(spark, sf):
+    c = campaigns(spark, sf)
+    return c.select("campaign_id", "ordinal", rd("true_conv_rate").alias("true_conv_rate"),
+                    rd("value_per_conv").alias("value_per_conv"), rd("target_cpa").alias("target_cpa"), "budget")
+
+
+@register("candidate_scores")
+def q_candidate_scores(spark, sf):
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    pairs = CA.explode_candidates(auction_imps(spark, sf).drop("dttm_utc"), CA.candidate_array(camps),
+                                  predictor="random")
+    return pairs.select("imp_id", "campaign_id", rd("pconv").alias("pconv"), rd("score").alias("score"))
+
+
+@register("candidate_diagnostics")
+def q_candidate_diagnostics(spark, sf):
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    pairs = CA.explode_candidates(auction_imps(spark, sf).drop("dttm_utc"), CA.candidate_array(camps),
+                                  predictor="rate")
+    return pairs.select("imp_id", "campaign_id", rd("pconv").alias("pconv"), rd("score").alias("score"),
+                        rd("value_per_conv").alias("value_per_conv"),
+                        rd("true_conv_rate").alias("true_conv_rate"), "budget")
+
+
+def _best(spark, sf, predictor):
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    return CA.best_campaign(auction_imps(spark, sf), CA.candidate_array(camps), predictor=predictor, beta=BETA)
+
+
+@register("best_campaign")
+def q_best_campaign(spark, sf):
+    b = _best(spark, sf, "random")
+    return b.select("imp_id", F.col("campaign_id_chosen").alias("campaign_id"), rd("chosen_score").alias("chosen_score"),
+                    "eligible_campaigns")
+
+
+@register("policy_heuristic")
+def q_policy_heuristic(spark, sf):
+    b = _best(spark, sf, "heuristic")
+    return b.select("imp_id", F.col("campaign_id_chosen").alias("campaign_id"), rd("pconv").alias("pconv"),
+                    rd("chosen_score").alias("chosen_score"))
+
+
+@register("policy_random")
+def q_policy_random(spark, sf):
+    b = _best(spark, sf, "random")
+    return b.select("imp_id", F.col("campaign_id_chosen").alias("campaign_id"), rd("pconv").alias("pconv"),
+                    rd("chosen_score").alias("chosen_score"))
+
+
+@register("bid_price")
+def q_bid_price(spark, sf):
+    b = _best(spark, sf, "random")
+    return b.select("imp_id", rd("expected_value").alias("expected_value"), rd("bid").alias("bid"))
+
+
+@register("market_outcome")
+def q_market_outcome(spark, sf):
+    b = _best(spark, sf, "random")
+    ln = CA.market_price(F.col("bid"), F.col("imp_id"), "lognormal")
+    return b.select("imp_id", rd("market_price").alias("market_price"), "win",
+                    rd(ln).alias("lognormal_price"), (F.col("bid") > ln).alias("lognormal_win"))
+
+
+@register("auction_log")
+def q_auction_log(spark, sf):
+    return rounded_log(stateless_log(spark, sf))
+
+
+@register("frequency_cap")
+def q_frequency_cap(spark, sf):
+    capped = AL.frequency_cap(stateless_log(spark, sf), TAU)
+    return capped.select("imp_id", "user_id", "campaign_id", "win_no")
+
+
+@register("budget_pacing")
+def q_budget_pacing(spark, sf):
+    log = stateless_log(spark, sf)
+    paced = AL.budget_pacing(log, campaigns(spark, sf), block_size=1000)
+    return paced.select("imp_id", "campaign_id", rd("spent_before").alias("spent_before"),
+                        rd("budget_remaining").alias("budget_remaining"))
+
+
+@register("eligible_campaigns")
+def q_eligible_campaigns(spark, sf):
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    ai = auction_imps(spark, sf)
+    first = AL.stateless_auction(ai, camps, predictor="random", beta=BETA)
+    return AL.eligible_counts(ai, camps, first, TAU, block_size=1000)
+
+
+@register("allocation_replay")
+def q_allocation_replay(spark, sf):
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    log = AL.allocation_replay(auction_imps(spark, sf), camps, predictor="random", beta=BETA, tau=TAU)
+    return rounded_log(log)
+
+
+@register("run_summary")
+def q_run_summary(spark, sf):
+    s = PO.run_summary(stateless_log(spark, sf), campaigns(spark, sf))
+    return s.select("processed", "wins", rd("spend").alias("spend"), rd("total_utility").alias("total_utility"),
+                    rd("expected_conversions").alias("expected_conversions"), "campaigns_touched",
+                    rd("total_remaining").alias("total_remaining"), rd("avg_remaining").alias("avg_remaining"),
+                    "exhausted_campaigns")
+
+
+# --------------------------------------------------------------------------
+# Metrics
+# --------------------------------------------------------------------------
+def scored(spark, sf):
+    """Labelled rows with a score mixing the campaign rate and a keyed uniform (2 digits: ties)."""
+    lab = labelled(spark, sf)
+    rates = A.campaign_conversion_rate(lab).select("campaign_id", "conv_rate")
+    s = F.round(F.least(F.greatest(F.lit(0.5) * F.col("conv_rate") + F.lit(0.5) * _u("score", F.col("event_id")),
+                                   F.lit(0.0)), F.lit(1.0)), 2)
+    return (lab.join(rates, "campaign_id").select("event_id", "campaign_id", s.alias("score"),
+                                                 F.col("conversion_flag").cast("int").alias("label")))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf):
+    return M.roc_auc(scored(spark, sf)).select(rd("roc_auc").alias("roc_auc"))
+
+
+@register("average_precision")
+def q_average_precision(spark, sf):
+    return M.average_precision(scored(spark, sf)).select(rd("average_precision").alias("average_precision"))
+
+
+@register("log_loss")
+def q_log_loss(spark, sf):
+    return M.log_loss(scored(spark, sf)).select(rd("log_loss").alias("log_loss"))
+
+
+@register("weighted_log_loss")
+def q_weighted_log_loss(spark, sf):
+    s = scored(spark, sf)
+    w = A.pos_weight(s, "label").first()["pos_weight"]
+    return M.log_loss(s, pos_weight=w).select(rd("weighted_log_loss").alias("weighted_log_loss"))
+
+
+@register("threshold_metrics")
+def q_threshold_metrics(spark, sf):
+    t = M.threshold_metrics(scored(spark, sf))
+    return t.select("threshold", "n", *[rd(c).alias(c) for c in ["accuracy", "precision", "recall", "f1"]])
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return M.confusion_counts(scored(spark, sf))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf):
+    r = M.classification_report(scored(spark, sf))
+    return r.select("class", *[rd(c).alias(c) for c in ["precision", "recall", "f1", "support"]])
+
+
+@register("calibration_error")
+def q_calibration_error(spark, sf):
+    return M.calibration_error(scored(spark, sf)).select(rd("ece").alias("ece"))
+
+
+@register("reliability_table")
+def q_reliability_table(spark, sf):
+    r = M.reliability_table(scored(spark, sf))
+    return r.select("bin", "n", rd("avg_score").alias("avg_score"), rd("avg_label").alias("avg_label"))
+
+
+@register("roc_auc_binned")
+def q_roc_auc_binned(spark, sf):
+    return M.roc_auc_binned(scored(spark, sf)).select(rd("roc_auc_binned").alias("roc_auc_binned"))
+
+
+@register("best_run")
+def q_best_run(spark, sf):
+    s = P.hash_split(scored(spark, sf))
+    p = F.least(F.greatest(F.col("score").cast("double"), F.lit(1e-7)), F.lit(1.0 - 1e-7))
+    y = F.col("label").cast("double")
+    per = s.groupBy(F.col("split").alias("run")).agg(
+        F.avg(-(y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p))).alias("val_loss"))
+    return M.best_run(per).select("best_run", rd("best_loss").alias("best_loss"))
+
+
+# --------------------------------------------------------------------------
+# Policy analytics
+# --------------------------------------------------------------------------
+def policy_logs(spark, sf):
+    logs = {p: stateless_log(spark, sf, predictor=p) for p in ["random", "heuristic", "rate"]}
+    return PO.union_logs(logs)
+
+
+def with_week(spark, sf, log):
+    ai = auction_imps(spark, sf)
+    d0 = ai.agg(F.min(F.to_date("dttm_utc")).alias("d0")).first()["d0"]
+    wk = ai.select("imp_id", F.floor(F.datediff(F.to_date("dttm_utc"), F.lit(d0)) / 7).cast("int").alias("day"))
+    return log.join(wk, "imp_id")
+
+
+@register("policy_comparison")
+def q_policy_comparison(spark, sf):
+    c = PO.policy_comparison(policy_logs(spark, sf))
+    return c.select("policy", "impressions", "wins", *[rd(x).alias(x) for x in
+                                                       ["spend", "expected_conversions", "revenue_uplift", "cpa"]])
+
+
+@register("marginal_cpa")
+def q_marginal_cpa(spark, sf):
+    m = PO.marginal_cpa(with_week(spark, sf, policy_logs(spark, sf)), "random")
+    return m.select("policy", "day", *[rd(x).alias(x) for x in ["delta_spend", "delta_conv", "marginal_cpa"]])
+
+
+@register("pacing_error")
+def q_pacing_error(spark, sf):
+    log = with_week(spark, sf, stateless_log(spark, sf))
+    n = log.agg(F.max("day")).first()[0] + 1
+    p = PO.pacing_error(log, campaigns(spark, sf), n)
+    return p.select("campaign_id", "day", *[rd(x).alias(x) for x in ["cum_spend", "planned", "pacing_error"]])
+
+
+@register("auction_summary")
+def q_auction_summary(spark, sf):
+    s = PO.auction_summary(stateless_log(spark, sf))
+    return s.select("campaign_id", "impressions", "wins",
+                    *[rd(x).alias(x) for x in ["win_rate", "spend", "median_price", "p90_price"]])
