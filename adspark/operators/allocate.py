@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.operators.candidates import candidate_array, literal_map, market_price, scored_candidates
-from adspark.operators.ordering import running_sum_blocked
+from adspark.operators.ordering import running_sum_blocked, spread
 from adspark.session import checkpoint_root
 
 NO_ACCESS = -(2 ** 62)
@@ -108,8 +108,8 @@ def _prepare(base: DataFrame, camps: list[dict], predictor: str, rule: str, imp_
     logit = F.col(imp_logit) if imp_logit else None
     sc = scored_candidates(candidate_array(camps), predictor, F.col("imp_id"), rule, logit)
     # Descending by (score, -ordinal): best score first, ties to the lowest ordinal.
-    return base.select("imp_id", "user_id", "imp_campaign_id_sampled_from",
-                       F.sort_array(sc, asc=False).alias("_cands"))
+    return spread(base).select("imp_id", "user_id", "imp_campaign_id_sampled_from",
+                               F.sort_array(sc, asc=False).alias("_cands"))
 
 
 def _decide(pre: DataFrame, camps: list[dict], bcut: dict, ucut: DataFrame | None,

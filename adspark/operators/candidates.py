@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.hashing import normal, u
+from adspark.operators.ordering import spread
 
 MAX_CAMPAIGNS = 10_000
 CAMPAIGN_FIELDS = ["campaign_id", "ordinal", "true_conv_rate", "value_per_conv", "target_cpa", "budget",
@@ -140,7 +141,7 @@ def best_campaign(df: DataFrame, cands: Column, predictor: str = "random", beta:
     logit = F.col(imp_logit) if imp_logit else None
     sc = scored_candidates(cands, predictor, F.col(imp_id), rule, logit)
     best = F.array_max(sc)
-    out = (df.withColumn("_n_elig", F.size(cands)).where(F.col("_n_elig") > 0)
+    out = (spread(df).withColumn("_n_elig", F.size(cands).cast("bigint")).where(F.col("_n_elig") > 0)
            .withColumn("_best", best))
     ev = F.col("_best.pconv") * F.col("_best.value_per_conv")
     bid = F.greatest(F.lit(0.0), F.lit(float(beta)) * ev)
@@ -164,4 +165,4 @@ def explode_candidates(df: DataFrame, cands: Column, predictor: str = "random",
                         p.alias("pconv"), score_expr(p, c, rule).alias("score"),
                         c["value_per_conv"].alias("value_per_conv"), c["true_conv_rate"].alias("true_conv_rate"),
                         c["budget"].alias("budget"))
-    return df.select("*", F.inline(F.transform(cands, one)))
+    return spread(df).select("*", F.inline(F.transform(cands, one)))

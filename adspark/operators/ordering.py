@@ -52,3 +52,17 @@ def running_sum_blocked(df: DataFrame, by: list[str], order_col: str, value_col:
     wf = Window.partitionBy(*by, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, hi)
     out = j.withColumn(out_col, F.col("_off") + F.coalesce(F.sum(value_col).over(wf), F.lit(0.0)))
     return out.drop("_blk", "_off")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin rows over the cluster's parallelism when the scan gives fewer tasks.
+
+    CPU-heavy per-row work (scoring every candidate of every impression)
+    should not run in a handful of tasks just because the input arrived as a
+    few large files. On inputs that already have enough partitions this is a
+    no-op (no shuffle).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -643,3 +643,66 @@ SELECT campaign_id, count(*) AS impressions, count(*) FILTER (WHERE win) AS wins
        round(avg(CAST(win AS DOUBLE)), 9) AS win_rate, round(sum(CASE WHEN win THEN market_price ELSE 0.0 END), 9) AS spend,
        round(quantile_cont(market_price, 0.5), 9) AS median_price, round(quantile_cont(market_price, 0.9), 9) AS p90_price
 FROM log_random GROUP BY campaign_id""", AUCTION)
+
+
+# --------------------------------------------------------------------------
+# Sources, sinks, layout
+# --------------------------------------------------------------------------
+q("scan_partition_pruned", """
+SELECT event_id, campaign_id, unique_id, cnxn_type FROM imp
+WHERE campaign_id IN (7, 42, 77) AND cnxn_type = 'Cellular'""")
+
+q("list_campaigns", "SELECT DISTINCT campaign_id FROM imp")
+
+q("write_read_roundtrip", "SELECT event_id, campaign_id, conv_event_id, goal_name, conversion_flag FROM lab")
+
+ORACLE_SQL["auction_log_sink"] = ORACLE_SQL["auction_log"]
+ORACLE_SQL["preprocessor_roundtrip"] = ORACLE_SQL["fit_ordinal_encoder"]
+ORACLE_SQL["apply_batches"] = ORACLE_SQL["scale_features"]
+ORACLE_SQL["stream_frequency_cap"] = ORACLE_SQL["frequency_cap"]
+
+# --------------------------------------------------------------------------
+# Models
+# --------------------------------------------------------------------------
+_cats = ", ".join(f"coalesce(e{i}.code, 0) AS cat_{i}" for i in range(len(CATEGORICAL_FEATURES)))
+_LIN = ENC_CTES + f""",
+proc AS (SELECT s.event_id, s.conv_event_id, s.split, {_cats}, CAST(CAST(s.conversion_flag AS FLOAT) AS DOUBLE) AS y
+         FROM all_num s
+{_joins_p}),
+ptrain AS (SELECT * FROM proc WHERE split = 'train'),
+bias AS (SELECT ln((sum(y) + 1.0) / (count(*) - sum(y) + 1.0)) AS b FROM ptrain),
+wlong AS (""" + "\n  UNION ALL\n".join(f"  SELECT {i} AS feature, cat_{i} AS code, y FROM ptrain"
+                                       for i in range(len(CATEGORICAL_FEATURES))) + """),
+wt AS (SELECT feature, code, ln((sum(y) + 1.0) / (count(*) - sum(y) + 1.0)) - (SELECT b FROM bias) AS weight
+       FROM wlong GROUP BY feature, code)"""
+_logit = "(SELECT b FROM bias)" + "".join(f" + coalesce(w{i}.weight, 0.0)" for i in range(len(CATEGORICAL_FEATURES)))
+_wjoins = "\n".join(f"LEFT JOIN wt w{i} ON w{i}.feature = {i} AND w{i}.code = p.cat_{i}"
+                    for i in range(len(CATEGORICAL_FEATURES)))
+q("score_linear", f"""
+SELECT p.event_id, p.conv_event_id, round(1.0 / (1.0 + exp(-({_logit}))), 9) AS score
+FROM proc p
+{_wjoins}""", _LIN)
+ORACLE_SQL["score_plugin"] = ORACLE_SQL["score_linear"]
+
+# --------------------------------------------------------------------------
+# Streaming
+# --------------------------------------------------------------------------
+_sel_s, _joins_s = encoded_sql()
+_cat_s = ", ".join(f"coalesce(e{i}.code, 0) AS cat_{i}" for i in range(len(CATEGORICAL_FEATURES)))
+q("stream_features", f"""
+SELECT s.event_id, CAST(hour(s.dttm_utc) AS INTEGER) AS impression_hour,
+       CAST(isodow(s.dttm_utc) - 1 AS INTEGER) AS impression_dayofweek, s.ua_browser, s.ua_is_mobile, {_cat_s}
+FROM impf s
+{_joins_s}""", ENC_CTES + f",\nimpf AS (SELECT imp.*, {UA_SELECT} FROM imp)")
+
+q("stream_windowed_cpa", """
+SELECT strftime(date_trunc('day', a.dttm_utc), '%Y-%m-%d') AS day, count(*) FILTER (WHERE l.win) AS wins,
+       round(sum(CASE WHEN l.win THEN l.market_price ELSE 0.0 END), 9) AS spend,
+       round(sum(CASE WHEN l.win THEN l.pconv ELSE 0.0 END), 9) AS conv
+FROM log_random l JOIN aimp a USING (imp_id)
+GROUP BY 1""", AUCTION)
+
+q("stream_attribution", """
+SELECT i.event_id, c.conv_event_id, round((epoch_us(c.conv_dttm_utc) - epoch_us(i.dttm_utc)) / 1e6, 3) AS latency_s
+FROM imp i JOIN conv c ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
+ AND c.conv_dttm_utc >= i.dttm_utc AND c.conv_dttm_utc <= i.dttm_utc + INTERVAL 7 DAY""")

@@ -8,6 +8,7 @@ another order) compares equal.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -650,3 +651,209 @@ def q_auction_summary(spark, sf):
     s = PO.auction_summary(stateless_log(spark, sf))
     return s.select("campaign_id", "impressions", "wins",
                     *[rd(x).alias(x) for x in ["win_rate", "spend", "median_price", "p90_price"]])
+
+
+# --------------------------------------------------------------------------
+# Sources, sinks, layout
+# --------------------------------------------------------------------------
+from adspark.operators import model as MO  # noqa: E402
+from adspark.session import shared_path  # noqa: E402
+from adspark.sources import io as IO  # noqa: E402
+from adspark.streaming import streams as ST  # noqa: E402
+
+
+def partitioned_impressions(spark, sf):
+    """Impressions written Hive-style by campaign (the reference's raw layout), read back."""
+    path = shared_path(spark, "impressions")
+    IO.write_partitioned(imps(spark, sf).withColumn("dte", F.to_date("dttm_utc")), path, ["campaign_id"])
+    return path
+
+
+@register("scan_partition_pruned")
+def q_scan_partition_pruned(spark, sf):
+    path = partitioned_impressions(spark, sf)
+    return IO.read_parquet(spark, path, columns=["event_id", "campaign_id", "unique_id", "cnxn_type"],
+                           where=F.col("campaign_id").isin(7, 42, 77) & (F.col("cnxn_type") == "Cellular"))
+
+
+@register("list_campaigns")
+def q_list_campaigns(spark, sf):
+    return IO.list_partitions(spark, partitioned_impressions(spark, sf), "campaign_id")
+
+
+@register("write_read_roundtrip")
+def q_write_read_roundtrip(spark, sf):
+    lab = labelled(spark, sf).select("event_id", "campaign_id", "conv_event_id", "goal_name", "conversion_flag")
+    pq, csv = shared_path(spark, "labelled"), shared_path(spark, "labelled-csv")
+    IO.write_partitioned(lab, pq, ["campaign_id"])
+    IO.write_csv(spark.read.parquet(pq), csv)
+    back = IO.read_csv(spark, csv, "event_id long, conv_event_id long, goal_name string, conversion_flag tinyint, "
+                                   "campaign_id long")
+    return back.select("event_id", "campaign_id", "conv_event_id", "goal_name", "conversion_flag")
+
+
+@register("compact_files")
+def q_compact_files(spark, sf):
+    path = shared_path(spark, "compacted")
+    IO.compact(imps(spark, sf), path, "campaign_id", "event_id", max_records_per_file=5)
+    per_file = IO.file_row_counts(spark, path, "campaign_id")
+    return per_file.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows"),
+                                               F.max("n_rows").alias("max_rows_per_file"))
+
+
+@register("scan_file_subset")
+def q_scan_file_subset(spark, sf):
+    path = shared_path(spark, "chunks")
+    imps(spark, sf).repartitionByRange(4, "event_id").write.parquet(path)
+    return IO.read_file_subset(spark, path, r"^part-0000[02]-").select("event_id", "campaign_id")
+
+
+@register("auction_log_sink")
+def q_auction_log_sink(spark, sf):
+    path = shared_path(spark, "auction-log")
+    log = stateless_log(spark, sf)
+    IO.append_log(log.where(F.col("imp_id") % 2 == 0), path)
+    IO.append_log(log.where(F.col("imp_id") % 2 == 1), path)
+    return rounded_log(spark.read.parquet(path))
+
+
+@register("preprocessor_roundtrip")
+def q_preprocessor_roundtrip(spark, sf):
+    _, enc, sc = fitted(spark, sf)
+    pe, ps = shared_path(spark, "encoder"), shared_path(spark, "scaler")
+    enc.write.parquet(pe)
+    sc.write.parquet(ps)
+    return spark.read.parquet(pe).select("feature", "category", "code")
+
+
+# --------------------------------------------------------------------------
+# Models and plug-ins
+# --------------------------------------------------------------------------
+def processed_split(spark, sf):
+    rows, enc, sc = fitted(spark, sf)
+    return FE.processed_features(rows, enc, sc, keep=["event_id", "conv_event_id", "split"])
+
+
+def linear_model(spark, sf):
+    p = processed_split(spark, sf)
+    w, b = MO.fit_log_odds(p.where(F.col("split") == "train"))
+    return p, w, b
+
+
+@register("score_linear")
+def q_score_linear(spark, sf):
+    p, w, b = linear_model(spark, sf)
+    s = MO.score_linear(p, w, b, keep=["event_id", "conv_event_id"])
+    return s.select("event_id", "conv_event_id", rd("score").alias("score"))
+
+
+@register("score_plugin")
+def q_score_plugin(spark, sf):
+    import math
+    p, w, b = linear_model(spark, sf)
+    # The fitted weights are bounded by the dictionary sizes (checked): shipped to tasks with the function.
+    n = w.count()
+    if n > MO.MAX_BROADCAST_ROWS:
+        raise ValueError("weight table too large for a plug-in predictor")
+    table = {(r["feature"], r["code"]): r["weight"] for r in w.collect()}
+
+    def predict(pdf):
+        logit = pd.Series(b, index=pdf.index, dtype="float64")
+        for i in range(9):
+            logit = logit + pdf[f"cat_{i}"].map(lambda c, i=i: table.get((i, c), 0.0)).astype("float64")
+        return pd.DataFrame({"event_id": pdf["event_id"], "conv_event_id": pdf["conv_event_id"],
+                             "score": (1.0 / (1.0 + (-logit).map(math.exp))).round(9)})
+    return MO.score_plugin(p, predict, "event_id long, conv_event_id long, score double")
+
+
+@register("apply_batches")
+def q_apply_batches(spark, sf):
+    rows, _, sc = fitted(spark, sf)
+    params = FE.scaler_params(sc)
+    cols = FE.NUMERIC_FEATURES
+
+    def scale(pdf):
+        out = pd.DataFrame({"event_id": pdf["event_id"], "conv_event_id": pdf["conv_event_id"]})
+        for c in cols:
+            m, s = params[c]
+            out[c] = ((pdf[c].astype("float64") - m) / s).round(6)
+        return out
+    schema = "event_id long, conv_event_id long, " + ", ".join(f"{c} double" for c in cols)
+    return FE.apply_batches(FE.numeric_features(rows).select("event_id", "conv_event_id", *cols), scale, schema)
+
+
+@register("fit_score_logistic")
+def q_fit_score_logistic(spark, sf):
+    p = processed_split(spark, sf)
+    s = MO.fit_score_logistic(p.where(F.col("split") == "train"), p)
+    return s.select("event_id", "conv_event_id", "split", rd("score", 6).alias("score"))
+
+
+@register("fit_score_fm")
+def q_fit_score_fm(spark, sf):
+    p = processed_split(spark, sf)
+    s = MO.fit_score_fm(p.where(F.col("split") == "train"), p, max_iter=20)
+    return s.select("event_id", "conv_event_id", "split", rd("score", 6).alias("score"))
+
+
+# --------------------------------------------------------------------------
+# Streaming
+# --------------------------------------------------------------------------
+def staged_events(spark, sf):
+    return ST.stage_events(spark, FX.load(spark, sf, "events"))
+
+
+@register("stream_features")
+def q_stream_features(spark, sf):
+    _, enc, _ = fitted(spark, sf)
+    src = ST.read_stream(spark, staged_events(spark, sf))
+    imp = FX.impressions_from_events(src).withColumnRenamed("dttm_utc", "impression_dttm_utc")
+    feats = UA.ua_enrich(C.time_features(imp), method="inline")
+    coded = FE.ordinal_encode(feats, enc, out_prefix="cat_")
+    out = coded.select("event_id", "impression_hour", "impression_dayofweek", "ua_browser", "ua_is_mobile",
+                       *[f"cat_{i}" for i in range(9)])
+    return spark.read.parquet(ST.drain(out, name="features"))
+
+
+def staged_log(spark, sf, n_files=4):
+    log = stateless_log(spark, sf)
+    ts = auction_imps(spark, sf).select("imp_id", F.col("dttm_utc").cast("timestamp").alias("ts"))
+    return ST.stage_files(log.join(ts, "imp_id"), "imp_id", n_files, "log-stream")
+
+
+@register("stream_frequency_cap")
+def q_stream_frequency_cap(spark, sf):
+    src = ST.read_stream(spark, staged_log(spark, sf)).where(F.col("win"))
+    return spark.read.parquet(ST.drain(ST.stream_frequency_cap(src, TAU), name="cap"))
+
+
+@register("stream_windowed_cpa")
+def q_stream_windowed_cpa(spark, sf):
+    src = ST.read_stream(spark, staged_log(spark, sf))
+    agg = ST.windowed_spend(src)
+    out = shared_path(spark, "windowed")
+    ST.drain(agg, output_mode="complete", foreach_batch=ST.overwrite_batches(out), name="windowed")
+    r = spark.read.parquet(out)
+    return r.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "wins",
+                    rd("spend").alias("spend"), rd("conv").alias("conv"))
+
+
+@register("stream_attribution")
+def q_stream_attribution(spark, sf):
+    path = staged_events(spark, sf)
+    i = FX.impressions_from_events(ST.read_stream(spark, path))
+    c = FX.conversions_from_events(ST.read_stream(spark, path))
+    out = ST.stream_attribution(i, c)
+    r = spark.read.parquet(ST.drain(out, name="attribution"))
+    return r.select("event_id", "conv_event_id", rd("latency_s", 3).alias("latency_s"))
+
+
+@register("stream_allocation")
+def q_stream_allocation(spark, sf):
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    ai = auction_imps(spark, sf).drop("dttm_utc")
+    path = ST.stage_files(ai, "imp_id", 3, "imp-stream")
+    out, state = shared_path(spark, "alloc-log"), shared_path(spark, "alloc-state")
+    ST.drain(ST.read_stream(spark, path), foreach_batch=ST.stream_allocation(
+        ST.read_stream(spark, path), camps, out, state, predictor="random", beta=BETA, tau=TAU), name="alloc")
+    return rounded_log(spark.read.parquet(out).drop("batch_id"))

@@ -71,7 +71,12 @@ def campaign_of(props: Column) -> Column:
 
 def ad_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw impressions: ``events`` of type view, with ad columns derived by rule."""
-    ev = load(spark, sf_dir, "events").where(F.col("event_type") == "view")
+    return impressions_from_events(load(spark, sf_dir, "events"))
+
+
+def impressions_from_events(events: DataFrame) -> DataFrame:
+    """The impression mapping over any events DataFrame (batch or stream)."""
+    ev = events.where(F.col("event_type") == "view")
     eid, uid = F.col("event_id"), F.col("user_id")
     return ev.select(
         campaign_of(F.col("props")).alias("campaign_id"),
@@ -92,7 +97,12 @@ def ad_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ad_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw conversions: ``events`` of type purchase."""
-    ev = load(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    return conversions_from_events(load(spark, sf_dir, "events"))
+
+
+def conversions_from_events(events: DataFrame) -> DataFrame:
+    """The conversion mapping over any events DataFrame (batch or stream)."""
+    ev = events.where(F.col("event_type") == "purchase")
     eid = F.col("event_id")
     return ev.select(
         campaign_of(F.col("props")).alias("imp_click_campaign_id"),
