@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from adspark.operators import label as L
 from adspark.operators import profile as A
+from adspark.session import materialize
 from adspark.sources import fixtures as FX
 
 QUERIES: dict = {}
@@ -83,8 +84,8 @@ def fitted(spark, sf):
     """(split rows, encoder, scaler) with transforms fitted on the train split."""
     rows = split_cleaned(spark, sf)
     train = rows.where(F.col("split") == "train")
-    enc = FE.fit_ordinal_encoder(train)
-    sc = FE.fit_scaler(FE.numeric_features(train))
+    enc = materialize(FE.fit_ordinal_encoder(train))
+    sc = materialize(FE.fit_scaler(FE.numeric_features(train)))
     return rows, enc, sc
 
 
@@ -657,7 +658,7 @@ def q_auction_summary(spark, sf):
 # Sources, sinks, layout
 # --------------------------------------------------------------------------
 from adspark.operators import model as MO  # noqa: E402
-from adspark.session import shared_path  # noqa: E402
+from adspark.session import shared_path  # noqa: E402, F401
 from adspark.sources import io as IO  # noqa: E402
 from adspark.streaming import streams as ST  # noqa: E402
 
@@ -737,7 +738,7 @@ def processed_split(spark, sf):
 def linear_model(spark, sf):
     p = processed_split(spark, sf)
     w, b = MO.fit_log_odds(p.where(F.col("split") == "train"))
-    return p, w, b
+    return p, materialize(w), b
 
 
 @register("score_linear")

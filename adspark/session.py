@@ -64,3 +64,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Write a (small, fitted) table to the shared checkpoint folder and cut its lineage.
+
+    Used for fitted transforms (encoder, scaler, weights) that many later
+    joins read: they are computed once instead of once per join.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
