@@ -28,9 +28,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adspark.operators.candidates import candidate_array, literal_map, market_price, scored_candidates
+from adspark.operators.candidates import (
+    best_campaign,
+    candidate_array,
+    literal_map,
+    market_price,
+    scored_candidates,
+)
 from adspark.operators.ordering import running_sum_blocked, spread
-from adspark.session import checkpoint_root
+from adspark.session import checkpoint_root, materialize
 
 NO_ACCESS = -(2 ** 62)
 MAX_BROADCAST_CUTS = 2_000_000  # (user, campaign) cut-off entries shipped to every task at most
@@ -239,10 +245,17 @@ def _log(assign: DataFrame, camps: list[dict], spent0: dict, block_size: int) ->
 def stateless_auction(imps: DataFrame, camps: list[dict], predictor: str = "random", beta: float = 1.0,
                       rule: str = "value", price_model: str = "relative", imp_logit: str | None = None,
                       block_size: int = 100_000) -> DataFrame:
-    """One pass with every campaign eligible (no budget or cap binds): the unconstrained log."""
+    """One pass with every campaign eligible (no budget or cap binds): the unconstrained log.
+
+    With no state to filter on, the argmax is ``array_max`` over the scored
+    candidates: no sorting, no shuffle before the per-campaign running budget.
+    """
     base = imps.select("imp_id", "user_id", "imp_campaign_id_sampled_from", *([imp_logit] if imp_logit else []))
-    assign = _decide(_prepare(base, camps, predictor, rule, imp_logit), camps, {}, None, beta, price_model)
-    return _log(assign, camps, {}, block_size)
+    assign = best_campaign(base, candidate_array(camps), predictor=predictor, beta=beta, rule=rule,
+                           price_model=price_model, imp_logit=imp_logit)
+    # Read twice by the blocked running budget: written once to the shared
+    # checkpoint folder instead of scoring every candidate pair twice.
+    return _log(materialize(assign), camps, {}, block_size)
 
 
 def eligible_counts(imps: DataFrame, camps: list[dict], first_pass: DataFrame, tau: int,

@@ -40,18 +40,22 @@ def running_sum_blocked(df: DataFrame, by: list[str], order_col: str, value_col:
                         block_size: int, out_col: str = "_cum", inclusive: bool = True) -> DataFrame:
     """Running sum of ``value_col`` within ``by`` ordered by an integer ``order_col``.
 
-    Blocks are ``floor(order_col / block_size)``; rows with the same order
-    value must be unique within a group (ids).
+    Blocks are ``floor(order_col / block_size)``; order values must be unique
+    within a group (ids). The fine window runs first, per (group, block);
+    block totals are taken from its output, so the input is shuffled once
+    (the second read reuses that exchange) and never recomputed.
     """
     d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_size)).cast("bigint"))
-    tot = d.groupBy(*by, "_blk").agg(F.sum(value_col).alias("_bs"))
+    wf = Window.partitionBy(*by, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    w1 = d.withColumn("_in", F.coalesce(F.sum(value_col).over(wf), F.lit(0.0)))
+    tot = w1.groupBy(*by, "_blk").agg(F.sum(value_col).alias("_bs"))
     wo = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("_off", F.coalesce(F.sum("_bs").over(wo), F.lit(0.0))).drop("_bs")
-    j = d.join(off, [*by, "_blk"], "inner")
-    hi = 0 if inclusive else -1
-    wf = Window.partitionBy(*by, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, hi)
-    out = j.withColumn(out_col, F.col("_off") + F.coalesce(F.sum(value_col).over(wf), F.lit(0.0)))
-    return out.drop("_blk", "_off")
+    j = w1.join(off, [*by, "_blk"], "inner")
+    cum = F.col("_off") + F.col("_in")
+    if not inclusive:
+        cum = cum - F.coalesce(F.col(value_col), F.lit(0.0))
+    return j.withColumn(out_col, cum).drop("_blk", "_off", "_in")
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
