@@ -105,22 +105,27 @@ def _user_cutoffs(assign: DataFrame, tau: int, wins0: DataFrame | None) -> DataF
     return cut.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("cid", "cut"))).alias("ucut"))
 
 
-def _prepare(base: DataFrame, camps: list[dict], predictor: str, rule: str, imp_logit: str | None) -> DataFrame:
-    """Round-invariant part: every impression's candidates scored and sorted best-first.
+def _prepare(base: DataFrame, camps: list[dict], predictor: str, rule: str, imp_logit: str | None,
+             shortlist: int) -> DataFrame:
+    """Round-invariant part: each impression's ``shortlist`` best candidates, best first.
 
     Scores do not depend on budgets or caps, so they are computed once; each
-    round only filters this array by the current cut-offs.
+    round only filters this short array by the current cut-offs. Rows whose
+    whole shortlist becomes ineligible are re-scored in full in that round
+    (exact fallback), so the table stays k entries wide instead of C.
     """
     logit = F.col(imp_logit) if imp_logit else None
     sc = scored_candidates(candidate_array(camps), predictor, F.col("imp_id"), rule, logit)
     # Descending by (score, -ordinal): best score first, ties to the lowest ordinal.
+    top = F.slice(F.sort_array(sc, asc=False), 1, shortlist)
     return spread(base).select("imp_id", "user_id", "imp_campaign_id_sampled_from",
-                               F.sort_array(sc, asc=False).alias("_cands"))
+                               *([imp_logit] if imp_logit else []), top.alias("_cands"))
 
 
 def _decide(pre: DataFrame, camps: list[dict], bcut: dict, ucut: DataFrame | None,
-            beta: float, price_model: str, ucut_entries: int | None = None) -> DataFrame:
-    """One round: filter each impression's sorted candidates by the cut-offs, take the first."""
+            beta: float, price_model: str, ucut_entries: int | None = None, predictor: str = "random",
+            rule: str = "value", imp_logit: str | None = None) -> DataFrame:
+    """One round: first eligible candidate of the shortlist (full re-score if none is left)."""
     # Budget cut-offs as an array indexed by ordinal (O(1) lookup per candidate).
     n = max((c["ordinal"] for c in camps), default=0)
     by_ord = {c["ordinal"]: bcut.get(c["campaign_id"]) for c in camps}
@@ -133,16 +138,25 @@ def _decide(pre: DataFrame, camps: list[dict], bcut: dict, ucut: DataFrame | Non
     else:
         d = pre
 
-    def ok(c):
-        lim_b = F.element_at(barr, -c["neg_ordinal"])
+    def ok_for(ordinal, campaign_id):
+        lim_b = F.element_at(barr, ordinal)
         cond = lim_b.isNull() | (F.col("imp_id") <= lim_b)
         if ucut is not None:
-            lim_u = F.col("ucut")[c["campaign_id"]]
+            lim_u = F.col("ucut")[campaign_id]
             cond = cond & (lim_u.isNull() | (F.col("imp_id") <= lim_u))
         return cond
-    elig = F.filter(F.col("_cands"), ok)
-    out = (d.withColumn("_elig", elig).withColumn("eligible_campaigns", F.size("_elig").cast("bigint"))
-           .where(F.col("eligible_campaigns") > 0).withColumn("_best", F.col("_elig")[0]))
+
+    def ok_scored(c):
+        return ok_for(-c["neg_ordinal"], c["campaign_id"])
+
+    short = F.filter(F.col("_cands"), ok_scored)
+    n_elig = F.size(F.filter(candidate_array(camps), lambda c: ok_for(c["ordinal"], c["campaign_id"])))
+    logit = F.col(imp_logit) if imp_logit else None
+    full = F.array_max(F.filter(scored_candidates(candidate_array(camps), predictor, F.col("imp_id"), rule, logit),
+                                ok_scored))
+    best = F.when(F.size(short) > 0, short[0]).otherwise(full)
+    out = (d.withColumn("eligible_campaigns", n_elig.cast("bigint"))
+           .where(F.col("eligible_campaigns") > 0).withColumn("_best", best))
     ev = F.col("_best.pconv") * F.col("_best.value_per_conv")
     bid = F.greatest(F.lit(0.0), F.lit(float(beta)) * ev)
     out = out.select("imp_id", "user_id", "imp_campaign_id_sampled_from", "eligible_campaigns",
@@ -180,7 +194,7 @@ def allocation_replay(imps: DataFrame, camps: list[dict], predictor: str = "rand
                       tau: int | None = 3, rule: str = "value", price_model: str = "relative",
                       imp_logit: str | None = None, max_rounds: int = 200, block_size: int = 100_000,
                       spent0: dict | None = None, wins0: DataFrame | None = None,
-                      return_rounds: bool = False):
+                      return_rounds: bool = False, shortlist: int = 16):
     """Exact sequential allocation (B12) as a fixpoint; returns the auction log.
 
     ``imps`` needs ``imp_id`` (unique, the processing order), ``user_id`` and
@@ -200,7 +214,7 @@ def allocation_replay(imps: DataFrame, camps: list[dict], predictor: str = "rand
     if tau is not None and wins0 is not None:
         ucut = _user_cutoffs(base.limit(0).withColumn("win", F.lit(True))
                              .withColumn("campaign_id_chosen", F.lit(None).cast("bigint")), tau, wins0)
-    pre = _prepare(base, camps, predictor, rule, imp_logit).checkpoint()
+    pre = _prepare(base, camps, predictor, rule, imp_logit, shortlist).checkpoint()
     rounds, sig, prev = 0, _signature(ucut), None
     while True:
         rounds += 1
@@ -208,7 +222,8 @@ def allocation_replay(imps: DataFrame, camps: list[dict], predictor: str = "rand
             raise RuntimeError(f"allocation did not converge in {max_rounds} rounds")
         # The assignment is read three times; persisted, not checkpointed: its
         # lineage is short because the user cut-offs it depends on are.
-        assign = _decide(pre, camps, bcut, ucut, beta, price_model, sig[0] if sig else None)
+        assign = _decide(pre, camps, bcut, ucut, beta, price_model, sig[0] if sig else None,
+                         predictor, rule, imp_logit)
         assign = assign.persist(StorageLevel.MEMORY_AND_DISK)
         new_b = _budget_cutoffs(assign, camps, spent0, block_size)
         new_u = _user_cutoffs(assign, tau, wins0).checkpoint() if tau is not None else None

@@ -66,6 +66,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     few large files. On inputs that already have enough partitions this is a
     no-op (no shuffle).
     """
+    if df.isStreaming:
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)

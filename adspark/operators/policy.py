@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adspark.operators.quantiles import exact_quantiles
+
 
 def union_logs(logs: dict[str, DataFrame]) -> DataFrame:
     """Stack several policies' logs with a ``policy`` column (L1)."""
@@ -65,12 +67,12 @@ def pacing_error(log: DataFrame, budgets: DataFrame, n_periods: int, time_col: s
 
 def auction_summary(log: DataFrame) -> DataFrame:
     """Per campaign: impressions, wins, win rate, spend, median and p90 price."""
-    return (log.groupBy("campaign_id")
+    base = (log.groupBy("campaign_id")
             .agg(F.count(F.lit(1)).alias("impressions"), F.count_if(F.col("win")).alias("wins"),
                  F.avg(F.col("win").cast("double")).alias("win_rate"),
-                 F.sum(_won(F.col("market_price"))).alias("spend"),
-                 F.percentile(F.col("market_price"), 0.5).alias("median_price"),
-                 F.percentile(F.col("market_price"), 0.9).alias("p90_price")))
+                 F.sum(_won(F.col("market_price"))).alias("spend")))
+    qs = exact_quantiles(log, ["campaign_id"], "market_price", {"median_price": 0.5, "p90_price": 0.9})
+    return base.join(qs, "campaign_id", "left")
 
 
 def run_summary(log: DataFrame, campaigns: DataFrame) -> DataFrame:
@@ -79,10 +81,11 @@ def run_summary(log: DataFrame, campaigns: DataFrame) -> DataFrame:
     per_c = campaigns.select("campaign_id", "budget").join(spent, "campaign_id", "left") \
         .select((F.col("budget") - F.coalesce(F.col("spent"), F.lit(0.0))).alias("remaining"))
     rem = per_c.agg(F.sum("remaining").alias("total_remaining"), F.avg("remaining").alias("avg_remaining"),
-                    F.count_if(F.col("remaining") <= 0).alias("exhausted_campaigns"))
+                    F.count_if(F.col("remaining") <= 0).alias("exhausted_campaigns")).first()  # one row
     tot = log.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("win")).alias("wins"),
                   F.sum(_won(F.col("market_price"))).alias("spend"), F.sum("utility").alias("total_utility"),
                   F.sum(_won(F.col("pconv"))).alias("expected_conversions"),
                   F.count_distinct("campaign_id").alias("campaigns_touched"))
-    # Both sides are single-row aggregates: joined on their constant key.
-    return tot.withColumn("_k", F.lit(1)).join(rem.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return tot.select("*", F.lit(rem["total_remaining"]).cast("double").alias("total_remaining"),
+                      F.lit(rem["avg_remaining"]).cast("double").alias("avg_remaining"),
+                      F.lit(rem["exhausted_campaigns"]).cast("bigint").alias("exhausted_campaigns"))

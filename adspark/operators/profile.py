@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adspark.operators.quantiles import exact_quantiles
+
 
 def campaign_conversion_rate(labelled: DataFrame, key: str = "campaign_id",
                              flag: str = "conversion_flag") -> DataFrame:
@@ -76,19 +78,19 @@ def distinct_profile(df: DataFrame, columns: list[str], approx: bool = False) ->
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max per numeric column."""
-    stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).cast("double").alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, 0.25).alias(f"{c}__p25"), F.percentile(x, 0.5).alias(f"{c}__p50"),
-                 F.percentile(x, 0.75).alias(f"{c}__p75"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{s}").alias(s) for s in stats])
-            for c in columns]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """count, mean, sample std, min, exact quartiles, max per numeric column.
+
+    Long form (column, value) first; moments in one grouped pass, quartiles
+    with the skew-safe exact quantile operator.
+    """
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("kv")
+    ).select("kv.*")
+    mom = long.groupBy("column").agg(
+        F.count("x").cast("double").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    qs = exact_quantiles(long, ["column"], "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return mom.join(qs, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def describe_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -126,9 +128,10 @@ def crosstab(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
 
 def latency_summary(lat: DataFrame, dim: str, value: str = "latency_s") -> DataFrame:
     """Count, mean and exact median of latency per dimension."""
-    return lat.groupBy(dim).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_s"),
-                                F.percentile(F.col(value), 0.5).alias("median_s"),
+    base = lat.groupBy(dim).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_s"),
                                 F.min(value).alias("min_s"), F.max(value).alias("max_s"))
+    med = exact_quantiles(lat, [dim], value, {"median_s": 0.5})
+    return base.join(med, dim, "left")
 
 
 def feature_counts(df: DataFrame, cat_prefix: str = "cat_", num_prefix: str = "num_") -> DataFrame:

@@ -2,11 +2,11 @@
 
 Each output field is a first-match rule list (pattern -> value) turned into
 one ``CASE WHEN ua RLIKE p1 THEN v1 ...`` expression, so matching runs in
-whole-stage codegen. ``ua_enrich(method="distinct")`` matches each distinct
-user-agent string once and joins the result back (parse-once, F2); AQE turns
-that join into a broadcast at run time when the distinct table is small and
-keeps a shuffle join otherwise. ``method="inline"`` evaluates the rules per
-row with no shuffle at all.
+whole-stage codegen. The default ``method="inline"`` evaluates the rules per
+row with no shuffle at all (the fact table is never moved for this).
+``method="distinct"`` matches each distinct user-agent string once and joins
+the result back (parse-once, F2), which pays off only when matching is much
+more expensive than a shuffle of the fact table.
 
 The rule table is ours (a small re-aim of a user-agent parsing library);
 patterns stay in the subset that Java regex and RE2 read the same way.
@@ -72,7 +72,7 @@ def parse_columns(ua: Column) -> list[Column]:
     return [rule_expr(ua, f).alias(f) for f in UA_FIELDS]
 
 
-def ua_enrich(df: DataFrame, ua_col: str = "user_agent", method: str = "distinct",
+def ua_enrich(df: DataFrame, ua_col: str = "user_agent", method: str = "inline",
               drop_source: bool = True) -> DataFrame:
     """Add the eight ``ua_*`` columns; a null user agent is treated as ""."""
     ua = F.coalesce(F.col(ua_col), F.lit(""))

@@ -706,3 +706,5 @@ q("stream_attribution", """
 SELECT i.event_id, c.conv_event_id, round((epoch_us(c.conv_dttm_utc) - epoch_us(i.dttm_utc)) / 1e6, 3) AS latency_s
 FROM imp i JOIN conv c ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
  AND c.conv_dttm_utc >= i.dttm_utc AND c.conv_dttm_utc <= i.dttm_utc + INTERVAL 7 DAY""")
+
+ORACLE_SQL["ua_enrich_distinct"] = ORACLE_SQL["ua_enrich"]

@@ -307,6 +307,11 @@ def q_ua_enrich(spark, sf):
     return UA.ua_enrich(imps(spark, sf)).select("event_id", *UA.UA_FIELDS)
 
 
+@register("ua_enrich_distinct")
+def q_ua_enrich_distinct(spark, sf):
+    return UA.ua_enrich(imps(spark, sf), method="distinct").select("event_id", *UA.UA_FIELDS)
+
+
 @register("ua_distinct")
 def q_ua_distinct(spark, sf):
     return UA.distinct_user_agents(imps(spark, sf))

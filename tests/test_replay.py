@@ -19,10 +19,11 @@ def _setup(spark, budget):
     return camps, imps
 
 
-@pytest.mark.parametrize("predictor,budget,tau", [("random", 20.0, 3), ("heuristic", 1000.0, 2), ("rate", 5.0, None)])
-def test_fixpoint_equals_serial(spark, predictor, budget, tau):
+@pytest.mark.parametrize("predictor,budget,tau,k", [("random", 20.0, 3, 16), ("heuristic", 1000.0, 2, 16),
+                                                    ("rate", 5.0, None, 16), ("random", 10.0, 1, 2)])
+def test_fixpoint_equals_serial(spark, predictor, budget, tau, k):
     camps, imps = _setup(spark, budget)
-    log = AL.allocation_replay(imps, camps, predictor=predictor, beta=0.9, tau=tau)
+    log = AL.allocation_replay(imps, camps, predictor=predictor, beta=0.9, tau=tau, shortlist=k)
     got = sorted(log.collect(), key=lambda r: r.imp_id)
     rows = sorted((r.imp_id, r.user_id, r.imp_campaign_id_sampled_from) for r in imps.collect())
     want = serial_replay(rows, camps, predictor=predictor, beta=0.9, tau=tau)
