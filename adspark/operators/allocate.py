@@ -33,6 +33,8 @@ from adspark.operators.candidates import (
     candidate_array,
     literal_map,
     market_price,
+    pconv_expr,
+    score_expr,
     scored_candidates,
 )
 from adspark.operators.ordering import running_sum_blocked, spread
@@ -47,7 +49,7 @@ def frequency_cap(log: DataFrame, tau: int, user: str = "user_id", campaign: str
     """Keep the first ``tau`` wins per (user, campaign) in impression order."""
     w = Window.partitionBy(user, campaign).orderBy(order)
     wins = log.where(F.col("win"))
-    return wins.withColumn("win_no", F.row_number().over(w)).where(F.col("win_no") <= tau)
+    return wins.withColumn("win_no", F.row_number().over(w).cast("bigint")).where(F.col("win_no") <= tau)
 
 
 def budget_pacing(log: DataFrame, budgets: DataFrame, campaign: str = "campaign_id", order: str = "imp_id",
@@ -107,29 +109,38 @@ def _user_cutoffs(assign: DataFrame, tau: int, wins0: DataFrame | None) -> DataF
 
 def _prepare(base: DataFrame, camps: list[dict], predictor: str, rule: str, imp_logit: str | None,
              shortlist: int) -> DataFrame:
-    """Round-invariant part: each impression's ``shortlist`` best candidates, best first.
+    """Round-invariant part: each impression's best ``shortlist`` campaign ordinals, best first.
 
-    Scores do not depend on budgets or caps, so they are computed once; each
-    round only filters this short array by the current cut-offs. Rows whose
-    whole shortlist becomes ineligible are re-scored in full in that round
-    (exact fallback), so the table stays k entries wide instead of C.
+    Scores do not depend on budgets or caps, so the candidate order is
+    computed once and kept as a short ``array<int>`` of ordinals (4 bytes per
+    entry). Each round walks it to the first eligible campaign and scores only
+    that one; a row whose whole shortlist became ineligible is re-scored in
+    full in that round (exact fallback).
     """
     logit = F.col(imp_logit) if imp_logit else None
     sc = scored_candidates(candidate_array(camps), predictor, F.col("imp_id"), rule, logit)
     # Descending by (score, -ordinal): best score first, ties to the lowest ordinal.
-    top = F.slice(F.sort_array(sc, asc=False), 1, shortlist)
+    order = F.transform(F.sort_array(sc, asc=False), lambda c: (-c["neg_ordinal"]).cast("int"))
     return spread(base).select("imp_id", "user_id", "imp_campaign_id_sampled_from",
-                               *([imp_logit] if imp_logit else []), top.alias("_cands"))
+                               *([imp_logit] if imp_logit else []),
+                               F.slice(order, 1, shortlist).alias("_ords"))
+
+
+def _by_ordinal(camps: list[dict], extra: dict | None = None) -> Column:
+    """Literal array of campaign structs indexed by ordinal (position = ordinal)."""
+    n = max((c["ordinal"] for c in camps), default=0)
+    slots = {c["ordinal"]: c for c in camps}
+    filled = [slots.get(i) or dict(campaign_id=-1, ordinal=i, true_conv_rate=0.0, value_per_conv=0.0,
+                                   target_cpa=1.0, budget=0.0) for i in range(1, n + 1)]
+    return candidate_array(filled, extra)
 
 
 def _decide(pre: DataFrame, camps: list[dict], bcut: dict, ucut: DataFrame | None,
             beta: float, price_model: str, ucut_entries: int | None = None, predictor: str = "random",
             rule: str = "value", imp_logit: str | None = None) -> DataFrame:
-    """One round: first eligible candidate of the shortlist (full re-score if none is left)."""
-    # Budget cut-offs as an array indexed by ordinal (O(1) lookup per candidate).
-    n = max((c["ordinal"] for c in camps), default=0)
-    by_ord = {c["ordinal"]: bcut.get(c["campaign_id"]) for c in camps}
-    barr = F.from_json(F.lit(json.dumps([by_ord.get(i) for i in range(1, n + 1)])), "array<bigint>")
+    """One round: first eligible campaign of the shortlist (full re-score if none is left)."""
+    # Budget cut-offs ride in the ordinal-indexed campaign array (O(1) lookup).
+    by_ord = _by_ordinal(camps, {"bcut": {c["campaign_id"]: bcut.get(c["campaign_id"]) for c in camps}})
     if ucut is not None:
         # Broadcast the user cut-offs only when their counted size is under the
         # bound; beyond it, a shuffle join (AQE splits a hot user's partition).
@@ -138,31 +149,32 @@ def _decide(pre: DataFrame, camps: list[dict], bcut: dict, ucut: DataFrame | Non
     else:
         d = pre
 
-    def ok_for(ordinal, campaign_id):
-        lim_b = F.element_at(barr, ordinal)
-        cond = lim_b.isNull() | (F.col("imp_id") <= lim_b)
+    def ok(c):
+        cond = c["bcut"].isNull() | (F.col("imp_id") <= c["bcut"])
         if ucut is not None:
-            lim_u = F.col("ucut")[campaign_id]
+            lim_u = F.col("ucut")[c["campaign_id"]]
             cond = cond & (lim_u.isNull() | (F.col("imp_id") <= lim_u))
-        return cond
-
-    def ok_scored(c):
-        return ok_for(-c["neg_ordinal"], c["campaign_id"])
+        return cond & (c["campaign_id"] >= 0)
 
-    short = F.filter(F.col("_cands"), ok_scored)
-    n_elig = F.size(F.filter(candidate_array(camps), lambda c: ok_for(c["ordinal"], c["campaign_id"])))
+    first = F.filter(F.col("_ords"), lambda o: ok(F.element_at(by_ord, o)))
+    n_elig = F.size(F.filter(by_ord, ok))
     logit = F.col(imp_logit) if imp_logit else None
-    full = F.array_max(F.filter(scored_candidates(candidate_array(camps), predictor, F.col("imp_id"), rule, logit),
-                                ok_scored))
-    best = F.when(F.size(short) > 0, short[0]).otherwise(full)
+    full = F.array_max(F.filter(
+        scored_candidates(by_ord, predictor, F.col("imp_id"), rule, logit),
+        lambda s: ok(F.element_at(by_ord, -s["neg_ordinal"]))))
+    chosen_ord = F.when(F.size(first) > 0, first[0]).otherwise(-full["neg_ordinal"])
     out = (d.withColumn("eligible_campaigns", n_elig.cast("bigint"))
-           .where(F.col("eligible_campaigns") > 0).withColumn("_best", best))
-    ev = F.col("_best.pconv") * F.col("_best.value_per_conv")
+           .where(F.col("eligible_campaigns") > 0)
+           .withColumn("_c", F.element_at(by_ord, chosen_ord)))
+    c = F.col("_c")
+    pconv = pconv_expr(predictor, F.col("imp_id"), c, logit)
+    out = out.withColumn("pconv", pconv)
+    ev = F.col("pconv") * c["value_per_conv"]
     bid = F.greatest(F.lit(0.0), F.lit(float(beta)) * ev)
     out = out.select("imp_id", "user_id", "imp_campaign_id_sampled_from", "eligible_campaigns",
-                     F.col("_best.campaign_id").alias("campaign_id_chosen"),
-                     F.col("_best.value_per_conv").alias("campaign_value_per_conv"),
-                     F.col("_best.pconv").alias("pconv"), F.col("_best.score").alias("chosen_score"),
+                     c["campaign_id"].alias("campaign_id_chosen"),
+                     c["value_per_conv"].alias("campaign_value_per_conv"), "pconv",
+                     score_expr(F.col("pconv"), c, rule).alias("chosen_score"),
                      ev.alias("expected_value"), bid.alias("bid"))
     out = out.withColumn("market_price", market_price(F.col("bid"), F.col("imp_id"), price_model))
     return out.withColumn("win", F.col("bid") > F.col("market_price"))

@@ -32,7 +32,7 @@ def rank_campaigns(rates: DataFrame, by: str = "conv_rate", key: str = "campaign
     (one row per campaign, bounded by the campaign count), never over facts.
     """
     w = Window.orderBy(F.col(by).desc(), F.col(key).asc())
-    return rates.withColumn("rank", F.row_number().over(w))
+    return rates.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def count_pos_neg(df: DataFrame, flag: str = "conversion_flag") -> DataFrame:

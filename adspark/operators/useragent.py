@@ -47,11 +47,25 @@ UA_RULES: dict[str, tuple[list[tuple[str, object]], object]] = {
 UA_FIELDS = list(UA_RULES)
 
 
+_META = set(".^$*+?()[]{}\\")
+
+
+def matches(ua: Column, pat: str) -> Column:
+    """Partial match of ``pat``; literal alternatives become substring tests (no regex engine)."""
+    if not (_META & set(pat)):
+        alts = pat.split("|")
+        cond = ua.contains(alts[0])
+        for a in alts[1:]:
+            cond = cond | ua.contains(a)
+        return cond
+    return ua.rlike(pat)
+
+
 def rule_expr(ua: Column, field: str) -> Column:
     rules, default = UA_RULES[field]
     out = None
     for pat, val in rules:
-        cond = ua.rlike(pat)
+        cond = matches(ua, pat)
         out = F.when(cond, F.lit(val)) if out is None else out.when(cond, F.lit(val))
     return out.otherwise(F.lit(default))
 

@@ -244,7 +244,7 @@ q("describe_numeric", "\nUNION ALL\n".join(
 
 _CAT_COLS = ["cnxn_type", "country", "prizm_premier_code", "device_type", "goal_name"]
 q("describe_categorical", """
-SELECT "column", sum(n) AS count, count(*) AS unique,
+SELECT "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS unique,
        max(CASE WHEN rn = 1 THEN value END) AS top, max(n) AS freq
 FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC) AS rn
       FROM (SELECT "column", value, count(*) AS n FROM (
@@ -362,7 +362,8 @@ FROM all_num s
 
 _cat_arr = "[" + ", ".join(f"coalesce(e{i}.code, 0)" for i in range(len(CATEGORICAL_FEATURES))) + "]"
 q("feature_vectors", f"""
-SELECT s.event_id, s.conv_event_id, {_cat_arr} AS cat, 8 AS n_num, CAST(s.conversion_flag AS FLOAT) AS label
+SELECT s.event_id, s.conv_event_id, array_to_string({_cat_arr}, ',') AS cat_text, CAST(8 AS INTEGER) AS n_num,
+       CAST(s.conversion_flag AS FLOAT) AS label
 FROM all_num s
 {_joins_p}""", ENC_CTES)
 
@@ -476,6 +477,7 @@ q("frequency_cap", """
 SELECT imp_id, user_id, campaign_id, win_no FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, campaign_id ORDER BY imp_id) AS win_no
   FROM log_random WHERE win) WHERE win_no <= 3""", AUCTION)
+ORACLE_SQL["stream_frequency_cap"] = ORACLE_SQL["frequency_cap"]
 
 q("budget_pacing", """
 SELECT imp_id, campaign_id, round(cum - market_price, 9) AS spent_before, round(budget - cum, 9) AS budget_remaining
@@ -659,7 +661,6 @@ q("write_read_roundtrip", "SELECT event_id, campaign_id, conv_event_id, goal_nam
 ORACLE_SQL["auction_log_sink"] = ORACLE_SQL["auction_log"]
 ORACLE_SQL["preprocessor_roundtrip"] = ORACLE_SQL["fit_ordinal_encoder"]
 ORACLE_SQL["apply_batches"] = ORACLE_SQL["scale_features"]
-ORACLE_SQL["stream_frequency_cap"] = ORACLE_SQL["frequency_cap"]
 
 # --------------------------------------------------------------------------
 # Models

@@ -376,7 +376,9 @@ def q_feature_vectors(spark, sf):
     rows, enc, sc = fitted(spark, sf)
     p = FE.processed_features(rows, enc, sc, keep=["event_id", "conv_event_id"])
     v = FE.feature_vectors(p, keep=["event_id", "conv_event_id"])
-    return v.select("event_id", "conv_event_id", "cat", F.size("num").alias("n_num"), "label")
+    return v.select("event_id", "conv_event_id",
+                    F.array_join(F.transform("cat", lambda x: x.cast("string")), ",").alias("cat_text"),
+                    F.size("num").alias("n_num"), "label")
 
 
 @register("feature_counts")
@@ -669,22 +671,24 @@ from adspark.streaming import streams as ST  # noqa: E402
 
 
 def partitioned_impressions(spark, sf):
-    """Impressions written Hive-style by campaign (the reference's raw layout), read back."""
+    """Impressions written Hive-style by campaign (the reference's raw layout): (path, schema)."""
     path = shared_path(spark, "impressions")
-    IO.write_partitioned(imps(spark, sf).withColumn("dte", F.to_date("dttm_utc")), path, ["campaign_id"])
-    return path
+    df = imps(spark, sf).withColumn("dte", F.to_date("dttm_utc"))
+    IO.write_partitioned(df, path, ["campaign_id"])
+    return path, df.schema
 
 
 @register("scan_partition_pruned")
 def q_scan_partition_pruned(spark, sf):
-    path = partitioned_impressions(spark, sf)
-    return IO.read_parquet(spark, path, columns=["event_id", "campaign_id", "unique_id", "cnxn_type"],
+    path, schema = partitioned_impressions(spark, sf)
+    return IO.read_parquet(spark, path, schema=schema, columns=["event_id", "campaign_id", "unique_id", "cnxn_type"],
                            where=F.col("campaign_id").isin(7, 42, 77) & (F.col("cnxn_type") == "Cellular"))
 
 
 @register("list_campaigns")
 def q_list_campaigns(spark, sf):
-    return IO.list_partitions(spark, partitioned_impressions(spark, sf), "campaign_id")
+    path, schema = partitioned_impressions(spark, sf)
+    return IO.list_partitions(spark, path, "campaign_id", schema)
 
 
 @register("write_read_roundtrip")

@@ -38,9 +38,11 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None
     return df.select(*columns) if columns else df
 
 
-def list_partitions(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """Sorted distinct values of a partition column."""
-    return spark.read.parquet(path).select(column).distinct().orderBy(column)
+def list_partitions(spark: SparkSession, path: str, column: str,
+                    schema: StructType | str | None = None) -> DataFrame:
+    """Sorted distinct values of a partition column (S2); ``schema`` pins its type."""
+    r = spark.read.schema(schema) if schema is not None else spark.read
+    return r.parquet(path).select(column).distinct().orderBy(column)
 
 
 def read_file_subset(spark: SparkSession, path: str, file_pattern: str) -> DataFrame:

@@ -81,12 +81,12 @@ def _cap_fn(tau: int):
             if not state.exists:
                 state.update((n_before,))
             yield pd.DataFrame({"imp_id": pd.Series(dtype="int64"), "user_id": pd.Series(dtype="int64"),
-                                "campaign_id": pd.Series(dtype="int64"), "win_no": pd.Series(dtype="int32")})
+                                "campaign_id": pd.Series(dtype="int64"), "win_no": pd.Series(dtype="int64")})
             return
         keep = keep.sort_values("imp_id")
         keep = keep.assign(win_no=range(n_before + 1, n_before + 1 + len(keep)))
         state.update((n_before + len(keep),))
-        yield keep[["imp_id", "user_id", "campaign_id", "win_no"]].astype({"win_no": "int32"})
+        yield keep[["imp_id", "user_id", "campaign_id", "win_no"]].astype({"win_no": "int64"})
     return fn
 
 
@@ -99,7 +99,7 @@ def stream_frequency_cap(wins_stream: DataFrame, tau: int) -> DataFrame:
     """
     return (wins_stream.select("imp_id", "user_id", "campaign_id")
             .groupBy("user_id", "campaign_id")
-            .applyInPandasWithState(_cap_fn(tau), "imp_id long, user_id long, campaign_id long, win_no int",
+            .applyInPandasWithState(_cap_fn(tau), "imp_id long, user_id long, campaign_id long, win_no long",
                                     "n int", "append", GroupStateTimeout.NoTimeout))
 
 
