@@ -171,15 +171,21 @@ def one_hot(df: DataFrame, encoder: DataFrame, feature: str, drop_first: bool =
     return df.select("*", *[(v == F.lit(lv)).cast("tinyint").alias(f"{feature}_{lv}") for lv in levels])
 
 
-def counterfactual_features(imp_enc: DataFrame, campaigns_enc: DataFrame, campaign_code_col: str = "cat_0"):
-    """Pair encoded impressions with each candidate campaign's code.
+def counterfactual_features(processed: DataFrame, camps: list[dict], codes: dict, campaign_slot: int = 0,
+                            keep: list[str] | None = None) -> DataFrame:
+    """Each encoded impression paired with every candidate campaign's code in slot ``cat_<slot>``.
 
-    The impression side is encoded once (8 features), campaigns once (1
-    feature); the pairing itself is done by the candidate operator, which
-    carries the campaign list as a bounded array (no join).
+    The impression side is encoded once (its other features), the campaigns
+    once (``codes``: campaign_id -> code, bounded by the campaign list); the
+    pairing expands a literal candidate array, with no join.
     """
-    from adspark.operators.candidates import explode_candidates
-    return explode_candidates(imp_enc, campaigns_enc)
+    from adspark.operators.candidates import candidate_array
+    cands = candidate_array(camps, {"code": codes})
+    slot = f"cat_{campaign_slot}"
+    base = processed.drop(slot)
+    pairs = base.select("*", F.inline(F.transform(cands, lambda c: F.struct(
+        c["campaign_id"].alias("candidate_campaign_id"), c["code"].alias(slot)))))
+    return pairs.select(*(keep or []), "candidate_campaign_id", *[f"cat_{i}" for i in range(9)])
 
 
 def apply_batches(df: DataFrame, fn, schema) -> DataFrame:

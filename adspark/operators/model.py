@@ -30,6 +30,40 @@ def fit_log_odds(processed: DataFrame, n_cat: int = 9, label: str = "conversion_
     return g.select("feature", "code", w.alias("weight")), bias
 
 
+def linear_logit(df: DataFrame, weights: DataFrame, bias: float, features, out: str = "logit") -> DataFrame:
+    """bias + sum over ``features`` (indices) of weight[feature][cat_i]; unseen codes weigh 0."""
+    n_w = weights.count()
+    res = df
+    terms = []
+    for i in features:
+        wi = weights.where(F.col("feature") == i).select(F.col("code").alias(f"cat_{i}"), F.col("weight").alias(f"_w{i}"))
+        if n_w <= MAX_BROADCAST_ROWS:
+            wi = F.broadcast(wi)
+        res = res.join(wi, f"cat_{i}", "left")
+        terms.append(F.coalesce(F.col(f"_w{i}"), F.lit(0.0)))
+    logit = F.lit(float(bias))
+    for t in terms:
+        logit = logit + t
+    return res.withColumn(out, logit).drop(*[f"_w{i}" for i in features])
+
+
+def campaign_weights(encoder: DataFrame, weights: DataFrame, campaign_ids: list[int],
+                     feature_name: str = "campaign_id", feature_index: int = 0,
+                     max_rows: int = MAX_BROADCAST_ROWS) -> dict[int, float]:
+    """Weight of each candidate campaign's code (unseen id -> code 0, unseen code -> 0.0).
+
+    Reads only the campaign feature's dictionary and weights: bounded by the
+    campaign count, checked.
+    """
+    codes = encoder.where(F.col("feature") == feature_name).select("category", "code")
+    ws = weights.where(F.col("feature") == feature_index).select("code", "weight")
+    if codes.count() > max_rows or ws.count() > max_rows:
+        raise ValueError("campaign dictionary too large to ship to tasks")
+    code_of = {r["category"]: r["code"] for r in codes.collect()}
+    w_of = {r["code"]: r["weight"] for r in ws.collect()}
+    return {cid: float(w_of.get(code_of.get(str(cid), 0), 0.0)) for cid in campaign_ids}
+
+
 def score_linear(processed: DataFrame, weights: DataFrame, bias: float, n_cat: int = 9,
                  keep: list[str] | None = None) -> DataFrame:
     """p = sigmoid(bias + sum of per-feature weights); unseen codes weigh 0 (M1)."""

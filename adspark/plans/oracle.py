@@ -709,3 +709,38 @@ FROM imp i JOIN conv c ON i.campaign_id = c.imp_click_campaign_id AND i.unique_i
  AND c.conv_dttm_utc >= i.dttm_utc AND c.conv_dttm_utc <= i.dttm_utc + INTERVAL 7 DAY""")
 
 ORACLE_SQL["ua_enrich_distinct"] = ORACLE_SQL["ua_enrich"]
+
+
+# --------------------------------------------------------------------------
+# Counterfactual features, model predictor, CSV lookup
+# --------------------------------------------------------------------------
+_CAMP_CODE = """
+camp_code AS (SELECT c.*, coalesce(e.code, 0) AS code FROM camps c
+              LEFT JOIN enc e ON e.feature = 'campaign_id' AND e.category = CAST(c.campaign_id AS VARCHAR))"""
+_CF = _LIN + "," + CAMP_CTES + "," + _CAMP_CODE
+q("counterfactual_features", "SELECT p.event_id, p.conv_event_id, c.campaign_id, c.code AS cat_0, " +
+  ", ".join(f"p.cat_{i}" for i in range(1, 9)) + " FROM proc p CROSS JOIN camp_code c", _CF)
+
+_imp_codes = ", ".join(f"coalesce(e{i}.code, 0) AS cat_{i}" for i in range(len(CATEGORICAL_FEATURES)))
+_imp_logit = "(SELECT b FROM bias)" + "".join(f" + coalesce(w{i}.weight, 0.0)" for i in range(1, 9))
+_imp_wjoins = "\n".join(f"LEFT JOIN wt w{i} ON w{i}.feature = {i} AND w{i}.code = k.cat_{i}" for i in range(1, 9))
+_PM = _CF + f""",
+impf AS (SELECT imp.*, {UA_SELECT} FROM imp),
+impk AS (SELECT s.event_id, {_imp_codes} FROM impf s
+{_joins_s}),
+impl AS (SELECT k.event_id AS imp_id, {_imp_logit} AS imp_logit FROM impk k
+{_imp_wjoins}),
+cw AS (SELECT c.campaign_id, c.ordinal, c.value_per_conv, coalesce(w.weight, 0.0) AS cand_weight
+       FROM camp_code c LEFT JOIN wt w ON w.feature = 0 AND w.code = c.code),
+mpairs AS (SELECT l.imp_id, c.campaign_id, c.ordinal,
+                  1.0 / (1.0 + exp(-(l.imp_logit + c.cand_weight))) AS pconv, c.value_per_conv
+           FROM impl l CROSS JOIN cw c)"""
+q("policy_model", """
+SELECT imp_id, campaign_id, round(pconv, 9) AS pconv, round(score, 9) AS chosen_score FROM (
+  SELECT *, pconv * value_per_conv AS score,
+         row_number() OVER (PARTITION BY imp_id ORDER BY pconv * value_per_conv DESC, ordinal ASC) AS rn
+  FROM mpairs) WHERE rn = 1""", _PM)
+
+q("device_lookup_csv", """
+SELECT i.event_id, i.device_type, d.full_name AS device_type_full FROM imp i LEFT JOIN dev d ON i.device_type = d.short""",
+  f"dev AS ({DEVICE_TYPES_SQL})")

@@ -867,3 +867,53 @@ def q_stream_allocation(spark, sf):
     ST.drain(ST.read_stream(spark, path), foreach_batch=ST.stream_allocation(
         ST.read_stream(spark, path), camps, out, state, predictor="random", beta=BETA, tau=TAU), name="alloc")
     return rounded_log(spark.read.parquet(out).drop("batch_id"))
+
+
+# --------------------------------------------------------------------------
+# Counterfactual features (F12), model predictor in the auction (B4), CSV lookup
+# --------------------------------------------------------------------------
+def campaign_codes(enc, camps):
+    """campaign_id -> encoded code (unseen -> 0, collide), bounded by the campaign list."""
+    rows = enc.where(F.col("feature") == "campaign_id").select("category", "code").collect()
+    code_of = {r["category"]: r["code"] for r in rows}
+    return {c["campaign_id"]: int(code_of.get(str(c["campaign_id"]), 0)) for c in camps}
+
+
+@register("counterfactual_features")
+def q_counterfactual_features(spark, sf):
+    rows, enc, sc = fitted(spark, sf)
+    p = FE.processed_features(rows, enc, sc, keep=["event_id", "conv_event_id"])
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    pairs = FE.counterfactual_features(p, camps, campaign_codes(enc, camps), keep=["event_id", "conv_event_id"])
+    return pairs.withColumnRenamed("candidate_campaign_id", "campaign_id")
+
+
+def impression_codes(spark, sf, enc):
+    """One row per impression with the nine encoded features (no label needed)."""
+    i = imps(spark, sf).withColumnRenamed("dttm_utc", "impression_dttm_utc")
+    return FE.ordinal_encode(UA.ua_enrich(C.time_features(i)), enc, out_prefix="cat_")
+
+
+@register("policy_model")
+def q_policy_model(spark, sf):
+    p, w, b = linear_model(spark, sf)
+    _, enc, _ = fitted(spark, sf)
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    cw = MO.campaign_weights(enc, w, [c["campaign_id"] for c in camps])
+    for c in camps:
+        c["cand_weight"] = cw[c["campaign_id"]]
+    codes = impression_codes(spark, sf, enc)
+    imp = MO.linear_logit(codes, w, b, range(1, 9), out="imp_logit").select(
+        F.col("event_id").alias("imp_id"), F.col("unique_id").alias("user_id"),
+        F.col("campaign_id").cast("string").alias("imp_campaign_id_sampled_from"), "imp_logit")
+    best = CA.best_campaign(imp, CA.candidate_array(camps), predictor="model", beta=BETA, imp_logit="imp_logit")
+    return best.select("imp_id", F.col("campaign_id_chosen").alias("campaign_id"), rd("pconv").alias("pconv"),
+                       rd("chosen_score").alias("chosen_score"))
+
+
+@register("device_lookup_csv")
+def q_device_lookup_csv(spark, sf):
+    path = shared_path(spark, "device-types-csv")
+    IO.write_csv(FX.device_types(spark).coalesce(1), path)
+    lk = IO.read_csv(spark, path, "short string, full_name string")
+    return L.device_type_lookup(imps(spark, sf), lk).select("event_id", "device_type", "device_type_full")
