@@ -22,7 +22,6 @@ raises; it never returns a partial answer.
 
 from __future__ import annotations
 
-import json
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -303,3 +302,45 @@ def eligible_counts(imps: DataFrame, camps: list[dict], first_pass: DataFrame, t
         return ((c["bcut"].isNull() | (F.col("imp_id") <= c["bcut"]))
                 & (lim.isNull() | (F.col("imp_id") <= lim)))
     return d.select("imp_id", "user_id", F.size(F.filter(cands, ok)).cast("bigint").alias("eligible_campaigns"))
+
+
+def allocation_replay_blocked(imps: DataFrame, camps: list[dict], block_rows: int, **kw) -> DataFrame:
+    """Exact replay over ordered blocks of about ``block_rows`` impressions with carried state.
+
+    Block edges come from approximate quantiles of ``imp_id`` (a bounded
+    sketch); each block runs the fixpoint on its own rows, starting from the
+    spend per campaign (one row per campaign) and the wins per (user,
+    campaign) of all earlier blocks. Each round then passes over one block
+    instead of the whole table. Block logs are appended to a table in the
+    shared checkpoint folder, which is returned.
+    """
+    from adspark.session import shared_path
+    spark = imps.sparkSession
+    n = imps.count()
+    n_blocks = max(1, -(-n // block_rows))
+    if n_blocks == 1:
+        return allocation_replay(imps, camps, **kw)
+    edges = imps.agg(F.percentile_approx("imp_id", [i / n_blocks for i in range(1, n_blocks)], 10_000)).first()[0]
+    edges = sorted(set(edges))
+    out = shared_path(spark, "replay-blocks")
+    spent0: dict = dict(kw.pop("spent0", None) or {})
+    wins0 = kw.pop("wins0", None)
+    lo = None
+    for hi in edges + [None]:
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("imp_id") > lo)
+        if hi is not None:
+            cond = cond & (F.col("imp_id") <= hi)
+        log = allocation_replay(imps.where(cond), camps, spent0=spent0, wins0=wins0, **kw)
+        log.write.mode("append").parquet(out)
+        won = spark.read.parquet(out).where(cond & F.col("win"))
+        for r in won.groupBy("campaign_id").agg(F.sum("market_price").alias("s")).collect():  # <= campaigns
+            spent0[r["campaign_id"]] = spent0.get(r["campaign_id"], 0.0) + r["s"]
+        new = won.groupBy("user_id", "campaign_id").agg(F.count(F.lit(1)).alias("n_prior"))
+        if wins0 is not None:
+            new = (wins0.unionByName(new).groupBy("user_id", "campaign_id")
+                   .agg(F.sum("n_prior").alias("n_prior")))
+        wins0 = materialize(new)
+        lo = hi
+    return spark.read.parquet(out)

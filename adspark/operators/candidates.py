@@ -18,8 +18,6 @@ from adspark.functions.hashing import normal, u
 from adspark.operators.ordering import spread
 
 MAX_CAMPAIGNS = 10_000
-CAMPAIGN_FIELDS = ["campaign_id", "ordinal", "true_conv_rate", "value_per_conv", "target_cpa", "budget",
-                   "cand_weight"]
 
 
 def campaign_params(rates: DataFrame, budget: float = 1000.0, seed: int = 0,

@@ -45,3 +45,12 @@ def test_carried_state_blocks_equal_whole(spark):
     second = AL.allocation_replay(imps.where(F.col("imp_id") > mid), camps, tau=3, spent0=spent0, wins0=wins0)
     blocks = {r.imp_id: (r.campaign_id, r.win) for r in first.unionByName(second).collect()}
     assert blocks == whole
+
+
+def test_blocked_replay_equals_whole(spark):
+    camps, imps = _setup(spark, 15.0)
+    whole = sorted((r.imp_id, r.campaign_id, r.win, round(r.budget_remaining, 9))
+                   for r in AL.allocation_replay(imps, camps, tau=2).collect())
+    blocked = sorted((r.imp_id, r.campaign_id, r.win, round(r.budget_remaining, 9))
+                     for r in AL.allocation_replay_blocked(imps, camps, 60, tau=2).collect())
+    assert blocked == whole
