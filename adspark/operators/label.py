@@ -1,19 +1,20 @@
-"""Impression <-> conversion labelling joins.
-
-One left outer join on the two keys replaces the reference's per-campaign loop:
-the join shuffles both sides on (campaign, user) once, and AQE's skew-join
-rule splits a hot campaign's partitions at run time. An impression with
-several conversions fans out to several rows (reference behaviour, T1);
-``label_dedup`` keeps one row per impression by pre-aggregating the
-conversion side per key *before* the join, so no fan-out is shuffled.
+"""Impression <-> conversion labelling.
+
+One left join on (campaign, user) replaces the reference's per-campaign loop.
+The conversion side is reduced to one row per join key *before* the join
+(earliest conversion plus a count; partial aggregation map-side), so every
+impression yields exactly one row and a hot key never multiplies into
+impression x conversion pairs. The reference's fan-out (one row per matching
+pair, T1) is still available with ``fan_out=True`` for small inputs; no
+registered query uses it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adspark.functions.timefeat import day_of_week_monday0, hour_of_day, seconds_between
+from adspark.functions.timefeat import day_of_week_monday0, hour_of_day
 
 IMP_KEYS = ("campaign_id", "unique_id")
 CONV_KEYS = ("imp_click_campaign_id", "imp_click_unique_id")
@@ -37,45 +38,51 @@ def _finish(joined: DataFrame, conv_cols: list[str]) -> DataFrame:
     return out.drop(*[c for c in conv_cols if c in CONV_KEYS])
 
 
-def label_impressions(imp: DataFrame, conv: DataFrame,
+def first_conversions(conv: DataFrame, keys: list[str]) -> DataFrame:
+    """Earliest conversion (ties by id) and the number of conversions per key."""
+    return (conv.groupBy(*keys)
+            .agg(F.min_by(F.struct("conv_dttm_utc", "conv_event_id", "goal_name"),
+                          F.struct("conv_dttm_utc", "conv_event_id")).alias("c"),
+                 F.count(F.lit(1)).alias("n_conversions"))
+            .select(*keys, "c.*", "n_conversions"))
+
+
+def label_impressions(imp: DataFrame, conv: DataFrame, fan_out: bool = False,
                       conv_cols: tuple[str, ...] = ("conv_event_id", "conv_dttm_utc", "goal_name")) -> DataFrame:
-    """Left-join conversions onto impressions on (campaign, user); flag = conversion found."""
+    """Label each impression with its key's conversions.
+
+    Default: one row per impression carrying the earliest conversion and
+    ``n_conversions``. ``fan_out=True`` gives the reference's one row per
+    matching (impression, conversion) pair - quadratic in a hot key.
+    """
+    if not fan_out:
+        return label_dedup(imp, conv)
     c = conv.select(*CONV_KEYS, *conv_cols)
     joined = imp.join(c, _key_cond(imp, c), "left")
     return _finish(joined, list(CONV_KEYS))
 
 
 def label_dedup(imp: DataFrame, conv: DataFrame) -> DataFrame:
-    """One row per impression: attach the earliest conversion of its key.
-
-    The conversion side is reduced to one row per key first (partial
-    aggregation map-side), so the join output has exactly one row per
-    impression and a hot key never fans out.
-    """
-    first = (conv.groupBy(*CONV_KEYS)
-             .agg(F.min_by(F.struct("conv_dttm_utc", "conv_event_id", "goal_name"),
-                           F.struct("conv_dttm_utc", "conv_event_id")).alias("c"),
-                  F.count(F.lit(1)).alias("n_conversions"))
-             .select(*CONV_KEYS, "c.*", "n_conversions"))
+    """One row per impression: attach the earliest conversion of its key (C11)."""
+    first = first_conversions(conv, list(CONV_KEYS))
     joined = imp.join(first, _key_cond(imp, first), "left")
     out = _finish(joined, list(CONV_KEYS))
     return out.withColumn("n_conversions", F.coalesce(F.col("n_conversions"), F.lit(0)))
 
 
 def label_with_goal(imp: DataFrame, conv: DataFrame) -> DataFrame:
-    """Single-key (user) left join carrying goal columns."""
-    c = conv.select(F.col("imp_click_unique_id"), "conv_event_id", "conv_dttm_utc", "goal_name",
-                    "conv_device_type")
-    joined = imp.join(c, imp["unique_id"] == c["imp_click_unique_id"], "left").drop("imp_click_unique_id")
+    """Single-key (user) labelling carrying goal columns (J2): the user's earliest conversion."""
+    first = first_conversions(conv, ["imp_click_unique_id"])
+    joined = imp.join(first, imp["unique_id"] == first["imp_click_unique_id"], "left").drop("imp_click_unique_id")
     out = _finish(joined, [])
-    return out.withColumn("goal_name", F.coalesce(F.col("goal_name"), F.lit("No Goal Name")))
+    return (out.withColumn("goal_name", F.coalesce(F.col("goal_name"), F.lit("No Goal Name")))
+               .withColumn("n_conversions", F.coalesce(F.col("n_conversions"), F.lit(0))))
 
 
 def label_by_time_key(imp: DataFrame, conv: DataFrame) -> DataFrame:
-    """Composite key linking: campaign, user and calendar day of the two timestamps."""
+    """Composite key linking: campaign, user and calendar day (J3); earliest conversion of that key."""
     i = imp.withColumn("_day", F.to_date("dttm_utc"))
-    c = (conv.select(*CONV_KEYS, "conv_event_id", "conv_dttm_utc", "goal_name")
-         .withColumn("_cday", F.to_date("conv_dttm_utc")))
+    c = first_conversions(conv.withColumn("_cday", F.to_date("conv_dttm_utc")), [*CONV_KEYS, "_cday"])
     cond = _key_cond(i, c) & (i["_day"] == c["_cday"])
     joined = i.join(c, cond, "left").drop("_day", "_cday")
     return _finish(joined, list(CONV_KEYS))
@@ -91,11 +98,36 @@ def device_type_lookup(df: DataFrame, lookup: DataFrame, code_col: str = "device
     return df.join(F.broadcast(lk), df[code_col] == lk["_short"], "left").drop("_short")
 
 
-def conversion_latency(imp: DataFrame, conv: DataFrame, only_after: bool = True) -> DataFrame:
-    """Seconds from impression to each linked conversion (key join, conv >= imp)."""
-    c = conv.select(*CONV_KEYS, "conv_event_id", "conv_dttm_utc", "goal_name")
-    cond = _key_cond(imp, c)
-    if only_after:
-        cond = cond & (c["conv_dttm_utc"] >= imp["dttm_utc"])
-    joined = imp.join(c, cond, "inner")
-    return joined.withColumn("latency_s", seconds_between(F.col("conv_dttm_utc"), F.col("dttm_utc")))
+def conversion_latency(imp: DataFrame, conv: DataFrame, block_seconds: int = 3600) -> DataFrame:
+    """Seconds from each impression to the next conversion of its key at or after it.
+
+    No pair join: impressions and conversions are stacked per key and cut
+    into time blocks. Inside a block a descending running minimum gives the
+    next conversion; a small window over per-block minima gives the first
+    conversion in any later block. A hot key is spread over its time blocks.
+    Impressions with no later conversion are left out.
+    """
+    key = ["campaign_id", "unique_id"]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    stack = (imp.select(*key, "event_id", F.col("dttm_utc").alias("ts"), "device_type",
+                        F.lit(0).alias("kind"))
+             .unionByName(conv.select(F.col("imp_click_campaign_id").alias("campaign_id"),
+                                      F.col("imp_click_unique_id").alias("unique_id"),
+                                      F.col("conv_event_id").alias("event_id"), F.col("conv_dttm_utc").alias("ts"),
+                                      F.lit(None).cast("string").alias("device_type"), F.lit(1).alias("kind")))
+             .withColumn("_us", us)
+             .withColumn("_blk", F.floor(F.col("_us") / F.lit(block_seconds * 1_000_000)).cast("bigint")))
+    conv_us = F.when(F.col("kind") == 1, F.col("_us"))
+    # Descending time, conversions before impressions at equal time (conv >= imp counts).
+    w_in = (Window.partitionBy(*key, "_blk").orderBy(F.col("_us").desc(), F.col("kind").desc())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    inb = stack.withColumn("_next_in", F.min(conv_us).over(w_in))
+    # Every (key, block) with any row gets an entry; _bmin is null when it has no conversion.
+    per_blk = stack.groupBy(*key, "_blk").agg(F.min(conv_us).alias("_bmin"))
+    w_blk = Window.partitionBy(*key).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = per_blk.withColumn("_next_later", F.min("_bmin").over(w_blk)).drop("_bmin")
+    imps = inb.where(F.col("kind") == 0).drop("kind")
+    j = imps.join(later, [*key, "_blk"], "left")
+    nxt = F.coalesce(F.col("_next_in"), F.col("_next_later"))
+    return (j.where(nxt.isNotNull())
+             .select(*key, "event_id", "device_type", ((nxt - F.col("_us")) / F.lit(1e6)).alias("latency_s")))

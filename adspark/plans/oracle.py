@@ -14,14 +14,21 @@ ORACLE_SQL: dict[str, str] = {}
 BASE = f"""
 imp AS ({IMPRESSIONS_SQL}),
 conv AS ({CONVERSIONS_SQL}),
+first_c AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY imp_click_campaign_id, imp_click_unique_id
+                                 ORDER BY conv_dttm_utc, conv_event_id) AS rn,
+              count(*) OVER (PARTITION BY imp_click_campaign_id, imp_click_unique_id) AS n_conversions
+    FROM conv) WHERE rn = 1
+),
 lab AS (
   SELECT i.campaign_id, i.unique_id, i.event_id, i.dttm_utc AS impression_dttm_utc,
          i.cnxn_type, i.dma, i.country, i.prizm_premier_code, i.device_type, i.user_agent, i.value,
-         c.conv_event_id, c.conv_dttm_utc, c.goal_name,
+         c.conv_event_id, c.conv_dttm_utc, c.goal_name, coalesce(c.n_conversions, 0) AS n_conversions,
          CAST(c.conv_dttm_utc IS NOT NULL AS TINYINT) AS conversion_flag,
          CAST(hour(i.dttm_utc) AS INTEGER) AS impression_hour,
          CAST(isodow(i.dttm_utc) - 1 AS INTEGER) AS impression_dayofweek
-  FROM imp i LEFT JOIN conv c
+  FROM imp i LEFT JOIN first_c c
     ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
 )"""
 
@@ -33,7 +40,7 @@ def q(name: str, body: str, ctes: str = "") -> None:
 
 
 q("label_impressions", """
-SELECT event_id, campaign_id, unique_id, conv_event_id, goal_name, conversion_flag,
+SELECT event_id, campaign_id, unique_id, conv_event_id, goal_name, conversion_flag, n_conversions,
        impression_hour, impression_dayofweek
 FROM lab""")
 
@@ -168,14 +175,23 @@ first_conv AS (
 
 q("label_with_goal", """
 SELECT i.event_id, c.conv_event_id, coalesce(c.goal_name, 'No Goal Name') AS goal_name,
-       CAST(c.conv_dttm_utc IS NOT NULL AS TINYINT) AS conversion_flag
-FROM imp i LEFT JOIN conv c ON i.unique_id = c.imp_click_unique_id""")
+       CAST(c.conv_dttm_utc IS NOT NULL AS TINYINT) AS conversion_flag, coalesce(c.n, 0) AS n_conversions
+FROM imp i LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY imp_click_unique_id ORDER BY conv_dttm_utc, conv_event_id) AS rn,
+                           count(*) OVER (PARTITION BY imp_click_unique_id) AS n FROM conv) WHERE rn = 1) c
+  ON i.unique_id = c.imp_click_unique_id""")
 
 q("label_by_time_key", """
-SELECT i.event_id, c.conv_event_id, CAST(c.conv_dttm_utc IS NOT NULL AS TINYINT) AS conversion_flag
-FROM imp i LEFT JOIN conv c
+SELECT i.event_id, c.conv_event_id, CAST(c.conv_dttm_utc IS NOT NULL AS TINYINT) AS conversion_flag,
+       c.n AS n_conversions
+FROM imp i LEFT JOIN (
+  SELECT * FROM (SELECT *, CAST(conv_dttm_utc AS DATE) AS d,
+                           row_number() OVER (PARTITION BY imp_click_campaign_id, imp_click_unique_id, CAST(conv_dttm_utc AS DATE)
+                                              ORDER BY conv_dttm_utc, conv_event_id) AS rn,
+                           count(*) OVER (PARTITION BY imp_click_campaign_id, imp_click_unique_id, CAST(conv_dttm_utc AS DATE)) AS n
+                 FROM conv) WHERE rn = 1) c
   ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
- AND CAST(i.dttm_utc AS DATE) = CAST(c.conv_dttm_utc AS DATE)""")
+ AND CAST(i.dttm_utc AS DATE) = c.d""")
 
 q("device_type_lookup", """
 SELECT i.event_id, i.device_type, d.full_name AS device_type_full FROM imp i LEFT JOIN dev d ON i.device_type = d.short
@@ -188,10 +204,11 @@ SELECT device_type_full, count(*) AS n, round(avg(latency_s), 3) AS mean_s,
        round(quantile_cont(latency_s, 0.5), 3) AS median_s, round(min(latency_s), 3) AS min_s,
        round(max(latency_s), 3) AS max_s
 FROM (SELECT d.full_name AS device_type_full,
-             (epoch_us(c.conv_dttm_utc) - epoch_us(i.dttm_utc)) / 1e6 AS latency_s
+             (min(epoch_us(c.conv_dttm_utc)) - epoch_us(i.dttm_utc)) / 1e6 AS latency_s
       FROM imp i JOIN conv c ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
                             AND c.conv_dttm_utc >= i.dttm_utc
-      LEFT JOIN dev d ON i.device_type = d.short)
+      LEFT JOIN dev d ON i.device_type = d.short
+      GROUP BY i.event_id, i.dttm_utc, d.full_name)
 GROUP BY device_type_full""", f"dev AS ({DEVICE_TYPES_SQL})")
 
 ORACLE_SQL["orders_returns_label"] = """

@@ -44,7 +44,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LABEL_COLS = ["event_id", "campaign_id", "unique_id", "conv_event_id", "goal_name", "conversion_flag",
-              "impression_hour", "impression_dayofweek"]
+              "n_conversions", "impression_hour", "impression_dayofweek"]
 
 
 @register("label_impressions")
@@ -152,13 +152,13 @@ def q_label_dedup(spark, sf):
 @register("label_with_goal")
 def q_label_with_goal(spark, sf):
     return L.label_with_goal(imps(spark, sf), convs(spark, sf)).select(
-        "event_id", "conv_event_id", "goal_name", "conversion_flag")
+        "event_id", "conv_event_id", "goal_name", "conversion_flag", "n_conversions")
 
 
 @register("label_by_time_key")
 def q_label_by_time_key(spark, sf):
     return L.label_by_time_key(imps(spark, sf), convs(spark, sf)).select(
-        "event_id", "conv_event_id", "conversion_flag")
+        "event_id", "conv_event_id", "conversion_flag", "n_conversions")
 
 
 @register("device_type_lookup")

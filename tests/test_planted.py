@@ -27,7 +27,7 @@ def test_fan_out_and_missing(spark):
     t = dt.datetime(2024, 1, 1, 10)
     imp = _imp(spark, [(1, 5, 100, t), (2, 6, 101, t)])
     conv = _conv(spark, [(1, 5, 900, t, "lead"), (1, 5, 901, t, "lead")])
-    out = L.label_impressions(imp, conv).orderBy("event_id", "conv_event_id").collect()
+    out = L.label_impressions(imp, conv, fan_out=True).orderBy("event_id", "conv_event_id").collect()
     assert [(r.event_id, r.conversion_flag) for r in out] == [(100, 1), (100, 1), (101, 0)]
     assert out[0].impression_dayofweek == 0  # 2024-01-01 is a Monday
     d = L.label_dedup(imp, conv).orderBy("event_id").collect()

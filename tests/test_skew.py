@@ -63,3 +63,21 @@ def test_replay_with_hot_user_equals_serial(spark, hot):
     want = serial_replay(rows, camps, predictor="random", beta=1.0, tau=2)
     assert [(r.imp_id, r.campaign_id, r.win) for r in got] == \
         [(w["imp_id"], w["campaign_id"], w["win"]) for w in want]
+
+
+def test_next_conversion_latency_equals_brute_force(spark, hot):
+    from adspark.operators import label as L
+    conv = R.convs(spark, SF_SMALL)
+    h = F.col("conv_event_id") % 3 == 0
+    conv = (conv.withColumn("imp_click_campaign_id", F.when(h, F.lit(42)).otherwise(F.col("imp_click_campaign_id")))
+                .withColumn("imp_click_unique_id", F.when(h, F.lit(7)).otherwise(F.col("imp_click_unique_id"))))
+    got = {r.event_id: r.latency_s for r in L.conversion_latency(hot, conv, block_seconds=600).collect()}
+    imps = [(r.event_id, r.campaign_id, r.unique_id, r.dttm_utc) for r in hot.collect()]
+    convs = [(r.imp_click_campaign_id, r.imp_click_unique_id, r.conv_dttm_utc) for r in conv.collect()]
+    want = {}
+    for eid, cid, uid, ts in imps:
+        later = [c for k1, k2, c in convs if k1 == cid and k2 == uid and c >= ts]
+        if later:
+            want[eid] = (min(later) - ts).total_seconds()
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
