@@ -22,6 +22,8 @@ raises; it never returns a partial answer.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -40,6 +42,7 @@ from adspark.operators.ordering import running_sum_blocked, spread
 from adspark.session import checkpoint_root, materialize
 
 NO_ACCESS = -(2 ** 62)
+_POOL = ThreadPoolExecutor(max_workers=2, thread_name_prefix="adspark-cutoffs")
 MAX_BROADCAST_CUTS = 2_000_000  # (user, campaign) cut-off entries shipped to every task at most
 
 
@@ -236,9 +239,14 @@ def allocation_replay(imps: DataFrame, camps: list[dict], predictor: str = "rand
         assign = _decide(pre, camps, bcut, ucut, beta, price_model, sig[0] if sig else None,
                          predictor, rule, imp_logit)
         assign = assign.persist(StorageLevel.MEMORY_AND_DISK)
-        new_b = _budget_cutoffs(assign, camps, spent0, block_size)
-        new_u = _user_cutoffs(assign, tau, wins0).checkpoint() if tau is not None else None
-        new_sig = _signature(new_u)
+        # The two cut-off tables are independent jobs: submitted concurrently.
+        fut_b = _POOL.submit(_budget_cutoffs, assign, camps, spent0, block_size)
+        if tau is not None:
+            new_u = _user_cutoffs(assign, tau, wins0).checkpoint()
+            new_sig = _signature(new_u)
+        else:
+            new_u, new_sig = None, ()
+        new_b = fut_b.result()
         if new_b == bcut and new_sig == sig and _same_cuts(new_u, ucut):
             break
         if prev is not None:
