@@ -59,7 +59,8 @@ def q_campaign_conversion_rate(spark, sf):
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return q_campaign_conversion_rate(spark, sf)
+    """Label -> campaign rates -> campaign parameters -> best campaign per impression -> auction summary."""
+    return QUERIES["auction_summary"](spark, sf)
 
 
 # --------------------------------------------------------------------------
@@ -120,8 +121,10 @@ def q_coerce_timestamp(spark, sf):
     ev = FX.load(spark, sf, "events")
     text = F.when(F.col("event_id") % 10 == 0, F.lit("garbage")).otherwise(F.col("ts").cast("string"))
     parsed = C.coerce_timestamps(ev.select("event_id", text.alias("ts_text")), ["ts_text"])
+    # Wall-clock epoch, independent of the session time zone.
+    epoch0 = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return parsed.select("event_id", F.col("ts_text").isNull().alias("is_null"),
-                         F.unix_micros(F.col("ts_text")).alias("epoch_us"))
+                         F.timestamp_diff("MICROSECOND", epoch0, F.col("ts_text").cast("timestamp_ntz")).alias("epoch_us"))
 
 
 @register("time_features")
