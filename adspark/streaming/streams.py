@@ -27,13 +27,18 @@ def stage_files(df: DataFrame, order_col: str, n_files: int, name: str) -> str:
     order and the file source replays them in order.
     """
     path = shared_path(df.sparkSession, name)
+    append_files(df, order_col, n_files, path)
+    return path
+
+
+def append_files(df: DataFrame, order_col: str, n_files: int, path: str) -> None:
+    """Append ``df`` to a staged folder as ``n_files`` ordered range files (see ``stage_files``)."""
     bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     step = (hi - lo) // n_files + 1
     for i in range(n_files):
         part = df.where((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
         part.coalesce(1).write.mode("append").parquet(path)
-    return path
 
 
 def stage_events(spark: SparkSession, events: DataFrame, n_files: int = 4) -> str:
@@ -48,11 +53,15 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
 
 
 def drain(stream_df: DataFrame, sink: str | None = None, output_mode: str = "append",
-          foreach_batch=None, name: str = "stream") -> str:
-    """Run to completion with ``availableNow``; returns the sink path (Parquet)."""
+          foreach_batch=None, name: str = "stream", checkpoint: str | None = None) -> str:
+    """Run to completion with ``availableNow``; returns the sink path (Parquet).
+
+    Passing the ``checkpoint`` (and ``sink``) of an earlier run resumes it:
+    only files not yet processed are read, and keyed state carries over.
+    """
     spark = stream_df.sparkSession
     sink = sink or shared_path(spark, f"{name}-out")
-    ckpt = shared_path(spark, f"{name}-ckpt")
+    ckpt = checkpoint or shared_path(spark, f"{name}-ckpt")
     w = stream_df.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode).trigger(availableNow=True)
     if foreach_batch is not None:
         q = w.foreachBatch(foreach_batch).start()
