@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from adspark.operators.quantiles import exact_quantiles
 
@@ -147,7 +146,3 @@ def feature_counts(df: DataFrame, cat_prefix: str = "cat_", num_prefix: str = "n
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
-
-
-def schema_of(df: DataFrame) -> T.StructType:
-    return df.schema
