@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import decontaminate
+from adspark.llm import decontaminate, tokenpack
 from adspark.llm.text import table
 
 QUERIES = {}
@@ -28,3 +29,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", decontaminate.n_hit().alias("n_hit"),
                         F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
                         (F.size("spans") > 0).alias("contaminated"))
+
+
+@_query("op10_token_ids")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to binary shards and read back."""
+    shards = tokenpack.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenpack.read_digests(spark, shards)
