@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import decontaminate, tokenpack
+from adspark.llm import chat, decontaminate, quality, tokenpack
 from adspark.llm.text import table
 
 QUERIES = {}
@@ -36,3 +36,83 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to binary shards and read back."""
     shards = tokenpack.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return tokenpack.read_digests(spark, shards)
+
+
+@_query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every document, with the verdict of the current policy."""
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       quality.fails("base").alias("base_failed"), (~quality.fails("v2")).alias("kept"), "failed")
+
+
+ORACLE_SQL["op5_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d
+), win AS (
+  SELECT r, i, struct_pack(a := ws[i], b := ws[i + 1], c := ws[i + 2]) AS win
+  FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM win) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM again, range(3) AS x(k) GROUP BY r
+), m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words,
+         length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_capitals
+  FROM w LEFT JOIN covered USING (r)
+), f AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+             + CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END
+             + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+             + CASE WHEN 2 * n_capitals > word_chars THEN 16 ELSE 0 END
+             + CASE WHEN word_chars < 2 * n_words OR word_chars > 30 * n_words THEN 32 ELSE 0 END)::BIGINT AS failed
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed
+FROM f
+"""
+
+
+@_query("op3_chat_format")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what its output reads back as."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
+    out = chat.format_conversations(turns.unionByName(marks)).withColumn("formatted", chat.formatted())
+    out = out.withColumn("back", chat.parsed("formatted")).withColumn("loss", chat.loss_text())
+    said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                      F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+ORACLE_SQL["op3_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, k, CASE WHEN k = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) AS x(k)
+), e AS (
+  SELECT *, role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS same,
+         length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + 5 * (length(role) - length(replace(role, chr(10), ''))) AS role_chars,
+         length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) AS text_chars
+  FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(text_chars + CASE WHEN same THEN 10 ELSE 12 + role_chars + 1 + 11 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

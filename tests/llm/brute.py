@@ -44,3 +44,21 @@ def overlaps(docs, items, window=10):
         ids = sorted(str(i) for i in got if i is not None)
         out.append((d, len(w), len(hit), len(ids), sha(",".join(ids)), bool(hit)))
     return out
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    w = words(text)
+    seen: dict[tuple, list[int]] = {}
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i:i + 3]), []).append(i)
+    covered = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def conversation(turns):
+    """turns: (role, text) in order -> (n_turns, sha, loss_chars, loss_sha)."""
+    said = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
+    loss = "".join(t or "" for r, t in turns if r == "assistant")
+    return len(turns), sha(said), len(loss), sha(loss)
