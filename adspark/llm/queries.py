@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat, decontaminate, quality, tokenpack
-from adspark.llm.text import table
+from adspark.llm import chat, decontaminate, langid, quality, tokenpack, toxicity
+from adspark.llm.text import held_out, table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -116,3 +116,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(text_chars + CASE WHEN same THEN 10 ELSE 12 + role_chars + 1 + 11 END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@_query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.train(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with the number of offending sentences."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", toxicity.predicted().alias("predicted"),
+                      F.size("sentences").cast("long").alias("n_offending"))
