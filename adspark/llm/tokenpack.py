@@ -43,87 +43,124 @@ SHARD_CHARS = 32_000_000
 MEMO_WORDS = 800_000
 
 _END = object()
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]*)")
+
+
+class _Codes(dict):
+    """Number of each word, given on first sight; ``new`` lists the words not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
 
 
 class WordEncoder:
     """Ids of texts by the tokenizers library, with a bounded memo of words.
 
     White space always separates pre-tokens of the vocabulary used, so a text's
-    ids are those of its words in turn. A word of letters and the punctuation
-    at its end are separate pre-tokens too, which keeps the memo small. ASCII
-    capitals are lowered first (the tokenizer does so itself) unless the text
-    may hold a special token's string, which is matched as it is written.
+    ids are those of its words in turn. ASCII capitals are lowered first (the
+    tokenizer does so itself) unless the text may hold a special token's
+    string, which is matched as it is written.
+
+    New words are encoded many at a time, as one text. A run of letters is one
+    pre-token, and so is the punctuation after it; each ends with the one id
+    that ends a word, which gives the words back. Words of a-z go through a
+    copy of the tokenizer without the steps that leave them as they are;
+    anything else than letters and final punctuation is encoded on its own.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end_id = end_id
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        self.ends = np.zeros(self.full.get_vocab_size(), bool)
+        for token, i in self.full.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.trailing = re.compile(r"(.*[^\W\d_])([!-/:-@\[-`{-~]+)", re.S)
-        self._reset()
-
-    def _reset(self) -> None:
-        encoder, self.pending = self, []
+        self.codes = _Codes()
+        self.codes[_END] = 0
+        self.flat, self.used = np.full(1 << 16, end_id, np.uint32), 1
+        self.offset, self.length, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.length[0] = 1
 
-        class Codes(dict):
-            def __missing__(self, word):
-                code = self[word] = len(self)
-                encoder.pending.append(word)
-                return code
-
-        self.codes = Codes({_END: 0})
-        self.flat, self.used = np.full(1 << 16, self.end_id, np.uint32), 1
-        self.offset, self.length = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
-
-    def _put(self, code: int, ids: np.ndarray) -> None:
+    def _put(self, codes: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
-            self.flat = np.r_[self.flat, self.flat]
-        while code >= len(self.offset):
-            self.offset, self.length = np.r_[self.offset, self.offset], np.r_[self.length, self.length]
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        while len(self.codes) > len(self.offset):
+            self.offset, self.length, self.hits = (np.r_[x, np.zeros_like(x)] for x in (self.offset, self.length, self.hits))
         self.flat[self.used:self.used + len(ids)] = ids
-        self.offset[code], self.length[code] = self.used, len(ids)
+        self.offset[codes] = self.used + np.cumsum(lens) - lens
+        self.length[codes] = lens
         self.used += len(ids)
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
-        out: list[np.ndarray | None] = [None] * len(words)
-        if plain:
-            # One text for all words of letters: each ends with the one id that ends a word.
-            joined = " ".join(words[i] for i in plain)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain) and cuts[-1] == len(ids):
-                for i, part in zip(plain, np.split(ids, cuts[:-1])):
-                    out[i] = part
-        rest = [i for i, x in enumerate(out) if x is None]
-        found = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, found):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
-
-    def _learn(self) -> None:
-        words = [w.decode() for w in self.pending]
-        parts = [self.trailing.fullmatch(w) if "<|" not in w else None for w in words]
-        pieces = {}
-        for w, m in zip(words, parts):
-            for x in (m.groups() if m else (w,)):
-                pieces.setdefault(x, len(pieces))
-        ids = self._encode_words(list(pieces))
-        for raw, w, m in zip(self.pending, words, parts):
-            got = [ids[pieces[x]] for x in (m.groups() if m else (w,))]
-            self._put(self.codes[raw], np.concatenate(got) if len(got) > 1 else got[0])
-        self.pending = []
+    def _together(self, tokenizer, words: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the words as one text, and the number per word; None if its pre-tokens are not as counted."""
+        found = tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(found, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        upto = np.cumsum(counts)
+        if len(ends) != upto[-1] or ends[-1] != len(ids):
+            return None
+        return ids, np.diff(ends[upto - 1], prepend=0)
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, lettered, alone = ([], [], []), ([], [], []), []
+        for w in new:
+            code = self.codes[w]
+            if m := _PLAIN.fullmatch(w):
+                to, text, n = plain, w.decode() if not m[2] else f"{m[1].decode()} {m[2].decode()}", 1 + bool(m[2])
+            else:
+                text = w.decode()
+                stem = text.rstrip(_PUNCTUATION)
+                if not (stem.isalpha() and stem.lower().isalpha()):
+                    alone.append((code, text))
+                    continue
+                to, n = lettered, 1 + (len(stem) < len(text))
+            to[0].append(code)
+            to[1].append(text)
+            to[2].append(n)
+        for tokenizer, (codes, texts, counts) in ((self.plain, plain), (self.full, lettered)):
+            if codes and (got := self._together(tokenizer, texts, counts)):
+                self._put(np.array(codes), *got)
+            else:
+                alone += [(c, t.replace(" ", "")) for c, t in zip(codes, texts)]
+        if alone:
+            each = [e.ids for e in self.full.encode_batch_fast([t for _, t in alone], add_special_tokens=False)]
+            ids = np.array([i for x in each for i in x], np.uint32)
+            self._put(np.array([c for c, _ in alone]), ids, np.array([len(x) for x in each]))
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lens = self.length[codes]
+        shift = np.repeat(self.offset[codes] - (np.cumsum(lens) - lens), lens)
+        shift += np.arange(len(shift))
+        return self.flat[shift], lens
+
+    def _forget(self) -> None:
+        """Keep the words seen more than once, while they are under half the bound; else none."""
+        kept = [w for w, c in self.codes.items() if self.hits[c] > 1 or w is _END]
+        kept = kept if len(kept) < MEMO_WORDS // 2 else [_END]
+        ids, lens = self._gather(np.array([self.codes[w] for w in kept]))
+        self.codes = _Codes()
+        self.codes.update({w: i for i, w in enumerate(kept)})
+        self.used = 0
+        self.hits[:] = 0
+        self._put(np.arange(len(kept)), ids, lens)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the end id, and the number per text."""
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.codes) > MEMO_WORDS:
-            self._reset()
+            self._forget()
         words, starts = [], []
         for t in texts:
             starts.append(len(words))
@@ -131,12 +168,13 @@ class WordEncoder:
                 words += (t if b"<|" in t else t.lower()).split()
             words.append(_END)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        if self.pending:
-            self._learn()
-        lens = self.length[codes]
-        shift = np.repeat(self.offset[codes] - np.r_[0, np.cumsum(lens)[:-1]], lens)
-        ids = self.flat[shift + np.arange(len(shift))]
-        return ids, np.add.reduceat(lens, starts) if starts else np.empty(0, np.int64)
+        if self.codes.new:
+            new, self.codes.new = self.codes.new, []
+            self._learn(new)
+        seen = np.bincount(codes)
+        self.hits[:len(seen)] += seen
+        ids, lens = self._gather(codes)
+        return ids, np.add.reduceat(lens, starts)
 
 
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
