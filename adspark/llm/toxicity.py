@@ -28,7 +28,9 @@ from adspark.llm.text import held_out, slices
 #: Bounds of the training sample: documents per class, characters of each.
 DOCS_PER_CLASS = 1500
 TRAIN_CHARS = 30_000
-MIN_DOCS = 5
+MIN_DOCS = 4
+MIN_Z = 2.5
+LASSO = 1e-5
 STEPS = 80
 MEMO_WORDS = 400_000
 
@@ -64,7 +66,7 @@ class WordWeights(dict):
 
 
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, min_docs: int = MIN_DOCS) -> Model:
-    """Maximise the noisy-or likelihood of the document labels by Adam, both classes weighing the same."""
+    """Maximise the noisy-or likelihood of the document labels by projected Adam (weights at least 0)."""
     words: dict[str, int] = {}
     token_word, token_sentence, sentence_doc = [], [], []
     for d, text in enumerate(texts):
@@ -80,34 +82,35 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, min_docs: int =
     if not len(tw) or not pairs or y.min() == y.max():
         return Model({}, -20.0 if not y.sum() else 20.0)
     f_at, w_at = np.array(pairs).T
-    # Documents with each feature; rare ones carry no weight.
-    doc_word = np.unique(sd[ts] * np.int64(len(words)) + tw)
-    order = np.argsort(w_at, kind="stable")
-    f_at, w_at = f_at[order], w_at[order]
+    # Documents of either class with each feature. Only features that toxic documents
+    # have significantly more often can raise a sentence; nothing lowers one.
+    f_at, w_at = np.array(pairs).T
     first = np.searchsorted(w_at, np.arange(len(words) + 1))
-    per = np.diff(first)[doc_word % len(words)]
-    idx = np.repeat(first[doc_word % len(words)] - np.r_[0, np.cumsum(per)[:-1]], per) + np.arange(per.sum())
-    df = np.bincount(np.unique(np.repeat(doc_word // len(words), per) * np.int64(len(names)) + f_at[idx]) % len(names), minlength=len(names))
-    keep = df >= min_docs
+    doc_word = np.unique(sd[ts] * np.int64(len(words)) + tw)
+    doc, word = doc_word // len(words), doc_word % len(words)
+    per = np.diff(first)[word]
+    at = np.repeat(first[word] - np.r_[0, np.cumsum(per)[:-1]], per) + np.arange(per.sum())
+    doc_feature = np.unique(np.repeat(doc, per) * np.int64(len(names)) + f_at[at])
+    df = np.bincount(doc_feature % len(names), y[doc_feature // len(names)], len(names))
+    clean = np.bincount(doc_feature % len(names), 1 - y[doc_feature // len(names)], len(names)) * (y.sum() / (1 - y).sum())
+    keep = (df >= min_docs) & (df - clean >= MIN_Z * np.sqrt(df + clean))
     f_at, w_at = f_at[keep[f_at]], w_at[keep[f_at]]
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    theta, bias, m, v = np.zeros(len(names)), -6.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    share = 1.0 / n_docs
+    theta, bias, m, v = np.where(keep, 1.0, 0.0), -6.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1):
         weight = np.bincount(w_at, theta[f_at], len(words))
         z = np.clip(np.bincount(ts, weight[tw], n_sent) + bias, -30, 30)
-        p = 1 / (1 + np.exp(-z))
         none = np.bincount(sd, np.log1p(np.exp(z)), n_docs)
-        hit = np.maximum(-np.expm1(-none), 1e-12)
-        pull = np.where(y == 1, -np.exp(-none) / hit, 1.0) * share
-        g = pull[sd] * p
+        # d(-log likelihood)/dz = p for a clean document, -p (1 - P) / P for a toxic one.
+        pull = np.where(y == 1, -np.exp(-none) / np.maximum(-np.expm1(-none), 1e-12), 1.0) * share
+        g = pull[sd] / (1 + np.exp(-z))
         gw = np.bincount(tw, g[ts], len(words))
-        grad = np.r_[np.bincount(f_at, gw[w_at], len(names)) + 1e-6 * theta, g.sum()]
+        grad = np.r_[np.bincount(f_at, gw[w_at], len(names)) + LASSO, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        theta -= move[:-1]
+        theta = np.maximum(theta - move[:-1], 0) * keep
         bias -= float(move[-1])
-    weights = {f: float(theta[i]) for f, i in names.items() if keep[i] and abs(theta[i]) > 1e-3}
-    return Model(weights, float(bias))
+    return Model({f: float(theta[i]) for f, i in names.items() if theta[i] > 1e-3}, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, chars: int = TRAIN_CHARS) -> Model:
