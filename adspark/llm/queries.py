@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat, decontaminate, langid, quality, tokenpack, toxicity
+from adspark.llm import chat, decontaminate, langid, quality, simhash, tokenpack, toxicity
 from adspark.llm.text import held_out, table
 
 QUERIES = {}
@@ -133,3 +133,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", toxicity.predicted().alias("predicted"),
                       F.size("sentences").cast("long").alias("n_offending"))
+
+
+@_query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and class of every document."""
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

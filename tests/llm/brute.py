@@ -62,3 +62,29 @@ def conversation(turns):
     said = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
     loss = "".join(t or "" for r, t in turns if r == "assistant")
     return len(turns), sha(said), len(loss), sha(loss)
+
+
+def simhash(text, shingle=3):
+    import xxhash
+
+    w = words(lower(text))
+    parts = [" ".join(w[i:i + shingle]) for i in range(len(w) - shingle + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def classes(fps, bits=3):
+    """Root index of each fingerprint over all pairs within ``bits``."""
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= bits:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(fps))]
