@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat, decontaminate, langid, quality, simhash, tokenpack, toxicity
+from adspark.llm import chat, decontaminate, langid, mixing, quality, simhash, tokenpack, toxicity
 from adspark.llm.text import held_out, table
 
 QUERIES = {}
@@ -140,3 +140,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and class of every document."""
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query("op1_mix_sources")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's target."""
+    plan = mixing.mix(table(spark, sf_dir, "documents"))
+    keys = ["doc_id", "source", "text_hash"]
+    epochs = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("epoch")))
+    drawn = plan.draws.groupBy(*keys).agg(F.bit_count(epochs).alias("copies"))
+    drawn = drawn.select(*[F.col(k).alias(f"d_{k}") for k in keys], "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & F.col("source").eqNullSafe(F.col("d_source")) & (F.col("text_hash") == F.col("d_text_hash"))
+    sources = F.broadcast(plan.sources.withColumnRenamed("source", "s_source"))  # one row per source
+    return (plan.sizes.join(drawn, same, "left").join(sources, F.col("source").eqNullSafe(F.col("s_source")))
+            .select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken")))

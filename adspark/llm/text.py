@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from adspark.session import shared_path
 
+SPACE = r"[\x20\x09-\x0D]"
 SLICE_BYTES = 2 << 20
 MEMO_WORDS = 400_000
 
@@ -33,6 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def n_words(text="text") -> Column:
+    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text (null: 0)."""
+    return F.coalesce(F.size(F.array_remove(F.split(text, SPACE + "+"), "")), F.lit(0)).cast("long")
+
+
 def held_out(doc_id="doc_id") -> Column:
     """Rows never learned from: crc32 of the doc_id as text is divisible by 5 (null ids: false)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
