@@ -88,3 +88,44 @@ def classes(fps, bits=3):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [find(i) for i in range(len(fps))]
+
+
+def substring(docs, window=50):
+    """rows (id, text) -> (id, n_words, n_removed, kept sha)."""
+    first: dict[tuple, int] = {}
+    lists = [words(t) for _, t in docs]
+    for (d, _), w in zip(docs, lists):
+        if d is not None:
+            for p in range(len(w) - window + 1):
+                k = tuple(w[p:p + window])
+                first[k] = min(first.get(k, d), d)
+    out = []
+    for (d, _), w in zip(docs, lists):
+        gone = set()
+        if d is not None:
+            for p in range(len(w) - window + 1):
+                if first[tuple(w[p:p + window])] < d:
+                    gone.update(range(p, p + window))
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        out.append((d, len(w), len(gone), sha(" ".join(kept))))
+    return out
+
+
+_BASE = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+         "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
+
+
+def _passes(kind, s):
+    digits = [int(c) for c in s if c in "0123456789"]
+    if kind == "ip":
+        return all(int(x) <= 255 for x in s.split("."))
+    if kind == "card":
+        odd = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits[::-1])]
+        return 14 <= len(digits) <= 19 and sum(odd) % 10 == 0
+    return kind == "email" or 10 <= len(digits) <= 15
+
+
+def entities(text):
+    """(kind, start, end) in order, by the plain patterns."""
+    found = [(m.start(), i, m.end(), k) for i, (k, p) in enumerate(_BASE.items()) for m in p.finditer(text or "") if _passes(k, m[0])]
+    return [(k, a, b) for a, _, b, k in sorted(found)]
