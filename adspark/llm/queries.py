@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat, decontaminate, langid, mixing, quality, simhash, tokenpack, toxicity
+from adspark.llm import chat, decontaminate, langid, mixing, pii, quality, simhash, substring, tokenpack, toxicity
 from adspark.llm.text import held_out, table
 
 QUERIES = {}
@@ -154,3 +154,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = F.broadcast(plan.sources.withColumnRenamed("source", "s_source"))  # one row per source
     return (plan.sizes.join(drawn, same, "left").join(sources, F.col("source").eqNullSafe(F.col("s_source")))
             .select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken")))
+
+
+@_query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left after exact substring dedup."""
+    out = substring.dedup(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.extract(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"),
+                        pii.joined(F.concat("base", "added")).alias("spans"))

@@ -36,7 +36,7 @@ def test_edges(spark):
     docs = [(3, "A<|endoftext|>b <|ENDOFTEXT|> it's. ÉÀ!! é ́x Ⅷ İi ΟΣ ος ½ 123,45 ... a\x0bb\x0cc d e", 1), (None, "null id", 0),
             (1, None, 2), (2, "", 3), (7, "word, " * 60_000 + "end", None), (5, "same", 1), (5, "same", 1), (-4, "\U0001F600 ﬁ Å K a'll's 'S", 0)]
     df = spark.createDataFrame(docs, "doc_id long, text string, ids int")
-    shards = tokenpack.write_shards(df, PATH, shard_chars=2000, block_ids=100)
+    shards = tokenpack.write_shards(df, PATH, range_docs=3, shard_ids=50, block_ids=100)
     assert len(shards) > 1
     got = tokenpack.read_shards(spark, shards).orderBy("start").collect()
     order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -68,6 +68,9 @@ def test_random_access():
     class Out(bytearray):
         write = bytearray.extend
 
+        def close(self):
+            pass
+
     out = Out()
     w = tokenpack.ShardWriter(out, 16, 90.0)
     ids = np.arange(1000, dtype=np.uint32) * 37 % 5000
