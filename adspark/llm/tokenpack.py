@@ -39,12 +39,15 @@ MAGIC = b"TPF1"
 BLOCK_IDS = 4096
 PERCENTILE = 98.0
 END_ID = 1
-SHARD_CHARS = 32_000_000
+#: Documents per range of doc_ids, and ids after which a range goes on in a further shard.
+RANGE_DOCS = 1 << 13
+SHARD_IDS = 1 << 23
 MEMO_WORDS = 800_000
 
 _END = object()
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]*)")
+_SIGNS = re.compile(rb"[!-/:-@\[-`{-~]+")
 
 
 class _Codes(dict):
@@ -68,11 +71,11 @@ class WordEncoder:
     tokenizer does so itself) unless the text may hold a special token's
     string, which is matched as it is written.
 
-    New words are encoded many at a time, as one text. A run of letters is one
-    pre-token, and so is the punctuation after it; each ends with the one id
-    that ends a word, which gives the words back. Words of a-z go through a
-    copy of the tokenizer without the steps that leave them as they are;
-    anything else than letters and final punctuation is encoded on its own.
+    A run of letters is one pre-token, and so is the punctuation after it, so
+    the memo holds stems and punctuation. New ones are encoded many at a time,
+    as one text: each ends with the one id that ends a word, which gives the
+    words back. Those of ASCII go through a copy of the tokenizer without the
+    steps that leave them as they are. Any other word is encoded on its own.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -102,41 +105,52 @@ class WordEncoder:
         self.length[codes] = lens
         self.used += len(ids)
 
-    def _together(self, tokenizer, words: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of the words as one text, and the number per word; None if its pre-tokens are not as counted."""
-        found = tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-        ids = np.array(found, np.uint32)
+    def _together(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the words as one text, and the number per word; None if they are not one pre-token each."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        upto = np.cumsum(counts)
-        if len(ends) != upto[-1] or ends[-1] != len(ids):
-            return None
-        return ids, np.diff(ends[upto - 1], prepend=0)
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) and ends[-1] == len(ids) else None
 
     def _learn(self, new: list[bytes]) -> None:
-        plain, lettered, alone = ([], [], []), ([], [], []), []
-        for w in new:
-            code = self.codes[w]
+        """Encode new words; one with final punctuation is its stem, encoded once, and that punctuation."""
+        plain, lettered, alone, pairs, known = ([], []), ([], []), ([], []), ([], [], []), self.codes
+        for w in new:  # grows by the stems and punctuation met
+            code = known[w]
             if m := _PLAIN.fullmatch(w):
-                to, text, n = plain, w.decode() if not m[2] else f"{m[1].decode()} {m[2].decode()}", 1 + bool(m[2])
+                if m[2]:
+                    to, text = pairs, m
+                else:
+                    to, text = plain, w.decode()
+            elif _SIGNS.fullmatch(w):
+                to, text = plain, w.decode()
             else:
                 text = w.decode()
                 stem = text.rstrip(_PUNCTUATION)
-                if not (stem.isalpha() and stem.lower().isalpha()):
-                    alone.append((code, text))
-                    continue
-                to, n = lettered, 1 + (len(stem) < len(text))
+                to = lettered if stem.isalpha() and stem.lower().isalpha() else alone
+                if to is lettered and len(stem) < len(text):
+                    cut = len(w) - (len(text) - len(stem))
+                    to, text = pairs, (w, w[:cut], w[cut:])
             to[0].append(code)
-            to[1].append(text)
-            to[2].append(n)
-        for tokenizer, (codes, texts, counts) in ((self.plain, plain), (self.full, lettered)):
-            if codes and (got := self._together(tokenizer, texts, counts)):
+            if to is pairs:
+                pairs[1].append(known[text[1]])
+                pairs[2].append(known[text[2]])
+                if known.new:
+                    new += known.new
+                    known.new = []
+            else:
+                to[1].append(text)
+        for tokenizer, (codes, texts) in ((self.plain, plain), (self.full, lettered)):
+            if codes and (got := self._together(tokenizer, texts)):
                 self._put(np.array(codes), *got)
             else:
-                alone += [(c, t.replace(" ", "")) for c, t in zip(codes, texts)]
-        if alone:
-            each = [e.ids for e in self.full.encode_batch_fast([t for _, t in alone], add_special_tokens=False)]
-            ids = np.array([i for x in each for i in x], np.uint32)
-            self._put(np.array([c for c, _ in alone]), ids, np.array([len(x) for x in each]))
+                alone[0].extend(codes)
+                alone[1].extend(texts)
+        if alone[0]:
+            each = [e.ids for e in self.full.encode_batch_fast(alone[1], add_special_tokens=False)]
+            self._put(np.array(alone[0]), np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each]))
+        if pairs[0]:
+            ids, lens = self._gather(np.array(pairs[1:]).T.ravel())
+            self._put(np.array(pairs[0]), ids, lens.reshape(-1, 2).sum(axis=1))
 
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lens = self.length[codes]
@@ -184,7 +198,8 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     cut = int(np.partition(rest, k := min(len(rest) - 1, int(len(rest) * percentile / 100)))[k])
     width = cut.bit_length()
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little") if width else np.empty(0, np.uint8)
+    size = 2 if width <= 16 else 4
+    bits = np.unpackbits(rest.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, count=width, bitorder="little") if width else np.empty(0, np.uint8)
     return (struct.pack("<IIBH", len(ids), base, width, len(over)) + np.packbits(bits.ravel(), bitorder="little").tobytes()
             + over.astype("<u2").tobytes() + (rest[over] >> np.uint32(width)).astype("<u4").tobytes())
 
@@ -196,9 +211,9 @@ def unpack_block(data, at: int) -> np.ndarray:
     size = -(-n * width // 8)
     rest = np.zeros(n, "<u4")
     if width:
-        wide = np.zeros((n, 32), np.uint8)
+        wide = np.zeros((n, 16 if width <= 16 else 32), np.uint8)
         wide[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-        rest = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().copy()
+        rest = np.packbits(wide.ravel(), bitorder="little").view("<u2" if width <= 16 else "<u4").astype("<u4")
     at += size
     over = np.frombuffer(data, "<u2", n_over, at)
     rest[over] |= np.frombuffer(data, "<u4", n_over, at + 2 * n_over) << np.uint32(width)
@@ -232,7 +247,8 @@ class ShardWriter:
             self._block(ids[i:i + self.block_ids])
         self.held = ids[full:].copy()
 
-    def close(self) -> None:
+    def close(self, number: int = 0, part: int = 0, path: str = "") -> pa.RecordBatch:
+        """Write the rest, the index and the footer; returns the shard's entry."""
         if len(self.held):
             self._block(self.held)
         index = self.at
@@ -241,6 +257,8 @@ class ShardWriter:
         self._write(np.array([d is None for d in self.doc_ids], np.uint8).tobytes())
         self._write(np.concatenate([np.empty(0), *self.lens]).astype("<u8").tobytes())
         self._write(struct.pack("<QQQQ", len(self.blocks), len(self.doc_ids), self.n_ids, index) + MAGIC)
+        self.out.close()
+        return pa.RecordBatch.from_pydict({"number": [number], "part": [part], "path": [path], "n_docs": [len(self.doc_ids)], "n_ids": [self.n_ids]})
 
 
 class Shard:
@@ -287,7 +305,8 @@ def _local(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folder: str | None = None,
-                 block_ids: int = BLOCK_IDS, percentile: float = PERCENTILE, shard_chars: int = SHARD_CHARS) -> list[dict]:
+                 block_ids: int = BLOCK_IDS, percentile: float = PERCENTILE, range_docs: int = RANGE_DOCS,
+                 shard_ids: int = SHARD_IDS) -> list[dict]:
     """Encode whole texts and write them in ascending doc_id order.
 
     Returns one entry per shard in that order: path, n_docs, n_ids, first (the
@@ -296,34 +315,34 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, fol
 
     A null text is empty: it has the end id alone. A null doc_id sorts first;
     rows that share a doc_id are ordered by a hash of their text, repeated rows
-    are all written. An empty table has no shards. Other columns are ignored.
+    are all written. A shard ends with the document that brings it to
+    ``shard_ids``. An empty table has no shards. Other columns are ignored.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "token-shards")
     fs, path = _local(folder)
     fs.create_dir(path, recursive=True)
     docs = docs.select(F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    chars = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0))).first()[0]
-    ordered = (docs.repartitionByRange(max(1, -(-chars // shard_chars)), "doc_id", F.xxhash64("text"))
-               .sortWithinPartitions("doc_id", F.xxhash64("text")))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(max(1, -(-docs.count() // range_docs)), *order).sortWithinPartitions(*order)
 
     def run(batches):
-        encoder, writer, out = WordEncoder(tokenizer_path, end_id), None, None
+        encoder, writer, part = WordEncoder(tokenizer_path, end_id), None, 0
         number = TaskContext.get().partitionId()
-        to, where = _local(f"{folder}/shard-{number:06d}-{uuid.uuid4().hex}.tpf")
+        to, _ = _local(folder)
         for batch, texts in slices(batches):
             if writer is None:
-                out = to.open_output_stream(where)
-                writer = ShardWriter(out, block_ids, percentile)
+                name = f"shard-{number:06d}-{part:03d}-{uuid.uuid4().hex}.tpf"
+                writer = ShardWriter(to.open_output_stream(_local(f"{folder}/{name}")[1]), block_ids, percentile)
             writer.add(batch.column(1).to_pylist(), *encoder.encode(texts))
+            if writer.n_ids >= shard_ids:
+                yield writer.close(number, part, f"{folder}/{name}")
+                writer, part = None, part + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"number": [number], "path": [f"{folder}/{where.rpartition('/')[2]}"],
-                                              "n_docs": [len(writer.doc_ids)], "n_ids": [writer.n_ids]})
+            yield writer.close(number, part, f"{folder}/{name}")
 
     shards, first = [], 0
-    for r in sorted(ordered.mapInArrow(run, "number long, path string, n_docs long, n_ids long").collect()):
+    for r in sorted(ordered.mapInArrow(run, "number long, part long, path string, n_docs long, n_ids long").collect()):
         shards.append({"path": r.path, "n_docs": r.n_docs, "n_ids": r.n_ids, "first": first})
         first += r.n_ids
     return shards
