@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from adspark.llm.text import held_out, slices
 DOCS_PER_CLASS = 1500
 TRAIN_CHARS = 30_000
 MIN_DOCS = 4
+DIMENSIONS = 1 << 21
 MIN_Z = 2.5
 LASSO = 1e-5
 STEPS = 80
@@ -38,15 +41,17 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def features(word: str) -> set[str]:
-    """A lower-cased word's features: itself and its 4- and 5-grams, with its ends marked."""
-    w = f"^{word.strip(_EDGE)}$"
-    return {w, *(w[i:i + n] for n in (4, 5) for i in range(len(w) - n + 1))} if len(w) > 2 else set()
+def features(word: str) -> set[int]:
+    """Hashes of a lower-cased word's features: itself and its 4- and 5-grams of bytes, its ends marked."""
+    w = f"^{word.strip(_EDGE)}$".encode()
+    if len(w) < 3:
+        return set()
+    return {crc32(w) % DIMENSIONS, *(crc32(w[i:i + n]) % DIMENSIONS for n in (4, 5) for i in range(len(w) - n + 1))}
 
 
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
 
 
@@ -68,7 +73,7 @@ class WordWeights(dict):
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, min_docs: int = MIN_DOCS) -> Model:
     """Maximise the noisy-or likelihood of the document labels by projected Adam (weights at least 0)."""
     words: dict[str, int] = {}
-    token_word, token_sentence, sentence_doc = [], [], []
+    token_word, token_sentence, sentence_doc = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for m in _SENTENCE.finditer(text):
             for w in m[0].lower().split():
@@ -76,27 +81,34 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, min_docs: int =
                 token_sentence.append(len(sentence_doc))
             sentence_doc.append(d)
     y, n_docs, n_sent = np.array(labels, float), len(texts), len(sentence_doc)
-    tw, ts, sd = np.array(token_word, np.int64), np.array(token_sentence, np.int64), np.array(sentence_doc, np.int64)
-    names: dict[str, int] = {}
-    pairs = [(names.setdefault(f, len(names)), i) for w, i in words.items() for f in sorted(features(w))]
-    if not len(tw) or not pairs or y.min() == y.max():
-        return Model({}, -20.0 if not y.sum() else 20.0)
-    f_at, w_at = np.array(pairs).T
-    # Documents of either class with each feature. Only features that toxic documents
-    # have significantly more often can raise a sentence; nothing lowers one.
-    f_at, w_at = np.array(pairs).T
-    first = np.searchsorted(w_at, np.arange(len(words) + 1))
-    doc_word = np.unique(sd[ts] * np.int64(len(words)) + tw)
-    doc, word = doc_word // len(words), doc_word % len(words)
-    per = np.diff(first)[word]
-    at = np.repeat(first[word] - np.r_[0, np.cumsum(per)[:-1]], per) + np.arange(per.sum())
-    doc_feature = np.unique(np.repeat(doc, per) * np.int64(len(names)) + f_at[at])
-    df = np.bincount(doc_feature % len(names), y[doc_feature // len(names)], len(names))
-    clean = np.bincount(doc_feature % len(names), 1 - y[doc_feature // len(names)], len(names)) * (y.sum() / (1 - y).sum())
+    tw, ts, sd = (np.array(x, np.int32) for x in (token_word, token_sentence, sentence_doc))
+    if not len(tw) or y.min() == y.max():
+        return Model({}, 20.0 if n_docs and y.min() else -20.0)
+    f_at, per_word = array("i"), array("i")
+    for w in words:
+        own = sorted(features(w))
+        f_at.extend(own)
+        per_word.append(len(own))
+    f_at, per_word = np.array(f_at, np.int32), np.array(per_word, np.int64)
+    w_at, first = np.repeat(np.arange(len(words), dtype=np.int32), per_word), np.cumsum(per_word) - per_word
+    # Documents of either class with each feature, some documents at a time. Only features that
+    # toxic documents have significantly more often can raise a sentence; nothing lowers one.
+    df, clean, names = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), np.int64(DIMENSIONS)
+    upto = np.searchsorted(sd[ts], np.arange(0, n_docs + 100, 100))
+    for a, b in zip(upto, upto[1:]):
+        pairs = np.unique(sd[ts[a:b]].astype(np.int64) * len(words) + tw[a:b])
+        doc, word = np.divmod(pairs, len(words))
+        per = per_word[word]
+        at = np.repeat(first[word] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+        doc, feature = np.divmod(np.unique(np.repeat(doc, per) * names + f_at[at]), names)
+        df += np.bincount(feature, y[doc], DIMENSIONS)
+        clean += np.bincount(feature, 1 - y[doc], DIMENSIONS)
+    clean *= y.sum() / (1 - y).sum()
     keep = (df >= min_docs) & (df - clean >= MIN_Z * np.sqrt(df + clean))
-    f_at, w_at = f_at[keep[f_at]], w_at[keep[f_at]]
+    ids = np.flatnonzero(keep)
+    f_at, w_at = np.searchsorted(ids, f_at[keep[f_at]]), w_at[keep[f_at]]
     share = 1.0 / n_docs
-    theta, bias, m, v = np.where(keep, 1.0, 0.0), -6.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    theta, bias, m, v = np.ones(len(ids)), -6.0, np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     for step in range(1, steps + 1):
         weight = np.bincount(w_at, theta[f_at], len(words))
         z = np.clip(np.bincount(ts, weight[tw], n_sent) + bias, -30, 30)
@@ -105,12 +117,12 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, min_docs: int =
         pull = np.where(y == 1, -np.exp(-none) / np.maximum(-np.expm1(-none), 1e-12), 1.0) * share
         g = pull[sd] / (1 + np.exp(-z))
         gw = np.bincount(tw, g[ts], len(words))
-        grad = np.r_[np.bincount(f_at, gw[w_at], len(names)) + LASSO, g.sum()]
+        grad = np.r_[np.bincount(f_at, gw[w_at], len(ids)) + LASSO, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        theta = np.maximum(theta - move[:-1], 0) * keep
+        theta = np.maximum(theta - move[:-1], 0)
         bias -= float(move[-1])
-    return Model({f: float(theta[i]) for f, i in names.items() if theta[i] > 1e-3}, float(bias))
+    return Model({int(i): float(x) for i, x in zip(ids, theta) if x > 1e-3}, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, chars: int = TRAIN_CHARS) -> Model:
