@@ -85,17 +85,16 @@ def label_by_time_key(imp: DataFrame, conv: DataFrame) -> DataFrame:
     c = first_conversions(conv.withColumn("_cday", F.to_date("conv_dttm_utc")), [*CONV_KEYS, "_cday"])
     cond = _key_cond(i, c) & (i["_day"] == c["_cday"])
     joined = i.join(c, cond, "left").drop("_day", "_cday")
-    return _finish(joined, list(CONV_KEYS))
+    return _finish(joined, list(CONV_KEYS)).withColumn("n_conversions", F.coalesce(F.col("n_conversions"), F.lit(0)))
 
 
 def device_type_lookup(df: DataFrame, lookup: DataFrame, code_col: str = "device_type",
                        out_col: str = "device_type_full", max_rows: int = 10_000) -> DataFrame:
-    """Left join to the (small, size-checked) device-type dimension, broadcast."""
-    n = lookup.count()
-    if n > max_rows:
-        raise ValueError(f"device lookup has {n} rows > {max_rows}; refusing to broadcast")
+    """Left join to the device-type dimension (J4); broadcast when it has at most ``max_rows`` rows."""
     lk = lookup.select(F.col("short").alias("_short"), F.col("full_name").alias(out_col))
-    return df.join(F.broadcast(lk), df[code_col] == lk["_short"], "left").drop("_short")
+    if lookup.limit(max_rows + 1).count() <= max_rows:
+        lk = F.broadcast(lk)
+    return df.join(lk, df[code_col] == lk["_short"], "left").drop("_short")
 
 
 def conversion_latency(imp: DataFrame, conv: DataFrame, block_seconds: int = 3600) -> DataFrame:
@@ -105,9 +104,11 @@ def conversion_latency(imp: DataFrame, conv: DataFrame, block_seconds: int = 360
     into time blocks. Inside a block a descending running minimum gives the
     next conversion; a small window over per-block minima gives the first
     conversion in any later block. A hot key is spread over its time blocks.
-    Impressions with no later conversion are left out.
+    Impressions with no later conversion are left out; rows without a campaign
+    or user match nothing.
     """
     key = ["campaign_id", "unique_id"]
+    imp = imp.where(F.col("campaign_id").isNotNull() & F.col("unique_id").isNotNull())
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     stack = (imp.select(*key, "event_id", F.col("dttm_utc").alias("ts"), "device_type",
                         F.lit(0).alias("kind"))

@@ -37,7 +37,7 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label", n_blocks:
     t = _by_score(df, score, label, n_blocks)
     return t.agg(
         (F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0))
-         / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+         / (F.sum("pos").cast("double") * F.sum("neg"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label",

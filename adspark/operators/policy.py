@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.operators.quantiles import exact_quantiles
@@ -31,38 +31,59 @@ def policy_comparison(logs: DataFrame) -> DataFrame:
                         .otherwise(F.col("spend") / F.col("expected_conversions"))))
 
 
-def marginal_cpa(logs: DataFrame, baseline: str, time_col: str = "day") -> DataFrame:
-    """Delta spend / delta expected conversions against a baseline policy, per period (L2).
+def _per_period(logs: DataFrame, time_col: str) -> DataFrame:
+    """Spend and expected conversions of every policy in every period that any policy has.
 
-    Per (policy, period) totals are a small table; the self-join to the
-    baseline is on the period key.
+    The grid is policies x periods, a small table made from the totals; a
+    policy without a row in a period spent nothing in it.
     """
     per = (logs.groupBy("policy", time_col)
            .agg(F.sum(_won(F.col("market_price"))).alias("spend"),
                 F.sum(_won(F.col("pconv"))).alias("conv")))
-    base = per.where(F.col("policy") == baseline).select(time_col, F.col("spend").alias("b_spend"),
-                                                         F.col("conv").alias("b_conv"))
-    j = per.where(F.col("policy") != baseline).join(base, time_col, "left")
-    d_conv = F.col("conv") - F.coalesce(F.col("b_conv"), F.lit(0.0))
-    d_spend = F.col("spend") - F.coalesce(F.col("b_spend"), F.lit(0.0))
-    return j.select("policy", time_col, d_spend.alias("delta_spend"), d_conv.alias("delta_conv"),
-                    F.when(d_conv == 0, F.lit(None)).otherwise(d_spend / d_conv).alias("marginal_cpa"))
+    periods = per.agg(F.collect_set(time_col).alias("_p"))
+    grid = per.select("policy").distinct().join(F.broadcast(periods)).select("policy", F.explode("_p").alias(time_col))
+    return grid.join(per, ["policy", time_col], "left").fillna(0.0, ["spend", "conv"])
+
+
+def _marginal(rows: DataFrame, time_col: str, spend0: str, conv0: str) -> DataFrame:
+    d_conv, d_spend = F.col("conv") - F.col(conv0), F.col("spend") - F.col(spend0)
+    return rows.select("policy", time_col, d_spend.alias("delta_spend"), d_conv.alias("delta_conv"),
+                       F.when(d_conv == 0, F.lit(None)).otherwise(d_spend / d_conv).alias("marginal_cpa"))
+
+
+def marginal_cpa(logs: DataFrame, baseline: str, time_col: str = "day") -> DataFrame:
+    """Delta spend / delta expected conversions against a baseline policy, per period (L2).
+
+    Every period that any policy has gets a row per policy: one in which only
+    the baseline spent counts as a saving.
+    """
+    per = _per_period(logs, time_col)
+    base = per.where(F.col("policy") == baseline).select(time_col, F.col("spend").alias("_s0"), F.col("conv").alias("_c0"))
+    return _marginal(per.where(F.col("policy") != baseline).join(base, time_col), time_col, "_s0", "_c0")
+
+
+def marginal_cpa_window(logs: DataFrame, time_col: str = "day") -> DataFrame:
+    """Delta spend / delta expected conversions of each policy from one period to the next (L2, tumbling windows)."""
+    w = Window.partitionBy("policy").orderBy(time_col)
+    per = (_per_period(logs, time_col).withColumn("_s0", F.lag("spend").over(w)).withColumn("_c0", F.lag("conv").over(w))
+           .where(F.col("_s0").isNotNull()))
+    return _marginal(per, time_col, "_s0", "_c0")
 
 
 def pacing_error(log: DataFrame, budgets: DataFrame, n_periods: int, time_col: str = "day") -> DataFrame:
     """|actual cumulative spend - planned| / planned per campaign and period.
 
     Planned spend is budget * (period index + 1) / n_periods (a linear plan,
-    our definition). Periods are 0-based integers.
+    our definition). Periods are 0-based integers. Every campaign has a row in
+    every period: one that never spent has error 1.
     """
-    per = (log.groupBy("campaign_id", time_col).agg(F.sum(_won(F.col("market_price"))).alias("spend")))
-    from pyspark.sql import Window
+    per = log.groupBy("campaign_id", time_col).agg(F.sum(_won(F.col("market_price"))).alias("spend"))
+    grid = budgets.select("campaign_id", "budget", F.explode(F.sequence(F.lit(0), F.lit(int(n_periods) - 1))).alias(time_col))
     w = Window.partitionBy("campaign_id").orderBy(time_col).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.withColumn("cum_spend", F.sum("spend").over(w))
-    j = cum.join(F.broadcast(budgets.select("campaign_id", "budget")), "campaign_id")
+    cum = grid.join(per, ["campaign_id", time_col], "left").fillna(0.0, ["spend"]).withColumn("cum_spend", F.sum("spend").over(w))
     planned = F.col("budget") * (F.col(time_col) + 1) / F.lit(float(n_periods))
-    return j.select("campaign_id", time_col, "cum_spend", planned.alias("planned"),
-                    (F.abs(F.col("cum_spend") - planned) / planned).alias("pacing_error"))
+    return cum.select("campaign_id", time_col, "cum_spend", planned.alias("planned"),
+                      (F.abs(F.col("cum_spend") - planned) / planned).alias("pacing_error"))
 
 
 def auction_summary(log: DataFrame) -> DataFrame:

@@ -114,8 +114,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, lo: float, hi: float, n_bins: int) -> DataFrame:
-    """Equal-width histogram; values outside [lo, hi] go to bins 0 and n_bins+1."""
+    """Equal-width histogram of [lo, hi], hi in the last bin; values outside go to bins 0 and n_bins+1."""
     b = F.expr(f"width_bucket(CAST({column} AS DOUBLE), CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE), {n_bins})")
+    b = F.when(F.col(column) == hi, F.lit(n_bins)).otherwise(b)
     return (df.where(F.col(column).isNotNull()).select(b.cast("bigint").alias("bin"))
             .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
 

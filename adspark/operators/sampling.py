@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adspark.functions.hashing import u
@@ -56,33 +56,45 @@ def sample_per_group(df: DataFrame, n: int, by: str = "campaign_id", key: str =
 
 
 def ratio_sample(df: DataFrame, k: float = 1.0, label: str = "conversion_flag", key: str = "event_id",
-                 seed: int = 5, replace: bool = False, max_copies: int = 64) -> DataFrame:
-    """Keep all positives and about ``k`` negatives per positive.
+                 seed: int = 5, replace: bool = False) -> DataFrame:
+    """One positive for every ``k`` negatives, about.
 
-    Without replacement: Bernoulli(min(1, kP/N)) on negatives. With
-    replacement: Poisson(kP/N) copies per negative by inverse CDF on the
-    keyed uniform, expanded with ``explode(sequence)``; the expected size is
-    kept, not an exact one.
+    Without replacement: all positives, and Bernoulli(min(1, kP/N)) on the
+    negatives; when k P > N there are simply fewer than k negatives each.
+
+    With replacement: both classes are resampled with weights 1 and 1/k to the
+    table's own expected size, so a row of weight w gets Poisson(n w / sum w)
+    copies (``copy_id``). Any rate works: it is cut into draws of at most
+    ``POISSON_RATE`` each, with a keyed uniform and the inverse CDF for each.
     """
     counts = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).first()
     p, n = counts["p"], counts["n"]
-    rate = (k * p / n) if n else 0.0
-    draw = u(f"ratio{seed}", F.col(key))
     pos = F.col(label) == 1
     if not replace:
-        return df.where(pos | (draw < F.lit(min(1.0, rate))))
-    # Poisson CDF thresholds: copies = #{m >= 0 : draw >= CDF(m)}.
-    cdf, term, acc = [], math.exp(-rate), 0.0
-    for m in range(max_copies):
+        rate = (k * p / n) if n else 0.0
+        return df.where(pos | (u(f"ratio{seed}", F.col(key)) < F.lit(min(1.0, rate))))
+    unit = (p + n) / (p + n / k) if p + n else 0.0
+    copies = F.when(pos, _poisson(unit, f"ratio{seed}", key)).otherwise(_poisson(unit / k, f"ratio{seed}", key))
+    return (df.withColumn("_copies", copies).where(F.col("_copies") > 0)
+            .withColumn("copy_id", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies"))
+
+
+POISSON_RATE = 16.0
+
+
+def _poisson(rate: float, salt: str, key: str) -> Column:
+    """Poisson(rate) copies from the uniforms u(salt, key, 1), u(salt, key, 2), ..."""
+    draws = max(1, math.ceil(rate / POISSON_RATE))
+    part = rate / draws
+    cdf, term, acc, m = [], math.exp(-part), 0.0, 0
+    while acc < 1.0 - 1e-15 and m < 200:
         acc += term
         cdf.append(acc)
-        term *= rate / (m + 1)
-        if acc >= 1.0 - 1e-15:
-            break
-    copies = sum((draw >= F.lit(c)).cast("int") for c in cdf)
-    neg = (df.where(~pos).withColumn("_copies", copies).where(F.col("_copies") > 0)
-           .withColumn("copy_id", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies"))
-    return df.where(pos).withColumn("copy_id", F.lit(1)).unionByName(neg)
+        m += 1
+        term *= part / m
+    uniforms = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: u(salt, F.col(key), i))
+    steps = F.array(*map(F.lit, cdf))
+    return F.aggregate(uniforms, F.lit(0), lambda t, x: t + F.size(F.filter(steps, lambda c: x >= c)))
 
 
 def shuffled_order(df: DataFrame, key: str = "event_id", seed: int = 3, out: str = "imp_id",

@@ -183,7 +183,7 @@ FROM imp i LEFT JOIN (
 
 q("label_by_time_key", """
 SELECT i.event_id, c.conv_event_id, CAST(c.conv_dttm_utc IS NOT NULL AS TINYINT) AS conversion_flag,
-       c.n AS n_conversions
+       coalesce(c.n, 0) AS n_conversions
 FROM imp i LEFT JOIN (
   SELECT * FROM (SELECT *, CAST(conv_dttm_utc AS DATE) AS d,
                            row_number() OVER (PARTITION BY imp_click_campaign_id, imp_click_unique_id, CAST(conv_dttm_utc AS DATE)
@@ -281,7 +281,7 @@ q("value_counts", "SELECT cnxn_type, count(*) AS n FROM imp GROUP BY cnxn_type")
 
 q("histogram", """
 SELECT bin, count(*) AS n FROM (
-  SELECT CAST(CASE WHEN value < 0.0 THEN 0 WHEN value >= 100.0 THEN 21
+  SELECT CAST(CASE WHEN value < 0.0 THEN 0 WHEN value > 100.0 THEN 21 WHEN value = 100.0 THEN 20
                    ELSE floor(20 * (value - 0.0) / (100.0 - 0.0)) + 1 END AS BIGINT) AS bin
   FROM imp WHERE value IS NOT NULL) GROUP BY bin""")
 
@@ -323,17 +323,16 @@ rate AS (SELECT CASE WHEN n = 0 THEN 0.0 ELSE CAST(2.0 AS DOUBLE) * p / n END AS
   FROM dedup))""")
 
 q("ratio_sample_replace", f"""
-SELECT event_id, conversion_flag, 1 AS copy_id FROM dedup WHERE conversion_flag = 1
-UNION ALL
 SELECT event_id, conversion_flag, CAST(unnest(generate_series(1, copies)) AS INTEGER) AS copy_id FROM (
-  SELECT d.event_id, d.conversion_flag,
-         CAST((SELECT count(*) FROM cdf WHERE {sql_u("'ratio5'", 'd.event_id')} >= cdf.c) AS INTEGER) AS copies
-  FROM dedup d WHERE d.conversion_flag <> 1) WHERE copies > 0""", _DEDUP_CTE + """,
-rate AS (SELECT CASE WHEN n = 0 THEN 0.0 ELSE CAST(2.0 AS DOUBLE) * p / n END AS r FROM (
-  SELECT count(*) FILTER (WHERE conversion_flag = 1) AS p, count(*) FILTER (WHERE conversion_flag <> 1) AS n
-  FROM dedup)),
-cdf AS (SELECT sum(exp(-r) * pow(r, m) / CAST(factorial(CAST(m AS INTEGER)) AS DOUBLE)) OVER (ORDER BY m) AS c
-        FROM rate, range(0, 20) t(m))""")
+  SELECT d.event_id, d.conversion_flag, d.conv_event_id, count(c.c) AS copies
+  FROM dedup d JOIN rate r ON r.flag = d.conversion_flag, generate_series(1, CAST(r.draws AS BIGINT)) AS g(i)
+  LEFT JOIN cdf c ON c.flag = d.conversion_flag AND {sql_u("'ratio5'", 'd.event_id', 'i')} >= c.c
+  GROUP BY ALL) WHERE copies > 0""", _DEDUP_CTE + """,
+size AS (SELECT count(*) FILTER (WHERE conversion_flag = 1) AS p, count(*) FILTER (WHERE conversion_flag <> 1) AS n FROM dedup),
+rate AS (SELECT flag, w * (p + n) / (p + n / CAST(2.0 AS DOUBLE)) AS r, greatest(1, ceil(w * (p + n) / (p + n / CAST(2.0 AS DOUBLE)) / 16)) AS draws
+         FROM size, (VALUES (1, CAST(1.0 AS DOUBLE)), (0, CAST(0.5 AS DOUBLE))) AS v(flag, w)),
+cdf AS (SELECT flag, sum(exp(-r / draws + m * ln(r / draws) - lgamma(m + 1))) OVER (PARTITION BY flag ORDER BY m) AS c
+        FROM rate, range(0, 80) t(m))""")
 
 q("shuffled_order", f"""
 SELECT event_id, row_number() OVER (ORDER BY {sql_u("'perm3'", 'event_id')}, event_id) AS imp_id FROM imp""")
@@ -637,24 +636,31 @@ FROM (SELECT policy, count(*) AS impressions, count(*) FILTER (WHERE win) AS win
              sum(CASE WHEN win THEN expected_value - market_price ELSE 0.0 END) AS revenue_uplift
       FROM plogs GROUP BY policy)""", ALL_POLICIES)
 
-q("marginal_cpa", """
-SELECT p.policy, p.day, round(p.spend - coalesce(b.spend, 0.0), 9) AS delta_spend,
-       round(p.conv - coalesce(b.conv, 0.0), 9) AS delta_conv,
-       round(CASE WHEN p.conv - coalesce(b.conv, 0.0) = 0 THEN NULL
-                  ELSE (p.spend - coalesce(b.spend, 0.0)) / (p.conv - coalesce(b.conv, 0.0)) END, 9) AS marginal_cpa
-FROM per p LEFT JOIN (SELECT * FROM per WHERE policy = 'random') b ON p.day = b.day
-WHERE p.policy <> 'random'""", ALL_POLICIES + "," + _WEEK + """,
+_PER = ALL_POLICIES + "," + _WEEK + """,
 per AS (SELECT policy, day, sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spend,
                sum(CASE WHEN win THEN pconv ELSE 0.0 END) AS conv
-        FROM plogs JOIN wk USING (imp_id) GROUP BY policy, day)""")
+        FROM plogs JOIN wk USING (imp_id) GROUP BY policy, day),
+full_grid AS (SELECT policy, day, coalesce(spend, 0.0) AS spend, coalesce(conv, 0.0) AS conv
+              FROM (SELECT DISTINCT policy FROM plogs) CROSS JOIN (SELECT DISTINCT day FROM wk) LEFT JOIN per USING (policy, day))"""
+
+q("marginal_cpa", """
+SELECT p.policy, p.day, round(p.spend - b.spend, 9) AS delta_spend, round(p.conv - b.conv, 9) AS delta_conv,
+       round(CASE WHEN p.conv = b.conv THEN NULL ELSE (p.spend - b.spend) / (p.conv - b.conv) END, 9) AS marginal_cpa
+FROM full_grid p JOIN full_grid b USING (day) WHERE b.policy = 'random' AND p.policy <> 'random'""", _PER)
+
+q("marginal_cpa_window", """
+SELECT policy, day, round(spend - before.s, 9) AS delta_spend, round(conv - before.c, 9) AS delta_conv,
+       round(CASE WHEN conv = before.c THEN NULL ELSE (spend - before.s) / (conv - before.c) END, 9) AS marginal_cpa
+FROM (SELECT *, lag({'s': spend, 'c': conv}) OVER (PARTITION BY policy ORDER BY day) AS before FROM full_grid)
+WHERE before IS NOT NULL""", _PER)
 
+# The definition: for every campaign and period, what it should have spent by then and what it has.
 q("pacing_error", """
-SELECT campaign_id, day, round(cum_spend, 9) AS cum_spend, round(planned, 9) AS planned,
-       round(abs(cum_spend - planned) / planned, 9) AS pacing_error
-FROM (SELECT p.campaign_id, p.day, sum(p.spend) OVER (PARTITION BY p.campaign_id ORDER BY p.day ROWS UNBOUNDED PRECEDING) AS cum_spend,
-             c.budget * (p.day + 1) / CAST((SELECT max(day) + 1 FROM wk) AS DOUBLE) AS planned
-      FROM (SELECT campaign_id, day, sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spend
-            FROM log_random JOIN wk USING (imp_id) GROUP BY campaign_id, day) p JOIN camps c USING (campaign_id))""",
+SELECT c.campaign_id, d.day, round(spent, 9) AS cum_spend, round(plan, 9) AS planned, round(abs(spent - plan) / plan, 9) AS pacing_error
+FROM camps c CROSS JOIN (SELECT unnest(range(0, (SELECT max(day) + 1 FROM wk)))::INTEGER AS day) d,
+LATERAL (SELECT c.budget * (d.day + 1) / CAST((SELECT max(day) + 1 FROM wk) AS DOUBLE) AS plan,
+                (SELECT coalesce(sum(l.market_price), 0.0) FROM log_random l JOIN wk w USING (imp_id)
+                 WHERE l.win AND l.campaign_id = c.campaign_id AND w.day <= d.day) AS spent) x""",
   AUCTION + "," + _WEEK)
 
 q("auction_summary", """

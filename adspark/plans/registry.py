@@ -649,6 +649,12 @@ def q_marginal_cpa(spark, sf):
     return m.select("policy", "day", *[rd(x).alias(x) for x in ["delta_spend", "delta_conv", "marginal_cpa"]])
 
 
+@register("marginal_cpa_window")
+def q_marginal_cpa_window(spark, sf):
+    m = PO.marginal_cpa_window(with_week(spark, sf, policy_logs(spark, sf)))
+    return m.select("policy", "day", *[rd(x).alias(x) for x in ["delta_spend", "delta_conv", "marginal_cpa"]])
+
+
 @register("pacing_error")
 def q_pacing_error(spark, sf):
     log = with_week(spark, sf, stateless_log(spark, sf))

@@ -128,3 +128,29 @@ def test_bid_zero_never_wins(spark):
     df = spark.createDataFrame([(i, 0.0) for i in range(50)], "imp_id long, bid double")
     out = df.withColumn("p", CA.market_price(F.col("bid"), F.col("imp_id"))).where(F.col("bid") > F.col("p"))
     assert out.count() == 0
+
+
+def test_ratio_sample_keeps_its_size_at_high_rates(spark):
+    """10 negatives against 1,000 positives: about 100 copies of each negative, none cut off."""
+    from adspark.operators.sampling import ratio_sample
+
+    df = spark.range(1010).select(F.col("id").alias("event_id"), (F.col("id") >= 10).cast("int").alias("conversion_flag"))
+    out = ratio_sample(df, k=0.005, replace=True).groupBy("conversion_flag").count().collect()
+    n = {r["conversion_flag"]: r["count"] for r in out}
+    # Weights 1 and 200: negatives get 2/3 of 1,010 rows, a rate of about 67 each.
+    want = 1010 * 2000 / 3000
+    assert abs(n[0] - want) < 0.12 * want and abs(n[0] + n[1] - 1010) < 0.1 * 1010
+    few = spark.range(20_000).select(F.col("id").alias("event_id"), (F.col("id") < 100).cast("int").alias("conversion_flag"))
+    n = {r["conversion_flag"]: r["count"] for r in ratio_sample(few, k=20_000.0, replace=True).groupBy("conversion_flag").count().collect()}
+    assert abs(n[1] - 20_000 * 100 / (100 + 19_900 / 20_000)) < 0.05 * 20_000  # a rate of about 198
+
+
+def test_pacing_and_marginal_cover_every_period(spark):
+    from adspark.operators.policy import marginal_cpa, pacing_error
+
+    log = spark.createDataFrame([("base", 1, 0, True, 2.0, 1.0), ("new", 1, 1, True, 3.0, 0.5)], "policy string, campaign_id long, day int, win boolean, market_price double, pconv double")
+    got = {r["day"]: (r["delta_spend"], r["delta_conv"]) for r in marginal_cpa(log, "base").collect()}
+    assert got == {0: (-2.0, -1.0), 1: (3.0, 0.5)}
+    budgets = spark.createDataFrame([(1, 10.0), (2, 10.0)], "campaign_id long, budget double")
+    rows = {(r["campaign_id"], r["day"]): (r["cum_spend"], r["pacing_error"]) for r in pacing_error(log, budgets, 2).collect()}
+    assert rows == {(1, 0): (2.0, 0.6), (1, 1): (5.0, 0.5), (2, 0): (0.0, 1.0), (2, 1): (0.0, 1.0)}
