@@ -6,5 +6,4 @@ from adspark.functions.timefeat import (  # noqa: F401
     cyclical,
     day_of_week_monday0,
     hour_of_day,
-    seconds_between,
 )

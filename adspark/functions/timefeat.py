@@ -28,8 +28,3 @@ def cyclical(x: Column, period: float) -> tuple[Column, Column]:
     """(sin, cos) of 2*pi*x/period."""
     ang = F.lit(2.0 * math.pi) * x.cast("double") / F.lit(float(period))
     return F.sin(ang), F.cos(ang)
-
-
-def seconds_between(later: Column, earlier: Column) -> Column:
-    """Difference of two timestamps in seconds (double, microsecond precision)."""
-    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(1e6)

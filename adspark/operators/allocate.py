@@ -99,7 +99,8 @@ def _user_cutoffs(assign: DataFrame, tau: int, wins0: DataFrame | None) -> DataF
                          ["user_id", "cid"], "left")
         need = F.lit(tau) - F.coalesce(F.col("n_prior"), F.lit(0))
     w = Window.partitionBy("user_id", "cid").orderBy("imp_id")
-    cut = (wins.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == need)
+    # The literal bound lets Spark stop ranking a hot pair after tau rows.
+    cut = (wins.withColumn("_k", F.row_number().over(w)).where((F.col("_k") <= tau) & (F.col("_k") == need))
            .select("user_id", "cid", F.col("imp_id").alias("cut")))
     if wins0 is not None:
         full = (wins0.where(F.col("n_prior") >= tau)
@@ -255,10 +256,12 @@ def allocation_replay(imps: DataFrame, camps: list[dict], predictor: str = "rand
         bcut, ucut, sig = new_b, new_u, new_sig
     if prev is not None:
         prev.unpersist()
-    log = _log(assign, camps, spent0, block_size)
+    log = materialize(_log(assign, camps, spent0, block_size))
+    assign.unpersist()
     return (log, rounds) if return_rounds else log
 
 
+# The columns of the documented auction log.
 LOG_COLUMNS = ["imp_id", "imp_campaign_id_sampled_from", "user_id", "campaign_id", "campaign_value_per_conv",
                "expected_value", "bid", "market_price", "win", "pconv", "utility", "budget_remaining",
                "eligible_campaigns", "chosen_score"]

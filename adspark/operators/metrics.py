@@ -2,9 +2,9 @@
 
 Ranking metrics group rows by distinct score first (partial aggregation),
 then need cumulative counts in descending score order. That prefix sum is
-two-level: score blocks (scores are probabilities in [0, 1]) give a small
-table of block totals and offsets, and the fine window runs per block, so
-no single task ever holds all distinct scores.
+two-level: consecutive score ranges that follow the data (``range_blocks``)
+give a small table of block totals and offsets, and the fine window runs per
+block. Scores crowded near zero are cut as finely as any.
 """
 
 from __future__ import annotations
@@ -12,38 +12,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adspark.operators.ordering import range_blocks
 
-def _by_score(df: DataFrame, score: str, label: str, n_blocks: int) -> DataFrame:
+
+def _by_score(df: DataFrame, score: str, label: str, rows_per_block: int) -> DataFrame:
     """Per distinct score: pos, neg, and counts of rows with a strictly higher score."""
     g = (df.groupBy(F.col(score).cast("double").alias("s"))
          .agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
          .withColumn("neg", F.col("cnt") - F.col("pos")))
-    blk = (F.lit(n_blocks - 1) - F.least(F.greatest(F.floor(F.col("s") * n_blocks), F.lit(0)),
-                                         F.lit(n_blocks - 1))).cast("int")  # block 0 = highest scores
-    g = g.withColumn("_b", blk)
+    g = range_blocks(g, [F.col("s").desc()], rows_per_block)  # block 0 = highest scores
     tot = g.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= n_blocks rows
+    wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     off = tot.select("_b", F.coalesce(F.sum("_bp").over(wo), F.lit(0)).alias("_op"),
                      F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_on"))
-    j = g.join(F.broadcast(off), "_b")
     wf = Window.partitionBy("_b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return j.select("s", "pos", "neg",
-                    (F.col("_op") + F.coalesce(F.sum("pos").over(wf), F.lit(0))).alias("pos_above"),
-                    (F.col("_on") + F.coalesce(F.sum("neg").over(wf), F.lit(0))).alias("neg_above"))
+    j = (g.withColumn("_ip", F.coalesce(F.sum("pos").over(wf), F.lit(0))).withColumn("_in", F.coalesce(F.sum("neg").over(wf), F.lit(0)))
+         .join(off, "_b"))
+    return j.select("s", "pos", "neg", (F.col("_op") + F.col("_ip")).alias("pos_above"), (F.col("_on") + F.col("_in")).alias("neg_above"))
 
 
-def roc_auc(df: DataFrame, score: str = "score", label: str = "label", n_blocks: int = 1024) -> DataFrame:
+def roc_auc(df: DataFrame, score: str = "score", label: str = "label", rows_per_block: int = 1_000_000) -> DataFrame:
     """ROC AUC with ties counted half."""
-    t = _by_score(df, score, label, n_blocks)
+    t = _by_score(df, score, label, rows_per_block)
     return t.agg(
         (F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0))
          / (F.sum("pos").cast("double") * F.sum("neg"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label",
-                      n_blocks: int = 1024) -> DataFrame:
+                      rows_per_block: int = 1_000_000) -> DataFrame:
     """Average precision, step sum over distinct thresholds."""
-    t = _by_score(df, score, label, n_blocks)
+    t = _by_score(df, score, label, rows_per_block)
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
     return t.agg((F.sum(F.col("pos") * tp / (tp + fp)) / F.sum("pos")).alias("average_precision"))

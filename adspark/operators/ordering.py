@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adspark.session import materialize
+
 
 def ranked_within(df: DataFrame, by: list[str], order_u: Column, tiebreak: str,
-                  n_blocks: int = 1024, max_rank: int | None = None, rank_col: str = "_rank") -> DataFrame:
+                  n_blocks: int = 1 << 16, max_rank: int | None = None, rank_col: str = "_rank") -> DataFrame:
     """1-based rank within ``by`` ordered by (order_u, tiebreak); order_u must lie in [0, 1).
 
     ``max_rank`` drops rows of blocks that start past the cap before the fine
@@ -36,6 +38,19 @@ def ranked_within(df: DataFrame, by: list[str], order_u: Column, tiebreak: str,
     return out.drop("_ou", "_blk", "_off")
 
 
+def range_blocks(df: DataFrame, order: list[Column], rows_per_block: int = 1_000_000, block_col: str = "_b") -> DataFrame:
+    """Cut rows into consecutive ranges of ``order``, about ``rows_per_block`` each; ``_b`` numbers them.
+
+    The number of blocks grows with the rows, and the cuts follow the data
+    (Spark's sampled range bounds), so neither a hot group nor values crowded
+    in a narrow range end up in one block. Rows that tie in ``order`` share a
+    block. The result is checkpointed, which keeps the numbers fixed.
+    """
+    df = materialize(df)
+    n = max(1, -(-df.count() // rows_per_block))
+    return materialize(df.repartitionByRange(n, *order).withColumn(block_col, F.spark_partition_id()))
+
+
 def running_sum_blocked(df: DataFrame, by: list[str], order_col: str, value_col: str,
                         block_size: int, out_col: str = "_cum", inclusive: bool = True) -> DataFrame:
     """Running sum of ``value_col`` within ``by`` ordered by an integer ``order_col``.

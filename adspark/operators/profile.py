@@ -7,8 +7,6 @@ profiles read all columns in one ``agg`` and are turned into long form with
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,7 +141,3 @@ def feature_counts(df: DataFrame, cat_prefix: str = "cat_", num_prefix: str = "n
     n_num = sum(1 for c in df.columns if c.startswith(num_prefix))
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit(n_cat).cast("bigint").alias("n_cat"), F.lit(n_num).cast("bigint").alias("n_num"), "n_rows")
-
-
-def union_all(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), dfs)

@@ -6,10 +6,10 @@ data. Here the work is:
 
 1. count rows per (group, distinct value) - partial aggregation, so a value
    repeated a billion times is one row after the map side;
-2. cut each group's distinct values into blocks at approximate quantiles
-   (``percentile_approx``: a bounded sketch per group);
-3. two-level cumulative counts over the distinct values (block totals, block
-   offsets, then a window per (group, block));
+2. cut all (group, value) rows into consecutive ranges that follow the data,
+   so a hot group spans many blocks and a small one shares a block;
+3. two-level cumulative counts over the distinct values (totals per group and
+   block, block offsets, then a window per (group, block));
 4. per group and probability, pick the values at ranks floor(p(n-1)) and
    ceil(p(n-1)) and interpolate linearly (the "continuous" definition).
 
@@ -21,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adspark.operators.ordering import range_blocks
+
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float],
-                    n_blocks: int = 64, accuracy: int = 10_000) -> DataFrame:
+                    rows_per_block: int = 1_000_000) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability).
 
     ``group_cols`` must be non-empty (add a constant column for one global group).
@@ -33,19 +35,17 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
     v = F.col(value_col).cast("double")
     vals = (df.where(v.isNotNull()).groupBy(*group_cols, v.alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c")))
-    cuts = [i / n_blocks for i in range(1, n_blocks)]
-    per_group = vals.groupBy(*group_cols).agg(
-        F.sum("_c").alias("_n"),
-        F.percentile_approx("_v", cuts, accuracy).alias("_bnds"))
-    j = vals.join(per_group, group_cols, "inner")
-    j = j.withColumn("_blk", F.size(F.filter("_bnds", lambda b: b < F.col("_v"))))
-    tot = j.groupBy(*group_cols, "_blk").agg(F.sum("_c").alias("_bc"))
-    wo = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.withColumn("_off", F.coalesce(F.sum("_bc").over(wo), F.lit(0))).drop("_bc")
-    wf = Window.partitionBy(*group_cols, "_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    cum = (j.join(off, [*group_cols, "_blk"], "inner")
-           .withColumn("_before", F.col("_off") + F.coalesce(F.sum("_c").over(wf), F.lit(0)))
-           .withColumn("_upto", F.col("_before") + F.col("_c")))
+    j = range_blocks(vals, [F.col(c) for c in (*group_cols, "_v")], rows_per_block)
+    tot = j.groupBy(*group_cols, "_b").agg(F.sum("_c").alias("_bc"))
+    wg = Window.partitionBy(*group_cols)
+    wo = wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*group_cols, "_b", F.coalesce(F.sum("_bc").over(wo), F.lit(0)).alias("_off"), F.sum("_bc").over(wg).alias("_n"))
+    wf = Window.partitionBy(*group_cols, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group_cols]
+    cum = j.withColumn("_in", F.coalesce(F.sum("_c").over(wf), F.lit(0))).alias("l").join(
+        off.alias("r"), [*same, F.col("l._b") == F.col("r._b")])
+    cum = cum.select(*[F.col(f"l.{c}").alias(c) for c in group_cols], "_v", "_n", (F.col("_off") + F.col("_in")).alias("_before"),
+                     (F.col("_off") + F.col("_in") + F.col("_c")).alias("_upto"))
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)

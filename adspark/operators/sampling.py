@@ -31,7 +31,7 @@ def hash_split(df: DataFrame, key: str = "event_id", by: str | None = "campaign_
 
 def stratified_split(df: DataFrame, label: str = "conversion_flag", key: str = "event_id", seed: int = 7,
                      fractions=(0.7, 0.15, 0.15), names=("train", "val", "test"), out: str = "split",
-                     n_blocks: int = 1024) -> DataFrame:
+                     n_blocks: int = 1 << 16) -> DataFrame:
     """Exact quotas per label value: first round(n*f1) rows by draw -> names[0], ...."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     ranked = ranked_within(df, [label], u(f"strat{seed}", F.col(key)), key, n_blocks=n_blocks)
@@ -45,7 +45,7 @@ def stratified_split(df: DataFrame, label: str = "conversion_flag", key: str = "
 
 
 def sample_per_group(df: DataFrame, n: int, by: str = "campaign_id", key: str = "event_id",
-                     seed: int = 11, n_blocks: int = 1024) -> DataFrame:
+                     seed: int = 11, n_blocks: int = 1 << 16) -> DataFrame:
     """At most ``n`` rows per group, the ``n`` smallest draws.
 
     Blocks that start past ``n`` are dropped before the per-block window, so
@@ -98,7 +98,7 @@ def _poisson(rate: float, salt: str, key: str) -> Column:
 
 
 def shuffled_order(df: DataFrame, key: str = "event_id", seed: int = 3, out: str = "imp_id",
-                   n_blocks: int = 4096) -> DataFrame:
+                   n_blocks: int = 1 << 16) -> DataFrame:
     """A random permutation: ``imp_id`` = 1-based position in order of u(seed, key) (P5).
 
     Global position by two-level counting (blocks of the draw), never a

@@ -549,16 +549,19 @@ cm AS (SELECT count(*) FILTER (WHERE score < 0.5 AND label <> 1) AS tn, count(*)
        FROM sc)"""
 
 
+RAW_SCORED = SCORED.replace(f"round(least(greatest({D(0.5)} * r.conv_rate", f"(least(greatest({D(0.5)} * r.conv_rate").replace(f"{D(1.0)}), 2) AS score", f"{D(1.0)})) AS score")
+
+
 def _lossexpr(w: str = "1.0") -> str:
     p = f"least(greatest(CAST(score AS DOUBLE), {D(1e-7)}), {D(1.0 - 1e-7)})"
     return f"-({w} * CAST(label AS DOUBLE) * ln({p}) + (1.0 - CAST(label AS DOUBLE)) * ln(1.0 - {p}))"
 
 
-q("roc_auc", "SELECT round(sum(neg * (pos_above + pos / 2.0)) / (sum(pos) * sum(neg)), 9) AS roc_auc FROM cum", SCORED)
+q("roc_auc", "SELECT round(sum(neg * (pos_above + pos / 2.0)) / (sum(pos) * sum(neg)), 9) AS roc_auc FROM cum", RAW_SCORED)
 
 q("average_precision", """
 SELECT round(sum(pos * (pos_above + pos) / ((pos_above + pos) + (neg_above + neg))) / sum(pos), 9) AS average_precision
-FROM cum""", SCORED)
+FROM cum""", RAW_SCORED)
 
 q("log_loss", f"SELECT round(avg({_lossexpr()}), 9) AS log_loss FROM sc", SCORED)
 
@@ -722,7 +725,9 @@ FROM impf s
 q("stream_windowed_cpa", """
 SELECT strftime(date_trunc('day', a.dttm_utc), '%Y-%m-%d') AS day, count(*) FILTER (WHERE l.win) AS wins,
        round(sum(CASE WHEN l.win THEN l.market_price ELSE 0.0 END), 9) AS spend,
-       round(sum(CASE WHEN l.win THEN l.pconv ELSE 0.0 END), 9) AS conv
+       round(sum(CASE WHEN l.win THEN l.pconv ELSE 0.0 END), 9) AS conv,
+       round(CASE WHEN sum(CASE WHEN l.win THEN l.pconv ELSE 0.0 END) > 0
+                  THEN sum(CASE WHEN l.win THEN l.market_price ELSE 0.0 END) / sum(CASE WHEN l.win THEN l.pconv ELSE 0.0 END) END, 9) AS cpa
 FROM log_random l JOIN aimp a USING (imp_id)
 GROUP BY 1""", AUCTION)
 

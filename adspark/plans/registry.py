@@ -546,24 +546,25 @@ def q_run_summary(spark, sf):
 # --------------------------------------------------------------------------
 # Metrics
 # --------------------------------------------------------------------------
-def scored(spark, sf):
-    """Labelled rows with a score mixing the campaign rate and a keyed uniform (2 digits: ties)."""
+def scored(spark, sf, digits: int | None = 2):
+    """Labelled rows with a score mixing the campaign rate and a keyed uniform (2 digits: ties; None: as it is)."""
     lab = labelled(spark, sf)
     rates = A.campaign_conversion_rate(lab).select("campaign_id", "conv_rate")
-    s = F.round(F.least(F.greatest(F.lit(0.5) * F.col("conv_rate") + F.lit(0.5) * _u("score", F.col("event_id")),
-                                   F.lit(0.0)), F.lit(1.0)), 2)
+    s = F.least(F.greatest(F.lit(0.5) * F.col("conv_rate") + F.lit(0.5) * _u("score", F.col("event_id")),
+                           F.lit(0.0)), F.lit(1.0))
+    s = s if digits is None else F.round(s, digits)
     return (lab.join(rates, "campaign_id").select("event_id", "campaign_id", s.alias("score"),
                                                  F.col("conversion_flag").cast("int").alias("label")))
 
 
 @register("roc_auc")
 def q_roc_auc(spark, sf):
-    return M.roc_auc(scored(spark, sf)).select(rd("roc_auc").alias("roc_auc"))
+    return M.roc_auc(scored(spark, sf, None)).select(rd("roc_auc").alias("roc_auc"))
 
 
 @register("average_precision")
 def q_average_precision(spark, sf):
-    return M.average_precision(scored(spark, sf)).select(rd("average_precision").alias("average_precision"))
+    return M.average_precision(scored(spark, sf, None)).select(rd("average_precision").alias("average_precision"))
 
 
 @register("log_loss")
@@ -818,14 +819,10 @@ def q_fit_score_fm(spark, sf):
 # --------------------------------------------------------------------------
 # Streaming
 # --------------------------------------------------------------------------
-def staged_events(spark, sf):
-    return ST.stage_events(spark, FX.load(spark, sf, "events"))
-
-
 @register("stream_features")
 def q_stream_features(spark, sf):
     _, enc, _ = fitted(spark, sf)
-    src = ST.read_stream(spark, staged_events(spark, sf))
+    src = ST.event_stream(spark, f"{sf}/events.parquet")
     imp = FX.impressions_from_events(src).withColumnRenamed("dttm_utc", "impression_dttm_utc")
     feats = UA.ua_enrich(C.time_features(imp), method="inline")
     coded = FE.ordinal_encode(feats, enc, out_prefix="cat_")
@@ -834,34 +831,33 @@ def q_stream_features(spark, sf):
     return spark.read.parquet(ST.drain(out, name="features"))
 
 
-def staged_log(spark, sf, n_files=4):
-    log = stateless_log(spark, sf)
+def timed_log(spark, sf):
+    """The auction log with its impressions' time."""
     ts = auction_imps(spark, sf).select("imp_id", F.col("dttm_utc").cast("timestamp").alias("ts"))
-    return ST.stage_files(log.join(ts, "imp_id"), "imp_id", n_files, "log-stream")
+    return stateless_log(spark, sf).join(ts, "imp_id")
 
 
 @register("stream_frequency_cap")
 def q_stream_frequency_cap(spark, sf):
-    src = ST.read_stream(spark, staged_log(spark, sf)).where(F.col("win"))
-    return spark.read.parquet(ST.drain(ST.stream_frequency_cap(src, TAU), name="cap"))
+    return spark.read.parquet(ST.drain_ranges(timed_log(spark, sf), "imp_id", 4, name="cap",
+                                              build=lambda src: ST.stream_frequency_cap(src.where(F.col("win")), TAU)))
 
 
 @register("stream_windowed_cpa")
 def q_stream_windowed_cpa(spark, sf):
-    src = ST.read_stream(spark, staged_log(spark, sf))
-    agg = ST.windowed_spend(src)
     out = shared_path(spark, "windowed")
-    ST.drain(agg, output_mode="complete", foreach_batch=ST.overwrite_batches(out), name="windowed")
-    r = spark.read.parquet(out)
+    ST.drain_ranges(timed_log(spark, sf), "imp_id", 4, ST.windowed_spend, "windowed", output_mode="update",
+                    foreach_batch=ST.write_updates(out))
+    r = ST.latest_updates(spark, out)
     return r.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "wins",
-                    rd("spend").alias("spend"), rd("conv").alias("conv"))
+                    *[rd(c).alias(c) for c in ("spend", "conv", "cpa")])
 
 
 @register("stream_attribution")
 def q_stream_attribution(spark, sf):
-    path = staged_events(spark, sf)
-    i = FX.impressions_from_events(ST.read_stream(spark, path))
-    c = FX.conversions_from_events(ST.read_stream(spark, path))
+    path = f"{sf}/events.parquet"
+    i = FX.impressions_from_events(ST.event_stream(spark, path))
+    c = FX.conversions_from_events(ST.event_stream(spark, path))
     out = ST.stream_attribution(i, c)
     r = spark.read.parquet(ST.drain(out, name="attribution"))
     return r.select("event_id", "conv_event_id", rd("latency_s", 3).alias("latency_s"))
@@ -871,10 +867,9 @@ def q_stream_attribution(spark, sf):
 def q_stream_allocation(spark, sf):
     camps = CA.collect_campaigns(campaigns(spark, sf))
     ai = auction_imps(spark, sf).drop("dttm_utc")
-    path = ST.stage_files(ai, "imp_id", 3, "imp-stream")
     out, state = shared_path(spark, "alloc-log"), shared_path(spark, "alloc-state")
-    ST.drain(ST.read_stream(spark, path), foreach_batch=ST.stream_allocation(
-        ST.read_stream(spark, path), camps, out, state, predictor="random", beta=BETA, tau=TAU), name="alloc")
+    ST.drain_ranges(ai, "imp_id", 3, lambda src: src, "alloc", foreach_batch=ST.stream_allocation(
+        camps, out, state, predictor="random", beta=BETA, tau=TAU))
     return rounded_log(spark.read.parquet(out).drop("batch_id"))
 
 

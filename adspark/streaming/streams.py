@@ -1,11 +1,12 @@
 """Structured Streaming operators.
 
-Sources are Parquet folders read with ``maxFilesPerTrigger``; every query
-runs with an ``availableNow`` trigger to drain what is there, with its
-checkpoint in the shared checkpoint folder so a restarted query resumes
-where it stopped. Sinks are Parquet folders (append) or ``foreachBatch``
-writers that overwrite their own batch's output, so a replayed batch id
-rewrites rather than duplicates.
+Sources are Parquet folders or files; every query runs with an
+``availableNow`` trigger to drain what is there, with its checkpoint in the
+shared checkpoint folder so a restarted query resumes where it stopped. Where
+the order of rows matters, a source is fed range by range, each written by as
+many tasks as it needs and drained as one micro-batch. Sinks are Parquet
+folders (append) or ``foreachBatch`` writers that own one folder per batch id,
+so a replayed batch rewrites its folder and touches no other.
 """
 
 from __future__ import annotations
@@ -17,39 +18,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from adspark.session import shared_path
+from adspark.session import materialize, shared_path
 
 
-def stage_files(df: DataFrame, order_col: str, n_files: int, name: str) -> str:
-    """Write ``df`` as ``n_files`` Parquet files of consecutive ``order_col`` ranges, oldest first.
-
-    Each range is its own write job, so file modification times follow the
-    order and the file source replays them in order.
-    """
-    path = shared_path(df.sparkSession, name)
-    append_files(df, order_col, n_files, path)
-    return path
-
+def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The event table as a stream, with ``ts`` as TIMESTAMP (watermarks need it)."""
+    schema = spark.read.parquet(path).schema
+    # A stream reads a folder or a pattern: the pattern also finds a single file.
+    return spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
 
-def append_files(df: DataFrame, order_col: str, n_files: int, path: str) -> None:
-    """Append ``df`` to a staged folder as ``n_files`` ordered range files (see ``stage_files``)."""
-    bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) // n_files + 1
-    for i in range(n_files):
-        part = df.where((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
 
+def ranges(df: DataFrame, order_col: str, n: int) -> list[DataFrame]:
+    """``df`` cut into at most ``n`` consecutive ranges of an integer column, about equal in rows."""
+    cuts = df.agg(F.percentile_approx(order_col, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    edges = [None, *sorted(set(cuts or [])), None]
+    out = []
+    for lo, hi in zip(edges, edges[1:]):
+        part = df if lo is None else df.where(F.col(order_col) > lo)
+        out.append(part if hi is None else part.where(F.col(order_col) <= hi))
+    return out
 
-def stage_events(spark: SparkSession, events: DataFrame, n_files: int = 4) -> str:
-    """Events with ``ts`` as TIMESTAMP (watermarks need it), staged in event order."""
-    return stage_files(events.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", n_files, "events-stream")
 
+def drain_ranges(df: DataFrame, order_col: str, n: int, build, name: str = "stream", **how) -> str:
+    """Feed ``df`` to a stream range by range and drain each as one micro-batch.
 
-def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet folder as a stream with the schema of what is there."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    ``build`` turns the source stream into the query; it starts anew for each
+    range on the same checkpoint and sink, as a query does after a restart.
+    """
+    spark, df = df.sparkSession, materialize(df)
+    path = shared_path(spark, f"{name}-in")
+    how = {"sink": shared_path(spark, f"{name}-out"), "checkpoint": shared_path(spark, f"{name}-ckpt")} | how
+    for part in ranges(df, order_col, n):
+        part.write.mode("append").parquet(path)
+        sink = drain(build(spark.readStream.schema(df.schema).parquet(path)), name=name, **how)
+    return sink
 
 
 def drain(stream_df: DataFrame, sink: str | None = None, output_mode: str = "append",
@@ -119,20 +121,27 @@ def windowed_spend(log_stream: DataFrame, ts: str = "ts", window: str = "1 day",
                    watermark: str = "2 days") -> DataFrame:
     """Per event-time window: wins, spend, expected conversions, CPA."""
     won = F.col("win")
-    return (log_stream.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, window).alias("w"))
-            .agg(F.count_if(won).alias("wins"),
-                 F.sum(F.when(won, F.col("market_price")).otherwise(F.lit(0.0))).alias("spend"),
-                 F.sum(F.when(won, F.col("pconv")).otherwise(F.lit(0.0))).alias("conv")))
+    agg = (log_stream.withWatermark(ts, watermark)
+           .groupBy(F.window(ts, window).alias("w"))
+           .agg(F.count_if(won).alias("wins"),
+                F.sum(F.when(won, F.col("market_price")).otherwise(F.lit(0.0))).alias("spend"),
+                F.sum(F.when(won, F.col("pconv")).otherwise(F.lit(0.0))).alias("conv")))
+    return agg.withColumn("cpa", F.when(F.col("conv") > 0, F.col("spend") / F.col("conv")))
 
 
-def overwrite_batches(path: str):
-    """foreachBatch writer for complete-mode results: each batch replaces the folder."""
+def write_updates(path: str):
+    """foreachBatch writer for update-mode results: batch b owns the folder ``batch_id=b``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 
+def latest_updates(spark: SparkSession, path: str, key: str = "w") -> DataFrame:
+    """The last state of each key that ``write_updates`` wrote."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch_id")]), "batch_id").alias("v")).select(key, "v.*")
+
+
 # ---------------------------------------------------------------------------
 # Delayed conversion attribution
 # ---------------------------------------------------------------------------
@@ -152,14 +161,15 @@ def stream_attribution(imp_stream: DataFrame, conv_stream: DataFrame, window_day
 # ---------------------------------------------------------------------------
 # Allocation with carried budgets and caps
 # ---------------------------------------------------------------------------
-def stream_allocation(imp_stream: DataFrame, camps: list[dict], out_path: str, state_path: str,
-                      predictor: str = "random", beta: float = 1.0, tau: int = 3):
+def stream_allocation(camps: list[dict], out_path: str, state_path: str, predictor: str = "random", beta: float = 1.0,
+                      tau: int = 3):
     """foreachBatch body: exact replay of each micro-batch with state carried between batches.
 
     Batch b reads the state snapshot of batch b-1 (spend per campaign, wins
     per (user, campaign)), runs the fixpoint replay on its impressions, and
     overwrites ``log/batch_id=b`` and ``state/batch_id=b``. A replayed batch
-    id rewrites the same folders. Batches must arrive in impression order.
+    id rewrites the same folders. Batches must arrive in impression order. A
+    missing snapshot fails the batch: budgets and caps never start over.
     """
     from adspark.operators.allocate import allocation_replay
 
@@ -168,12 +178,9 @@ def stream_allocation(imp_stream: DataFrame, camps: list[dict], out_path: str, s
         spent0, wins0 = {}, None
         if batch_id > 0:
             prev = f"{state_path}/batch_id={batch_id - 1}"
-            try:
-                sp = spark.read.parquet(f"{prev}/spend")
-                spent0 = {r["campaign_id"]: r["spent"] for r in sp.collect()}  # one row per campaign
-                wins0 = spark.read.parquet(f"{prev}/wins")
-            except Exception:  # noqa: BLE001 - first batch with data
-                spent0, wins0 = {}, None
+            sp = spark.read.parquet(f"{prev}/spend")
+            spent0 = {r["campaign_id"]: r["spent"] for r in sp.collect()}  # one row per campaign
+            wins0 = spark.read.parquet(f"{prev}/wins")
         if batch.limit(1).count() == 0:
             log = None
         else:

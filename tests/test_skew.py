@@ -42,7 +42,7 @@ def test_blocked_running_sum_equals_window(hot):
 
 
 def test_exact_quantiles_equal_percentile(hot):
-    got = exact_quantiles(hot, ["campaign_id"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, n_blocks=8)
+    got = exact_quantiles(hot, ["campaign_id"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, rows_per_block=60)
     want = hot.groupBy("campaign_id").agg(*[F.percentile("value", p).alias(n)
                                             for n, p in [("p10", 0.1), ("p50", 0.5), ("p90", 0.9)]])
     a = {r.campaign_id: (r.p10, r.p50, r.p90) for r in got.collect()}
@@ -81,3 +81,19 @@ def test_next_conversion_latency_equals_brute_force(spark, hot):
             want[eid] = (min(later) - ts).total_seconds()
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
+def test_blocks_follow_crowded_scores(spark):
+    """All scores below 0.01: the blocks still share them evenly, and AUC is exact."""
+    from adspark.operators.metrics import roc_auc
+    from adspark.operators.ordering import range_blocks
+
+    df = spark.range(20_000).select((F.col("id") / 2_000_001.0).alias("score"), (F.col("id") % 7 == 0).cast("int").alias("label"))
+    sizes = [r["count"] for r in range_blocks(df, [F.col("score").desc()], 1000).groupBy("_b").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 3 * 1000
+    rows = [(r["score"], r["label"]) for r in df.collect()]
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    import bisect
+    neg.sort()
+    want = sum(bisect.bisect_left(neg, p) for p in pos) / (len(pos) * len(neg))
+    assert abs(roc_auc(df, rows_per_block=1000).first()[0] - want) < 1e-12

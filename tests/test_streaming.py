@@ -31,19 +31,32 @@ def test_stream_cap_resumes_from_checkpoint(spark):
     log = R.stateless_log(spark, SF_SMALL)
     mid = log.agg(F.percentile_approx("imp_id", 0.5)).first()[0]
     path = shared_path(spark, "resume-src")
-    ST.append_files(log.where(F.col("imp_id") <= mid), "imp_id", 2, path)
     sink, ckpt = shared_path(spark, "resume-out"), shared_path(spark, "resume-ckpt")
-    schema = spark.read.parquet(path).schema
 
-    def run():
-        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).where(F.col("win"))
+    def run(part):
+        part.write.mode("append").parquet(path)
+        src = spark.readStream.schema(log.schema).parquet(path).where(F.col("win"))
         ST.drain(ST.stream_frequency_cap(src, R.TAU), sink=sink, checkpoint=ckpt)
-    run()
+    run(log.where(F.col("imp_id") <= mid))
     first = spark.read.parquet(sink).count()
-    ST.append_files(log.where(F.col("imp_id") > mid), "imp_id", 2, path)
-    run()
+    run(log.where(F.col("imp_id") > mid))
     got = sorted(tuple(r) for r in spark.read.parquet(sink).select("imp_id", "user_id", "campaign_id", "win_no")
                  .collect())
     want = sorted(tuple(r) for r in R.QUERIES["frequency_cap"](spark, SF_SMALL).collect())
     assert 0 < first < len(want)
     assert got == want
+
+
+def test_missing_state_fails_the_batch(spark):
+    """Without the snapshot of the batch before, a batch must not start from zero spend."""
+    import pytest
+
+    from adspark.operators import candidates as CA
+    from adspark.session import shared_path
+    from adspark.streaming import streams as ST
+    camps = CA.collect_campaigns(R.campaigns(spark, SF_SMALL))
+    body = ST.stream_allocation(camps, shared_path(spark, "lost-log"), shared_path(spark, "lost-state"))
+    ai = R.auction_imps(spark, SF_SMALL).drop("dttm_utc").limit(5)
+    body(ai, 0)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        body(ai, 2)
