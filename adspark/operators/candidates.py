@@ -3,8 +3,8 @@
 Candidate pairing never joins: the campaign list is a bounded dimension
 (checked against ``max_campaigns`` before it leaves Spark) carried into every
 task as one literal ``array<struct>``; higher-order functions score, filter
-and pick the argmax per impression with no shuffle. The exploded pair table
-is produced only where pairs are the requested output (diagnostics).
+and pick the argmax per impression with no shuffle. Pairs become rows only for
+named impressions (``candidates_of``).
 """
 
 from __future__ import annotations
@@ -152,9 +152,40 @@ def best_campaign(df: DataFrame, cands: Column, predictor: str = "random", beta:
     return out.withColumn("win", F.col("bid") > F.col("market_price")).drop("_best", "_n_elig")
 
 
-def explode_candidates(df: DataFrame, cands: Column, predictor: str = "random", imp_id: str = "imp_id",
-                       rule: str = "value", imp_logit: str | None = None) -> DataFrame:
-    """One row per (impression, candidate) with pconv and score."""
+def top_candidates(df: DataFrame, cands: Column, k: int, predictor: str = "random", imp_id: str = "imp_id",
+                   rule: str = "value", imp_logit: str | None = None) -> DataFrame:
+    """The ``k`` best candidates of each impression as an array ``top``, best first.
+
+    Entries are (score, neg_ordinal, campaign_id, pconv, value_per_conv). The
+    output is linear in the impressions; pairs never become rows.
+    """
+    logit = F.col(imp_logit) if imp_logit else None
+    sc = scored_candidates(cands, predictor, F.col(imp_id), rule, logit)
+    return spread(df).withColumn("top", F.slice(F.sort_array(sc, asc=False), 1, k))
+
+
+def candidate_statistics(df: DataFrame, cands: Column, predictor: str = "random", imp_id: str = "imp_id",
+                         rule: str = "value", imp_logit: str | None = None) -> DataFrame:
+    """Per campaign: impressions scored, mean and maximum pconv and score, and its parameters.
+
+    Scores are expanded inside the task and aggregated there before the
+    shuffle, which carries one row per campaign and task.
+    """
+    logit = F.col(imp_logit) if imp_logit else None
+
+    def one(c):
+        p = pconv_expr(predictor, F.col(imp_id), c, logit)
+        return F.struct(c["campaign_id"].alias("campaign_id"), p.alias("pconv"), score_expr(p, c, rule).alias("score"),
+                        c["value_per_conv"].alias("value_per_conv"), c["true_conv_rate"].alias("true_conv_rate"), c["budget"].alias("budget"))
+    pairs = spread(df).select(F.inline(F.transform(cands, one)))
+    return pairs.groupBy("campaign_id", "value_per_conv", "true_conv_rate", "budget").agg(
+        F.count(F.lit(1)).alias("impressions"), F.avg("pconv").alias("mean_pconv"), F.max("pconv").alias("max_pconv"),
+        F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+
+
+def candidates_of(df: DataFrame, imp_ids: list, cands: Column, predictor: str = "random", imp_id: str = "imp_id",
+                  rule: str = "value", imp_logit: str | None = None) -> DataFrame:
+    """Every candidate of the named impressions as rows (B14): the table one looks at for a single decision."""
     logit = F.col(imp_logit) if imp_logit else None
 
     def one(c):
@@ -163,4 +194,4 @@ def explode_candidates(df: DataFrame, cands: Column, predictor: str = "random",
                         p.alias("pconv"), score_expr(p, c, rule).alias("score"),
                         c["value_per_conv"].alias("value_per_conv"), c["true_conv_rate"].alias("true_conv_rate"),
                         c["budget"].alias("budget"))
-    return spread(df).select("*", F.inline(F.transform(cands, one)))
+    return df.where(F.col(imp_id).isin(*imp_ids)).select("*", F.inline(F.transform(cands, one)))

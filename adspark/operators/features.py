@@ -171,21 +171,24 @@ def one_hot(df: DataFrame, encoder: DataFrame, feature: str, drop_first: bool =
     return df.select("*", *[(v == F.lit(lv)).cast("tinyint").alias(f"{feature}_{lv}") for lv in levels])
 
 
-def counterfactual_features(processed: DataFrame, camps: list[dict], codes: dict, campaign_slot: int = 0,
-                            keep: list[str] | None = None) -> DataFrame:
-    """Each encoded impression paired with every candidate campaign's code in slot ``cat_<slot>``.
-
-    The impression side is encoded once (its other features), the campaigns
-    once (``codes``: campaign_id -> code, bounded by the campaign list); the
-    pairing expands a literal candidate array, with no join.
+def counterfactual_features(processed: DataFrame, camps: list[dict], codes: dict, score,
+                            campaign_slot: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """Each encoded impression with the best candidate campaign's code in slot ``cat_<slot>``.
+
+    Every candidate replaces the campaign in turn; ``score`` maps a candidate
+    struct (its parameters and ``code``) to a column, and the best one stays
+    (ties to list order). The impression side is encoded once, the campaigns
+    once (``codes``: campaign_id -> code, bounded by the campaign list), and the
+    candidates live in one array per row, never as rows.
     """
     from adspark.operators.candidates import candidate_array
     cands = candidate_array(camps, {"code": codes})
     slot = f"cat_{campaign_slot}"
-    base = processed.drop(slot)
-    pairs = base.select("*", F.inline(F.transform(cands, lambda c: F.struct(
-        c["campaign_id"].alias("candidate_campaign_id"), c["code"].alias(slot)))))
-    return pairs.select(*(keep or []), "candidate_campaign_id", *[f"cat_{i}" for i in range(9)])
+    best = F.array_max(F.transform(cands, lambda c: F.struct(score(c).alias("score"), (-c["ordinal"]).alias("neg_ordinal"),
+                                                             c["campaign_id"].alias("campaign_id"), c["code"].alias("code"))))
+    return (processed.withColumn("_best", best)
+            .select(*(keep or []), F.col("_best.campaign_id").alias("candidate_campaign_id"), F.col("_best.score").alias("candidate_score"),
+                    *[F.col("_best.code").alias(slot) if f"cat_{i}" == slot else F.col(f"cat_{i}") for i in range(9)]))
 
 
 def apply_batches(df: DataFrame, fn, schema) -> DataFrame:

@@ -460,13 +460,15 @@ q("campaign_params", """
 SELECT campaign_id, ordinal, round(true_conv_rate, 9) AS true_conv_rate, round(value_per_conv, 9) AS value_per_conv,
        round(target_cpa, 9) AS target_cpa, budget FROM camps""", CAMP_CTES)
 
-q("candidate_scores", "SELECT imp_id, campaign_id, round(pconv, 9) AS pconv, round(score, 9) AS score FROM pairs_random",
-  AUCTION)
+q("candidate_scores", """
+SELECT imp_id, rn - 1 AS rank, campaign_id, round(pconv, 9) AS pconv, round(score, 9) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY imp_id ORDER BY score DESC, ordinal) AS rn FROM pairs_random) WHERE rn <= 3""", AUCTION)
 
 q("candidate_diagnostics", """
-SELECT p.imp_id, p.campaign_id, round(p.pconv, 9) AS pconv, round(p.score, 9) AS score,
-       round(p.value_per_conv, 9) AS value_per_conv, round(c.true_conv_rate, 9) AS true_conv_rate, p.budget
-FROM pairs_rate p JOIN camps c USING (campaign_id)""", CAMP_CTES + "," + log_ctes("rate"))
+SELECT campaign_id, count(*) AS impressions, c.budget, round(avg(pconv), 9) AS mean_pconv, round(max(pconv), 9) AS max_pconv,
+       round(avg(score), 9) AS mean_score, round(max(score), 9) AS max_score,
+       round(c.value_per_conv, 9) AS value_per_conv, round(c.true_conv_rate, 9) AS true_conv_rate
+FROM pairs_random p JOIN camps c USING (campaign_id) GROUP BY ALL""", AUCTION)
 
 q("best_campaign", "SELECT imp_id, campaign_id, round(score, 9) AS chosen_score, eligible_campaigns FROM best_random",
   AUCTION)
@@ -746,9 +748,6 @@ _CAMP_CODE = """
 camp_code AS (SELECT c.*, coalesce(e.code, 0) AS code FROM camps c
               LEFT JOIN enc e ON e.feature = 'campaign_id' AND e.category = CAST(c.campaign_id AS VARCHAR))"""
 _CF = _LIN + "," + CAMP_CTES + "," + _CAMP_CODE
-q("counterfactual_features", "SELECT p.event_id, p.conv_event_id, c.campaign_id, c.code AS cat_0, " +
-  ", ".join(f"p.cat_{i}" for i in range(1, 9)) + " FROM proc p CROSS JOIN camp_code c", _CF)
-
 _imp_codes = ", ".join(f"coalesce(e{i}.code, 0) AS cat_{i}" for i in range(len(CATEGORICAL_FEATURES)))
 _imp_logit = "(SELECT b FROM bias)" + "".join(f" + coalesce(w{i}.weight, 0.0)" for i in range(1, 9))
 _imp_wjoins = "\n".join(f"LEFT JOIN wt w{i} ON w{i}.feature = {i} AND w{i}.code = k.cat_{i}" for i in range(1, 9))
@@ -769,6 +768,16 @@ SELECT imp_id, campaign_id, round(pconv, 9) AS pconv, round(score, 9) AS chosen_
          row_number() OVER (PARTITION BY imp_id ORDER BY pconv * value_per_conv DESC, ordinal ASC) AS rn
   FROM mpairs) WHERE rn = 1""", _PM)
 
+_proc_wjoins = _imp_wjoins.replace("k.cat_", "p.cat_")
+q("counterfactual_features", f"""
+SELECT event_id, conv_event_id, campaign_id, round(score, 9) AS score, code AS cat_0, {", ".join(f"cat_{i}" for i in range(1, 9))} FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id, conv_event_id ORDER BY score DESC, ordinal ASC) AS rn FROM (
+    SELECT l.* EXCLUDE (cat_0), c.campaign_id, c.code, c.ordinal,
+           1.0 / (1.0 + exp(-(l.imp_logit + coalesce(w.weight, 0.0)))) * c.value_per_conv AS score
+    FROM (SELECT p.*, {_imp_logit} AS imp_logit FROM proc p
+          {_proc_wjoins}) l
+    CROSS JOIN camp_code c LEFT JOIN wt w ON w.feature = 0 AND w.code = c.code)) WHERE rn = 1""", _CF)
+
 q("device_lookup_csv", """
 SELECT i.event_id, i.device_type, d.full_name AS device_type_full FROM imp i LEFT JOIN dev d ON i.device_type = d.short""",
   f"dev AS ({DEVICE_TYPES_SQL})")

@@ -8,13 +8,14 @@ another order) compares equal.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adspark.operators import label as L
 from adspark.operators import profile as A
-from adspark.session import materialize
+from adspark.session import materialize, shared_path
 from adspark.sources import fixtures as FX
 
 QUERIES: dict = {}
@@ -82,8 +83,15 @@ def split_cleaned(spark, sf):
 
 
 def fitted(spark, sf):
-    """(split rows, encoder, scaler) with transforms fitted on the train split."""
+    """(split rows, encoder, scaler) with transforms fitted on the train split.
+
+    The cleaned rows are a stage of their own, written once as Parquet: fits
+    and scores read it, not the label join.
+    """
+    path = shared_path(spark, "cleaned")
     rows = split_cleaned(spark, sf)
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     train = rows.where(F.col("split") == "train")
     enc = materialize(FE.fit_ordinal_encoder(train))
     sc = materialize(FE.fit_scaler(FE.numeric_features(train)))
@@ -445,19 +453,17 @@ def q_campaign_params(spark, sf):
 @register("candidate_scores")
 def q_candidate_scores(spark, sf):
     camps = CA.collect_campaigns(campaigns(spark, sf))
-    pairs = CA.explode_candidates(auction_imps(spark, sf).drop("dttm_utc"), CA.candidate_array(camps),
-                                  predictor="random")
-    return pairs.select("imp_id", "campaign_id", rd("pconv").alias("pconv"), rd("score").alias("score"))
+    best = CA.top_candidates(auction_imps(spark, sf).drop("dttm_utc"), CA.candidate_array(camps), 3)
+    return best.select("imp_id", F.posexplode("top").alias("rank", "c")).select(
+        "imp_id", F.col("rank").cast("bigint").alias("rank"), "c.campaign_id", rd("c.pconv").alias("pconv"), rd("c.score").alias("score"))
 
 
 @register("candidate_diagnostics")
 def q_candidate_diagnostics(spark, sf):
     camps = CA.collect_campaigns(campaigns(spark, sf))
-    pairs = CA.explode_candidates(auction_imps(spark, sf).drop("dttm_utc"), CA.candidate_array(camps),
-                                  predictor="rate")
-    return pairs.select("imp_id", "campaign_id", rd("pconv").alias("pconv"), rd("score").alias("score"),
-                        rd("value_per_conv").alias("value_per_conv"),
-                        rd("true_conv_rate").alias("true_conv_rate"), "budget")
+    stats = CA.candidate_statistics(auction_imps(spark, sf).drop("dttm_utc"), CA.candidate_array(camps))
+    return stats.select("campaign_id", "impressions", "budget", *[rd(c).alias(c) for c in (
+        "mean_pconv", "max_pconv", "mean_score", "max_score", "value_per_conv", "true_conv_rate")])
 
 
 def _best(spark, sf, predictor):
@@ -675,7 +681,6 @@ def q_auction_summary(spark, sf):
 # Sources, sinks, layout
 # --------------------------------------------------------------------------
 from adspark.operators import model as MO  # noqa: E402
-from adspark.session import shared_path  # noqa: E402, F401
 from adspark.sources import io as IO  # noqa: E402
 from adspark.streaming import streams as ST  # noqa: E402
 
@@ -749,40 +754,45 @@ def q_preprocessor_roundtrip(spark, sf):
 # --------------------------------------------------------------------------
 # Models and plug-ins
 # --------------------------------------------------------------------------
-def processed_split(spark, sf):
-    rows, enc, sc = fitted(spark, sf)
+def processed_split(spark, sf, fit=None):
+    rows, enc, sc = fit or fitted(spark, sf)
     return FE.processed_features(rows, enc, sc, keep=["event_id", "conv_event_id", "split"])
 
 
 def linear_model(spark, sf):
-    p = processed_split(spark, sf)
+    """(processed rows, weights, bias, encoder); every transform is fitted once."""
+    fit = fitted(spark, sf)
+    p = processed_split(spark, sf, fit)
     w, b = MO.fit_log_odds(p.where(F.col("split") == "train"))
-    return p, materialize(w), b
+    return p, materialize(w), b, fit[1]
 
 
 @register("score_linear")
 def q_score_linear(spark, sf):
-    p, w, b = linear_model(spark, sf)
+    p, w, b, _ = linear_model(spark, sf)
     s = MO.score_linear(p, w, b, keep=["event_id", "conv_event_id"])
     return s.select("event_id", "conv_event_id", rd("score").alias("score"))
 
 
 @register("score_plugin")
 def q_score_plugin(spark, sf):
-    import math
-    p, w, b = linear_model(spark, sf)
-    # The fitted weights are bounded by the dictionary sizes (checked): shipped to tasks with the function.
-    n = w.count()
-    if n > MO.MAX_BROADCAST_ROWS:
+    p, w, b, _ = linear_model(spark, sf)
+    # The weights are bounded by the dictionaries' sizes (checked): one dense array per feature, broadcast.
+    if w.count() > MO.MAX_BROADCAST_ROWS:
         raise ValueError("weight table too large for a plug-in predictor")
-    table = {(r["feature"], r["code"]): r["weight"] for r in w.collect()}
+    rows = w.toPandas()
+    size = int(rows["code"].max()) + 2 if len(rows) else 2
+    table = np.zeros((9, size))
+    table[rows["feature"], rows["code"] + 1] = rows["weight"]
+    shared = spark.sparkContext.broadcast(table)
 
     def predict(pdf):
-        logit = pd.Series(b, index=pdf.index, dtype="float64")
+        dense, logit = shared.value, np.full(len(pdf), b)
         for i in range(9):
-            logit = logit + pdf[f"cat_{i}"].map(lambda c, i=i: table.get((i, c), 0.0)).astype("float64")
+            code = pdf[f"cat_{i}"].to_numpy() + 1
+            logit += np.where(code < dense.shape[1], dense[i][np.minimum(code, dense.shape[1] - 1)], 0.0)
         return pd.DataFrame({"event_id": pdf["event_id"], "conv_event_id": pdf["conv_event_id"],
-                             "score": (1.0 / (1.0 + (-logit).map(math.exp))).round(9)})
+                             "score": np.round(1.0 / (1.0 + np.exp(-logit)), 9)})
     return MO.score_plugin(p, predict, "event_id long, conv_event_id long, score double")
 
 
@@ -885,11 +895,17 @@ def campaign_codes(enc, camps):
 
 @register("counterfactual_features")
 def q_counterfactual_features(spark, sf):
-    rows, enc, sc = fitted(spark, sf)
-    p = FE.processed_features(rows, enc, sc, keep=["event_id", "conv_event_id"])
+    p, w, b, enc = linear_model(spark, sf)
     camps = CA.collect_campaigns(campaigns(spark, sf))
-    pairs = FE.counterfactual_features(p, camps, campaign_codes(enc, camps), keep=["event_id", "conv_event_id"])
-    return pairs.withColumnRenamed("candidate_campaign_id", "campaign_id")
+    cw = MO.campaign_weights(enc, w, [c["campaign_id"] for c in camps])
+    for c in camps:
+        c["cand_weight"] = cw[c["campaign_id"]]
+    imp = MO.linear_logit(p, w, b, range(1, 9), out="imp_logit")
+    best = FE.counterfactual_features(
+        imp, camps, campaign_codes(enc, camps),
+        score=lambda c: CA.score_expr(CA.pconv_expr("model", None, c, F.col("imp_logit")), c), keep=["event_id", "conv_event_id"])
+    return best.select("event_id", "conv_event_id", F.col("candidate_campaign_id").alias("campaign_id"),
+                       rd("candidate_score").alias("score"), *[f"cat_{i}" for i in range(9)])
 
 
 def impression_codes(spark, sf, enc):
@@ -900,8 +916,7 @@ def impression_codes(spark, sf, enc):
 
 @register("policy_model")
 def q_policy_model(spark, sf):
-    p, w, b = linear_model(spark, sf)
-    _, enc, _ = fitted(spark, sf)
+    p, w, b, enc = linear_model(spark, sf)
     camps = CA.collect_campaigns(campaigns(spark, sf))
     cw = MO.campaign_weights(enc, w, [c["campaign_id"] for c in camps])
     for c in camps:
