@@ -668,6 +668,39 @@ LATERAL (SELECT c.budget * (d.day + 1) / CAST((SELECT max(day) + 1 FROM wk) AS D
                  WHERE l.win AND l.campaign_id = c.campaign_id AND w.day <= d.day) AS spent) x""",
   AUCTION + "," + _WEEK)
 
+# The serial loop itself: one impression per step, carrying spend per campaign and won (user, campaign) pairs.
+q("allocation_replay", f"""
+SELECT imp_id, imp_campaign_id_sampled_from, user_id, b.c AS campaign_id, round(b.v, 9) AS campaign_value_per_conv,
+       round(b.p * b.v, 9) AS expected_value, round(bid, 9) AS bid, round(price, 9) AS market_price, win, round(b.p, 9) AS pconv,
+       round(CASE WHEN win THEN b.p * b.v - price ELSE 0.0 END, 9) AS utility, round(1000.0 - spent[b.o], 9) AS budget_remaining,
+       eligible_campaigns, round(b.s, 9) AS chosen_score
+FROM step WHERE b IS NOT NULL""", AUCTION + f""",
+todo AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY imp_id) AS n, imp_id, any_value(imp_campaign_id_sampled_from) AS imp_campaign_id_sampled_from,
+         any_value(user_id) AS user_id, {D(0.9)} + {D(0.2)} * {U('price', 'imp_id')} AS factor,
+         list({{'o': ordinal, 's': score, 'p': pconv, 'v': value_per_conv, 'c': campaign_id}} ORDER BY score DESC, ordinal) AS cands
+  FROM pairs_random GROUP BY imp_id),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS n, (SELECT list(CAST(0 AS DOUBLE)) FROM camps) AS spent, CAST([] AS VARCHAR[]) AS won,
+         CAST(NULL AS BIGINT) AS imp_id, CAST(NULL AS VARCHAR) AS imp_campaign_id_sampled_from, CAST(NULL AS BIGINT) AS user_id,
+         (SELECT cands[1] FROM todo WHERE FALSE) AS b, CAST(0 AS DOUBLE) AS bid, CAST(0 AS DOUBLE) AS price, FALSE AS win,
+         CAST(0 AS BIGINT) AS eligible_campaigns
+  UNION ALL
+  SELECT n, CASE WHEN win THEN list_transform(spent, lambda x, i: CASE WHEN i = b.o THEN x + price ELSE x END) ELSE spent END,
+         CASE WHEN win THEN list_append(won, user_id || ':' || b.c) ELSE won END,
+         imp_id, imp_campaign_id_sampled_from, user_id, b, bid, price, win, eligible_campaigns
+  FROM (SELECT *, bid * factor AS price, bid > bid * factor AS win FROM (
+    SELECT *, elig[1] AS b, greatest({D(0.0)}, {D(0.9)} * (elig[1].p * elig[1].v)) AS bid, len(elig) AS eligible_campaigns FROM (
+      SELECT t.*, s.spent, s.won,
+             list_filter(t.cands, lambda x: s.spent[x.o] < 1000.0 AND len(list_filter(s.won, lambda w: w = t.user_id || ':' || x.c)) < 3) AS elig
+      FROM step s JOIN todo t ON t.n = s.n + 1))))""")
+ORACLE_SQL["allocation_replay"] = ORACLE_SQL["allocation_replay"].replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE_SQL["stream_allocation"] = ORACLE_SQL["allocation_replay"]
+
+q("compact_files", "SELECT campaign_id, count(*) AS n_rows, TRUE AS within_limit FROM imp GROUP BY campaign_id")
+
+q("scan_file_subset", "SELECT event_id, campaign_id FROM imp WHERE event_id % 4 IN (0, 2)")
+
 q("auction_summary", """
 SELECT campaign_id, count(*) AS impressions, count(*) FILTER (WHERE win) AS wins,
        round(avg(CAST(win AS DOUBLE)), 9) AS win_rate, round(sum(CASE WHEN win THEN market_price ELSE 0.0 END), 9) AS spend,

@@ -722,15 +722,15 @@ def q_compact_files(spark, sf):
     path = shared_path(spark, "compacted")
     IO.compact(imps(spark, sf), path, "campaign_id", "event_id", max_records_per_file=5)
     per_file = IO.file_row_counts(spark, path, "campaign_id")
-    return per_file.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows"),
-                                               F.max("n_rows").alias("max_rows_per_file"))
+    return per_file.groupBy("campaign_id").agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 5).alias("within_limit"))
 
 
 @register("scan_file_subset")
 def q_scan_file_subset(spark, sf):
     path = shared_path(spark, "chunks")
-    imps(spark, sf).repartitionByRange(4, "event_id").write.parquet(path)
-    return IO.read_file_subset(spark, path, r"^part-0000[02]-").select("event_id", "campaign_id")
+    for chunk in range(4):  # a file set per chunk, named by its folder
+        imps(spark, sf).where(F.col("event_id") % 4 == chunk).write.parquet(f"{path}/chunk{chunk}")
+    return IO.read_file_subset(spark, f"{path}/*", r"/chunk[02]/").select("event_id", "campaign_id")
 
 
 @register("auction_log_sink")

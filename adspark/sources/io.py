@@ -16,8 +16,12 @@ from pyspark.sql.types import StructType
 def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], mode: str = "overwrite",
                       compression: str = "snappy", max_records_per_file: int | None = None,
                       row_group_bytes: int | None = None) -> None:
-    """Partitioned Parquet write; overwrite replaces only the partitions present."""
-    w = (df.write.mode(mode).option("compression", compression)
+    """Partitioned Parquet write; overwrite replaces only the partitions present.
+
+    Rows are rebalanced by the partition columns first: a task writes few
+    folders, and AQE splits a hot partition value over several tasks.
+    """
+    w = (df.hint("rebalance", *partition_cols).write.mode(mode).option("compression", compression)
          .option("partitionOverwriteMode", "dynamic"))
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
@@ -46,23 +50,22 @@ def list_partitions(spark: SparkSession, path: str, column: str,
 
 
 def read_file_subset(spark: SparkSession, path: str, file_pattern: str) -> DataFrame:
-    """Rows of the files whose name matches a regex, via the hidden file metadata column (S3)."""
+    """Rows of the files whose path matches a regex, via the hidden file metadata column (S3)."""
     df = spark.read.parquet(path)
-    return df.where(F.col("_metadata.file_name").rlike(file_pattern))
+    return df.where(F.col("_metadata.file_path").rlike(file_pattern))
 
 
 def compact(df: DataFrame, path: str, partition_col: str, order_col: str,
-            max_records_per_file: int = 1_200_000, row_group_bytes: int = 64 * 1024 * 1024,
-            writers_per_partition: int = 8) -> None:
+            max_records_per_file: int = 1_200_000, row_group_bytes: int = 64 * 1024 * 1024) -> None:
     """Re-chunk into bounded files per partition value, sorted inside files.
 
-    Rows are clustered by (partition value, salt) so one hot partition value
-    is written by ``writers_per_partition`` tasks instead of one; each task
-    sorts its rows by (partition, order_col) so files carry tight min/max
-    statistics; ``maxRecordsPerFile`` bounds file size.
+    Rows are dealt out as (partition value, order) ranges that follow the
+    data, so a hot partition value gets as many writers as its size asks for;
+    each task sorts its rows, so files carry tight min/max statistics;
+    ``maxRecordsPerFile`` bounds file size.
     """
-    salt = F.pmod(F.xxhash64(F.col(order_col)), F.lit(writers_per_partition))
-    (df.repartition(partition_col, salt)
+    writers = max(1, -(-df.count() // max_records_per_file))
+    (df.repartitionByRange(writers, partition_col, order_col)
        .sortWithinPartitions(partition_col, order_col)
        .write.mode("overwrite").option("compression", "snappy")
        .option("maxRecordsPerFile", int(max_records_per_file))
