@@ -279,6 +279,18 @@ def _log(assign: DataFrame, camps: list[dict], spent0: dict, block_size: int) ->
     return out.select(*LOG_COLUMNS)
 
 
+def decisions(imps: DataFrame, camps: list[dict], predictor: str = "random", beta: float = 1.0, rule: str = "value",
+              price_model: str = "relative", imp_logit: str | None = None) -> DataFrame:
+    """Each impression's winning candidate, price and outcome with every campaign eligible.
+
+    The log without its running budget: one pass, no shuffle. Other columns of
+    ``imps`` (its time) stay.
+    """
+    out = best_campaign(imps, candidate_array(camps), predictor=predictor, beta=beta, rule=rule,
+                        price_model=price_model, imp_logit=imp_logit)
+    return out.withColumnRenamed("campaign_id_chosen", "campaign_id")
+
+
 def stateless_auction(imps: DataFrame, camps: list[dict], predictor: str = "random", beta: float = 1.0,
                       rule: str = "value", price_model: str = "relative", imp_logit: str | None = None,
                       block_size: int = 100_000) -> DataFrame:

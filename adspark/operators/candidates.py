@@ -18,6 +18,7 @@ from adspark.functions.hashing import normal, u
 from adspark.operators.ordering import spread
 
 MAX_CAMPAIGNS = 10_000
+CPM = 1.0  # dollars per thousand impressions that the random policy bids
 
 
 def campaign_params(rates: DataFrame, budget: float = 1000.0, seed: int = 0,
@@ -88,7 +89,7 @@ def pconv_expr(predictor: str, imp_id: Column, c: Column, imp_logit: Column | No
         return F.lit(1.0)
     if predictor == "random":
         return u("pconv", imp_id, c["campaign_id"])
-    if predictor == "rate":
+    if predictor in ("rate", "cpm"):
         return c["true_conv_rate"]
     if predictor == "model":
         if imp_logit is None:
@@ -111,7 +112,9 @@ def scored_candidates(cands: Column, predictor: str, imp_id: Column, rule: str =
     """array<struct(score, neg_ordinal, campaign_id, pconv, value_per_conv)> per impression."""
     def one(c):
         p = pconv_expr(predictor, imp_id, c, imp_logit)
-        return F.struct(score_expr(p, c, rule).alias("score"), (-c["ordinal"]).alias("neg_ordinal"),
+        # The constant-CPM policy picks any eligible campaign with the same chance.
+        s = u("pick", imp_id, c["campaign_id"]) if predictor == "cpm" else score_expr(p, c, rule)
+        return F.struct(s.alias("score"), (-c["ordinal"]).alias("neg_ordinal"),
                         c["campaign_id"].alias("campaign_id"), p.alias("pconv"),
                         c["value_per_conv"].alias("value_per_conv"))
     return F.transform(cands, one)
@@ -142,7 +145,7 @@ def best_campaign(df: DataFrame, cands: Column, predictor: str = "random", beta:
     out = (spread(df).withColumn("_n_elig", F.size(cands).cast("bigint")).where(F.col("_n_elig") > 0)
            .withColumn("_best", best))
     ev = F.col("_best.pconv") * F.col("_best.value_per_conv")
-    bid = F.greatest(F.lit(0.0), F.lit(float(beta)) * ev)
+    bid = F.lit(CPM / 1000) if predictor == "cpm" else F.greatest(F.lit(0.0), F.lit(float(beta)) * ev)
     out = out.select("*", F.col("_best.campaign_id").alias("campaign_id_chosen"),
                      F.col("_best.value_per_conv").alias("campaign_value_per_conv"),
                      F.col("_best.pconv").alias("pconv"), F.col("_best.score").alias("chosen_score"),

@@ -446,9 +446,6 @@ log_{pred} AS (
 
 
 AUCTION = CAMP_CTES + "," + log_ctes("random")
-ALL_POLICIES = CAMP_CTES + "," + log_ctes("random") + "," + log_ctes("heuristic") + "," + log_ctes("rate") + """,
-plogs AS (SELECT *, 'random' AS policy FROM log_random UNION ALL SELECT *, 'heuristic' FROM log_heuristic
-          UNION ALL SELECT *, 'rate' FROM log_rate)"""
 _LOG_D = ["campaign_value_per_conv", "expected_value", "bid", "market_price", "pconv", "utility",
           "budget_remaining", "chosen_score"]
 _LOG_COLS = ["imp_id", "imp_campaign_id_sampled_from", "user_id", "campaign_id", "campaign_value_per_conv",
@@ -631,34 +628,6 @@ SELECT arg_min(run, (val_loss, run)) AS best_run, round(min(val_loss), 9) AS bes
 _WEEK = """wk AS (SELECT imp_id, CAST(floor(date_diff('day', (SELECT min(CAST(dttm_utc AS DATE)) FROM aimp),
                                                 CAST(dttm_utc AS DATE)) / 7) AS INTEGER) AS day FROM aimp)"""
 
-q("policy_comparison", """
-SELECT policy, impressions, wins, round(spend, 9) AS spend, round(expected_conversions, 9) AS expected_conversions,
-       round(revenue_uplift, 9) AS revenue_uplift,
-       round(CASE WHEN expected_conversions = 0 THEN NULL ELSE spend / expected_conversions END, 9) AS cpa
-FROM (SELECT policy, count(*) AS impressions, count(*) FILTER (WHERE win) AS wins,
-             sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spend,
-             sum(CASE WHEN win THEN pconv ELSE 0.0 END) AS expected_conversions,
-             sum(CASE WHEN win THEN expected_value - market_price ELSE 0.0 END) AS revenue_uplift
-      FROM plogs GROUP BY policy)""", ALL_POLICIES)
-
-_PER = ALL_POLICIES + "," + _WEEK + """,
-per AS (SELECT policy, day, sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spend,
-               sum(CASE WHEN win THEN pconv ELSE 0.0 END) AS conv
-        FROM plogs JOIN wk USING (imp_id) GROUP BY policy, day),
-full_grid AS (SELECT policy, day, coalesce(spend, 0.0) AS spend, coalesce(conv, 0.0) AS conv
-              FROM (SELECT DISTINCT policy FROM plogs) CROSS JOIN (SELECT DISTINCT day FROM wk) LEFT JOIN per USING (policy, day))"""
-
-q("marginal_cpa", """
-SELECT p.policy, p.day, round(p.spend - b.spend, 9) AS delta_spend, round(p.conv - b.conv, 9) AS delta_conv,
-       round(CASE WHEN p.conv = b.conv THEN NULL ELSE (p.spend - b.spend) / (p.conv - b.conv) END, 9) AS marginal_cpa
-FROM full_grid p JOIN full_grid b USING (day) WHERE b.policy = 'random' AND p.policy <> 'random'""", _PER)
-
-q("marginal_cpa_window", """
-SELECT policy, day, round(spend - before.s, 9) AS delta_spend, round(conv - before.c, 9) AS delta_conv,
-       round(CASE WHEN conv = before.c THEN NULL ELSE (spend - before.s) / (conv - before.c) END, 9) AS marginal_cpa
-FROM (SELECT *, lag({'s': spend, 'c': conv}) OVER (PARTITION BY policy ORDER BY day) AS before FROM full_grid)
-WHERE before IS NOT NULL""", _PER)
-
 # The definition: for every campaign and period, what it should have spent by then and what it has.
 q("pacing_error", """
 SELECT c.campaign_id, d.day, round(spent, 9) AS cum_spend, round(plan, 9) AS planned, round(abs(spent - plan) / plan, 9) AS pacing_error
@@ -814,3 +783,49 @@ SELECT event_id, conv_event_id, campaign_id, round(score, 9) AS score, code AS c
 q("device_lookup_csv", """
 SELECT i.event_id, i.device_type, d.full_name AS device_type_full FROM imp i LEFT JOIN dev d ON i.device_type = d.short""",
   f"dev AS ({DEVICE_TYPES_SQL})")
+
+
+# --------------------------------------------------------------------------
+# The three policies: constant CPM on a random campaign, value only, the model
+# --------------------------------------------------------------------------
+POLICIES = _PM + "," + log_ctes("heuristic") + f""",
+best_cpm AS (SELECT * FROM (
+  SELECT a.imp_id, c.*, row_number() OVER (PARTITION BY a.imp_id ORDER BY {U('pick', 'a.imp_id', 'c.campaign_id')} DESC, c.ordinal) AS rn
+  FROM aimp a CROSS JOIN camps c) WHERE rn = 1),
+best_model AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY imp_id ORDER BY pconv * value_per_conv DESC, ordinal ASC) AS rn FROM mpairs) WHERE rn = 1),
+bids AS (
+  SELECT 'random' AS policy, imp_id, true_conv_rate AS pconv, true_conv_rate * value_per_conv AS expected_value, {D(0.001)} AS bid FROM best_cpm
+  UNION ALL SELECT 'model', imp_id, pconv, pconv * value_per_conv, greatest({D(0.0)}, {D(0.9)} * (pconv * value_per_conv)) FROM best_model
+  UNION ALL SELECT 'heuristic', imp_id, pconv, expected_value, bid FROM out_heuristic),
+plogs AS (SELECT *, bid > market_price AS win FROM (
+  SELECT *, bid * ({D(0.9)} + {D(0.2)} * {U('price', 'imp_id')}) AS market_price FROM bids))"""
+
+q("policy_comparison", """
+SELECT policy, impressions, wins, round(spend, 9) AS spend, round(expected_conversions, 9) AS expected_conversions,
+       round(revenue_uplift, 9) AS revenue_uplift,
+       round(CASE WHEN expected_conversions = 0 THEN NULL ELSE spend / expected_conversions END, 9) AS cpa
+FROM (SELECT policy, count(*) AS impressions, count(*) FILTER (WHERE win) AS wins,
+             sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spend,
+             sum(CASE WHEN win THEN pconv ELSE 0.0 END) AS expected_conversions,
+             sum(CASE WHEN win THEN expected_value - market_price ELSE 0.0 END) AS revenue_uplift
+      FROM plogs GROUP BY policy)""", POLICIES)
+
+_PER = POLICIES + "," + _WEEK + """,
+per AS (SELECT policy, day, sum(CASE WHEN win THEN market_price ELSE 0.0 END) AS spend,
+               sum(CASE WHEN win THEN pconv ELSE 0.0 END) AS conv
+        FROM plogs JOIN wk USING (imp_id) GROUP BY policy, day),
+full_grid AS (SELECT policy, day, coalesce(spend, 0.0) AS spend, coalesce(conv, 0.0) AS conv
+              FROM (SELECT DISTINCT policy FROM plogs) CROSS JOIN (SELECT DISTINCT day FROM wk) LEFT JOIN per USING (policy, day))"""
+
+q("marginal_cpa", """
+SELECT p.policy, p.day, round(p.spend - b.spend, 9) AS delta_spend, round(p.conv - b.conv, 9) AS delta_conv,
+       round(CASE WHEN p.conv = b.conv THEN NULL ELSE (p.spend - b.spend) / (p.conv - b.conv) END, 9) AS marginal_cpa
+FROM full_grid p JOIN full_grid b USING (day) WHERE b.policy = 'random' AND p.policy <> 'random'""", _PER)
+
+q("marginal_cpa_window", """
+SELECT policy, day, round(spend - before.s, 9) AS delta_spend, round(conv - before.c, 9) AS delta_conv,
+       round(CASE WHEN conv = before.c THEN NULL ELSE (spend - before.s) / (conv - before.c) END, 9) AS marginal_cpa
+FROM (SELECT *, lag({'s': spend, 'c': conv}) OVER (PARTITION BY policy ORDER BY day) AS before FROM full_grid)
+WHERE before IS NOT NULL""", _PER)
+

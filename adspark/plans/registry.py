@@ -631,16 +631,31 @@ def q_best_run(spark, sf):
 # --------------------------------------------------------------------------
 # Policy analytics
 # --------------------------------------------------------------------------
-def policy_logs(spark, sf):
-    logs = {p: stateless_log(spark, sf, predictor=p) for p in ["random", "heuristic", "rate"]}
-    return PO.union_logs(logs)
+def with_week(spark, sf, log):
+    """Adds ``day``: the 0-based week of the impression's time, which the log carries."""
+    d0 = imps(spark, sf).agg(F.min(F.to_date("dttm_utc")).alias("d0")).first()["d0"]
+    return log.withColumn("day", F.floor(F.datediff(F.to_date("dttm_utc"), F.lit(d0)) / 7).cast("int"))
 
 
-def with_week(spark, sf, log):
-    ai = auction_imps(spark, sf)
-    d0 = ai.agg(F.min(F.to_date("dttm_utc")).alias("d0")).first()["d0"]
-    wk = ai.select("imp_id", F.floor(F.datediff(F.to_date("dttm_utc"), F.lit(d0)) / 7).cast("int").alias("day"))
-    return log.join(wk, "imp_id")
+def model_candidates(spark, sf):
+    """(impressions with their side of the logit, campaigns with theirs) of the fitted linear model."""
+    _, w, b, enc = linear_model(spark, sf)
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    cw = MO.campaign_weights(enc, w, [c["campaign_id"] for c in camps])
+    for c in camps:
+        c["cand_weight"] = cw[c["campaign_id"]]
+    imp = MO.linear_logit(impression_codes(spark, sf, enc), w, b, range(1, 9), out="imp_logit").select(
+        F.col("event_id").alias("imp_id"), F.col("unique_id").alias("user_id"),
+        F.col("campaign_id").cast("string").alias("imp_campaign_id_sampled_from"),
+        F.col("impression_dttm_utc").alias("dttm_utc"), "imp_logit")
+    return imp, camps
+
+
+def policy_logs(spark, sf):
+    """Decisions of the three policies: constant CPM on a random campaign, value only, the fitted model."""
+    imp, camps = model_candidates(spark, sf)
+    kinds = {"random": "cpm", "heuristic": "heuristic", "model": "model"}
+    return PO.union_logs({name: AL.decisions(imp, camps, predictor=p, beta=BETA, imp_logit="imp_logit") for name, p in kinds.items()})
 
 
 @register("policy_comparison")
@@ -664,9 +679,10 @@ def q_marginal_cpa_window(spark, sf):
 
 @register("pacing_error")
 def q_pacing_error(spark, sf):
-    log = with_week(spark, sf, stateless_log(spark, sf))
+    camps = campaigns(spark, sf)
+    log = with_week(spark, sf, AL.decisions(auction_imps(spark, sf), CA.collect_campaigns(camps), beta=BETA))
     n = log.agg(F.max("day")).first()[0] + 1
-    p = PO.pacing_error(log, campaigns(spark, sf), n)
+    p = PO.pacing_error(log, camps, n)
     return p.select("campaign_id", "day", *[rd(x).alias(x) for x in ["cum_spend", "planned", "pacing_error"]])
 
 
@@ -916,15 +932,7 @@ def impression_codes(spark, sf, enc):
 
 @register("policy_model")
 def q_policy_model(spark, sf):
-    p, w, b, enc = linear_model(spark, sf)
-    camps = CA.collect_campaigns(campaigns(spark, sf))
-    cw = MO.campaign_weights(enc, w, [c["campaign_id"] for c in camps])
-    for c in camps:
-        c["cand_weight"] = cw[c["campaign_id"]]
-    codes = impression_codes(spark, sf, enc)
-    imp = MO.linear_logit(codes, w, b, range(1, 9), out="imp_logit").select(
-        F.col("event_id").alias("imp_id"), F.col("unique_id").alias("user_id"),
-        F.col("campaign_id").cast("string").alias("imp_campaign_id_sampled_from"), "imp_logit")
+    imp, camps = model_candidates(spark, sf)
     best = CA.best_campaign(imp, CA.candidate_array(camps), predictor="model", beta=BETA, imp_logit="imp_logit")
     return best.select("imp_id", F.col("campaign_id_chosen").alias("campaign_id"), rd("pconv").alias("pconv"),
                        rd("chosen_score").alias("chosen_score"))
