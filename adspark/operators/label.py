@@ -97,38 +97,37 @@ def device_type_lookup(df: DataFrame, lookup: DataFrame, code_col: str = "device
     return df.join(lk, df[code_col] == lk["_short"], "left").drop("_short")
 
 
-def conversion_latency(imp: DataFrame, conv: DataFrame, block_seconds: int = 3600) -> DataFrame:
-    """Seconds from each impression to the next conversion of its key at or after it.
-
-    No pair join: impressions and conversions are stacked per key and cut
-    into time blocks. Inside a block a descending running minimum gives the
-    next conversion; a small window over per-block minima gives the first
-    conversion in any later block. A hot key is spread over its time blocks.
-    Impressions with no later conversion are left out; rows without a campaign
-    or user match nothing.
+def conversion_latency(imp: DataFrame, conv: DataFrame, window_days: int = 7, block_seconds: int = 3600) -> DataFrame:
+    """Each conversion with the impression it goes to, and the seconds between them.
+
+    That is the latest impression of its campaign and user at or before it,
+    at most ``window_days`` earlier (ties to the highest id); a conversion
+    without one is left out, so is any row without a campaign or user. One row
+    per conversion at most.
+
+    No pair join: impressions and conversions are stacked per key and cut into
+    time blocks. Inside a block a running maximum gives the last impression; a
+    small window over per-block maxima gives the last one of any earlier
+    block. A hot key is spread over its time blocks.
     """
     key = ["campaign_id", "unique_id"]
-    imp = imp.where(F.col("campaign_id").isNotNull() & F.col("unique_id").isNotNull())
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    stack = (imp.select(*key, "event_id", F.col("dttm_utc").alias("ts"), "device_type",
-                        F.lit(0).alias("kind"))
+    stack = (imp.select(*key, "event_id", F.col("dttm_utc").alias("ts"), "device_type", F.lit(0).alias("kind"))
              .unionByName(conv.select(F.col("imp_click_campaign_id").alias("campaign_id"),
                                       F.col("imp_click_unique_id").alias("unique_id"),
                                       F.col("conv_event_id").alias("event_id"), F.col("conv_dttm_utc").alias("ts"),
                                       F.lit(None).cast("string").alias("device_type"), F.lit(1).alias("kind")))
-             .withColumn("_us", us)
+             .where(F.col("campaign_id").isNotNull() & F.col("unique_id").isNotNull())
+             .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
              .withColumn("_blk", F.floor(F.col("_us") / F.lit(block_seconds * 1_000_000)).cast("bigint")))
-    conv_us = F.when(F.col("kind") == 1, F.col("_us"))
-    # Descending time, conversions before impressions at equal time (conv >= imp counts).
-    w_in = (Window.partitionBy(*key, "_blk").orderBy(F.col("_us").desc(), F.col("kind").desc())
-            .rowsBetween(Window.unboundedPreceding, 0))
-    inb = stack.withColumn("_next_in", F.min(conv_us).over(w_in))
-    # Every (key, block) with any row gets an entry; _bmin is null when it has no conversion.
-    per_blk = stack.groupBy(*key, "_blk").agg(F.min(conv_us).alias("_bmin"))
-    w_blk = Window.partitionBy(*key).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = per_blk.withColumn("_next_later", F.min("_bmin").over(w_blk)).drop("_bmin")
-    imps = inb.where(F.col("kind") == 0).drop("kind")
-    j = imps.join(later, [*key, "_blk"], "left")
-    nxt = F.coalesce(F.col("_next_in"), F.col("_next_later"))
-    return (j.where(nxt.isNotNull())
-             .select(*key, "event_id", "device_type", ((nxt - F.col("_us")) / F.lit(1e6)).alias("latency_s")))
+    seen = F.when(F.col("kind") == 0, F.struct("_us", "event_id", "device_type"))
+    # Ascending time, impressions before conversions at equal time.
+    w_in = Window.partitionBy(*key, "_blk").orderBy("_us", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inb = stack.withColumn("_last_in", F.max(seen).over(w_in)).where(F.col("kind") == 1)
+    per_blk = stack.groupBy(*key, "_blk").agg(F.max(seen).alias("_bmax"))
+    w_blk = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_blk.withColumn("_last_before", F.max("_bmax").over(w_blk)).drop("_bmax")
+    j = inb.drop("device_type").join(before, [*key, "_blk"], "left").withColumn("_i", F.coalesce("_last_in", "_last_before"))
+    gap = F.col("_us") - F.col("_i._us")
+    return (j.where(gap <= F.lit(window_days * 86_400_000_000))
+             .select(*key, F.col("_i.event_id").alias("event_id"), F.col("event_id").alias("conv_event_id"),
+                     F.col("_i.device_type").alias("device_type"), (gap / F.lit(1e6)).alias("latency_s")))

@@ -199,17 +199,21 @@ UNION ALL
 SELECT c.conv_event_id AS event_id, c.conv_device_type AS device_type, d.full_name AS device_type_full
 FROM conv c LEFT JOIN dev d ON c.conv_device_type = d.short""", f"dev AS ({DEVICE_TYPES_SQL})")
 
+# Each conversion with its latest impression of at most seven days before.
+ATTRIBUTED = """attributed AS (
+  SELECT * FROM (
+    SELECT i.event_id, c.conv_event_id, i.device_type, (epoch_us(c.conv_dttm_utc) - epoch_us(i.dttm_utc)) / 1e6 AS latency_s,
+           row_number() OVER (PARTITION BY c.conv_event_id ORDER BY i.dttm_utc DESC, i.event_id DESC) AS rn
+    FROM imp i JOIN conv c ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
+     AND c.conv_dttm_utc >= i.dttm_utc AND c.conv_dttm_utc <= i.dttm_utc + INTERVAL 7 DAY)
+  WHERE rn = 1)"""
+
 q("conversion_latency", """
 SELECT device_type_full, count(*) AS n, round(avg(latency_s), 3) AS mean_s,
        round(quantile_cont(latency_s, 0.5), 3) AS median_s, round(min(latency_s), 3) AS min_s,
        round(max(latency_s), 3) AS max_s
-FROM (SELECT d.full_name AS device_type_full,
-             (min(epoch_us(c.conv_dttm_utc)) - epoch_us(i.dttm_utc)) / 1e6 AS latency_s
-      FROM imp i JOIN conv c ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
-                            AND c.conv_dttm_utc >= i.dttm_utc
-      LEFT JOIN dev d ON i.device_type = d.short
-      GROUP BY i.event_id, i.dttm_utc, d.full_name)
-GROUP BY device_type_full""", f"dev AS ({DEVICE_TYPES_SQL})")
+FROM (SELECT d.full_name AS device_type_full, latency_s FROM attributed a LEFT JOIN dev d ON a.device_type = d.short)
+GROUP BY device_type_full""", ATTRIBUTED + f",\ndev AS ({DEVICE_TYPES_SQL})")
 
 ORACLE_SQL["orders_returns_label"] = """
 SELECT o.o_orderkey, l.l_linenumber, CAST(l.l_orderkey IS NOT NULL AS TINYINT) AS returned
@@ -735,10 +739,16 @@ SELECT strftime(date_trunc('day', a.dttm_utc), '%Y-%m-%d') AS day, count(*) FILT
 FROM log_random l JOIN aimp a USING (imp_id)
 GROUP BY 1""", AUCTION)
 
+# What is settled once the stream's time is a day behind the last event: conversions by then with
+# their impression, and impressions that no conversion of the seven days after them went to.
 q("stream_attribution", """
-SELECT i.event_id, c.conv_event_id, round((epoch_us(c.conv_dttm_utc) - epoch_us(i.dttm_utc)) / 1e6, 3) AS latency_s
-FROM imp i JOIN conv c ON i.campaign_id = c.imp_click_campaign_id AND i.unique_id = c.imp_click_unique_id
- AND c.conv_dttm_utc >= i.dttm_utc AND c.conv_dttm_utc <= i.dttm_utc + INTERVAL 7 DAY""")
+SELECT a.event_id, a.conv_event_id, round(a.latency_s, 3) AS latency_s FROM attributed a JOIN conv c USING (conv_event_id), clock
+WHERE c.conv_dttm_utc <= clock.t
+UNION ALL
+SELECT i.event_id, NULL, NULL FROM imp i, clock WHERE i.dttm_utc + INTERVAL 7 DAY < clock.t
+ AND i.campaign_id IS NOT NULL AND i.unique_id IS NOT NULL AND i.event_id NOT IN (SELECT event_id FROM attributed)""",
+  ATTRIBUTED + """,
+clock AS (SELECT date_trunc('milliseconds', max(t)) - INTERVAL 1 DAY AS t FROM (SELECT dttm_utc AS t FROM imp UNION ALL SELECT conv_dttm_utc FROM conv))""")
 
 ORACLE_SQL["ua_enrich_distinct"] = ORACLE_SQL["ua_enrich"]
 

@@ -147,15 +147,59 @@ def latest_updates(spark: SparkSession, path: str, key: str = "w") -> DataFrame:
 # ---------------------------------------------------------------------------
 def stream_attribution(imp_stream: DataFrame, conv_stream: DataFrame, window_days: int = 7,
                        watermark: str = "1 day") -> DataFrame:
-    """Stream-stream join: conversions within ``window_days`` after an impression of the same key."""
-    i = imp_stream.withWatermark("dttm_utc", watermark)
-    c = conv_stream.withWatermark("conv_dttm_utc", watermark)
-    cond = ((i["campaign_id"] == c["imp_click_campaign_id"]) & (i["unique_id"] == c["imp_click_unique_id"])
-            & (c["conv_dttm_utc"] >= i["dttm_utc"])
-            & (c["conv_dttm_utc"] <= i["dttm_utc"] + F.expr(f"INTERVAL {int(window_days)} DAYS")))
-    j = i.join(c, cond, "inner")
-    lat = (F.unix_micros(F.col("conv_dttm_utc")) - F.unix_micros(F.col("dttm_utc"))) / F.lit(1e6)
-    return j.select("event_id", "conv_event_id", lat.alias("latency_s"))
+    """Conversions with the impression they go to, and impressions that got none.
+
+    A conversion goes to the latest impression of its campaign and user at or
+    before it, at most ``window_days`` earlier: (event_id, conv_event_id,
+    latency_s), one row per conversion, settled when the watermark has passed
+    it. An impression whose window has passed without one is emitted with
+    nulls. Rows without a campaign or user match nothing and are left out.
+
+    State per key is its impressions of the last ``window_days`` and its
+    unsettled conversions; no pairs are formed.
+    """
+    i = imp_stream.select("campaign_id", "unique_id", "event_id", F.col("dttm_utc").alias("ts"), F.lit(0).alias("kind"))
+    c = conv_stream.select(F.col("imp_click_campaign_id").alias("campaign_id"), F.col("imp_click_unique_id").alias("unique_id"),
+                           F.col("conv_event_id").alias("event_id"), F.col("conv_dttm_utc").alias("ts"), F.lit(1).alias("kind"))
+    both = i.unionByName(c).where(F.col("campaign_id").isNotNull() & F.col("unique_id").isNotNull())
+    both = both.withWatermark("ts", watermark).withColumn("us", F.unix_micros("ts"))
+    return (both.groupBy("campaign_id", "unique_id")
+            .applyInPandasWithState(_attribute_fn(window_days * 86_400_000_000), "event_id long, conv_event_id long, latency_s double",
+                                    "rows array<struct<us:bigint,kind:int,event_id:bigint,got:boolean>>", "append",
+                                    GroupStateTimeout.EventTimeTimeout))
+
+
+def _attribute_fn(window_us: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        rows = [tuple(r) for r in state.get[0]] if state.exists else []
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                rows += [(int(u), int(k), int(e), False) for u, k, e in zip(pdf["us"], pdf["kind"], pdf["event_id"])]
+        now = state.getCurrentWatermarkMs() * 1000
+        rows.sort()
+        out, kept, last = [], [], None
+        for n, (us, kind, event_id, got) in enumerate(rows):
+            if kind == 0:
+                last = n
+            elif us <= now:
+                if last is not None and us - rows[last][0] <= window_us:
+                    out.append((rows[last][2], event_id, (us - rows[last][0]) / 1e6))
+                    rows[last] = (*rows[last][:3], True)
+        for us, kind, event_id, got in rows:
+            if kind == 1 and us > now or kind == 0 and us + window_us >= now:
+                kept.append((us, kind, event_id, got))
+            elif kind == 0 and not got:
+                out.append((event_id, None, None))
+        if kept:
+            state.update((kept,))
+            due = min(us if kind else us + window_us + 1 for us, kind, _, _ in kept)
+            state.setTimeoutTimestamp(max(due // 1000 + 1, now // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"event_id": pd.array([o[0] for o in out], "Int64"), "conv_event_id": pd.array([o[1] for o in out], "Int64"),
+                                "latency_s": pd.array([o[2] for o in out], "Float64")})
+    return fn
 
 
 # ---------------------------------------------------------------------------

@@ -65,22 +65,29 @@ def test_replay_with_hot_user_equals_serial(spark, hot):
         [(w["imp_id"], w["campaign_id"], w["win"]) for w in want]
 
 
-def test_next_conversion_latency_equals_brute_force(spark, hot):
+def test_attributed_latency_equals_brute_force(spark, hot):
+    """Every conversion goes to its latest impression of the last seven days; null keys match nothing."""
+    import datetime as dt
+
     from adspark.operators import label as L
     conv = R.convs(spark, SF_SMALL)
     h = F.col("conv_event_id") % 3 == 0
     conv = (conv.withColumn("imp_click_campaign_id", F.when(h, F.lit(42)).otherwise(F.col("imp_click_campaign_id")))
                 .withColumn("imp_click_unique_id", F.when(h, F.lit(7)).otherwise(F.col("imp_click_unique_id"))))
-    got = {r.event_id: r.latency_s for r in L.conversion_latency(hot, conv, block_seconds=600).collect()}
-    imps = [(r.event_id, r.campaign_id, r.unique_id, r.dttm_utc) for r in hot.collect()]
-    convs = [(r.imp_click_campaign_id, r.imp_click_unique_id, r.conv_dttm_utc) for r in conv.collect()]
+    none = F.lit(None).cast("bigint")
+    conv = conv.unionByName(conv.limit(5).withColumn("imp_click_campaign_id", none).withColumn("conv_event_id", -F.col("conv_event_id")))
+    imp = hot.unionByName(hot.limit(5).withColumn("campaign_id", none))
+    got = {r.conv_event_id: (r.event_id, r.latency_s) for r in L.conversion_latency(imp, conv, block_seconds=600).collect()}
+    imps = [(r.campaign_id, r.unique_id, r.dttm_utc, r.event_id) for r in hot.collect()]
     want = {}
-    for eid, cid, uid, ts in imps:
-        later = [c for k1, k2, c in convs if k1 == cid and k2 == uid and c >= ts]
-        if later:
-            want[eid] = (min(later) - ts).total_seconds()
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    for r in conv.where("imp_click_campaign_id is not null").collect():
+        before = [(t, e) for c, u_, t, e in imps if (c, u_) == (r.imp_click_campaign_id, r.imp_click_unique_id)
+                  and dt.timedelta(0) <= r.conv_dttm_utc - t <= dt.timedelta(days=7)]
+        if before:
+            t, e = max(before)
+            want[r.conv_event_id] = (e, (r.conv_dttm_utc - t).total_seconds())
+    assert got.keys() == want.keys() and want
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in got)
 
 
 def test_blocks_follow_crowded_scores(spark):
