@@ -77,3 +77,17 @@ def materialize(df):
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete the tables and checkpoints this session wrote under the shared folder.
+
+    Call it when the results that read them have been written: every staged
+    table (cleaned rows, fitted transforms, replay logs, stream checkpoints)
+    lies in one folder of the session's own, which Spark named.
+    """
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.sparkContext.setCheckpointDir(os.path.dirname(folder.rstrip("/")))

@@ -32,3 +32,14 @@ def test_no_python_udf_in_sql_checked_hot_paths(spark):
     for name in ["label_impressions", "ua_enrich", "processed_features", "auction_log", "roc_auc"]:
         plan = R.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_intermediates_can_be_dropped(spark):
+    import os
+
+    from adspark.session import drop_intermediates, materialize, shared_path
+    path = shared_path(spark, "to-drop")
+    spark.range(3).write.parquet(path)
+    drop_intermediates(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
+    assert materialize(spark.range(4)).count() == 4 and os.path.exists(shared_path(spark, "x").rpartition("/")[0].removeprefix("file:"))
