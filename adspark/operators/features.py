@@ -117,18 +117,16 @@ def fit_scaler(df: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> DataFram
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def scaler_params(scaler: DataFrame, max_rows: int = 10_000) -> dict[str, tuple[float, float]]:
-    """The fitted scaler as a dict; one row per feature, size-checked."""
-    rows = scaler.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("scaler table larger than the feature limit")
+def scaler_params(scaler: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> dict[str, tuple[float, float]]:
+    """The fitted (mean, scale) of the named columns as a dict; reads one row per column."""
+    rows = scaler.where(F.col("feature").isin(columns)).collect()
     return {r["feature"]: (r["mean"], r["scale"]) for r in rows}
 
 
 def scale_features(df: DataFrame, scaler: DataFrame | dict, columns: list[str] = NUMERIC_FEATURES,
                    out_type: str = "float") -> DataFrame:
     """(x - mean) / scale, computed in double, cast last (F8)."""
-    params = scaler if isinstance(scaler, dict) else scaler_params(scaler)
+    params = scaler if isinstance(scaler, dict) else scaler_params(scaler, columns)
     out = df
     for c in columns:
         m, s = params[c]

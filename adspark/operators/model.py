@@ -31,35 +31,35 @@ def fit_log_odds(processed: DataFrame, n_cat: int = 9, label: str = "conversion_
 
 
 def linear_logit(df: DataFrame, weights: DataFrame, bias: float, features, out: str = "logit") -> DataFrame:
-    """bias + sum over ``features`` (indices) of weight[feature][cat_i]; unseen codes weigh 0."""
-    n_w = weights.count()
-    res = df
-    terms = []
+    """bias + sum over ``features`` (indices) of weight[feature][cat_i]; unseen codes weigh 0.
+
+    Each feature's weights are broadcast if that feature has at most
+    ``MAX_BROADCAST_ROWS`` of them, else joined by shuffle: one large
+    dictionary does not make the small ones move the facts.
+    """
+    features = list(features)
+    size = {r["feature"]: r["count"] for r in weights.groupBy("feature").count().collect()}  # one row per feature
+    res, logit = df, F.lit(float(bias))
     for i in features:
         wi = weights.where(F.col("feature") == i).select(F.col("code").alias(f"cat_{i}"), F.col("weight").alias(f"_w{i}"))
-        if n_w <= MAX_BROADCAST_ROWS:
+        if size.get(i, 0) <= MAX_BROADCAST_ROWS:
             wi = F.broadcast(wi)
         res = res.join(wi, f"cat_{i}", "left")
-        terms.append(F.coalesce(F.col(f"_w{i}"), F.lit(0.0)))
-    logit = F.lit(float(bias))
-    for t in terms:
-        logit = logit + t
+        logit = logit + F.coalesce(F.col(f"_w{i}"), F.lit(0.0))
     return res.withColumn(out, logit).drop(*[f"_w{i}" for i in features])
 
 
 def campaign_weights(encoder: DataFrame, weights: DataFrame, campaign_ids: list[int],
-                     feature_name: str = "campaign_id", feature_index: int = 0,
-                     max_rows: int = MAX_BROADCAST_ROWS) -> dict[int, float]:
+                     feature_name: str = "campaign_id", feature_index: int = 0) -> dict[int, float]:
     """Weight of each candidate campaign's code (unseen id -> code 0, unseen code -> 0.0).
 
-    Reads only the campaign feature's dictionary and weights: bounded by the
-    campaign count, checked.
+    Reads the dictionary entries of the named campaigns and the weights of
+    their codes: as many rows as campaigns, whatever the dictionary's size.
     """
-    codes = encoder.where(F.col("feature") == feature_name).select("category", "code")
-    ws = weights.where(F.col("feature") == feature_index).select("code", "weight")
-    if codes.count() > max_rows or ws.count() > max_rows:
-        raise ValueError("campaign dictionary too large to ship to tasks")
+    codes = encoder.where((F.col("feature") == feature_name) & F.col("category").isin([str(c) for c in campaign_ids]))
     code_of = {r["category"]: r["code"] for r in codes.collect()}
+    wanted = sorted({*code_of.values(), 0})
+    ws = weights.where((F.col("feature") == feature_index) & F.col("code").isin(wanted))
     w_of = {r["code"]: r["weight"] for r in ws.collect()}
     return {cid: float(w_of.get(code_of.get(str(cid), 0), 0.0)) for cid in campaign_ids}
 
@@ -67,20 +67,8 @@ def campaign_weights(encoder: DataFrame, weights: DataFrame, campaign_ids: list[
 def score_linear(processed: DataFrame, weights: DataFrame, bias: float, n_cat: int = 9,
                  keep: list[str] | None = None) -> DataFrame:
     """p = sigmoid(bias + sum of per-feature weights); unseen codes weigh 0 (M1)."""
-    n_w = weights.count()
-    out = processed
-    terms = []
-    for i in range(n_cat):
-        wi = weights.where(F.col("feature") == i).select(F.col("code").alias(f"cat_{i}"), F.col("weight").alias(f"_w{i}"))
-        if n_w <= MAX_BROADCAST_ROWS:
-            wi = F.broadcast(wi)
-        out = out.join(wi, f"cat_{i}", "left")
-        terms.append(F.coalesce(F.col(f"_w{i}"), F.lit(0.0)))
-    logit = F.lit(float(bias))
-    for t in terms:
-        logit = logit + t
-    out = out.withColumn("logit", logit).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit"))))
-    out = out.drop(*[f"_w{i}" for i in range(n_cat)])
+    out = linear_logit(processed, weights, bias, range(n_cat))
+    out = out.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit"))))
     return out.select(*keep, "logit", "score") if keep else out
 
 

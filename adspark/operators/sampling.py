@@ -17,6 +17,9 @@ from adspark.functions.hashing import u
 from adspark.operators.ordering import ranked_within
 
 
+MAX_BROADCAST_LABELS = 10_000
+
+
 def hash_split(df: DataFrame, key: str = "event_id", by: str | None = "campaign_id", seed: int = 42,
                fractions=(0.8, 0.1, 0.1), names=("train", "val", "test"), out: str = "split") -> DataFrame:
     """Assign each row to a split by thresholds on ``u(seed:group, key)``."""
@@ -35,8 +38,9 @@ def stratified_split(df: DataFrame, label: str = "conversion_flag", key: str = "
     """Exact quotas per label value: first round(n*f1) rows by draw -> names[0], ...."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     ranked = ranked_within(df, [label], u(f"strat{seed}", F.col(key)), key, n_blocks=n_blocks)
-    # One row per label value (two for a binary label): broadcast is bounded.
-    j = ranked.join(F.broadcast(counts), label, "inner")
+    # One row per label value, usually two; a label with many values is joined by shuffle.
+    few = counts.limit(MAX_BROADCAST_LABELS + 1).count() <= MAX_BROADCAST_LABELS
+    j = ranked.join(F.broadcast(counts) if few else counts, label, "inner")
     c1 = F.round(F.col("_n") * fractions[0])
     c2 = c1 + F.round(F.col("_n") * fractions[1])
     expr = (F.when(F.col("_rank") <= c1, F.lit(names[0]))

@@ -903,8 +903,9 @@ def q_stream_allocation(spark, sf):
 # Counterfactual features (F12), model predictor in the auction (B4), CSV lookup
 # --------------------------------------------------------------------------
 def campaign_codes(enc, camps):
-    """campaign_id -> encoded code (unseen -> 0, collide), bounded by the campaign list."""
-    rows = enc.where(F.col("feature") == "campaign_id").select("category", "code").collect()
+    """campaign_id -> encoded code (unseen -> 0, collide), read for the campaigns of the list alone."""
+    ids = [str(c["campaign_id"]) for c in camps]
+    rows = enc.where((F.col("feature") == "campaign_id") & F.col("category").isin(ids)).select("category", "code").collect()
     code_of = {r["category"]: r["code"] for r in rows}
     return {c["campaign_id"]: int(code_of.get(str(c["campaign_id"]), 0)) for c in camps}
 
