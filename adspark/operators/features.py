@@ -117,9 +117,9 @@ def fit_scaler(df: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> DataFram
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def scaler_params(scaler: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> dict[str, tuple[float, float]]:
-    """The fitted (mean, scale) of the named columns as a dict; reads one row per column."""
-    rows = scaler.where(F.col("feature").isin(columns)).collect()
+def scaler_params(scaler: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[float, float]]:
+    """The fitted (mean, scale) by column, of all columns or the named ones: one row per column."""
+    rows = (scaler if columns is None else scaler.where(F.col("feature").isin(columns))).collect()
     return {r["feature"]: (r["mean"], r["scale"]) for r in rows}
 
 
