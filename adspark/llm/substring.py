@@ -10,8 +10,8 @@ An anchor all of whose paths read the same does not branch: the path is
 compacted to one row with its first document, however often it occurs. Where
 paths of an anchor differ, the text at the source coordinates of each distinct
 path is read again and its single windows are compared. Joins carry hashes and
-coordinates; whole texts are shuffled once, and that shuffle serves both the
-second reading and the removal.
+coordinates; whole texts are shuffled for that second reading and for the
+removal, in proportion to the input.
 """
 
 from __future__ import annotations
@@ -83,14 +83,14 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, said long, i int, win long")
 
 
-def repeated(docs: DataFrame, texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, text_hash, spans): words covered by windows that a smaller doc_id also holds.
 
-    ``docs`` and ``texts`` are the same rows (text, doc_id, text_hash), without
-    null ids; ``texts`` is what the second reading joins with.
+    ``docs`` has text, doc_id and text_hash, without null ids.
     """
     found = stored(_paths(docs, window, anchor), "paths")
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # Written before they are joined: Spark splits a hot key of a join only where both sides are plain shuffles.
+    shared = stored(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared-anchors")
     found = stored(found.join(shared, "anchor"), "shared-paths")
     each = found.groupBy("anchor", "said").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
     forks = each.groupBy("anchor").agg((F.count("*") > 1).alias("forks"))
@@ -99,15 +99,15 @@ def repeated(docs: DataFrame, texts: DataFrame, window: int = WINDOW, anchor: in
     straight = each.where("NOT forks AND rep.doc_id < last").select("anchor", "said", F.col("rep.doc_id").alias("first"), F.lit(None).cast("array<struct<i:int,first:bigint>>").alias("windows"))
     branching = each.where("forks")
     lists = branching.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct("anchor", "said", F.col("rep.start").alias("start"), "n")).alias("paths"))
-    read = texts.join(lists.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("text", "paths")
+    read = docs.join(lists.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("text", "paths")
     wins = _windows(read, window).join(branching.select("anchor", "said", F.col("rep.doc_id").alias("first"), "last"), ["anchor", "said"])
     wins = stored(wins, "windows")
-    low = wins.groupBy("anchor", "win").agg(F.min("first").alias("low"))
+    low = stored(wins.groupBy("anchor", "win").agg(F.min("first").alias("low")), "first-windows")
     branched = (wins.join(low, ["anchor", "win"]).where("low < last").groupBy("anchor", "said")
                 .agg(F.collect_list(F.struct("i", F.col("low").alias("first"))).alias("windows")).select("anchor", "said", F.lit(None).cast("long").alias("first"), "windows"))
 
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-    hit = found.join(straight.unionByName(branched), ["anchor", "said"])
+    hit = found.join(stored(straight.unionByName(branched), "repeated-paths"), ["anchor", "said"])
     some = F.transform(F.filter("windows", lambda w: w["first"] < F.col("doc_id")), lambda w: span(F.col("start") + w["i"], F.col("start") + w["i"] + window))
     whole = F.when(F.col("first") < F.col("doc_id"), F.array(span(F.col("start"), F.col("start") + F.col("n") + (window - 1))))
     hit = hit.select("doc_id", "text_hash", F.coalesce(some, whole).alias("spans")).where(F.size("spans") > 0)
@@ -132,7 +132,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text
     """
     rows = docs.select(F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     known = rows.where("doc_id IS NOT NULL")
-    spans = repeated(known, known, window, anchor)
+    spans = repeated(known, window, anchor)
     joined = known.join(spans.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").select("text", "doc_id", "spans")
     nulls = rows.where("doc_id IS NULL").select("text", "doc_id", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
 
