@@ -63,7 +63,7 @@ def budget_pacing(log: DataFrame, budgets: DataFrame, campaign: str = "campaign_
     """
     wins = log.where(F.col("win"))
     cum = running_sum_blocked(wins, [campaign], order, price, block_size, out_col="_spent")
-    b = budgets.select(campaign, "budget")
+    b = materialize(budgets.select(campaign, "budget"))  # one row per campaign, computed once
     j = cum.join(F.broadcast(b) if _small(b) else b, campaign, "inner")
     return (j.withColumn("spent_before", F.col("_spent") - F.col(price))
              .where(F.col("spent_before") < F.col("budget"))
