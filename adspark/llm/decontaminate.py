@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adspark.llm.text import WordHashes, as_bytes, gram_hashes, slices, sliding_min
+from adspark.llm.text import WordHashes, as_bytes, gram_hashes, map_texts, slices, sliding_min
 
 WINDOW = 10
 BLOCK_CHARS = 2_000_000
@@ -150,7 +150,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
         got = part.toArrow()
         index = BlockIndex(list(zip(got.column(0).to_pylist(), as_bytes(got.column(1)))), window)
         schema = T.StructType([out.schema["text"], out.schema["row"], T.StructField("found", _FOUND)])
-        out = out.mapInArrow(_scan_block(spark.sparkContext.broadcast(index)), schema)
+        out = map_texts(out, _scan_block(spark.sparkContext.broadcast(index)), schema)
     return out.select("row", "found.n_words", "found.spans", "found.items")
 
 

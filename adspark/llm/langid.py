@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.llm.text import held_out, slices
+from adspark.llm.text import held_out, map_texts, slices
 
 WINDOW = 256
 EMBED = 8
@@ -173,4 +173,4 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
 
-    return d.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_texts(d, run, "doc_id long, lang_pred string, score double")

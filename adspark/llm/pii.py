@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adspark.llm.text import slices, stored
+from adspark.llm.text import map_texts, slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -176,7 +176,7 @@ def extract(docs: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE)
     gives no rows. Without seeds nothing is added.
     """
     rows = docs.select(F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    found = stored(rows.mapInArrow(_scan, _FOUND), "pii")
+    found = stored(map_texts(rows, _scan, _FOUND), "pii")
     seen = found.select("text_hash", F.explode("seen").alias("s")).select("text_hash", "s.*").distinct()
     best = (scores(seen, rounds).where(F.col("score") >= min_score).groupBy("value")
             .agg(F.max_by("kind", F.struct("score", "kind")).alias("as_kind")))

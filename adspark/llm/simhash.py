@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adspark.llm.graph import components
-from adspark.llm.text import mix64, slices, stored
+from adspark.llm.text import map_texts, mix64, slices, stored
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None
             fps = [fingerprint(t.lower().split() if t else [], shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["row", "fp"])
 
-    return d.mapInArrow(run, T.StructType([d.schema["row"], T.StructField("fp", T.LongType())]))
+    return map_texts(d, run, T.StructType([d.schema["row"], T.StructField("fp", T.LongType())]))
 
 
 def _block_masks(max_bits: int) -> list[int]:

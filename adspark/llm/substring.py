@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adspark.llm.text import WordHashes, gram_hashes, slices, sliding_min, stored
+from adspark.llm.text import WordHashes, gram_hashes, map_texts, slices, sliding_min, stored
 
 WINDOW = 50
 ANCHOR = 10
@@ -61,7 +61,7 @@ def _paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 [batch.column(1).take(pa.array(d)), batch.column(2).take(pa.array(d)), pa.array(start.astype(np.int32)),
                  pa.array(n.astype(np.int32)), pa.array(a), pa.array(said)], names=["doc_id", "text_hash", "start", "n", "anchor", "said"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, start int, n int, anchor long, said long")
+    return map_texts(docs, run, "doc_id long, text_hash long, start int, n int, anchor long, said long")
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
@@ -80,7 +80,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
                                               pa.array(np.array(out[3], np.uint64).view(np.int64))], names=["anchor", "said", "i", "win"])
 
-    return rows.mapInArrow(run, "anchor long, said long, i int, win long")
+    return map_texts(rows, run, "anchor long, said long, i int, win long")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -154,4 +154,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))],
                                              names=["doc_id", *_DONE.names])
 
-    return joined.unionByName(nulls).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *_DONE.fields]))
+    return map_texts(joined.unionByName(nulls), run, T.StructType([T.StructField("doc_id", T.LongType()), *_DONE.fields]))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from adspark.session import shared_path
 
 SPACE = r"[\x20\x09-\x0D]"
+BATCH_BYTES = 8 << 20
 SLICE_BYTES = 2 << 20
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,15 +55,24 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 def slices(batches, text_at: int = 0, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Parts of the batches with about ``limit`` bytes of text each, and their texts."""
     for batch in batches:
-        texts = as_bytes(batch.column(text_at))
-        first, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t or b"") + 64
-            if held >= limit:
-                yield batch.slice(first, i + 1 - first), texts[first:i + 1]
-                first, held = i + 1, 0
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+        column = batch.column(text_at)
+        held = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64) + 64)
+        first = 0
+        while first < len(column):
+            done = held[first - 1] if first else 0
+            last = min(int(np.searchsorted(held, done + limit)) + 1, len(column))
+            yield batch.slice(first, last - first), as_bytes(column.slice(first, last - first))
+            first = last
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` for rows with texts: batches are bounded by bytes, not only by a number of rows.
+
+    The bound is a setting of the session (Spark has no other place for it); it
+    changes the size of batches, never a result.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 class WordHashes(dict):

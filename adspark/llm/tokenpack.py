@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm.text import slices
+from adspark.llm.text import map_texts, slices
 from adspark.session import shared_path
 
 MAGIC = b"TPF1"
@@ -42,7 +42,7 @@ END_ID = 1
 #: Documents per range of doc_ids, and ids after which a range goes on in a further shard.
 RANGE_DOCS = 1 << 13
 SHARD_IDS = 1 << 23
-MEMO_WORDS = 800_000
+MEMO_WORDS = 600_000
 
 _END = object()
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -301,7 +301,7 @@ class Shard:
 
 
 def _local(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "/", uri))
+    return pafs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", re.sub(r"^file:/+", "/", uri)))
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folder: str | None = None,
@@ -342,7 +342,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, fol
             yield writer.close(number, part, f"{folder}/{name}")
 
     shards, first = [], 0
-    for r in sorted(ordered.mapInArrow(run, "number long, part long, path string, n_docs long, n_ids long").collect()):
+    for r in sorted(map_texts(ordered, run, "number long, part long, path string, n_docs long, n_ids long").collect()):
         shards.append({"path": r.path, "n_docs": r.n_docs, "n_ids": r.n_ids, "first": first})
         first += r.n_ids
     return shards
@@ -381,7 +381,7 @@ def _read(spark: SparkSession, shards: list[dict], with_ids: bool) -> DataFrame:
                         rows = []
                 yield _table(rows, with_ids)
 
-    return files.mapInArrow(run, schema)
+    return map_texts(files, run, schema)
 
 
 def _table(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:

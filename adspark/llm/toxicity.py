@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adspark.llm.text import held_out, slices
+from adspark.llm.text import held_out, map_texts, slices
 
 #: Bounds of the training sample: documents per class, characters of each.
 DOCS_PER_CLASS = 1500
@@ -35,7 +35,7 @@ DIMENSIONS = 1 << 21
 MIN_Z = 2.5
 LASSO = 1e-5
 STEPS = 80
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                 found.append({"score": total, "sentences": [{"start": a, "end": b, "score": 1 / (1 + math.exp(-min(z, 30.0)))} for a, b, z in bad]})
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, _ARROW)], names=["row", "found"])
 
-    out = d.mapInArrow(run, T.StructType([d.schema["row"], T.StructField("found", _FOUND)]))
+    out = map_texts(d, run, T.StructType([d.schema["row"], T.StructField("found", _FOUND)]))
     return out.select("row", "found.score", "found.sentences")
 
 
