@@ -46,7 +46,7 @@ MEMO_WORDS = 600_000
 
 _END = object()
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_PLAIN = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]*)")
+_PLAIN = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]+)")
 _SIGNS = re.compile(rb"[!-/:-@\[-`{-~]+")
 
 
@@ -116,11 +116,12 @@ class WordEncoder:
         plain, lettered, alone, pairs, known = ([], []), ([], []), ([], []), ([], [], []), self.codes
         for w in new:  # grows by the stems and punctuation met
             code = known[w]
+            if w.isalpha() and w.islower():  # a-z alone, as bytes know no other letters
+                plain[0].append(code)
+                plain[1].append(w.decode())
+                continue
             if m := _PLAIN.fullmatch(w):
-                if m[2]:
-                    to, text = pairs, m
-                else:
-                    to, text = plain, w.decode()
+                to, text = pairs, m
             elif _SIGNS.fullmatch(w):
                 to, text = plain, w.decode()
             else:
