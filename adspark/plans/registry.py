@@ -881,11 +881,10 @@ def q_stream_windowed_cpa(spark, sf):
 
 @register("stream_attribution")
 def q_stream_attribution(spark, sf):
-    path = f"{sf}/events.parquet"
-    i = FX.impressions_from_events(ST.event_stream(spark, path))
-    c = FX.conversions_from_events(ST.event_stream(spark, path))
-    out = ST.stream_attribution(i, c)
-    r = spark.read.parquet(ST.drain(out, name="attribution"))
+    rows = ST.attribution_rows(FX.ad_impressions(spark, sf), FX.ad_conversions(spark, sf))
+    out, state = shared_path(spark, "attribution"), shared_path(spark, "attribution-state")
+    ST.drain_ranges(rows, "us", 4, lambda src: src, "attribution", foreach_batch=ST.stream_attribution(out, state))
+    r = spark.read.parquet(out)
     return r.select("event_id", "conv_event_id", rd("latency_s", 3).alias("latency_s"))
 
 

@@ -14,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from adspark.operators.ordering import range_blocks
 from adspark.session import materialize, shared_path
 
 
@@ -145,61 +146,76 @@ def latest_updates(spark: SparkSession, path: str, key: str = "w") -> DataFrame:
 # ---------------------------------------------------------------------------
 # Delayed conversion attribution
 # ---------------------------------------------------------------------------
-def stream_attribution(imp_stream: DataFrame, conv_stream: DataFrame, window_days: int = 7,
-                       watermark: str = "1 day") -> DataFrame:
-    """Conversions with the impression they go to, and impressions that got none.
-
-    A conversion goes to the latest impression of its campaign and user at or
-    before it, at most ``window_days`` earlier: (event_id, conv_event_id,
-    latency_s), one row per conversion, settled when the watermark has passed
-    it. An impression whose window has passed without one is emitted with
-    nulls. Rows without a campaign or user match nothing and are left out.
-
-    State per key is its impressions of the last ``window_days`` and its
-    unsettled conversions; no pairs are formed.
+def attribution_rows(imp: DataFrame, conv: DataFrame) -> DataFrame:
+    """Impressions (kind 0) and conversions (kind 1) as one table of (campaign_id, unique_id, us, kind, event_id)."""
+    i = imp.select("campaign_id", "unique_id", F.col("dttm_utc").alias("ts"), F.lit(0).alias("kind"), "event_id")
+    c = conv.select(F.col("imp_click_campaign_id").alias("campaign_id"), F.col("imp_click_unique_id").alias("unique_id"),
+                    F.col("conv_dttm_utc").alias("ts"), F.lit(1).alias("kind"), F.col("conv_event_id").alias("event_id"))
+    both = i.unionByName(c)
+    return both.select("campaign_id", "unique_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "kind", "event_id")
+
+
+def stream_attribution(out_path: str, state_path: str, window_days: int = 7, watermark: str = "1 day",
+                       rows_per_block: int = 1_000_000):
+    """foreachBatch body: conversions with the impression they go to, and impressions that got none.
+
+    Batches are ``attribution_rows``. A conversion goes to the latest
+    impression of its campaign and user at or before it, at most
+    ``window_days`` earlier (ties to the highest id): (event_id,
+    conv_event_id, latency_s), one row per conversion, settled when the
+    watermark has passed it. An impression whose window has passed without one
+    is emitted with nulls. The watermark lies ``watermark`` behind the newest
+    row so far; rows that come after it has passed them are late and left out,
+    as are rows without a campaign, user or time, which match nothing.
+
+    Batch b reads the snapshot of batch b-1 (the watermark, impressions whose
+    window is open and unsettled conversions, as plain rows) and overwrites its
+    own folders. A missing snapshot fails the batch. No group is held in one
+    task or row: rows are cut into ranges of (campaign, user, time) of about
+    ``rows_per_block`` rows, and only the last impression of each key in a
+    range is carried on to the next.
     """
-    i = imp_stream.select("campaign_id", "unique_id", "event_id", F.col("dttm_utc").alias("ts"), F.lit(0).alias("kind"))
-    c = conv_stream.select(F.col("imp_click_campaign_id").alias("campaign_id"), F.col("imp_click_unique_id").alias("unique_id"),
-                           F.col("conv_event_id").alias("event_id"), F.col("conv_dttm_utc").alias("ts"), F.lit(1).alias("kind"))
-    both = i.unionByName(c).where(F.col("campaign_id").isNotNull() & F.col("unique_id").isNotNull())
-    both = both.withWatermark("ts", watermark).withColumn("us", F.unix_micros("ts"))
-    return (both.groupBy("campaign_id", "unique_id")
-            .applyInPandasWithState(_attribute_fn(window_days * 86_400_000_000), "event_id long, conv_event_id long, latency_s double",
-                                    "rows array<struct<us:bigint,kind:int,event_id:bigint,got:boolean>>", "append",
-                                    GroupStateTimeout.EventTimeTimeout))
-
-
-def _attribute_fn(window_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        rows = [tuple(r) for r in state.get[0]] if state.exists else []
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                rows += [(int(u), int(k), int(e), False) for u, k, e in zip(pdf["us"], pdf["kind"], pdf["event_id"])]
-        now = state.getCurrentWatermarkMs() * 1000
-        rows.sort()
-        out, kept, last = [], [], None
-        for n, (us, kind, event_id, got) in enumerate(rows):
-            if kind == 0:
-                last = n
-            elif us <= now:
-                if last is not None and us - rows[last][0] <= window_us:
-                    out.append((rows[last][2], event_id, (us - rows[last][0]) / 1e6))
-                    rows[last] = (*rows[last][:3], True)
-        for us, kind, event_id, got in rows:
-            if kind == 1 and us > now or kind == 0 and us + window_us >= now:
-                kept.append((us, kind, event_id, got))
-            elif kind == 0 and not got:
-                out.append((event_id, None, None))
-        if kept:
-            state.update((kept,))
-            due = min(us if kind else us + window_us + 1 for us, kind, _, _ in kept)
-            state.setTimeoutTimestamp(max(due // 1000 + 1, now // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame({"event_id": pd.array([o[0] for o in out], "Int64"), "conv_event_id": pd.array([o[1] for o in out], "Int64"),
-                                "latency_s": pd.array([o[2] for o in out], "Float64")})
-    return fn
+    window_us, delay_ms = window_days * 86_400_000_000, pd.Timedelta(watermark) // pd.Timedelta("1ms")
+    key = ["campaign_id", "unique_id"]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        out, state = f"{out_path}/batch_id={batch_id}", f"{state_path}/batch_id={batch_id}"
+        newest, was, rows = batch.agg(F.max("us")).first()[0], None, batch.withColumn("got", F.lit(False))
+        if batch_id > 0:
+            prev = f"{state_path}/batch_id={batch_id - 1}"
+            was = spark.read.parquet(f"{prev}/clock").first()["now"]
+            if was is not None:
+                rows = rows.where(F.col("us") > was)
+            rows = rows.unionByName(spark.read.parquet(f"{prev}/rows"))
+        now = max((t for t in (was, None if newest is None else (newest // 1000 - delay_ms) * 1000) if t is not None), default=None)
+        spark.createDataFrame([(now,)], "now long").write.mode("overwrite").parquet(f"{state}/clock")
+        rows = rows.where(F.col("us").isNotNull() & F.col("campaign_id").isNotNull() & F.col("unique_id").isNotNull())
+        rows = range_blocks(rows, [F.col(c) for c in (*key, "us", "kind", "event_id")], rows_per_block)
+        is_imp, passed = F.col("kind") == 0, F.lit(now).cast("bigint")
+
+        # The last impression so far: in the range by a running maximum, before it by one over the ranges of the key.
+        seen = F.when(is_imp, F.struct("us", "event_id"))
+        w_in = Window.partitionBy(*key, "_b").orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        conv = rows.withColumn("_in", F.max(seen).over(w_in)).where(~is_imp & (F.col("us") <= passed))
+        w_b = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        ends = rows.groupBy(*key, "_b").agg(F.max(seen).alias("_end"))
+        ends = ends.withColumn("_before", F.max("_end").over(w_b)).where(F.col("_before").isNotNull()).drop("_end")
+        gap = F.col("us") - F.col("_i.us")
+        conv = conv.join(ends, [*key, "_b"], "left").withColumn("_i", F.coalesce("_in", "_before")).where(gap <= window_us)
+        conv = conv.select(*key, F.col("_i.event_id").alias("event_id"), F.col("event_id").alias("conv_event_id"), (gap / F.lit(1e6)).alias("latency_s"))
+        conv.write.mode("overwrite").parquet(f"{out}/converted=true")
+
+        hit = spark.read.parquet(f"{out}/converted=true").select(*key, "event_id").distinct()
+        hit = hit.withColumn("kind", F.lit(0)).withColumn("_hit", F.lit(True))
+        rows = rows.drop("_b").join(hit, [*key, "kind", "event_id"], "left")
+        rows = rows.withColumn("got", F.col("got") | F.col("_hit").isNotNull()).drop("_hit")
+        is_open = F.when(is_imp, F.col("us") + window_us >= passed).otherwise(F.col("us") > passed)
+        none = rows.where(is_imp & ~is_open & ~F.col("got"))
+        none.select(*key, "event_id", F.lit(None).cast("long").alias("conv_event_id"), F.lit(None).cast("double").alias("latency_s")) \
+            .write.mode("overwrite").parquet(f"{out}/converted=false")
+        rows.where(is_open).write.mode("overwrite").parquet(f"{state}/rows")
+    return run
 
 
 # ---------------------------------------------------------------------------

@@ -60,3 +60,57 @@ def test_missing_state_fails_the_batch(spark):
     body(ai, 0)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         body(ai, 2)
+
+
+def test_stream_attribution_of_a_hot_key(spark):
+    """A third of all rows in one key, fed in four ranges, cut into small blocks: equals brute force, and the state holds open rows only."""
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    from adspark.session import shared_path
+    from adspark.streaming import streams as ST
+    day = 86_400_000_000
+    rows = ST.attribution_rows(R.imps(spark, SF_SMALL), R.convs(spark, SF_SMALL))
+    h = F.col("event_id") % 3 == 0
+    rows = (rows.withColumn("campaign_id", F.when(h, F.lit(42)).otherwise(F.col("campaign_id")))
+                .withColumn("unique_id", F.when(h, F.lit(7)).otherwise(F.col("unique_id"))))
+    none = F.lit(None).cast("bigint")
+    rows = rows.unionByName(rows.limit(5).withColumn("campaign_id", none).withColumn("event_id", -F.col("event_id")))
+    out, state = shared_path(spark, "hot-out"), shared_path(spark, "hot-state")
+    ST.drain_ranges(rows, "us", 4, lambda src: src, "hot", foreach_batch=ST.stream_attribution(out, state, rows_per_block=50))
+    got = sorted((r.event_id, r.conv_event_id or 0, r.latency_s or 0.0) for r in spark.read.parquet(out).collect())
+
+    rows = rows.collect()
+    now = max(r.us for r in rows) // 1000 * 1000 - day
+    keys = {}
+    for r in rows:
+        if r.campaign_id is not None and r.unique_id is not None and r.kind == 0:
+            keys.setdefault((r.campaign_id, r.unique_id), []).append((r.us, r.event_id))
+    want, hit = [], set()
+    for v in keys.values():
+        v.sort()
+    for r in rows:
+        imps = keys.get((r.campaign_id, r.unique_id), [])
+        n = bisect.bisect_right(imps, (r.us, float("inf")))
+        if r.kind == 1 and r.us <= now and n and r.us - imps[n - 1][0] <= 7 * day:
+            want.append((imps[n - 1][1], r.event_id, (r.us - imps[n - 1][0]) / 1e6))
+            hit.add(imps[n - 1][1])
+    want += [(e, 0, 0.0) for v in keys.values() for us, e in v if us + 7 * day < now and e not in hit]
+    assert got == sorted(want) and len(hit) > 10
+
+    for b in range(4):  # what is kept is plain rows, none settled
+        kept, clock = spark.read.parquet(f"{state}/batch_id={b}/rows"), spark.read.parquet(f"{state}/batch_id={b}/clock").first()["now"]
+        settled = F.when(F.col("kind") == 0, F.col("us") + 7 * day < clock).otherwise(F.col("us") <= clock)
+        assert kept.where(settled).count() == 0
+    assert kept.count() < len(rows)
+
+
+def test_stream_attribution_needs_its_state(spark):
+    import pytest
+
+    from adspark.session import shared_path
+    from adspark.streaming import streams as ST
+    body = ST.stream_attribution(shared_path(spark, "gone-out"), shared_path(spark, "gone-state"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        body(ST.attribution_rows(R.imps(spark, SF_SMALL), R.convs(spark, SF_SMALL)), 1)
