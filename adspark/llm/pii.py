@@ -14,9 +14,11 @@ The text is read once; the graph holds one row per identifier occurrence.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.llm.text import map_texts, slices, stored
@@ -37,7 +39,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"\S+")
 _EDGE = ".,;:!?()[]{}\"'"
+#: Words of more characters enter patterns as a digest.
+LONG_WORD = 100
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -86,8 +91,23 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 
-def identifiers(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of neighbouring words with a digit or @ that touch no known entity."""
+def _named(text: str) -> bool:
+    return "@" in text or len(_DIGIT.findall(text)) >= MIN_DIGITS
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and (text[a] in _EDGE or text[a].isspace()):
+        a += 1
+    while b > a and (text[b - 1] in _EDGE or text[b - 1].isspace()):
+        b -= 1
+    return a, b
+
+
+def _candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, start and end of its run) of each run of neighbouring words with a digit or @, and of its single words.
+
+    Known entities are cut out: what stands beside them makes runs of its own.
+    """
     runs: list[list[int]] = []
     for m in _MARK.finditer(text):
         a = b = m.start()
@@ -107,51 +127,110 @@ def identifiers(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int,
             spans[-1][1] = max(b, spans[-1][1])
         else:
             spans.append([a, b])
-    out, k = [], 0
+    pieces, k = [], 0
     for a, b in runs:
-        while a < b and text[a] in _EDGE:
-            a += 1
-        while b > a and text[b - 1] in _EDGE:
-            b -= 1
         while k < len(spans) and spans[k][1] <= a:
             k += 1
-        if a < b and not (k < len(spans) and spans[k][0] < b) and ("@" in text[a:b] or len(_DIGIT.findall(text[a:b])) >= MIN_DIGITS):
-            out.append((a, b))
+        while k < len(spans) and spans[k][0] < b:
+            pieces.append((a, spans[k][0]))
+            a = spans[k][1]
+            if a >= b:
+                break
+            k += 1
+        pieces.append((a, b))
+    out = []
+    for a, b in pieces:
+        a, b = _trimmed(text, a, b)
+        if a < b and _named(text[a:b]):
+            out.append((a, b, a, b))
+            for m in _WORD.finditer(text, a, b):
+                x, y = _trimmed(text, *m.span())
+                if (x, y) != (a, b) and _named(text[x:y]):
+                    out.append((x, y, a, b))
     return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: two words before it; one before and one after."""
-    left = [w.strip(_EDGE).lower() for w in text[max(0, start - 100):start].split()[-2:]]
-    right = [w.strip(_EDGE).lower() for w in text[end:end + 60].split()[:1]]
-    left, right = [""] * (2 - len(left)) + left, right or [""]
-    return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0]}"]
+def identifiers(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Runs of neighbouring words with a digit or @, and their single words, without the known entities."""
+    return [(a, b) for a, b, _, _ in _candidates(text, known)]
+
+
+class Contexts:
+    """The lexical patterns around spans of a text: two words before; one before and one after.
+
+    Words are whole. Of the word that a span stands in, the part next to the
+    span counts, up to the next known entity. A long word goes by its digest.
+    """
+
+    def __init__(self, text: str, known: list[tuple[str, int, int]]):
+        self.text, self.names = text, {}
+        words = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in words], [b for _, b in words]
+        self.known_starts, self.known_ends = sorted(a for _, a, _ in known), sorted(b for _, _, b in known)
+
+    def _name(self, a: int, b: int) -> str:
+        if b - a <= LONG_WORD:
+            return self.text[a:b].strip(_EDGE).lower()
+        if (a, b) not in self.names:
+            self.names[a, b] = md5(self.text[a:b].strip(_EDGE).lower().encode("utf-8", "surrogatepass")).hexdigest()
+        return self.names[a, b]
+
+    def of(self, start: int, end: int) -> list[str]:
+        j, left = bisect_left(self.starts, start), []
+        for i in (j - 2, j - 1):
+            if i < 0:
+                left.append("")
+            elif self.ends[i] <= start:
+                left.append(self._name(self.starts[i], self.ends[i]))
+            else:
+                n = bisect_right(self.known_ends, start)
+                left.append(self._name(max(self.starts[i], self.known_ends[n - 1] if n else 0), start))
+        r, right = bisect_right(self.ends, end), ""
+        if r < len(self.ends):
+            a, b = self.starts[r], self.ends[r]
+            if a < end:
+                n = bisect_left(self.known_starts, end)
+                a, b = end, min([b, *self.known_starts[n:n + 1]])
+            right = self._name(a, b)
+        return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right}"]
+
+
+def _sights(text: str, known: list[tuple[str, int, int]]) -> list[dict]:
+    """Every known entity and candidate with its patterns; a word's patterns that are its run's too do not count twice."""
+    at, out = Contexts(text, known), []
+    for kind, a, b, ra, rb in [(k, a, b, a, b) for k, a, b in known] + [(None, *x) for x in _candidates(text, known)]:
+        inner = (a, b) != (ra, rb)
+        outer = at.of(ra, rb) if inner else []
+        out.append({"kind": kind, "start": a, "end": b, "value": text[a:b].lower(), "run": ra, "inner": inner,
+                    "patterns": [{"pattern": p, "counts": p not in outer} for p in at.of(a, b)]})
+    return out
 
 
 _SPAN = "struct<kind:string,start:int,end:int>"
-_FOUND = f"doc_id long, text_hash long, base array<{_SPAN}>, seen array<struct<kind:string,start:int,end:int,value:string,patterns:array<string>>>"
+_FOUND = f"doc_id long, text_hash long, base array<{_SPAN}>, seen array<struct<kind:string,start:int,end:int,value:string,run:int,inner:boolean,patterns:array<struct<pattern:string,counts:boolean>>>>"
 
 
 def _scan(batches):
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    seen = pa.struct([*span, ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
+    seen = pa.struct([*span, ("value", pa.string()), ("run", pa.int32()), ("inner", pa.bool_()),
+                      ("patterns", pa.list_(pa.struct([("pattern", pa.string()), ("counts", pa.bool_())])))])
     for batch, texts in slices(batches):
         bases, sights = [], []
         for t in texts:
             text = t.decode() if t else ""
             base = entities(text)
             marked = bool(base) or _MARK.search(text)
-            spans = base + [(None, a, b) for a, b in identifiers(text, base)] if marked else []
             bases.append([dict(zip(("kind", "start", "end"), x)) for x in base])
-            sights.append([{"kind": k, "start": a, "end": b, "value": text[a:b].lower(), "patterns": contexts(text, a, b)} for k, a, b in spans])
+            sights.append(_sights(text, base) if marked else [])
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(bases, pa.list_(span)), pa.array(sights, pa.list_(seen))],
                                          names=["doc_id", "text_hash", "base", "seen"])
 
 
 def scores(seen: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(value, kind, score) of the identifiers in ``seen`` (kind, value, patterns); seeds, which have a kind, score 1."""
-    edges = stored(seen.select(F.explode("patterns").alias("pattern"), "value").distinct(), "pii-edges")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    edges = seen.select(F.explode("patterns").alias("p"), "value").groupBy("p.pattern", "value").agg(F.max("p.counts").alias("counts"))
+    edges = stored(edges, "pii-edges")
+    sizes = edges.groupBy("pattern").agg(F.count_if("counts").alias("n"))
     seeds = seen.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     known = seeds
     for _ in range(rounds):
@@ -168,7 +247,7 @@ def scores(seen: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_SUPPO
 def extract(docs: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, text_hash, ``base`` and ``added`` spans (kind, start, end) of every whole text.
 
-    ``base`` are the rules' matches; ``added`` never overlap them. Spans are in
+    ``base`` are the rules' matches; ``added`` never overlap them or each other. Spans are in
     code points, end exclusive, by start, then kind as listed.
 
     A null or empty text has no spans. Repeated rows each get a row with the
@@ -180,7 +259,10 @@ def extract(docs: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE)
     seen = found.select("text_hash", F.explode("seen").alias("s")).select("text_hash", "s.*").distinct()
     best = (scores(seen, rounds).where(F.col("score") >= min_score).groupBy("value")
             .agg(F.max_by("kind", F.struct("score", "kind")).alias("as_kind")))
-    new = (seen.where("kind IS NULL").join(best, "value").groupBy("text_hash")
+    # Of a run and its words, the run is added if it can be.
+    whole = F.max(~F.col("inner")).over(Window.partitionBy("text_hash", "run"))
+    new = seen.where("kind IS NULL").join(best, "value").withColumn("whole", whole)
+    new = (new.where(~F.col("inner") | ~F.col("whole")).groupBy("text_hash")
            .agg(F.collect_set(F.struct(F.col("as_kind").alias("kind"), "start", "end")).alias("added")))
     out = found.join(new, "text_hash", "left")
     return out.select("doc_id", "text_hash", "base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")).alias("added"))

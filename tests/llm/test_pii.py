@@ -53,6 +53,34 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert len(got[101].added) == 1 and not got[102].added and not any(got[i].added for i in range(40))
 
 
+def test_identifiers_beside_other_marked_words():
+    found = lambda t: [t[a:b] for a, b in pii.identifiers(t, pii.entities(t))]
+    assert found("ref 48213-77 a@b.cd") == ["48213-77"] and found("10.0.0.1 48213-77 9") == ["48213-77 9", "48213-77"]
+    assert found("no 48213-77 55124-09.") == ["48213-77 55124-09", "48213-77", "55124-09"]
+    assert found("x 12 a@b.cd 1 a@b.cd") == [] and found("a@b.cd;id=12345") == ["id=12345"]
+
+
+def test_contexts_take_whole_words():
+    long = "q" * 150
+    one, two = (pii.Contexts(t, []).of(t.index("12345"), t.index("12345") + 5) for t in (f"a{long} w 12345 b{long}", f"b{long} w 12345 c{long}"))
+    assert one[0] != two[0] and one[1] != two[1]
+    text = "a@b.cd," * 30_000  # in time that grows with the text
+    assert len(pii._sights(text, pii.entities(text))) == 30_000
+    assert pii.Contexts("Call me at (a@b.cd), now", []).of(12, 18) == ["at  _", " _ "]
+
+
+def test_bootstrap_beside_other_marked_words(spark):
+    rng = random.Random(9)
+    phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    rows = [(i, f"Please call me at {phone()} today.", 1, "") for i in range(40)] + [(50 + i, f"ring me at {phone()} now", 1, "") for i in range(10)]
+    rows += [(100, "Please call me at 0151/2345-678 a@b.cd", 1, ""), (101, "ring me at 0151/2345-678 now", 1, ""), (102, "Please call me at 0151/2345-678 8831 today", 1, "")]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    text = {i: t for i, t, _, _ in rows}
+    said = {i: [(s.kind, text[i][s.start:s.end]) for s in got[i].added] for i in got}
+    assert said[100] == said[101] == [("phone", "0151/2345-678")] and len(said[102]) == 1
+    assert not any(said[i] for i in range(60) if i in said)
+
+
 def test_edges(spark):
     rows = [(1, None, 1, None), (2, "", 1, None), (None, "a@b.cd", 1, None), (3, "a@b.cd x", 1, None), (3, "a@b.cd x", 1, None), (4, "1" * 100_000, 0, ""), (5, "a" * 200_000 + "@", 0, ""),
             (6, "@" * 50_000, 0, ""), (7, "1 " * 50_000, 0, ""), (8, "1." * 50_000, 0, "")]
