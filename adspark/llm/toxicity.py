@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adspark.llm.text import held_out, map_texts, slices
+from adspark.llm.text import held_out, map_texts, slices, stored
 
-#: Bounds of the training sample: documents per class, characters of each.
+#: Bounds of the training sample: documents per class, characters drawn of each.
 DOCS_PER_CLASS = 1500
 TRAIN_CHARS = 30_000
 MIN_DOCS = 4
@@ -38,6 +38,9 @@ STEPS = 80
 MEMO_WORDS = 200_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+#: A piece of a long sentence ends before a space if it can.
+PIECE_CHARS = 1000
+_PIECE = re.compile(r"\S[\s\S]{0,998}(?=\s|$)|\S{1,1000}")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -125,19 +128,47 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, min_docs: int =
     return Model({int(i): float(x) for i, x in zip(ids, theta) if x > 1e-3}, float(bias))
 
 
+def bounded(text: str, chars: int) -> str:
+    """A text of at most ``chars`` characters: a longer one gives a hashed draw of its sentences, in order.
+
+    The draw goes over the whole text. Of a sentence longer than ``PIECE_CHARS`` the pieces are drawn.
+    """
+    if len(text) <= chars:
+        return text
+    parts = [p for m in _SENTENCE.finditer(text) for p in ([m[0]] if len(m[0]) <= PIECE_CHARS else _PIECE.findall(m[0]))]
+    left, taken = chars, []
+    for i in sorted(range(len(parts)), key=lambda i: (crc32(f"{i} {parts[i]}".encode("utf-8", "surrogatepass")), i)):
+        if len(parts[i]) < left:
+            left -= len(parts[i]) + 1
+            taken.append(i)
+    return "\n".join(parts[i] for i in sorted(taken))
+
+
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on at most ``docs_per_class`` labelled documents per class, of at most ``chars`` characters.
+    """Fit on at most ``docs_per_class`` labelled documents per class, of at most ``chars`` characters each.
 
-    Learns from rows that are not held out and have a non-null label; a doc_id
-    labelled both ways counts as toxic. Without labels of both classes every
-    document scores like the only class there is (no labels: not toxic).
+    The documents are drawn among those that have a text; of a longer one a
+    draw of its sentences is used (see ``bounded``). Learns from rows that are
+    not held out and have a non-null label; a doc_id labelled both ways counts
+    as toxic. Without labels of both classes every document scores like the
+    only class there is (no labels: not toxic).
     """
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    texts = docs.select("text", "doc_id").where(F.col("text").isNotNull())
+    known = stored(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
     draw = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_per_class)
     sample = draw(1).unionByName(draw(0))  # at most 2 * docs_per_class rows
-    rows = (docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(sample), "doc_id")
-            .orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(2 * docs_per_class).collect())
+    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "doc_id", "toxic")
+
+    def cut(batches):
+        for batch, each in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([bounded(t.decode(), chars) for t in each], pa.string()), batch.column(1), batch.column(2)],
+                                             names=["text", "doc_id", "toxic"])
+
+    rows = stored(map_texts(rows, cut, rows.schema), "toxicity-sample")
+    first = lambda c: rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(docs_per_class)
+    rows = first(1).unionByName(first(0)).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").collect()
     if not rows:
         return Model({}, -20.0)
     return fit([r.text for r in rows], [int(r.toxic) for r in rows])

@@ -56,6 +56,25 @@ def test_long_clean_texts_stay_clean(spark):
     assert toxicity.noisy_or(z for _, _, z in toxicity.sentence_scores(model, weights, clean + " zwackel grobnix. ")) >= 0.5
 
 
+def test_long_texts_are_bounded_by_sentence():
+    text = " ".join(f"Sentence number {i} has words." for i in range(400))
+    for t in (text, text.replace(".", ""), "a" * 50_000, "x" * 500 + " ."):
+        got = toxicity.bounded(t, 2000)
+        assert 0 < len(got) <= 2000 and all(line.strip() in t for line in got.split("\n"))
+    drawn = [int(w) for w in toxicity.bounded(text, 2000).split() if w.isdigit()]
+    assert toxicity.bounded("as it is.", 9) == "as it is." and drawn == sorted(drawn) and drawn[0] < 100 and drawn[-1] > 300
+
+
+def test_learns_where_one_class_is_long_or_labels_lack_documents(spark):
+    rows = corpus()
+    rows = [(i, ". ".join([t] * 12) if y else t, y) for i, t, y in rows]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(10_000 + i, 1) for i in range(3000)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.train(docs, labels, docs_per_class=150, chars=min(len(t) for _, t, y in rows if y) - 1), keep=["doc_id"]).collect()
+    right = sum((r.score >= 0.5) == (r.row.doc_id % 4 == 0) for r in out)
+    assert right >= 0.95 * len(out)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (None, "x y"), (4, "a" * 500_000), (4, "a" * 500_000), (5, "\n\n!")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
