@@ -1,23 +1,33 @@
 """Campaign dimension, candidate scoring, argmax, bid and market.
 
-Candidate pairing never joins: the campaign list is a bounded dimension
-(checked against ``max_campaigns`` before it leaves Spark) carried into every
-task as one literal ``array<struct>``; higher-order functions score, filter
-and pick the argmax per impression with no shuffle. Pairs become rows only for
-named impressions (``candidates_of``).
+Candidate pairing never joins: a list of campaigns is carried into every task
+as one literal ``array<struct>``; higher-order functions score, filter and pick
+the argmax per impression with no shuffle. Pairs become rows only for named
+impressions (``candidates_of``).
+
+A campaign table of any length is visited in blocks (``campaign_blocks``),
+best bound first: no score exceeds what a campaign pays (``score_bound``), so
+an impression leaves once its k-th best is above the next block's bound
+(``top_candidates_pruned``). One block at a time is in the plan.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.hashing import normal, u
-from adspark.operators.ordering import spread
+from adspark.operators.ordering import range_blocks, spread
+from adspark.session import shared_path
 
-MAX_CAMPAIGNS = 10_000
+#: Campaigns in one literal array; longer tables are visited in blocks of so many.
+BLOCK_CAMPAIGNS = 10_000
+#: Campaigns whose parameters (a row of numbers each) the driver holds as a list.
+MAX_CAMPAIGNS = 200_000
 CPM = 1.0  # dollars per thousand impressions that the random policy bids
 
 
@@ -44,13 +54,34 @@ def collect_campaigns(campaigns: DataFrame, max_campaigns: int = MAX_CAMPAIGNS)
     """The campaign dimension as a list, refusing anything above the bound."""
     rows = campaigns.orderBy("ordinal").limit(max_campaigns + 1).collect()
     if len(rows) > max_campaigns:
-        raise ValueError(f"more than {max_campaigns} campaigns; shortlist per impression instead")
-    out = []
-    for r in rows:
-        d = r.asDict()
-        d.setdefault("cand_weight", 0.0)
-        out.append(d)
-    return out
+        raise ValueError(f"more than {max_campaigns} campaigns: use the block forms (top_candidates_pruned, best_campaign_pruned)")
+    return [_params(r) for r in rows]
+
+
+def _params(row) -> dict:
+    d = row.asDict()
+    d.setdefault("cand_weight", 0.0)
+    return d
+
+
+def score_bound(predictor: str, rule: str = "value") -> Column:
+    """The most that a campaign can score, whatever the impression (a probability is at most 1)."""
+    if predictor == "cpm":
+        return F.lit(1.0)
+    pconv = F.col("true_conv_rate") if predictor == "rate" else F.lit(1.0)
+    return pconv * F.col("value_per_conv") if rule == "value" else pconv / F.col("target_cpa")
+
+
+def campaign_blocks(campaigns: DataFrame, bound: Column, size: int = BLOCK_CAMPAIGNS) -> Iterator[tuple[list[dict], float]]:
+    """The campaign table in blocks of about ``size``, highest bound first, each with its highest bound.
+
+    The table is sorted and cut in Spark; the driver holds one block at a time.
+    """
+    cut = range_blocks(campaigns.withColumn("_bound", bound), [F.desc("_bound"), F.col("ordinal")], size, "_block")
+    tops = cut.groupBy("_block").agg(F.max("_bound").alias("top")).orderBy("_block").collect()  # one row per block
+    for r in tops:
+        rows = cut.where(F.col("_block") == r["_block"]).drop("_block", "_bound").orderBy("ordinal").collect()
+        yield [_params(x) for x in rows], r["top"]
 
 
 def candidate_array(camps: list[dict], extra: dict | None = None) -> Column:
@@ -144,6 +175,11 @@ def best_campaign(df: DataFrame, cands: Column, predictor: str = "random", beta:
     best = F.array_max(sc)
     out = (spread(df).withColumn("_n_elig", F.size(cands).cast("bigint")).where(F.col("_n_elig") > 0)
            .withColumn("_best", best))
+    return _outcome(out, predictor, beta, price_model, imp_id)
+
+
+def _outcome(out: DataFrame, predictor: str, beta: float, price_model: str, imp_id: str) -> DataFrame:
+    """Bid, market price and win from the chosen candidate ``_best`` among ``_n_elig``."""
     ev = F.col("_best.pconv") * F.col("_best.value_per_conv")
     bid = F.lit(CPM / 1000) if predictor == "cpm" else F.greatest(F.lit(0.0), F.lit(float(beta)) * ev)
     out = out.select("*", F.col("_best.campaign_id").alias("campaign_id_chosen"),
@@ -155,6 +191,70 @@ def best_campaign(df: DataFrame, cands: Column, predictor: str = "random", beta:
     return out.withColumn("win", F.col("bid") > F.col("market_price")).drop("_best", "_n_elig")
 
 
+def top_candidates_pruned(df: DataFrame, campaigns: DataFrame, k: int, predictor: str = "random", imp_id: str = "imp_id",
+                          rule: str = "value", imp_logit: str | None = None, block: int = BLOCK_CAMPAIGNS) -> DataFrame:
+    """``top_candidates`` over a campaign table of any length: the same array ``top``, without a limit.
+
+    Blocks of campaigns come by falling bound. A round merges one block into
+    each impression's best ``k`` and lets go of the impressions whose k-th best
+    is above the next block's bound: nothing later can enter (an equal score
+    could, by its list order, so those stay). A round's impressions are written
+    to the shared folder, which cuts lineage; the rounds end when none is left.
+    Candidates without a score sort last, and an empty table gives empty arrays.
+    """
+    logit = F.col(imp_logit) if imp_logit else None
+    live, done, merged = spread(df), [], False
+    blocks = campaign_blocks(campaigns, score_bound(predictor, rule), block)
+    ahead = next(blocks, None)
+    if ahead is None:
+        return top_candidates(df, candidate_array([]), k, predictor, imp_id, rule, imp_logit)
+    while ahead is not None:
+        (camps, _), ahead = ahead, next(blocks, None)
+        scored = scored_candidates(candidate_array(camps), predictor, F.col(imp_id), rule, logit)
+        every = F.concat("top", scored) if merged else scored
+        live = live.withColumn("top", F.slice(F.sort_array(every, asc=False), 1, k))
+        if ahead is None:
+            break
+        path, merged = shared_path(df.sparkSession, "candidates"), True
+        settled = (F.size("top") == k) & (F.element_at("top", -1)["score"] > F.lit(float(ahead[1])))
+        live = live.withColumn("_settled", F.coalesce(settled, F.lit(False)))
+        live.write.parquet(path)
+        written = df.sparkSession.read.schema(live.schema).parquet(path)
+        done.append(written.where("_settled").drop("_settled"))
+        live = written.where("NOT _settled").drop("_settled")
+        if live.limit(1).count() == 0:
+            return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, [*done, live])
+
+
+def best_campaign_pruned(df: DataFrame, campaigns: DataFrame, predictor: str = "random", beta: float = 1.0, rule: str = "value",
+                         price_model: str = "relative", imp_id: str = "imp_id", imp_logit: str | None = None,
+                         block: int = BLOCK_CAMPAIGNS) -> DataFrame:
+    """``best_campaign`` over a campaign table of any length (B6): the first of ``top_candidates_pruned``."""
+    n = campaigns.count()
+    top = top_candidates_pruned(df, campaigns, 1, predictor, imp_id, rule, imp_logit, block)
+    out = top.where(F.size("top") > 0).withColumn("_best", F.element_at("top", 1)).withColumn("_n_elig", F.lit(n).cast("bigint")).drop("top")
+    return _outcome(out, predictor, beta, price_model, imp_id)
+
+
+def candidate_statistics_blocked(df: DataFrame, campaigns: DataFrame, predictor: str = "random", imp_id: str = "imp_id",
+                                 rule: str = "value", imp_logit: str | None = None, block: int = BLOCK_CAMPAIGNS) -> DataFrame:
+    """``candidate_statistics`` over a campaign table of any length (B14): a pass over the impressions for each block.
+
+    Statistics of every campaign need every pair scored; a block's rows are
+    written before the next block is read, so one block is in a plan at a time.
+    """
+    path = shared_path(df.sparkSession, "candidate-statistics")
+    schema = None
+    for camps, _ in campaign_blocks(campaigns, score_bound(predictor, rule), block):
+        part = candidate_statistics(df, candidate_array(camps), predictor, imp_id, rule, imp_logit)
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+    if schema is None:
+        return candidate_statistics(df, candidate_array([]), predictor, imp_id, rule, imp_logit)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def top_candidates(df: DataFrame, cands: Column, k: int, predictor: str = "random", imp_id: str = "imp_id",
                    rule: str = "value", imp_logit: str | None = None) -> DataFrame:
     """The ``k`` best candidates of each impression as an array ``top``, best first.

@@ -4,7 +4,13 @@ One left join on (campaign, user) replaces the reference's per-campaign loop.
 The conversion side is reduced to one row per join key *before* the join
 (earliest conversion plus a count; partial aggregation map-side), so every
 impression yields exactly one row and a hot key never multiplies into
-impression x conversion pairs. The reference's fan-out (one row per matching
+impression x conversion pairs.
+
+Few impressions convert, so impressions are not shuffled to find that out.
+By the number of conversions, ``left_join_first`` broadcasts the conversion
+side, or else a Bloom filter of its keys (``keyfilter``): only impressions that
+pass the filter are shuffled and joined, the others bypass the join. Beyond
+that filter's bound both sides are shuffled. The reference's fan-out (one row per matching
 pair, T1) is still available with ``fan_out=True`` for small inputs; no
 registered query uses it.
 """
@@ -15,11 +21,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.timefeat import day_of_week_monday0, hour_of_day
+from adspark.operators import keyfilter
+from adspark.session import materialize
 
 IMP_KEYS = ("campaign_id", "unique_id")
 CONV_KEYS = ("imp_click_campaign_id", "imp_click_unique_id")
 
 
+#: Conversions up to which their first-per-key table is broadcast, and a filter of their keys.
+MAX_BROADCAST_KEYS = 1_000_000
+MAX_FILTER_KEYS = 150_000_000
+
+
 def _key_cond(imp: DataFrame, conv: DataFrame, imp_keys=IMP_KEYS, conv_keys=CONV_KEYS):
     cond = None
     for a, b in zip(imp_keys, conv_keys):
@@ -47,6 +60,32 @@ def first_conversions(conv: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "c.*", "n_conversions"))
 
 
+def left_join_first(imp: DataFrame, first: DataFrame, imp_keys: list[str], conv_keys: list[str], n_conv: int,
+                    broadcast_keys: int = MAX_BROADCAST_KEYS, filter_keys: int = MAX_FILTER_KEYS) -> DataFrame:
+    """``imp`` left joined with ``first`` (one row per key); the way depends on ``n_conv``, a bound of its keys.
+
+    The result is the same each way and has the columns of ``imp`` and those of
+    ``first`` but for its keys.
+    """
+    keys = [f"_k{i}" for i in range(len(conv_keys))]
+    right = first.select(*[F.col(c).alias(k) for c, k in zip(conv_keys, keys)], *[c for c in first.columns if c not in conv_keys])
+
+    def joined(left: DataFrame, other: DataFrame) -> DataFrame:
+        return left.join(other, [left[a] == other[b] for a, b in zip(imp_keys, keys)], "left").drop(*keys)
+
+    if n_conv <= broadcast_keys:
+        return joined(imp, F.broadcast(right))
+    if n_conv > filter_keys or keyfilter.filter_bytes(n_conv) > keyfilter.MAX_FILTER_BYTES:
+        return joined(imp, right)
+    typed = imp.select("*", *[F.col(a).cast(first.schema[b].dataType).alias(k) for a, b, k in zip(imp_keys, conv_keys, keys)])
+    # The filter is small and read by both branches: built once.
+    table = materialize(keyfilter.build(right, keys, n_conv))
+    marked = keyfilter.may_match(typed, keys, table, n_conv).drop(*keys)
+    rest = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c not in keys]
+    hits = joined(marked.where("_may_match").drop("_may_match"), right)
+    return hits.unionByName(marked.where("NOT _may_match").drop("_may_match").select("*", *rest))
+
+
 def label_impressions(imp: DataFrame, conv: DataFrame, fan_out: bool = False,
                       conv_cols: tuple[str, ...] = ("conv_event_id", "conv_dttm_utc", "goal_name")) -> DataFrame:
     """Label each impression with its key's conversions.
@@ -62,19 +101,17 @@ def label_impressions(imp: DataFrame, conv: DataFrame, fan_out: bool = False,
     return _finish(joined, list(CONV_KEYS))
 
 
-def label_dedup(imp: DataFrame, conv: DataFrame) -> DataFrame:
-    """One row per impression: attach the earliest conversion of its key (C11)."""
+def label_dedup(imp: DataFrame, conv: DataFrame, **how) -> DataFrame:
+    """One row per impression: attach the earliest conversion of its key (C11); ``how`` as in ``left_join_first``."""
     first = first_conversions(conv, list(CONV_KEYS))
-    joined = imp.join(first, _key_cond(imp, first), "left")
-    out = _finish(joined, list(CONV_KEYS))
+    out = _finish(left_join_first(imp, first, list(IMP_KEYS), list(CONV_KEYS), conv.count(), **how), [])
     return out.withColumn("n_conversions", F.coalesce(F.col("n_conversions"), F.lit(0)))
 
 
-def label_with_goal(imp: DataFrame, conv: DataFrame) -> DataFrame:
-    """Single-key (user) labelling carrying goal columns (J2): the user's earliest conversion."""
+def label_with_goal(imp: DataFrame, conv: DataFrame, **how) -> DataFrame:
+    """Single-key (user) labelling carrying goal columns (J2): the user's earliest conversion; ``how`` as in ``left_join_first``."""
     first = first_conversions(conv, ["imp_click_unique_id"])
-    joined = imp.join(first, imp["unique_id"] == first["imp_click_unique_id"], "left").drop("imp_click_unique_id")
-    out = _finish(joined, [])
+    out = _finish(left_join_first(imp, first, ["unique_id"], ["imp_click_unique_id"], conv.count(), **how), [])
     return (out.withColumn("goal_name", F.coalesce(F.col("goal_name"), F.lit("No Goal Name")))
                .withColumn("n_conversions", F.coalesce(F.col("n_conversions"), F.lit(0))))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adspark.session import materialize
+from adspark.session import shared_path
 
 
 def ranked_within(df: DataFrame, by: list[str], order_u: Column, tiebreak: str,
@@ -44,11 +44,21 @@ def range_blocks(df: DataFrame, order: list[Column], rows_per_block: int = 1_000
     The number of blocks grows with the rows, and the cuts follow the data
     (Spark's sampled range bounds), so neither a hot group nor values crowded
     in a narrow range end up in one block. Rows that tie in ``order`` share a
-    block. The result is checkpointed, which keeps the numbers fixed.
+    block. The rows are written once, which tells their number; where they fit
+    one block that is all, else the cut rows are written again, which keeps the
+    numbers fixed.
     """
-    df = materialize(df)
+    spark = df.sparkSession
+    df = _written(df, shared_path(spark, "rows"))
     n = max(1, -(-df.count() // rows_per_block))
-    return materialize(df.repartitionByRange(n, *order).withColumn(block_col, F.spark_partition_id()))
+    if n == 1:
+        return df.withColumn(block_col, F.lit(0))
+    return _written(df.repartitionByRange(n, *order).withColumn(block_col, F.spark_partition_id()), shared_path(spark, "blocks"))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running_sum_blocked(df: DataFrame, by: list[str], order_col: str, value_col: str,

@@ -839,3 +839,12 @@ SELECT policy, day, round(spend - before.s, 9) AS delta_spend, round(conv - befo
 FROM (SELECT *, lag({'s': spend, 'c': conv}) OVER (PARTITION BY policy ORDER BY day) AS before FROM full_grid)
 WHERE before IS NOT NULL""", _PER)
 
+
+
+# --------------------------------------------------------------------------
+# The same results reached in another way: one SQL text for both forms
+# --------------------------------------------------------------------------
+for _form, _same in [("label_key_filter", "label_impressions"), ("goal_key_filter", "label_with_goal"),
+                     ("candidate_scores_pruned", "candidate_scores"), ("best_campaign_pruned", "best_campaign"),
+                     ("candidate_diagnostics_blocked", "candidate_diagnostics")]:
+    ORACLE_SQL[_form] = ORACLE_SQL[_same]

@@ -53,6 +53,18 @@ def q_label_impressions(spark, sf):
     return labelled(spark, sf).select(*LABEL_COLS)
 
 
+@register("label_key_filter")
+def q_label_key_filter(spark, sf):
+    """The label join in the form for conversions too many to broadcast: a Bloom filter of their keys."""
+    return L.label_dedup(imps(spark, sf), convs(spark, sf), broadcast_keys=0).select(*LABEL_COLS)
+
+
+@register("goal_key_filter")
+def q_goal_key_filter(spark, sf):
+    return L.label_with_goal(imps(spark, sf), convs(spark, sf), broadcast_keys=0).select(
+        "event_id", "conv_event_id", "goal_name", "conversion_flag", "n_conversions")
+
+
 @register("campaign_conversion_rate")
 def q_campaign_conversion_rate(spark, sf):
     r = A.campaign_conversion_rate(labelled(spark, sf))
@@ -466,6 +478,31 @@ def q_candidate_diagnostics(spark, sf):
         "mean_pconv", "max_pconv", "mean_score", "max_score", "value_per_conv", "true_conv_rate")])
 
 
+CAMPAIGN_BLOCK = 16  # small, so that the driver's hundred campaigns make several blocks
+
+
+@register("candidate_scores_pruned")
+def q_candidate_scores_pruned(spark, sf):
+    """candidate_scores in the form for campaign tables of any length."""
+    best = CA.top_candidates_pruned(auction_imps(spark, sf).drop("dttm_utc"), campaigns(spark, sf), 3, block=CAMPAIGN_BLOCK)
+    return best.select("imp_id", F.posexplode("top").alias("rank", "c")).select(
+        "imp_id", F.col("rank").cast("bigint").alias("rank"), "c.campaign_id", rd("c.pconv").alias("pconv"), rd("c.score").alias("score"))
+
+
+@register("best_campaign_pruned")
+def q_best_campaign_pruned(spark, sf):
+    b = CA.best_campaign_pruned(auction_imps(spark, sf), campaigns(spark, sf), predictor="random", beta=BETA, block=CAMPAIGN_BLOCK)
+    return b.select("imp_id", F.col("campaign_id_chosen").alias("campaign_id"), rd("chosen_score").alias("chosen_score"),
+                    "eligible_campaigns")
+
+
+@register("candidate_diagnostics_blocked")
+def q_candidate_diagnostics_blocked(spark, sf):
+    stats = CA.candidate_statistics_blocked(auction_imps(spark, sf).drop("dttm_utc"), campaigns(spark, sf), block=CAMPAIGN_BLOCK)
+    return stats.select("campaign_id", "impressions", "budget", *[rd(c).alias(c) for c in (
+        "mean_pconv", "max_pconv", "mean_score", "max_score", "value_per_conv", "true_conv_rate")])
+
+
 def _best(spark, sf, predictor):
     camps = CA.collect_campaigns(campaigns(spark, sf))
     return CA.best_campaign(auction_imps(spark, sf), CA.candidate_array(camps), predictor=predictor, beta=BETA)
