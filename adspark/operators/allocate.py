@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.operators.candidates import (
+    best_by_policy,
     best_campaign,
     candidate_array,
     literal_map,
@@ -291,6 +292,17 @@ def decisions(imps: DataFrame, camps: list[dict], predictor: str = "random", bet
     return out.withColumnRenamed("campaign_id_chosen", "campaign_id")
 
 
+def decisions_by_policy(imps: DataFrame, camps: list[dict], policies: dict[str, str], beta: float = 1.0, rule: str = "value",
+                        price_model: str = "relative", imp_logit: str | None = None) -> DataFrame:
+    """``decisions`` of several policies (name -> predictor) with a column ``policy``, from one pass over the impressions (L1).
+
+    The impression side is read and scored once; a row per policy comes out of
+    an array of decisions.
+    """
+    out = best_by_policy(imps, candidate_array(camps), policies, beta=beta, rule=rule, price_model=price_model, imp_logit=imp_logit)
+    return out.withColumnRenamed("campaign_id_chosen", "campaign_id")
+
+
 def stateless_auction(imps: DataFrame, camps: list[dict], predictor: str = "random", beta: float = 1.0,
                       rule: str = "value", price_model: str = "relative", imp_logit: str | None = None,
                       block_size: int = 100_000) -> DataFrame:
@@ -302,9 +314,8 @@ def stateless_auction(imps: DataFrame, camps: list[dict], predictor: str = "rand
     base = imps.select("imp_id", "user_id", "imp_campaign_id_sampled_from", *([imp_logit] if imp_logit else []))
     assign = best_campaign(base, candidate_array(camps), predictor=predictor, beta=beta, rule=rule,
                            price_model=price_model, imp_logit=imp_logit)
-    # Read twice by the blocked running budget: written once to the shared
-    # checkpoint folder instead of scoring every candidate pair twice.
-    return _log(materialize(assign), camps, {}, block_size)
+    # Scored once: the running budget reads its one exchange twice.
+    return _log(assign, camps, {}, block_size)
 
 
 def eligible_counts(imps: DataFrame, camps: list[dict], first_pass: DataFrame, tau: int,

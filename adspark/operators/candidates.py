@@ -172,16 +172,27 @@ def best_campaign(df: DataFrame, cands: Column, predictor: str = "random", beta:
     """
     logit = F.col(imp_logit) if imp_logit else None
     sc = scored_candidates(cands, predictor, F.col(imp_id), rule, logit)
-    best = F.array_max(sc)
-    out = (spread(df).withColumn("_n_elig", F.size(cands).cast("bigint")).where(F.col("_n_elig") > 0)
-           .withColumn("_best", best))
-    return _outcome(out, predictor, beta, price_model, imp_id)
+    out = spread(df).withColumn("_n_elig", F.size(cands).cast("bigint")).where(F.col("_n_elig") > 0)
+    # Out of an array of one: columns and filters on the choice then do not score every pair again.
+    out = out.select("*", F.explode_outer(F.array(F.array_max(sc))).alias("_best"))
+    return _outcome(out, F.lit(predictor == "cpm"), beta, price_model, imp_id)
 
 
-def _outcome(out: DataFrame, predictor: str, beta: float, price_model: str, imp_id: str) -> DataFrame:
-    """Bid, market price and win from the chosen candidate ``_best`` among ``_n_elig``."""
+def best_by_policy(df: DataFrame, cands: Column, policies: dict[str, str], beta: float = 1.0, rule: str = "value",
+                   price_model: str = "relative", imp_id: str = "imp_id", imp_logit: str | None = None) -> DataFrame:
+    """``best_campaign`` for each policy (name -> predictor), a row per impression and ``policy``; the input is read once."""
+    logit = F.col(imp_logit) if imp_logit else None
+    chosen = [F.struct(F.lit(name).alias("policy"), F.lit(p == "cpm").alias("flat"),
+                       F.array_max(scored_candidates(cands, p, F.col(imp_id), rule, logit)).alias("best")) for name, p in policies.items()]
+    out = spread(df).withColumn("_n_elig", F.size(cands).cast("bigint")).where(F.col("_n_elig") > 0)
+    out = out.select("*", F.explode_outer(F.array(*chosen)).alias("_p")).select("*", "_p.policy", F.col("_p.flat").alias("_flat"), F.col("_p.best").alias("_best"))
+    return _outcome(out.drop("_p"), F.col("_flat"), beta, price_model, imp_id).drop("_flat")
+
+
+def _outcome(out: DataFrame, flat: Column, beta: float, price_model: str, imp_id: str) -> DataFrame:
+    """Bid, market price and win from the chosen candidate ``_best`` among ``_n_elig``; ``flat``: bids a constant CPM."""
     ev = F.col("_best.pconv") * F.col("_best.value_per_conv")
-    bid = F.lit(CPM / 1000) if predictor == "cpm" else F.greatest(F.lit(0.0), F.lit(float(beta)) * ev)
+    bid = F.when(flat, F.lit(CPM / 1000)).otherwise(F.greatest(F.lit(0.0), F.lit(float(beta)) * ev))
     out = out.select("*", F.col("_best.campaign_id").alias("campaign_id_chosen"),
                      F.col("_best.value_per_conv").alias("campaign_value_per_conv"),
                      F.col("_best.pconv").alias("pconv"), F.col("_best.score").alias("chosen_score"),
@@ -234,7 +245,7 @@ def best_campaign_pruned(df: DataFrame, campaigns: DataFrame, predictor: str = "
     n = campaigns.count()
     top = top_candidates_pruned(df, campaigns, 1, predictor, imp_id, rule, imp_logit, block)
     out = top.where(F.size("top") > 0).withColumn("_best", F.element_at("top", 1)).withColumn("_n_elig", F.lit(n).cast("bigint")).drop("top")
-    return _outcome(out, predictor, beta, price_model, imp_id)
+    return _outcome(out, F.lit(predictor == "cpm"), beta, price_model, imp_id)
 
 
 def candidate_statistics_blocked(df: DataFrame, campaigns: DataFrame, predictor: str = "random", imp_id: str = "imp_id",

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adspark.session import shared_path
+from adspark.session import staged
 
 
 def ranked_within(df: DataFrame, by: list[str], order_u: Column, tiebreak: str,
@@ -48,17 +48,11 @@ def range_blocks(df: DataFrame, order: list[Column], rows_per_block: int = 1_000
     one block that is all, else the cut rows are written again, which keeps the
     numbers fixed.
     """
-    spark = df.sparkSession
-    df = _written(df, shared_path(spark, "rows"))
+    df = staged(df, "rows")
     n = max(1, -(-df.count() // rows_per_block))
     if n == 1:
         return df.withColumn(block_col, F.lit(0))
-    return _written(df.repartitionByRange(n, *order).withColumn(block_col, F.spark_partition_id()), shared_path(spark, "blocks"))
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged(df.repartitionByRange(n, *order).withColumn(block_col, F.spark_partition_id()), "blocks")
 
 
 def running_sum_blocked(df: DataFrame, by: list[str], order_col: str, value_col: str,

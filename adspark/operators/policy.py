@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.operators.quantiles import exact_quantiles
+from adspark.session import materialize
+
+
+#: Periods of a comparison: a hundred years of days.
+MAX_PERIODS = 36_525
 
 
 def union_logs(logs: dict[str, DataFrame]) -> DataFrame:
@@ -40,8 +45,11 @@ def _per_period(logs: DataFrame, time_col: str) -> DataFrame:
     per = (logs.groupBy("policy", time_col)
            .agg(F.sum(_won(F.col("market_price"))).alias("spend"),
                 F.sum(_won(F.col("pconv"))).alias("conv")))
-    periods = per.agg(F.collect_set(time_col).alias("_p"))
-    grid = per.select("policy").distinct().join(F.broadcast(periods)).select("policy", F.explode("_p").alias(time_col))
+    per = materialize(per)  # one row per policy and period: the facts are read once
+    periods = sorted(r[0] for r in per.select(time_col).distinct().limit(MAX_PERIODS + 1).collect())
+    if len(periods) > MAX_PERIODS:
+        raise ValueError(f"more than {MAX_PERIODS} periods: use longer ones")
+    grid = per.select("policy").distinct().select("policy", F.explode(F.array(*map(F.lit, periods))).alias(time_col))
     return grid.join(per, ["policy", time_col], "left").fillna(0.0, ["spend", "conv"])
 
 
@@ -97,16 +105,21 @@ def auction_summary(log: DataFrame) -> DataFrame:
 
 
 def run_summary(log: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Run totals: processed, wins, spend, utility, expected conversions, remaining budget."""
-    spent = log.groupBy("campaign_id").agg(F.sum(_won(F.col("market_price"))).alias("spent"))
-    per_c = campaigns.select("campaign_id", "budget").join(spent, "campaign_id", "left") \
-        .select((F.col("budget") - F.coalesce(F.col("spent"), F.lit(0.0))).alias("remaining"))
-    rem = per_c.agg(F.sum("remaining").alias("total_remaining"), F.avg("remaining").alias("avg_remaining"),
-                    F.count_if(F.col("remaining") <= 0).alias("exhausted_campaigns")).first()  # one row
-    tot = log.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("win")).alias("wins"),
-                  F.sum(_won(F.col("market_price"))).alias("spend"), F.sum("utility").alias("total_utility"),
-                  F.sum(_won(F.col("pconv"))).alias("expected_conversions"),
-                  F.count_distinct("campaign_id").alias("campaigns_touched"))
+    """Run totals: processed, wins, spend, utility, expected conversions, remaining budget.
+
+    One pass over the log makes a row per campaign; the totals come from those.
+    """
+    gain = _won(F.col("expected_value") - F.col("market_price"))
+    per = materialize(log.groupBy("campaign_id").agg(
+        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("win")).alias("wins"), F.sum(_won(F.col("market_price"))).alias("spend"),
+        F.sum(gain).alias("total_utility"), F.sum(_won(F.col("pconv"))).alias("expected_conversions")))
+    left = campaigns.select("campaign_id", "budget").join(per.select("campaign_id", "spend"), "campaign_id", "left") \
+        .select((F.col("budget") - F.coalesce(F.col("spend"), F.lit(0.0))).alias("remaining"))
+    rem = left.agg(F.sum("remaining").alias("total_remaining"), F.avg("remaining").alias("avg_remaining"),
+                   F.count_if(F.col("remaining") <= 0).alias("exhausted_campaigns")).first()  # one row
+    tot = per.agg(F.coalesce(F.sum("processed"), F.lit(0)).alias("processed"), F.coalesce(F.sum("wins"), F.lit(0)).alias("wins"), F.sum("spend").alias("spend"),
+                  F.sum("total_utility").alias("total_utility"), F.sum("expected_conversions").alias("expected_conversions"),
+                  F.count("campaign_id").alias("campaigns_touched"))
     return tot.select("*", F.lit(rem["total_remaining"]).cast("double").alias("total_remaining"),
                       F.lit(rem["avg_remaining"]).cast("double").alias("avg_remaining"),
                       F.lit(rem["exhausted_campaigns"]).cast("bigint").alias("exhausted_campaigns"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from adspark.operators import label as L
 from adspark.operators import profile as A
-from adspark.session import materialize, shared_path
+from adspark.session import materialize, shared_path, staged
 from adspark.sources import fixtures as FX
 
 QUERIES: dict = {}
@@ -100,10 +100,7 @@ def fitted(spark, sf):
     The cleaned rows are a stage of their own, written once as Parquet: fits
     and scores read it, not the label join.
     """
-    path = shared_path(spark, "cleaned")
-    rows = split_cleaned(spark, sf)
-    rows.write.parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
+    rows = staged(split_cleaned(spark, sf), "cleaned")
     train = rows.where(F.col("split") == "train")
     enc = materialize(FE.fit_ordinal_encoder(train))
     sc = materialize(FE.fit_scaler(FE.numeric_features(train)))
@@ -447,6 +444,12 @@ def stateless_log(spark, sf, predictor="random", budget: float = BUDGET):
     return AL.stateless_auction(auction_imps(spark, sf), camps, predictor=predictor, beta=BETA)
 
 
+def outcomes(spark, sf, camps=None):
+    """The log without its running budget, and with the impressions' time: one pass, no shuffle."""
+    camps = camps if camps is not None else campaigns(spark, sf)
+    return AL.decisions(auction_imps(spark, sf), CA.collect_campaigns(camps), beta=BETA)
+
+
 LOG_DOUBLES = ["campaign_value_per_conv", "expected_value", "bid", "market_price", "pconv", "utility",
                "budget_remaining", "chosen_score"]
 
@@ -462,12 +465,16 @@ def q_campaign_params(spark, sf):
                     rd("value_per_conv").alias("value_per_conv"), rd("target_cpa").alias("target_cpa"), "budget")
 
 
+def candidate_rows(best):
+    """A row per entry of ``top``. The outer form: the other one adds a filter on ``top``, which scores every pair again."""
+    rows = best.select("imp_id", F.posexplode_outer("top").alias("rank", "c")).where(F.col("rank").isNotNull())
+    return rows.select("imp_id", F.col("rank").cast("bigint").alias("rank"), "c.campaign_id", rd("c.pconv").alias("pconv"), rd("c.score").alias("score"))
+
+
 @register("candidate_scores")
 def q_candidate_scores(spark, sf):
     camps = CA.collect_campaigns(campaigns(spark, sf))
-    best = CA.top_candidates(auction_imps(spark, sf).drop("dttm_utc"), CA.candidate_array(camps), 3)
-    return best.select("imp_id", F.posexplode("top").alias("rank", "c")).select(
-        "imp_id", F.col("rank").cast("bigint").alias("rank"), "c.campaign_id", rd("c.pconv").alias("pconv"), rd("c.score").alias("score"))
+    return candidate_rows(CA.top_candidates(auction_imps(spark, sf).drop("dttm_utc"), CA.candidate_array(camps), 3))
 
 
 @register("candidate_diagnostics")
@@ -484,9 +491,7 @@ CAMPAIGN_BLOCK = 16  # small, so that the driver's hundred campaigns make severa
 @register("candidate_scores_pruned")
 def q_candidate_scores_pruned(spark, sf):
     """candidate_scores in the form for campaign tables of any length."""
-    best = CA.top_candidates_pruned(auction_imps(spark, sf).drop("dttm_utc"), campaigns(spark, sf), 3, block=CAMPAIGN_BLOCK)
-    return best.select("imp_id", F.posexplode("top").alias("rank", "c")).select(
-        "imp_id", F.col("rank").cast("bigint").alias("rank"), "c.campaign_id", rd("c.pconv").alias("pconv"), rd("c.score").alias("score"))
+    return candidate_rows(CA.top_candidates_pruned(auction_imps(spark, sf).drop("dttm_utc"), campaigns(spark, sf), 3, block=CAMPAIGN_BLOCK))
 
 
 @register("best_campaign_pruned")
@@ -550,14 +555,14 @@ def q_auction_log(spark, sf):
 
 @register("frequency_cap")
 def q_frequency_cap(spark, sf):
-    capped = AL.frequency_cap(stateless_log(spark, sf), TAU)
+    capped = AL.frequency_cap(outcomes(spark, sf), TAU)
     return capped.select("imp_id", "user_id", "campaign_id", "win_no")
 
 
 @register("budget_pacing")
 def q_budget_pacing(spark, sf):
-    log = stateless_log(spark, sf)
-    paced = AL.budget_pacing(log, campaigns(spark, sf), block_size=1000)
+    camps = materialize(campaigns(spark, sf))
+    paced = AL.budget_pacing(outcomes(spark, sf, camps), camps, block_size=1000)
     return paced.select("imp_id", "campaign_id", rd("spent_before").alias("spent_before"),
                         rd("budget_remaining").alias("budget_remaining"))
 
@@ -579,7 +584,8 @@ def q_allocation_replay(spark, sf):
 
 @register("run_summary")
 def q_run_summary(spark, sf):
-    s = PO.run_summary(stateless_log(spark, sf), campaigns(spark, sf))
+    camps = materialize(campaigns(spark, sf))
+    s = PO.run_summary(outcomes(spark, sf, camps), camps)
     return s.select("processed", "wins", rd("spend").alias("spend"), rd("total_utility").alias("total_utility"),
                     rd("expected_conversions").alias("expected_conversions"), "campaigns_touched",
                     rd("total_remaining").alias("total_remaining"), rd("avg_remaining").alias("avg_remaining"),
@@ -692,7 +698,7 @@ def policy_logs(spark, sf):
     """Decisions of the three policies: constant CPM on a random campaign, value only, the fitted model."""
     imp, camps = model_candidates(spark, sf)
     kinds = {"random": "cpm", "heuristic": "heuristic", "model": "model"}
-    return PO.union_logs({name: AL.decisions(imp, camps, predictor=p, beta=BETA, imp_logit="imp_logit") for name, p in kinds.items()})
+    return AL.decisions_by_policy(imp, camps, kinds, beta=BETA, imp_logit="imp_logit")
 
 
 @register("policy_comparison")
@@ -716,8 +722,8 @@ def q_marginal_cpa_window(spark, sf):
 
 @register("pacing_error")
 def q_pacing_error(spark, sf):
-    camps = campaigns(spark, sf)
-    log = with_week(spark, sf, AL.decisions(auction_imps(spark, sf), CA.collect_campaigns(camps), beta=BETA))
+    camps = materialize(campaigns(spark, sf))
+    log = with_week(spark, sf, outcomes(spark, sf, camps))
     n = log.agg(F.max("day")).first()[0] + 1
     p = PO.pacing_error(log, camps, n)
     return p.select("campaign_id", "day", *[rd(x).alias(x) for x in ["cum_spend", "planned", "pacing_error"]])
@@ -725,7 +731,8 @@ def q_pacing_error(spark, sf):
 
 @register("auction_summary")
 def q_auction_summary(spark, sf):
-    s = PO.auction_summary(stateless_log(spark, sf))
+    log = outcomes(spark, sf).select("campaign_id", "win", "market_price")
+    s = PO.auction_summary(staged(log, "prices"))  # read for the totals and for the quantiles
     return s.select("campaign_id", "impressions", "wins",
                     *[rd(x).alias(x) for x in ["win_rate", "spend", "median_price", "p90_price"]])
 
@@ -895,9 +902,9 @@ def q_stream_features(spark, sf):
 
 
 def timed_log(spark, sf):
-    """The auction log with its impressions' time."""
-    ts = auction_imps(spark, sf).select("imp_id", F.col("dttm_utc").cast("timestamp").alias("ts"))
-    return stateless_log(spark, sf).join(ts, "imp_id")
+    """The outcomes with their impressions' time as TIMESTAMP."""
+    log = outcomes(spark, sf).withColumn("ts", F.col("dttm_utc").cast("timestamp"))
+    return log.select("imp_id", "user_id", "campaign_id", "win", "market_price", "pconv", "ts")
 
 
 @register("stream_frequency_cap")

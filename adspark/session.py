@@ -79,6 +79,13 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def staged(df, name: str):
+    """Write ``df`` as Parquet under the shared folder and read it back: columnar, pruned by its readers, lineage cut."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_intermediates(spark: SparkSession) -> None:
     """Delete the tables and checkpoints this session wrote under the shared folder.
 

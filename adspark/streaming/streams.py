@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from adspark.operators.ordering import range_blocks
-from adspark.session import materialize, shared_path
+from adspark.session import REQUIRED_CONF, materialize, shared_path
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -79,40 +79,54 @@ def drain(stream_df: DataFrame, sink: str | None = None, output_mode: str = "app
 # ---------------------------------------------------------------------------
 # Frequency cap with keyed state
 # ---------------------------------------------------------------------------
-def _cap_fn(tau: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        n_before = state.get[0] if state.exists else 0
-        room = tau - n_before
-        keep = None
-        for pdf in pdfs:  # Arrow-sized chunks; only the `room` smallest ids are kept
-            if room <= 0:
-                continue
-            part = pdf.nsmallest(room, "imp_id")
-            keep = part if keep is None else pd.concat([keep, part]).nsmallest(room, "imp_id")
-        if keep is None or keep.empty:
-            if not state.exists:
-                state.update((n_before,))
-            yield pd.DataFrame({"imp_id": pd.Series(dtype="int64"), "user_id": pd.Series(dtype="int64"),
-                                "campaign_id": pd.Series(dtype="int64"), "win_no": pd.Series(dtype="int64")})
-            return
-        keep = keep.sort_values("imp_id")
-        keep = keep.assign(win_no=range(n_before + 1, n_before + 1 + len(keep)))
-        state.update((n_before + len(keep),))
-        yield keep[["imp_id", "user_id", "campaign_id", "win_no"]].astype({"win_no": "int64"})
-    return fn
+CAPPED = "imp_id long, user_id long, campaign_id long, win_no long"
+
+
+class CapProcessor(StatefulProcessor):
+    """Wins so far of one user, in a map by campaign; emits the wins that are among a campaign's first ``tau``.
+
+    The user is the key, so one state store entry per (user, campaign) is read
+    and written through the map, and a user's campaigns share a task. Of a
+    batch only the ``tau - n`` smallest ids of each campaign are held, whatever
+    the number of rows.
+    """
+
+    def __init__(self, tau: int):
+        self.tau = tau
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.wins = handle.getMapState("wins", "campaign_id long", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[int, list[int]]] = {}  # campaign -> (wins before, smallest ids)
+        for pdf in rows:
+            for campaign, ids in pdf.groupby("campaign_id")["imp_id"]:
+                at = int(campaign)
+                if at not in held:
+                    held[at] = (self.wins.getValue((at,))[0] if self.wins.containsKey((at,)) else 0, [])
+                before, kept = held[at]
+                held[at] = (before, sorted([*kept, *ids.nsmallest(max(self.tau - before, 0)).tolist()])[:max(self.tau - before, 0)])
+        out = [(int(i), int(key[0]), at, before + no) for at, (before, kept) in held.items() for no, i in enumerate(kept, 1)]
+        for at, (before, kept) in held.items():
+            if kept:
+                self.wins.updateValue((at,), (before + len(kept),))
+        yield pd.DataFrame(out, columns=["imp_id", "user_id", "campaign_id", "win_no"]).astype("int64")
+
+    def close(self) -> None:
+        pass
 
 
 def stream_frequency_cap(wins_stream: DataFrame, tau: int) -> DataFrame:
-    """First ``tau`` wins per (user, campaign) across micro-batches.
+    """First ``tau`` wins per (user, campaign) across micro-batches (R3), by ``transformWithState``.
 
-    State per key is one counter; within a batch each key keeps at most the
-    ``tau - n`` smallest ids while its rows stream through, so a hot key never
-    holds more than that in memory. Batches must arrive in id order.
+    Batches must arrive in id order. Map state needs the RocksDB state store,
+    which is set on the session if it was another; a restart on the same
+    checkpoint carries the counts on. Wins without a user or campaign have no
+    cap to count against and are left out.
     """
-    return (wins_stream.select("imp_id", "user_id", "campaign_id")
-            .groupBy("user_id", "campaign_id")
-            .applyInPandasWithState(_cap_fn(tau), "imp_id long, user_id long, campaign_id long, win_no long",
-                                    "n int", "append", GroupStateTimeout.NoTimeout))
+    wins_stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", REQUIRED_CONF["spark.sql.streaming.stateStore.providerClass"])
+    wins = wins_stream.select("imp_id", "user_id", "campaign_id").where("user_id IS NOT NULL AND campaign_id IS NOT NULL")
+    return wins.groupBy("user_id").transformWithStateInPandas(CapProcessor(tau), CAPPED, "append", "none")
 
 
 # ---------------------------------------------------------------------------
