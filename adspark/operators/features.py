@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.timefeat import cyclical
+from adspark.operators.ordering import range_blocks
 
 # Feature lists and order of the processed layout.
 CATEGORICAL_FEATURES = ["campaign_id", "cnxn_type", "dma", "country", "prizm_premier_code",
@@ -48,11 +49,21 @@ def _long_categories(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
 
 
-def fit_ordinal_encoder(df: DataFrame, features: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
-    """Sorted categories per feature -> codes 0..n-1 (numbers sort numerically)."""
+def fit_ordinal_encoder(df: DataFrame, features: list[str] = CATEGORICAL_FEATURES, rows_per_block: int = 1_000_000) -> DataFrame:
+    """Sorted categories per feature -> codes 0..n-1 (numbers sort numerically).
+
+    The distinct categories of all features are cut into ranges of (feature,
+    order) that follow the data, numbered within each range and moved on by
+    the ranges before it: a dictionary of any size spreads over tasks.
+    """
     cats = _long_categories(df, features).distinct()
-    w = Window.partitionBy("feature").orderBy(F.col("sort_num").asc_nulls_last(), F.col("category").asc())
-    return cats.select("feature", "category", (F.dense_rank().over(w) - 1).cast("bigint").alias("code"))
+    order = [F.col("sort_num").asc_nulls_last(), F.col("category").asc()]
+    cut = range_blocks(cats, [F.col("feature"), *order], rows_per_block)
+    sizes = cut.groupBy("feature", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("feature", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = cut.withColumn("_in", F.row_number().over(Window.partitionBy("feature", "_b").orderBy(*order)) - 1)
+    return inside.join(offset, ["feature", "_b"]).select("feature", "category", (F.col("_off") + F.col("_in")).cast("bigint").alias("code"))
 
 
 def category_sizes(encoder: DataFrame) -> DataFrame:
@@ -157,18 +168,41 @@ def one_hot(df: DataFrame, encoder: DataFrame, feature: str, drop_first: bool =
             max_levels: int = 1_000) -> DataFrame:
     """0/1 column per level of ``feature`` from the encoder table, first level dropped (F16).
 
-    The level list is read from the fitted dictionary (bounded, checked).
+    The level list is read from the fitted dictionary (bounded, checked):
+    above ``max_levels`` columns a table is better served by ``one_hot_sparse``.
     """
     levels = [r["category"] for r in encoder.where(F.col("feature") == feature)
               .orderBy("code").limit(max_levels + 1).collect()]
     if len(levels) > max_levels:
-        raise ValueError(f"{feature} has more than {max_levels} levels; use sparse encoding")
+        raise ValueError(f"{feature} has more than {max_levels} levels; use one_hot_sparse")
     if drop_first:
         levels = levels[1:]
     v = category_value(F.col(feature), feature)
     return df.select("*", *[(v == F.lit(lv)).cast("tinyint").alias(f"{feature}_{lv}") for lv in levels])
 
 
+def one_hot_sparse(df: DataFrame, encoder: DataFrame, features: list[str] = CATEGORICAL_FEATURES, drop_first: bool = False,
+                   out: str = "onehot") -> DataFrame:
+    """All ``features`` one-hot encoded as one sparse vector, for dictionaries of any size (F16).
+
+    Adds a struct of size (levels of all features), indices (ascending, one per
+    feature that has a known level) and values (ones). Feature by feature, the
+    levels follow each other in code order; an unseen category has no index,
+    nor has the first level with ``drop_first``. The codes come from the
+    encoder's joins, so nothing grows with the number of levels but the index.
+    """
+    sizes = _dictionary_sizes(encoder)
+    skip = 1 if drop_first else 0
+    coded = ordinal_encode(df, encoder, features, unknown="reserve", out_prefix="_code")
+    index, start = [], 0
+    for i, f in enumerate(features):
+        index.append(F.when(F.col(f"_code{i}") > skip, F.col(f"_code{i}") - (1 + skip) + start))
+        start += max(sizes.get(f, 0) - skip, 0)
+    held = F.array_compact(F.array(*index))
+    vector = F.struct(F.lit(start).cast("bigint").alias("size"), held.alias("indices"), F.transform(held, lambda _: F.lit(1.0)).alias("values"))
+    return coded.withColumn(out, vector).drop(*[f"_code{i}" for i in range(len(features))])
+
+
 def counterfactual_features(processed: DataFrame, camps: list[dict], codes: dict, score,
                             campaign_slot: int = 0, keep: list[str] | None = None) -> DataFrame:
     """Each encoded impression with the best candidate campaign's code in slot ``cat_<slot>``.

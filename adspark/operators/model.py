@@ -11,6 +11,8 @@ reference's network). M4 runs any pandas predictor over Arrow batches.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def fit_log_odds(processed: DataFrame, n_cat: int = 9, label: str = "conversion_
     """Weight per (feature, code): ln((pos+a)/(neg+a)) - prior log odds; bias = prior log odds."""
     tot = processed.agg(F.sum(F.col(label).cast("double")).alias("P"), F.count(F.lit(1)).alias("n")).first()
     p, n = tot["P"] or 0.0, tot["n"]
-    bias = float(__import__("math").log((p + alpha) / (n - p + alpha)))
+    bias = math.log((p + alpha) / (n - p + alpha))
     long = processed.select(F.col(label).cast("double").alias("y"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("feature"), F.col(f"cat_{i}").alias("code")) for i in range(n_cat)])).alias("kv"))
     g = long.groupBy("kv.feature", "kv.code").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("cnt"))
@@ -30,23 +32,29 @@ def fit_log_odds(processed: DataFrame, n_cat: int = 9, label: str = "conversion_
     return g.select("feature", "code", w.alias("weight")), bias
 
 
-def linear_logit(df: DataFrame, weights: DataFrame, bias: float, features, out: str = "logit") -> DataFrame:
-    """bias + sum over ``features`` (indices) of weight[feature][cat_i]; unseen codes weigh 0.
+def join_weights(df: DataFrame, weights: DataFrame, features, prefix: str = "w_") -> DataFrame:
+    """``df`` with a column ``w_<i>`` for each feature index: the weight of its code, 0 for an unseen one.
 
     Each feature's weights are broadcast if that feature has at most
     ``MAX_BROADCAST_ROWS`` of them, else joined by shuffle: one large
     dictionary does not make the small ones move the facts.
     """
-    features = list(features)
     size = {r["feature"]: r["count"] for r in weights.groupBy("feature").count().collect()}  # one row per feature
-    res, logit = df, F.lit(float(bias))
     for i in features:
-        wi = weights.where(F.col("feature") == i).select(F.col("code").alias(f"cat_{i}"), F.col("weight").alias(f"_w{i}"))
+        wi = weights.where(F.col("feature") == i).select(F.col("code").alias(f"cat_{i}"), F.col("weight").alias("_w"))
         if size.get(i, 0) <= MAX_BROADCAST_ROWS:
             wi = F.broadcast(wi)
-        res = res.join(wi, f"cat_{i}", "left")
-        logit = logit + F.coalesce(F.col(f"_w{i}"), F.lit(0.0))
-    return res.withColumn(out, logit).drop(*[f"_w{i}" for i in features])
+        df = df.join(wi, f"cat_{i}", "left").withColumn(f"{prefix}{i}", F.coalesce(F.col("_w"), F.lit(0.0))).drop("_w")
+    return df
+
+
+def linear_logit(df: DataFrame, weights: DataFrame, bias: float, features, out: str = "logit") -> DataFrame:
+    """bias + sum over ``features`` (indices) of weight[feature][cat_i]; unseen codes weigh 0."""
+    features = list(features)
+    logit = F.lit(float(bias))
+    for i in features:
+        logit = logit + F.col(f"_w{i}")
+    return join_weights(df, weights, features, "_w").withColumn(out, logit).drop(*[f"_w{i}" for i in features])
 
 
 def campaign_weights(encoder: DataFrame, weights: DataFrame, campaign_ids: list[int],

@@ -17,9 +17,10 @@ from adspark.session import staged
 
 
 def ranked_within(df: DataFrame, by: list[str], order_u: Column, tiebreak: str,
-                  n_blocks: int = 1 << 16, max_rank: int | None = None, rank_col: str = "_rank") -> DataFrame:
+                  n_blocks: int, max_rank: int | None = None, rank_col: str = "_rank") -> DataFrame:
     """1-based rank within ``by`` ordered by (order_u, tiebreak); order_u must lie in [0, 1).
 
+    ``n_blocks`` cuts [0, 1); callers take it from the number of rows (``blocks_for``).
     ``max_rank`` drops rows of blocks that start past the cap before the fine
     window, so a sample of n per group never sorts the whole group.
     """
@@ -55,6 +56,24 @@ def range_blocks(df: DataFrame, order: list[Column], rows_per_block: int = 1_000
     return staged(df.repartitionByRange(n, *order).withColumn(block_col, F.spark_partition_id()), "blocks")
 
 
+def blocks_for(n_rows: int, rows_per_block: int = 100_000) -> int:
+    """Blocks that hold about ``rows_per_block`` rows each."""
+    return max(1, -(-n_rows // rows_per_block))
+
+
+def running_sum_ranged(df: DataFrame, order: list[str], value_col: str, rows_per_block: int = 1_000_000, out_col: str = "_cum") -> DataFrame:
+    """Running sum (inclusive) of ``value_col`` over all rows in ``order``, whose blocks follow the data (``range_blocks``).
+
+    ``order`` must be unique. Sums run per block; the offsets are a window over one row per block.
+    """
+    cut = range_blocks(df, [F.col(c) for c in order], rows_per_block)
+    tot = cut.groupBy("_b").agg(F.sum(value_col).alias("_bs"))
+    off = tot.select("_b", F.coalesce(F.sum("_bs").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_off"))
+    own = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut.withColumn("_in", F.sum(value_col).over(own))
+    return inside.join(off, "_b").withColumn(out_col, F.col("_off") + F.col("_in")).drop("_b", "_in", "_off")
+
+
 def running_sum_blocked(df: DataFrame, by: list[str], order_col: str, value_col: str,
                         block_size: int, out_col: str = "_cum", inclusive: bool = True) -> DataFrame:
     """Running sum of ``value_col`` within ``by`` ordered by an integer ``order_col``.

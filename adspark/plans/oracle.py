@@ -840,6 +840,22 @@ FROM (SELECT *, lag({'s': spend, 'c': conv}) OVER (PARTITION BY policy ORDER BY
 WHERE before IS NOT NULL""", _PER)
 
 
+q("ratio_sample_exact", f"""
+SELECT p.i AS draw_id, l.event_id, l.conversion_flag
+FROM (SELECT i, ({sql_u("'point13'", 'i')} + {sql_u("'fine13'", 'i')} / 4294967296.0) * (SELECT max(hi) FROM line) AS at
+      FROM range((SELECT count(*) FROM line)) AS r(i)) p
+JOIN line l ON l.hi - l.w <= p.at AND p.at < l.hi""", _DEDUP_CTE + """,
+line AS (SELECT event_id, conversion_flag, CAST(CASE WHEN conversion_flag = 1 THEN 2 ELSE 1 END AS DOUBLE) AS w,
+                sum(CAST(CASE WHEN conversion_flag = 1 THEN 2 ELSE 1 END AS DOUBLE)) OVER (ORDER BY event_id) AS hi FROM dedup)""")
+
+_start = [" + ".join([f"(SELECT count(*) FROM enc WHERE feature = '{g}')" for g in CATEGORICAL_FEATURES[:i]] or ["0"]) for i in range(len(CATEGORICAL_FEATURES))]
+_index = ", ".join(f"e{i}.code + {o}" for i, o in enumerate(_start))
+q("one_hot_sparse", f"""
+SELECT s.event_id, s.conv_event_id, (SELECT count(*) FROM enc) AS n_levels,
+       array_to_string(list_filter([{_index}], lambda x: x IS NOT NULL), ',') AS indices,
+       len(list_filter([{_index}], lambda x: x IS NOT NULL)) AS n_known
+FROM splitc s
+{_joins}""", ENC_CTES)
 
 # --------------------------------------------------------------------------
 # The same results reached in another way: one SQL text for both forms

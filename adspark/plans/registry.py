@@ -309,6 +309,12 @@ def q_ratio_sample_replace(spark, sf):
     return P.ratio_sample(d, k=2.0, replace=True).select("event_id", "conversion_flag", "copy_id")
 
 
+@register("ratio_sample_exact")
+def q_ratio_sample_exact(spark, sf):
+    d = L.label_dedup(imps(spark, sf), convs(spark, sf)).select("event_id", "conversion_flag")
+    return P.ratio_sample_exact(d, k=2.0).select("draw_id", "event_id", "conversion_flag")
+
+
 @register("shuffled_order")
 def q_shuffled_order(spark, sf):
     return P.shuffled_order(imps(spark, sf)).select("event_id", "imp_id")
@@ -414,6 +420,14 @@ def q_one_hot(spark, sf):
     return oh.select("event_id", "conv_event_id", *[c for c in oh.columns if c.startswith("cnxn_type_")])
 
 
+@register("one_hot_sparse")
+def q_one_hot_sparse(spark, sf):
+    rows, enc, _ = fitted(spark, sf)
+    v = FE.one_hot_sparse(rows, enc)
+    return v.select("event_id", "conv_event_id", F.col("onehot.size").alias("n_levels"), F.array_join(F.transform("onehot.indices", lambda i: i.cast("string")), ",").alias("indices"),
+                    F.size("onehot.values").cast("bigint").alias("n_known"))
+
+
 # --------------------------------------------------------------------------
 # Campaigns, candidates, auction
 # --------------------------------------------------------------------------
@@ -837,23 +851,16 @@ def q_score_linear(spark, sf):
 @register("score_plugin")
 def q_score_plugin(spark, sf):
     p, w, b, _ = linear_model(spark, sf)
-    # The weights are bounded by the dictionaries' sizes (checked): one dense array per feature, broadcast.
-    if w.count() > MO.MAX_BROADCAST_ROWS:
-        raise ValueError("weight table too large for a plug-in predictor")
-    rows = w.toPandas()
-    size = int(rows["code"].max()) + 2 if len(rows) else 2
-    table = np.zeros((9, size))
-    table[rows["feature"], rows["code"] + 1] = rows["weight"]
-    shared = spark.sparkContext.broadcast(table)
+    # The plug-in gets the weights as columns, joined by feature whatever their number.
+    weighted = MO.join_weights(p, w, range(9)).select("event_id", "conv_event_id", *[f"w_{i}" for i in range(9)])
 
     def predict(pdf):
-        dense, logit = shared.value, np.full(len(pdf), b)
+        logit = np.full(len(pdf), b)
         for i in range(9):
-            code = pdf[f"cat_{i}"].to_numpy() + 1
-            logit += np.where(code < dense.shape[1], dense[i][np.minimum(code, dense.shape[1] - 1)], 0.0)
+            logit += pdf[f"w_{i}"].to_numpy()
         return pd.DataFrame({"event_id": pdf["event_id"], "conv_event_id": pdf["conv_event_id"],
                              "score": np.round(1.0 / (1.0 + np.exp(-logit)), 9)})
-    return MO.score_plugin(p, predict, "event_id long, conv_event_id long, score double")
+    return MO.score_plugin(weighted, predict, "event_id long, conv_event_id long, score double")
 
 
 @register("apply_batches")
