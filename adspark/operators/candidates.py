@@ -98,12 +98,14 @@ def candidate_array(camps: list[dict], extra: dict | None = None) -> Column:
              "true_conv_rate": float(c["true_conv_rate"]), "value_per_conv": float(c["value_per_conv"]),
              "target_cpa": float(c["target_cpa"]), "budget": float(c["budget"]),
              "cand_weight": float(c.get("cand_weight") or 0.0)}
+        if c.get("cand_factors") is not None:
+            d["cand_factors"] = [float(x) for x in c["cand_factors"]]
         for k, v in extra.items():
             val = v.get(c["campaign_id"])
             d[k] = None if val is None else int(val)
         items.append(d)
     fields = ["campaign_id bigint", "ordinal int", "true_conv_rate double", "value_per_conv double",
-              "target_cpa double", "budget double", "cand_weight double"] + [f"{k} bigint" for k in extra]
+              "target_cpa double", "budget double", "cand_weight double", "cand_factors array<double>"] + [f"{k} bigint" for k in extra]
     schema = f"array<struct<{', '.join(f.replace(' ', ':') for f in fields)}>>"
     return F.from_json(F.lit(json.dumps(items, allow_nan=True)), schema)
 
@@ -114,8 +116,17 @@ def literal_map(d: dict, value_type: str = "double") -> Column:
                        f"map<string,{value_type}>")
 
 
-def pconv_expr(predictor: str, imp_id: Column, c: Column, imp_logit: Column | None = None) -> Column:
-    """P(conversion) of an impression for candidate ``c``."""
+def pconv_expr(predictor: str, imp_id: Column, c: Column, imp_logit: Column | None = None, imp_vector: Column | None = None) -> Column:
+    """P(conversion) of an impression for candidate ``c``.
+
+    ``model`` adds the campaign's weight to the impression's logit; ``factors``
+    also the product of the impression's vector and the campaign's.
+    """
+    if predictor == "factors":
+        if imp_logit is None or imp_vector is None:
+            raise ValueError("the factors predictor needs the impression-side logit and vector")
+        pair = F.aggregate(F.zip_with(imp_vector, c["cand_factors"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(imp_logit + c["cand_weight"] + pair)))
     if predictor == "heuristic":
         return F.lit(1.0)
     if predictor == "random":
@@ -139,10 +150,10 @@ def score_expr(pconv: Column, c: Column, rule: str = "value") -> Column:
 
 
 def scored_candidates(cands: Column, predictor: str, imp_id: Column, rule: str = "value",
-                      imp_logit: Column | None = None) -> Column:
+                      imp_logit: Column | None = None, imp_vector: Column | None = None) -> Column:
     """array<struct(score, neg_ordinal, campaign_id, pconv, value_per_conv)> per impression."""
     def one(c):
-        p = pconv_expr(predictor, imp_id, c, imp_logit)
+        p = pconv_expr(predictor, imp_id, c, imp_logit, imp_vector)
         # The constant-CPM policy picks any eligible campaign with the same chance.
         s = u("pick", imp_id, c["campaign_id"]) if predictor == "cpm" else score_expr(p, c, rule)
         return F.struct(s.alias("score"), (-c["ordinal"]).alias("neg_ordinal"),
@@ -164,14 +175,14 @@ def market_price(bid: Column, imp_id: Column, model: str = "relative",
 
 def best_campaign(df: DataFrame, cands: Column, predictor: str = "random", beta: float = 1.0,
                   rule: str = "value", price_model: str = "relative", imp_id: str = "imp_id",
-                  imp_logit: str | None = None) -> DataFrame:
+                  imp_logit: str | None = None, imp_vector: str | None = None) -> DataFrame:
     """Argmax campaign, bid, market price and win per impression; no shuffle.
 
     Ties go to the lowest ordinal (first in list order, T12). Empty
     candidate arrays give no row (nothing to bid on).
     """
     logit = F.col(imp_logit) if imp_logit else None
-    sc = scored_candidates(cands, predictor, F.col(imp_id), rule, logit)
+    sc = scored_candidates(cands, predictor, F.col(imp_id), rule, logit, F.col(imp_vector) if imp_vector else None)
     out = spread(df).withColumn("_n_elig", F.size(cands).cast("bigint")).where(F.col("_n_elig") > 0)
     # Out of an array of one: columns and filters on the choice then do not score every pair again.
     out = out.select("*", F.explode_outer(F.array(F.array_max(sc))).alias("_best"))
@@ -298,12 +309,12 @@ def candidate_statistics(df: DataFrame, cands: Column, predictor: str = "random"
 
 
 def candidates_of(df: DataFrame, imp_ids: list, cands: Column, predictor: str = "random", imp_id: str = "imp_id",
-                  rule: str = "value", imp_logit: str | None = None) -> DataFrame:
+                  rule: str = "value", imp_logit: str | None = None, imp_vector: str | None = None) -> DataFrame:
     """Every candidate of the named impressions as rows (B14): the table one looks at for a single decision."""
     logit = F.col(imp_logit) if imp_logit else None
 
     def one(c):
-        p = pconv_expr(predictor, F.col(imp_id), c, logit)
+        p = pconv_expr(predictor, F.col(imp_id), c, logit, F.col(imp_vector) if imp_vector else None)
         return F.struct(c["campaign_id"].alias("campaign_id"), c["ordinal"].alias("ordinal"),
                         p.alias("pconv"), score_expr(p, c, rule).alias("score"),
                         c["value_per_conv"].alias("value_per_conv"), c["true_conv_rate"].alias("true_conv_rate"),

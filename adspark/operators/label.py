@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from adspark.functions.timefeat import day_of_week_monday0, hour_of_day
 from adspark.operators import keyfilter
+from adspark.operators.ordering import range_blocks
 from adspark.session import materialize
 
 IMP_KEYS = ("campaign_id", "unique_id")
@@ -125,6 +126,23 @@ def label_by_time_key(imp: DataFrame, conv: DataFrame) -> DataFrame:
     return _finish(joined, list(CONV_KEYS)).withColumn("n_conversions", F.coalesce(F.col("n_conversions"), F.lit(0)))
 
 
+CLICK_KEYS = ("imp_click_dttm_utc", "imp_click_campaign_id", "imp_click_placement_id")
+
+
+def label_by_click(imp: DataFrame, conv: DataFrame, **how) -> DataFrame:
+    """Composite key linking by time, campaign and placement of the clicked impression.
+
+    For data without user ids: conversions carry ``CLICK_KEYS``, which equal
+    (dttm_utc, campaign_id, placement_id) of the impression that was clicked.
+    Impressions that share all three are linked alike; a null in any of them
+    links nothing. Adds the earliest conversion of the key and
+    ``n_conversions``; ``how`` as in ``left_join_first``.
+    """
+    first = first_conversions(conv, list(CLICK_KEYS))
+    out = _finish(left_join_first(imp, first, ["dttm_utc", "campaign_id", "placement_id"], list(CLICK_KEYS), conv.count(), **how), [])
+    return out.withColumn("n_conversions", F.coalesce(F.col("n_conversions"), F.lit(0)))
+
+
 def device_type_lookup(df: DataFrame, lookup: DataFrame, code_col: str = "device_type",
                        out_col: str = "device_type_full", max_rows: int = 10_000) -> DataFrame:
     """Left join to the device-type dimension (J4); broadcast when it has at most ``max_rows`` rows."""
@@ -134,7 +152,7 @@ def device_type_lookup(df: DataFrame, lookup: DataFrame, code_col: str = "device
     return df.join(lk, df[code_col] == lk["_short"], "left").drop("_short")
 
 
-def conversion_latency(imp: DataFrame, conv: DataFrame, window_days: int = 7, block_seconds: int = 3600) -> DataFrame:
+def conversion_latency(imp: DataFrame, conv: DataFrame, window_days: int = 7, rows_per_block: int = 1_000_000) -> DataFrame:
     """Each conversion with the impression it goes to, and the seconds between them.
 
     That is the latest impression of its campaign and user at or before it,
@@ -142,10 +160,11 @@ def conversion_latency(imp: DataFrame, conv: DataFrame, window_days: int = 7, bl
     without one is left out, so is any row without a campaign or user. One row
     per conversion at most.
 
-    No pair join: impressions and conversions are stacked per key and cut into
-    time blocks. Inside a block a running maximum gives the last impression; a
-    small window over per-block maxima gives the last one of any earlier
-    block. A hot key is spread over its time blocks.
+    No pair join: impressions and conversions are stacked and cut into ranges
+    of (campaign, user, time) that follow the data. Inside a range a running
+    maximum gives the last impression; a small window over the ranges' maxima
+    gives the last one of any earlier range of the key. A hot key is spread
+    over as many ranges as its rows fill.
     """
     key = ["campaign_id", "unique_id"]
     stack = (imp.select(*key, "event_id", F.col("dttm_utc").alias("ts"), "device_type", F.lit(0).alias("kind"))
@@ -154,16 +173,16 @@ def conversion_latency(imp: DataFrame, conv: DataFrame, window_days: int = 7, bl
                                       F.col("conv_event_id").alias("event_id"), F.col("conv_dttm_utc").alias("ts"),
                                       F.lit(None).cast("string").alias("device_type"), F.lit(1).alias("kind")))
              .where(F.col("campaign_id").isNotNull() & F.col("unique_id").isNotNull())
-             .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-             .withColumn("_blk", F.floor(F.col("_us") / F.lit(block_seconds * 1_000_000)).cast("bigint")))
+             .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts"))
+    rows = range_blocks(stack, [F.col(c) for c in (*key, "_us", "kind", "event_id")], rows_per_block)
     seen = F.when(F.col("kind") == 0, F.struct("_us", "event_id", "device_type"))
     # Ascending time, impressions before conversions at equal time.
-    w_in = Window.partitionBy(*key, "_blk").orderBy("_us", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    inb = stack.withColumn("_last_in", F.max(seen).over(w_in)).where(F.col("kind") == 1)
-    per_blk = stack.groupBy(*key, "_blk").agg(F.max(seen).alias("_bmax"))
-    w_blk = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_blk.withColumn("_last_before", F.max("_bmax").over(w_blk)).drop("_bmax")
-    j = inb.drop("device_type").join(before, [*key, "_blk"], "left").withColumn("_i", F.coalesce("_last_in", "_last_before"))
+    w_in = Window.partitionBy(*key, "_b").orderBy("_us", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inb = rows.withColumn("_last_in", F.max(seen).over(w_in)).where(F.col("kind") == 1)
+    w_blk = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*key, "_b").agg(F.max(seen).alias("_end"))
+    before = ends.withColumn("_last_before", F.max("_end").over(w_blk)).where(F.col("_last_before").isNotNull()).drop("_end")
+    j = inb.drop("device_type").join(before, [*key, "_b"], "left").withColumn("_i", F.coalesce("_last_in", "_last_before"))
     gap = F.col("_us") - F.col("_i._us")
     return (j.where(gap <= F.lit(window_days * 86_400_000_000))
              .select(*key, F.col("_i.event_id").alias("event_id"), F.col("event_id").alias("conv_event_id"),

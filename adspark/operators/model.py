@@ -12,7 +12,9 @@ reference's network). M4 runs any pandas predictor over Arrow batches.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +114,65 @@ def fit_score_logistic(train: DataFrame, apply_to: DataFrame, n_cat: int = 9, n_
     return model.transform(apply_to).withColumn("score", vector_to_array("probability")[1])
 
 
+@dataclass
+class Factors:
+    """A fitted factorization machine: bias, and per feature level a weight and a factor vector; the numbers follow the levels."""
+
+    bias: float
+    weights: np.ndarray
+    vectors: np.ndarray
+    starts: list[int]
+    sizes: list[int]
+
+    def level(self, feature: int, code: int) -> tuple[float, list[float]]:
+        """Weight and vector of a code; an unseen one has zeros."""
+        if not 0 <= code < self.sizes[feature]:
+            return 0.0, [0.0] * self.vectors.shape[1]
+        at = self.starts[feature] + code
+        return float(self.weights[at]), self.vectors[at].tolist()
+
+
+def fit_factors(train: DataFrame, n_cat: int = 9, n_num: int = 8, label: str = "conversion_flag", factor_size: int = 16, max_iter: int = 50) -> Factors:
+    """Fit M3's model and keep its parameters (features x factors numbers, which Spark ML holds on the driver as well)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import FMClassifier
+    fm = FMClassifier(featuresCol="features", labelCol=label, factorSize=factor_size, maxIter=max_iter, seed=7)
+    fit = Pipeline(stages=[_assembled(train, n_cat, n_num), fm]).fit(train)
+    sizes = [int(n) for n in fit.stages[0].stages[0].categorySizes]
+    model = fit.stages[1]
+    return Factors(float(model.intercept), model.linear.toArray(), model.factors.toArray(), np.cumsum([0, *sizes]).tolist(), sizes)
+
+
+def factor_side(df: DataFrame, model: Factors, features, n_num: int = 8, logit: str = "imp_logit", vector: str = "imp_vector") -> DataFrame:
+    """Everything but one feature of a factorization machine: ``imp_logit`` and the summed factors ``imp_vector``.
+
+    With the missing feature at level c, the logit is imp_logit + weight(c) +
+    <imp_vector, vector(c)>: pairs among the given features and numbers are in
+    imp_logit, pairs with the missing one come from the product. ``df`` has the
+    processed layout; the levels' parameters are joined by code, as
+    ``join_weights`` does.
+    """
+    k, spark = model.vectors.shape[1], df.sparkSession
+    zero = F.array(*[F.lit(0.0)] * k)
+    linear, total, square = F.lit(model.bias), zero, F.lit(0.0)
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    norm = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
+    for i in features:
+        rows = [(c, *model.level(i, c)) for c in range(model.sizes[i])]
+        levels = spark.createDataFrame(rows, "code long, w double, v array<double>").select(F.col("code").alias(f"cat_{i}"), F.col("w").alias(f"_w{i}"), F.col("v").alias(f"_v{i}"))
+        df = df.join(F.broadcast(levels) if len(rows) <= MAX_BROADCAST_ROWS else levels, f"cat_{i}", "left")
+        linear, own = linear + F.coalesce(F.col(f"_w{i}"), F.lit(0.0)), F.coalesce(F.col(f"_v{i}"), zero)
+        total, square = plus(total, own), square + norm(own)
+    for j in range(n_num):
+        at, x = model.starts[-1] + j, F.col(f"num_{j}").cast("double")
+        linear = linear + x * float(model.weights[at])
+        total = plus(total, F.array(*[x * float(f) for f in model.vectors[at]]))
+        square = square + x * x * float((model.vectors[at] ** 2).sum())
+    df = df.withColumn(vector, total).withColumn("_linear", linear).withColumn("_square", square)
+    pairs = (norm(F.col(vector)) - F.col("_square")) / 2
+    return df.withColumn(logit, F.col("_linear") + pairs).drop("_linear", "_square", *[f"_{a}{i}" for a in "wv" for i in features])
+
+
 def fit_score_fm(train: DataFrame, apply_to: DataFrame, n_cat: int = 9, n_num: int = 8,
                  label: str = "conversion_flag", factor_size: int = 16, max_iter: int = 50) -> DataFrame:
     """Factorization machine with 16 factors (M3): pairwise category interactions."""

@@ -857,6 +857,25 @@ SELECT s.event_id, s.conv_event_id, (SELECT count(*) FROM enc) AS n_levels,
 FROM splitc s
 {_joins}""", ENC_CTES)
 
+q("label_by_click", """
+SELECT i.event_id, c.conv_event_id, CAST(c.conv_event_id IS NOT NULL AS TINYINT) AS conversion_flag, coalesce(c.n, 0) AS n_conversions
+FROM imp i LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, campaign_id, placement_id ORDER BY conv_dttm_utc, conv_event_id) AS rn,
+                        count(*) OVER (PARTITION BY t, campaign_id, placement_id) AS n
+                 FROM (SELECT a.conv_event_id, v.conv_dttm_utc, s.dttm_utc AS t, v.imp_click_campaign_id AS campaign_id, s.placement_id
+                       FROM attributed a JOIN imp s ON s.event_id = a.event_id JOIN conv v ON v.conv_event_id = a.conv_event_id)) WHERE rn = 1) c
+  ON i.dttm_utc = c.t AND i.campaign_id = c.campaign_id AND i.placement_id = c.placement_id""", ATTRIBUTED)
+
+q("sketch_profile", """
+SELECT campaign_id, count(*) AS n_rows, count(value) AS value_n, round(min(value), 9) AS value_min, round(max(value), 9) AS value_max,
+       true AS users_near, true AS agents_near, true AS p50_near, true AS p90_near
+FROM imp GROUP BY campaign_id""")
+
+ORACLE_SQL["footer_counts"] = "SELECT count(*) AS n_rows, " + ", ".join(
+    f"count({c}) AS {c}_n, min({c}) AS {c}_min, max({c}) AS {c}_max" for c in ("event_id", "user_id", "value")) + " FROM events"
+
+q("stream_join_attribution", "SELECT event_id, conv_event_id, round(latency_s, 3) AS latency_s FROM attributed", ATTRIBUTED)
+
 # --------------------------------------------------------------------------
 # The same results reached in another way: one SQL text for both forms
 # --------------------------------------------------------------------------

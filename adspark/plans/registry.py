@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from adspark.operators import label as L
 from adspark.operators import profile as A
+from adspark.operators import sketch as SK
 from adspark.session import materialize, shared_path, staged
 from adspark.sources import fixtures as FX
 
@@ -181,6 +182,18 @@ def q_label_by_time_key(spark, sf):
         "event_id", "conv_event_id", "conversion_flag", "n_conversions")
 
 
+def clicks(spark, sf):
+    """Conversions that have an impression, with that impression's time and placement (``imp_click_*``)."""
+    seen = L.conversion_latency(imps(spark, sf), convs(spark, sf)).select("event_id", "conv_event_id")
+    of = imps(spark, sf).select("event_id", F.col("dttm_utc").alias("imp_click_dttm_utc"), F.col("placement_id").alias("imp_click_placement_id"))
+    return convs(spark, sf).join(seen, "conv_event_id").join(of, "event_id").drop("event_id")
+
+
+@register("label_by_click")
+def q_label_by_click(spark, sf):
+    return L.label_by_click(imps(spark, sf), clicks(spark, sf)).select("event_id", "conv_event_id", "conversion_flag", "n_conversions")
+
+
 @register("device_type_lookup")
 def q_device_type_lookup(spark, sf):
     lk = FX.device_types(spark)
@@ -273,6 +286,27 @@ def q_value_counts(spark, sf):
     return A.value_counts(imps(spark, sf), "cnxn_type")
 
 
+def daily_sketches(spark, sf):
+    days = imps(spark, sf).withColumn("day", F.to_date("dttm_utc"))
+    return SK.profile_sketches(days, ["campaign_id", "day"], ["unique_id", "user_agent"], ["value"])
+
+
+@register("sketch_profile")
+def q_sketch_profile(spark, sf):
+    """Per campaign, from its days' sketches: counts, and whether the estimates lie within their error bounds."""
+    est = SK.estimates(SK.merge_sketches(staged(daily_sketches(spark, sf), "sketches"), ["campaign_id"]), ["campaign_id"], {"p50": 0.5, "p90": 0.9})
+    facts = imps(spark, sf).select("campaign_id", "unique_id", "user_agent", "value").join(est, "campaign_id")
+    share = lambda q: F.count_if(F.col("value") <= F.col(q)) / F.count("value")
+    below = lambda q: F.count_if(F.col("value") < F.col(q)) / F.count("value")
+    near = lambda est, exact: F.abs(est - exact) <= F.greatest(0.05 * exact, F.lit(0.5))
+    held = facts.groupBy("campaign_id").agg(
+        F.first("n_rows").alias("n_rows"), F.first("value_n").alias("value_n"), F.first("value_min").alias("value_min"), F.first("value_max").alias("value_max"),
+        near(F.first("unique_id_distinct"), F.count_distinct("unique_id")).alias("users_near"),
+        near(F.first("user_agent_distinct"), F.count_distinct("user_agent")).alias("agents_near"),
+        ((below("value_p50") <= 0.52) & (share("value_p50") >= 0.48)).alias("p50_near"), ((below("value_p90") <= 0.92) & (share("value_p90") >= 0.88)).alias("p90_near"))
+    return held.select("campaign_id", "n_rows", "value_n", rd("value_min").alias("value_min"), rd("value_max").alias("value_max"), "users_near", "agents_near", "p50_near", "p90_near")
+
+
 @register("histogram")
 def q_histogram(spark, sf):
     return A.histogram(imps(spark, sf), "value", 0.0, 100.0, 20)
@@ -810,10 +844,17 @@ def q_scan_file_subset(spark, sf):
 @register("auction_log_sink")
 def q_auction_log_sink(spark, sf):
     path = shared_path(spark, "auction-log")
-    log = stateless_log(spark, sf)
-    IO.append_log(log.where(F.col("imp_id") % 2 == 0), path)
-    IO.append_log(log.where(F.col("imp_id") % 2 == 1), path)
-    return rounded_log(spark.read.parquet(path))
+    log = staged(stateless_log(spark, sf), "log")
+    halves = {f"part{r}": log.where(F.col("imp_id") % 2 == r) for r in range(2)}
+    for name in ("part0", "part1", "part0"):  # the last one is a retry, and adds nothing
+        IO.append_committed(halves[name], path, name)
+    return rounded_log(IO.read_committed(spark, path))
+
+
+@register("footer_counts")
+def q_footer_counts(spark, sf):
+    """Rows and bounds of the events from the file footers."""
+    return IO.footer_counts(spark, f"{sf}/events.parquet", ["event_id", "user_id", "value"])
 
 
 @register("preprocessor_roundtrip")
@@ -939,6 +980,15 @@ def q_stream_attribution(spark, sf):
     return r.select("event_id", "conv_event_id", rd("latency_s", 3).alias("latency_s"))
 
 
+@register("stream_join_attribution")
+def q_stream_join_attribution(spark, sf):
+    """Conversions that the stream-stream join gave an impression."""
+    source = ST.event_stream(spark, f"{sf}/events.parquet")
+    pairs = ST.drain(ST.join_attribution(FX.impressions_from_events(source), FX.conversions_from_events(source)), name="joined")
+    matched = spark.read.parquet(pairs).where(F.col("event_id").isNotNull())
+    return ST.latest_impression(matched).select("event_id", "conv_event_id", rd("latency_s", 3).alias("latency_s"))
+
+
 @register("stream_allocation")
 def q_stream_allocation(spark, sf):
     camps = CA.collect_campaigns(campaigns(spark, sf))
@@ -989,6 +1039,31 @@ def q_policy_model(spark, sf):
                        rd("chosen_score").alias("chosen_score"))
 
 
+FM_FACTORS = 8
+
+
+def factor_candidates(spark, sf):
+    """(impressions, campaigns) prepared for the predictor "factors": a factorization machine fitted on the train split."""
+    fit = fitted(spark, sf)
+    p = processed_split(spark, sf, fit)
+    model = MO.fit_factors(p.where(F.col("split") == "train"), factor_size=FM_FACTORS, max_iter=20)
+    camps = CA.collect_campaigns(campaigns(spark, sf))
+    codes = campaign_codes(fit[1], camps)
+    for c in camps:
+        c["cand_weight"], c["cand_factors"] = model.level(0, codes[c["campaign_id"]])
+    rows = imps(spark, sf).withColumnRenamed("dttm_utc", "impression_dttm_utc").withColumn("conversion_flag", F.lit(0))
+    rows = FE.processed_features(UA.ua_enrich(C.time_features(rows)), fit[1], fit[2], keep=["event_id"])
+    return MO.factor_side(rows, model, range(1, 9)).withColumnRenamed("event_id", "imp_id"), camps
+
+
+@register("policy_factors")
+def q_policy_factors(spark, sf):
+    imp, camps = factor_candidates(spark, sf)
+    best = CA.best_campaign(imp.select("imp_id", "imp_logit", "imp_vector"), CA.candidate_array(camps), predictor="factors", beta=BETA,
+                            imp_logit="imp_logit", imp_vector="imp_vector")
+    return best.select("imp_id", F.col("campaign_id_chosen").alias("campaign_id"), rd("pconv").alias("pconv"), rd("chosen_score").alias("chosen_score"))
+
+
 @register("device_lookup_csv")
 def q_device_lookup_csv(spark, sf):
     path = shared_path(spark, "device-types-csv")

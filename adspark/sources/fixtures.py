@@ -40,6 +40,7 @@ USER_AGENTS = [  # event_id % 17, 16 -> null
 ]
 DMA_BASE, DMA_MOD, DMA_NULL_EVERY = 500, 211, 17
 PRIZM_MOD = 69
+PLACEMENT_MOD = 40
 UA_MOD = 17
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -92,6 +93,7 @@ def impressions_from_events(events: DataFrame) -> DataFrame:
         pick(eid % 3, DEVICE_CODES).alias("device_type"),
         pick(eid % UA_MOD, USER_AGENTS).alias("user_agent"),
         F.col("value").alias("value"),
+        (uid % PLACEMENT_MOD + 1).alias("placement_id"),
     )
 
 
@@ -134,7 +136,8 @@ SELECT CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS campaign_id,
        CASE WHEN event_id % 2 = 0 THEN NULL ELSE lpad(CAST(user_id % {PRIZM_MOD} + 1 AS VARCHAR), 2, '0') END AS prizm_premier_code,
        {sql_pick('event_id % 3', DEVICE_CODES)} AS device_type,
        {sql_pick(f'event_id % {UA_MOD}', USER_AGENTS)} AS user_agent,
-       value
+       value,
+       user_id % {PLACEMENT_MOD} + 1 AS placement_id
 FROM events WHERE event_type = 'view'
 """
 

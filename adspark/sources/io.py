@@ -8,6 +8,10 @@ hand. Column statistics stay on so later scans can skip row groups.
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -79,11 +83,102 @@ def file_row_counts(spark: SparkSession, path: str, partition_col: str | None =
     return spark.read.parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def append_committed(df: DataFrame, path: str, batch_id: str | int) -> bool:
+    """Append ``df`` to a log as batch ``batch_id``, whole or not at all and once only.
+
+    The rows go to a folder of this attempt's own; then one manifest file,
+    named by the batch, is moved into place. The move fails if the batch has
+    one already, so of a retry or of two writers one attempt counts, and
+    ``read_committed`` sees a batch wholly or not. Returns whether this call
+    published it. A batch's columns must be those of the log.
+
+    Needs a file system whose rename is atomic and refuses to overwrite (HDFS
+    and local folders; an object store needs a committer that gives this).
+    """
+    spark, name = df.sparkSession, re.sub(r"[^A-Za-z0-9._-]", lambda m: f"~{ord(m[0]):x}", str(batch_id))
+    manifest = f"{path}/commits/{name}.json"
+    if _exists(spark, manifest):
+        return False
+    kinds = df.schema.json()
+    first = spark.read.schema(MANIFEST).json(f"{path}/commits/*.json").limit(1).collect() if _exists(spark, f"{path}/commits") else []
+    if first and first[0]["kinds"] != kinds:
+        raise ValueError(f"batch {batch_id} has other columns than the log")
+    attempt = uuid.uuid4().hex
+    data, draft = f"{path}/data/{name}-{attempt}", f"{path}/drafts/{name}-{attempt}.json"
+    df.write.option("compression", "snappy").parquet(data)
+    rows = spark.read.schema(df.schema).parquet(data).count()
+    jvm, fs = spark._jvm, spark._jvm.org.apache.hadoop.fs
+    here, there = fs.Path(draft), fs.Path(manifest)
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(here, False)
+    out.write(bytearray(json.dumps({"batch_id": str(batch_id), "folder": data, "n_rows": rows, "kinds": kinds}).encode()))
+    out.close()
+    files.mkdirs(there.getParent())
+    context = fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(here, there, spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0))
+    except Exception as e:  # noqa: BLE001 - only the refusal to overwrite means that another attempt won
+        if "FileAlreadyExists" not in str(e) and not _exists(spark, manifest):
+            raise
+        return False
+    return True
+
+
+MANIFEST = "batch_id string, folder string, n_rows long, kinds string"
+
+
+def committed_batches(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, folder, n_rows and kinds (the schema) of every published batch; none: no rows."""
+    if not _exists(spark, f"{path}/commits"):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).json(f"{path}/commits/*.json")
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all published batches, with ``batch_id`` (other characters than letters, digits and ``._-`` as ``~`` and their number).
+
+    Raises on a log without any batch: it has no columns yet.
+    """
+    batches = committed_batches(spark, path).collect()  # one row per batch, as for the folder listing of any table
+    if not batches:
+        raise ValueError(f"no batch was published in {path}")
+    schema = StructType.fromJson(json.loads(batches[0]["kinds"]))
+    rows = spark.read.schema(schema).parquet(*[b["folder"] for b in batches])
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([^/]+)-[0-9a-f]{32}/", 1)
+    return rows.withColumn("batch_id", folder)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append rows to a single-schema Parquet log (S7, batch side)."""
     df.write.mode("append").option("compression", "snappy").parquet(path)
 
 
+def footer_counts(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """n_rows, and per column its non-null count, minimum and maximum, read from the Parquet footers alone.
+
+    The scan carries the aggregation (DataSource V2 pushes COUNT, MIN and MAX
+    into Parquet), so no data page is read. Only for whole, unfiltered files:
+    with a filter the plain aggregate is the way. Columns: numbers, dates and
+    booleans; the footers' bounds of strings may be cut, so those are refused.
+    """
+    session = spark.newSession()  # the two settings concern this scan alone
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    df = session.read.parquet(path)
+    kinds = dict(df.dtypes)
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for c in columns or []:
+        if not re.match(r"(tinyint|smallint|int|bigint|float|double|date|boolean)$", kinds[c]):
+            raise ValueError(f"{c} is {kinds[c]}: its bounds are not exact in a footer")
+        aggs += [F.count(c).alias(f"{c}_n"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    return df.agg(*aggs)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV export with header."""
     df.write.mode("overwrite").option("header", True).csv(path)

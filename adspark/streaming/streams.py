@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from adspark.operators.ordering import range_blocks
-from adspark.session import REQUIRED_CONF, materialize, shared_path
+from adspark.session import REQUIRED_CONF, shared_path, staged
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -40,13 +40,20 @@ def ranges(df: DataFrame, order_col: str, n: int) -> list[DataFrame]:
     return out
 
 
+#: Rows that a micro-batch of ``drain_ranges`` holds.
+BATCH_ROWS = 5_000_000
+
+
 def drain_ranges(df: DataFrame, order_col: str, n: int, build, name: str = "stream", **how) -> str:
     """Feed ``df`` to a stream range by range and drain each as one micro-batch.
 
     ``build`` turns the source stream into the query; it starts anew for each
     range on the same checkpoint and sink, as a query does after a restart.
+    There are at least ``n`` ranges, and more where one would hold more than
+    ``BATCH_ROWS`` rows.
     """
-    spark, df = df.sparkSession, materialize(df)
+    spark, df = df.sparkSession, staged(df, f"{name}-rows")
+    n = max(n, -(-df.count() // BATCH_ROWS))
     path = shared_path(spark, f"{name}-in")
     how = {"sink": shared_path(spark, f"{name}-out"), "checkpoint": shared_path(spark, f"{name}-ckpt")} | how
     for part in ranges(df, order_col, n):
@@ -232,6 +239,36 @@ def stream_attribution(out_path: str, state_path: str, window_days: int = 7, wat
     return run
 
 
+def join_attribution(imp_stream: DataFrame, conv_stream: DataFrame, window_days: int = 7, watermark: str = "1 day") -> DataFrame:
+    """Conversions with each impression they may go to, as a stream-stream outer join.
+
+    Both sides have a watermark and the times a range, so Spark drops an
+    impression from its state once its window has passed, and emits a
+    conversion without any impression (nulls) once no impression can come.
+    Append mode: (campaign_id, unique_id, conv_event_id, conv_ts, event_id,
+    ts), a row per pair; ``latest_impression`` leaves the one that counts.
+
+    Inputs as ``ad_impressions`` / ``ad_conversions``; rows without a campaign,
+    user or time match nothing. Use it where a key has few rows in a window: it
+    emits all pairs and keeps a key's rows in one task. ``stream_attribution``
+    is for hot keys: one row per conversion, ranges instead of keys.
+    """
+    imp = imp_stream.select("campaign_id", "unique_id", "event_id", F.col("dttm_utc").cast("timestamp").alias("ts"))
+    conv = conv_stream.select(F.col("imp_click_campaign_id").alias("c_campaign"), F.col("imp_click_unique_id").alias("c_user"), "conv_event_id",
+                              F.col("conv_dttm_utc").cast("timestamp").alias("conv_ts"))
+    imp, conv = imp.withWatermark("ts", watermark), conv.where("c_campaign IS NOT NULL AND c_user IS NOT NULL").withWatermark("conv_ts", watermark)
+    near = F.expr(f"campaign_id = c_campaign AND unique_id = c_user AND ts <= conv_ts AND ts >= conv_ts - INTERVAL {int(window_days)} DAYS")
+    both = conv.join(imp, near, "left_outer")
+    return both.select(F.col("c_campaign").alias("campaign_id"), F.col("c_user").alias("unique_id"), "conv_event_id", "conv_ts", "event_id", "ts")
+
+
+def latest_impression(pairs: DataFrame) -> DataFrame:
+    """Of each conversion's pairs the latest impression (ties to the highest id): event_id, conv_event_id, latency_s."""
+    last = pairs.groupBy("conv_event_id", "conv_ts").agg(F.max(F.when(F.col("event_id").isNotNull(), F.struct("ts", "event_id"))).alias("i"))
+    gap = (F.unix_micros("conv_ts") - F.unix_micros("i.ts")) / F.lit(1e6)
+    return last.select(F.col("i.event_id").alias("event_id"), "conv_event_id", gap.alias("latency_s"))
+
+
 # ---------------------------------------------------------------------------
 # Allocation with carried budgets and caps
 # ---------------------------------------------------------------------------

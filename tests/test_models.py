@@ -59,3 +59,49 @@ def test_file_subset_reads_the_named_files(spark):
     for c in range(3):
         spark.range(c * 10, c * 10 + 10).write.parquet(os.path.join(path, f"part{c}"))
     assert sorted(r["id"] for r in IO.read_file_subset(spark, f"{path}/*", "/part[02]/").collect()) == [*range(10), *range(20, 30)]
+
+
+def test_factor_side_equals_the_fitted_model(spark):
+    """Campaign by campaign, the split logit gives the probability that Spark's own model gives the rewritten row."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    from adspark.operators import candidates as CA
+    df = _planted(spark, 1500, interaction=True).cache()
+    model = MO.fit_factors(df, factor_size=4, max_iter=10)
+    fm = FMClassifier(featuresCol="features", labelCol="conversion_flag", factorSize=4, maxIter=10, seed=7)
+    whole = Pipeline(stages=[MO._assembled(df, 9, 8), fm]).fit(df)
+    few = df.limit(40).cache()
+    side = MO.factor_side(few, model, range(1, 9)).select("id", "imp_logit", "imp_vector")
+    camps = [dict(campaign_id=c, ordinal=c + 1, true_conv_rate=0.1, value_per_conv=1.0, target_cpa=1.0, budget=1.0) for c in range(6)]
+    for c in camps:
+        c["cand_weight"], c["cand_factors"] = model.level(0, c["campaign_id"])
+    pairs = CA.candidates_of(side.withColumnRenamed("id", "imp_id"), [r.id for r in few.collect()], CA.candidate_array(camps), "factors",
+                             imp_logit="imp_logit", imp_vector="imp_vector")
+    got = {(r.imp_id, r.campaign_id): r.pconv for r in pairs.collect()}
+    assert len(got) == 240
+    for c in range(6):
+        want = whole.transform(few.withColumn("cat_0", F.lit(c))).select("id", vector_to_array("probability")[1].alias("p")).collect()
+        assert all(abs(got[r.id, c] - r.p) < 1e-6 for r in want)
+    assert model.level(0, 99) == (0.0, [0.0] * 4)
+
+
+def test_factors_choose_better_campaigns_than_the_linear_model(spark):
+    """Where only pairs of codes matter, the pair score finds the campaign that converts; the linear score cannot."""
+    from adspark.operators import candidates as CA
+    df = _planted(spark, 6000, interaction=True).cache()
+    model = MO.fit_factors(df.where("id % 5 > 0"), factor_size=8, max_iter=60)
+    weights, bias = MO.fit_log_odds(df.where("id % 5 > 0"))
+    test = df.where("id % 5 = 0")
+    side = MO.linear_logit(MO.factor_side(test, model, range(1, 9)), weights, bias, range(1, 9), out="linear").withColumn("imp_id", F.col("id"))
+    own = {r.code: r.weight for r in weights.where("feature = 0").collect()}
+    camps = [dict(campaign_id=c, ordinal=c + 1, true_conv_rate=0.1, value_per_conv=1.0, target_cpa=1.0, budget=1.0) for c in range(6)]
+    rate = {}
+    for name, logit in (("factors", "imp_logit"), ("model", "linear")):
+        for c in camps:
+            c["cand_weight"], c["cand_factors"] = model.level(0, c["campaign_id"]) if name == "factors" else (own.get(c["campaign_id"], 0.0), None)
+        best = CA.best_campaign(side, CA.candidate_array(camps), predictor=name, imp_logit=logit, imp_vector="imp_vector")
+        hit = (F.col("campaign_id_chosen") + F.col("cat_1")) % 2 == 0  # what the planted rule pays
+        rate[name] = best.agg(F.avg(hit.cast("double"))).first()[0]
+    assert rate["factors"] > 0.9 and rate["model"] < 0.7
