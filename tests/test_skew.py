@@ -77,7 +77,7 @@ def test_attributed_latency_equals_brute_force(spark, hot):
     none = F.lit(None).cast("bigint")
     conv = conv.unionByName(conv.limit(5).withColumn("imp_click_campaign_id", none).withColumn("conv_event_id", -F.col("conv_event_id")))
     imp = hot.unionByName(hot.limit(5).withColumn("campaign_id", none))
-    got = {r.conv_event_id: (r.event_id, r.latency_s) for r in L.conversion_latency(imp, conv, block_seconds=600).collect()}
+    got = {r.conv_event_id: (r.event_id, r.latency_s) for r in L.conversion_latency(imp, conv, rows_per_block=60).collect()}
     imps = [(r.campaign_id, r.unique_id, r.dttm_utc, r.event_id) for r in hot.collect()]
     want = {}
     for r in conv.where("imp_click_campaign_id is not null").collect():
