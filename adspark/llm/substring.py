@@ -1,17 +1,23 @@
-"""Exact substring dedup by compaction of a sparse de Bruijn graph.
-
-A window of 50 words holds 41 runs of 10 words (k-mers, the graph's edges); the
-one with the smallest hash is the window's anchor. Consecutive windows with
-the same anchor form a path. The anchor follows from the window's words alone,
-so equal windows have equal anchors, and only paths whose anchor occurs in
-several documents matter (about one path per 20 words is formed at all).
-
-An anchor all of whose paths read the same does not branch: the path is
-compacted to one row with its first document, however often it occurs. Where
-paths of an anchor differ, the text at the source coordinates of each distinct
-path is read again and its single windows are compared. Joins carry hashes and
-coordinates; whole texts are shuffled for that second reading and for the
-removal, in proportion to the input.
+"""Exact substring dedup by compaction of a de Bruijn graph of tokens, in sparse form.
+
+The graph's edges are k-mers of words. A window of 50 words holds 41 runs of 10
+words; the one with the smallest hash is the window's anchor, and neighbouring
+windows with the same anchor are one edge of the sparse graph (a run of k-mers
+kept together by its minimizer): its words, and where it starts. The anchor
+follows from the window's words alone, so equal windows have equal anchors, and
+only edges whose anchor occurs in several documents matter.
+
+Where the edges of an anchor differ, the graph branches: the text at the source
+coordinates of each distinct edge is read again and its single windows are
+compared. The other repeated edges are linked to the edge that follows them in
+their documents. A link that all occurrences of both its edges share does not
+branch; such links are compacted into paths by joins that double the reach of a
+pointer each round, so a passage that many documents share ends as one row,
+whatever its length. A path is read again at the coordinates of its first
+occurrence, and a span is removed only if its own words have the same digest.
+
+Joins carry hashes and coordinates; whole texts are shuffled for the second
+reading of sources and for the removal, in proportion to the input.
 """
 
 from __future__ import annotations
@@ -83,35 +89,103 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return map_texts(rows, run, "anchor long, said long, i int, win long")
 
 
+def digest(words: list[bytes]) -> str:
+    """128 bits of the words, joined by spaces."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest()
+
+
+def _digests(rows: DataFrame, window: int) -> DataFrame:
+    """(anchor, said, digest) of the paths listed with each text, read at their coordinates."""
+
+    def run(batches):
+        for batch, texts in slices(batches):
+            out: tuple[list, ...] = ([], [], [])
+            for t, paths in zip(texts, batch.column(1).to_pylist()):
+                words = t.split()
+                for x in paths:
+                    for o, v in zip(out, (x["anchor"], x["said"], digest(words[x["start"]:x["start"] + x["n"] + window - 1]))):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
+                                             names=["anchor", "said", "digest"])
+
+    return map_texts(rows, run, "anchor long, said long, digest string")
+
+
+def _sources(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(text, paths): the texts at whose coordinates ``rep`` the edges are read again, with those edges."""
+    lists = edges.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct("anchor", "said", F.col("rep.start").alias("start"), "n")).alias("paths"))
+    return docs.join(lists.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("text", "paths")
+
+
+def compacted(occurrences: DataFrame, edges: DataFrame) -> DataFrame:
+    """Repeated non-branching paths: the edges at their heads, with ``n`` the windows of the whole path.
+
+    ``edges`` has anchor, said, n and ``rep`` (the first occurrence);
+    ``occurrences`` all places (doc_id, text_hash, start, n) of those edges. An
+    edge is linked to the next if every occurrence of the one is followed by
+    the other and every occurrence of the other follows the one. Such links
+    form chains (a cycle would need an endless text). Each round an edge that
+    is not at a chain's end takes over its partner's reach, so the rounds grow
+    with the logarithm of the longest chain.
+    """
+    left = occurrences.select("doc_id", "text_hash", (F.col("start") + F.col("n")).alias("at"), F.struct("anchor", "said").alias("a"))
+    right = occurrences.select("doc_id", "text_hash", F.col("start").alias("at"), F.struct("anchor", "said").alias("b"))
+    links = left.join(right, ["doc_id", "text_hash", "at"]).groupBy("a", "b").agg(F.count("*").alias("together"))
+    often = stored(occurrences.groupBy(F.struct("anchor", "said").alias("e")).agg(F.count("*").alias("times")), "edge-counts")
+    links = stored(links, "links")
+    unary = (links.join(often.select(F.col("e").alias("a"), "times"), "a").where("times = together").drop("times")
+             .join(often.select(F.col("e").alias("b"), "times"), "b").where("times = together").select("a", "b"))
+    # For each edge: the edge that its reach ends before (null: the chain ends), and the windows within its reach.
+    reach = edges.select(F.struct("anchor", "said").alias("e"), F.col("n").cast("long").alias("n")).join(unary.select(F.col("a").alias("e"), F.col("b").alias("to")), "e", "left")
+    reach = stored(reach, "reach")
+    heads = stored(reach.join(reach.select(F.col("to").alias("e")).where("to IS NOT NULL"), "e", "left_anti").select("e"), "heads")
+    open_ends = reach.where("to IS NOT NULL").count()
+    while open_ends:
+        ahead = reach.select(F.col("e").alias("to"), F.col("to").alias("far"), F.col("n").alias("more"))
+        moved = reach.join(ahead, "to").select("e", F.col("far").alias("to"), (F.col("n") + F.col("more")).alias("n"))
+        reach = stored(moved.unionByName(reach.where("to IS NULL")), "reach")
+        open_ends = reach.where("to IS NOT NULL").count()
+    paths = heads.join(reach, "e").select(F.col("e.anchor").alias("anchor"), F.col("e.said").alias("said"), F.col("n").cast("int").alias("n"))
+    return edges.drop("n").join(paths, ["anchor", "said"])
+
+
 def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, text_hash, spans): words covered by windows that a smaller doc_id also holds.
 
-    ``docs`` has text, doc_id and text_hash, without null ids.
+    ``docs`` has text, doc_id and text_hash, without null ids. A span has
+    start, end and the digest that its words must have (null: windows that were
+    compared one by one). Rows that repeat id and text have one list.
     """
-    found = stored(_paths(docs, window, anchor), "paths")
+    found = stored(_paths(docs, window, anchor), "edges")
     # Written before they are joined: Spark splits a hot key of a join only where both sides are plain shuffles.
     shared = stored(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared-anchors")
-    found = stored(found.join(shared, "anchor"), "shared-paths")
-    each = found.groupBy("anchor", "said").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
-    forks = each.groupBy("anchor").agg((F.count("*") > 1).alias("forks"))
-    each = stored(each.join(forks, "anchor"), "distinct-paths")
-
-    straight = each.where("NOT forks AND rep.doc_id < last").select("anchor", "said", F.col("rep.doc_id").alias("first"), F.lit(None).cast("array<struct<i:int,first:bigint>>").alias("windows"))
-    branching = each.where("forks")
-    lists = branching.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct("anchor", "said", F.col("rep.start").alias("start"), "n")).alias("paths"))
-    read = docs.join(lists.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("text", "paths")
-    wins = _windows(read, window).join(branching.select("anchor", "said", F.col("rep.doc_id").alias("first"), "last"), ["anchor", "said"])
-    wins = stored(wins, "windows")
+    found = found.join(shared, "anchor").groupBy("doc_id", "text_hash", "start").agg(*[F.first(c).alias(c) for c in ("n", "anchor", "said")])
+    found = stored(found, "shared-edges")
+    each = stored(found.groupBy("anchor", "said").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n")), "distinct-edges")
+    forks = stored(each.groupBy("anchor").agg(F.count("*").alias("ways")).where("ways > 1").select("anchor"), "forks")
+
+    # Where the graph branches, single windows decide.
+    branching = stored(each.join(forks, "anchor", "left_semi"), "branching")
+    wins = _windows(_sources(docs, branching), window).distinct()
+    wins = stored(wins.join(branching.select("anchor", "said", F.col("rep.doc_id").alias("first"), "last"), ["anchor", "said"]), "windows")
     low = stored(wins.groupBy("anchor", "win").agg(F.min("first").alias("low")), "first-windows")
     branched = (wins.join(low, ["anchor", "win"]).where("low < last").groupBy("anchor", "said")
-                .agg(F.collect_list(F.struct("i", F.col("low").alias("first"))).alias("windows")).select("anchor", "said", F.lit(None).cast("long").alias("first"), "windows"))
+                .agg(F.collect_list(F.struct("i", F.col("low").alias("first"))).alias("windows")))
+
+    # Elsewhere, repeated edges are compacted into paths, and each path's source is read again.
+    straight = stored(each.where("rep.doc_id < last").join(forks, "anchor", "left_anti"), "straight")
+    lone = stored(found.join(straight.select("anchor", "said"), ["anchor", "said"], "left_semi"), "straight-places")
+    paths = stored(compacted(lone, straight).select("anchor", "said", "rep", "n"), "paths")
+    sources = stored(_digests(_sources(docs, paths), window).distinct(), "path-digests")
+    paths = stored(paths.join(sources, ["anchor", "said"]).select("anchor", "said", F.col("rep.doc_id").alias("first"), F.col("n").alias("windows"), "digest"), "paths")
 
-    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-    hit = found.join(stored(straight.unionByName(branched), "repeated-paths"), ["anchor", "said"])
-    some = F.transform(F.filter("windows", lambda w: w["first"] < F.col("doc_id")), lambda w: span(F.col("start") + w["i"], F.col("start") + w["i"] + window))
-    whole = F.when(F.col("first") < F.col("doc_id"), F.array(span(F.col("start"), F.col("start") + F.col("n") + (window - 1))))
-    hit = hit.select("doc_id", "text_hash", F.coalesce(some, whole).alias("spans")).where(F.size("spans") > 0)
-    return hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    span = lambda a, b, d: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), d.alias("digest"))
+    none = F.lit(None).cast("string")
+    whole = lone.select("doc_id", "text_hash", "start", "anchor", "said").join(paths, ["anchor", "said"]).where("first < doc_id").select(
+        "doc_id", "text_hash", F.array(span(F.col("start"), F.col("start") + F.col("windows") + (window - 1), F.col("digest"))).alias("spans"))
+    some = F.transform(F.filter("windows", lambda w: w["first"] < F.col("doc_id")), lambda w: span(F.col("start") + w["i"], F.col("start") + w["i"] + window, none))
+    parts = found.join(stored(branched, "branched"), ["anchor", "said"]).select("doc_id", "text_hash", some.alias("spans")).where(F.size("spans") > 0)
+    return whole.unionByName(parts).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 _DONE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -144,7 +218,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text
                 kept, upto = words, 0
                 if cuts:
                     kept = []
-                    for a, b in sorted((c["start"], c["end"]) for c in cuts):
+                    same = ((c["start"], c["end"]) for c in cuts if c["digest"] is None or digest(words[c["start"]:c["end"]]) == c["digest"])
+                    for a, b in sorted(same):
                         kept += words[upto:a]
                         upto = max(upto, b)
                     kept += words[upto:]

@@ -7,7 +7,8 @@ import duckdb
 import numpy as np
 
 from adspark.llm import queries, substring
-from adspark.llm.text import WordHashes
+from adspark.llm.text import WordHashes, stored
+from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.01"
 
@@ -66,3 +67,37 @@ def test_a_passage_in_many_documents(spark):
     got = run(spark, docs)
     assert got == sorted(brute.substring(docs), key=str)
     assert sum(r[2] for r in got) == 299 * 60
+
+
+def test_repeated_rows_do_not_multiply_spans(spark):
+    """Two texts that branch within a shared passage, each in many identical rows."""
+    words = [f"w{i}" for i in range(100)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:70] + ["other"] * 60 + words[30:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    once = {r.doc_id: sorted(map(tuple, r.spans)) for r in substring.repeated(df).collect()}
+    many = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(2500)))).drop("k").repartition(8)
+    rows = substring.repeated(many).collect()
+    assert {r.doc_id: sorted(map(tuple, r.spans)) for r in rows} == once and len(rows) == len(once) == 1
+    out = substring.dedup(many, with_text=False).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, out)) == [(1, 100, 0, 2500), (2, 200, brute.substring(docs)[1][2], 2500)]
+
+
+def test_a_shared_passage_is_compacted_to_one_path(spark):
+    """Edges that always occur together become one path; a place where texts part ends it."""
+    def edge(i):
+        return dict(anchor=i, said=100 + i)
+    place = [dict(doc_id=d, text_hash=7 * d, start=10 * i + d, n=10, **edge(i)) for d in (1, 2, 3) for i in range(37)]
+    place += [dict(doc_id=4, text_hash=28, start=10 * i, n=10, **edge(i + 20)) for i in range(5)]  # a part of it, inside another text
+    places = stored(spark.createDataFrame(place), "places")
+    edges = stored(places.groupBy("anchor", "said").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("rep"), F.first("n").alias("n")), "edges-of-it")
+    got = sorted((r.anchor, r.n, r.rep.doc_id, r.rep.start) for r in substring.compacted(places, edges).collect())
+    assert got == [(0, 200, 1, 1), (20, 50, 1, 201), (25, 120, 1, 251)]
+
+
+def test_spans_with_other_words_stay(spark):
+    """A span goes only where its words have the digest of its source."""
+    assert substring.digest([b"a", b"b"]) != substring.digest([b"ab"])
+    body = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, body), (2, "x " + body)], "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    (row,) = substring.repeated(df).collect()
+    assert row.doc_id == 2 and any(s.digest == substring.digest(f"x {body}".encode().split()[s.start:s.end]) for s in row.spans if s.digest)
