@@ -70,51 +70,41 @@ def _paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return map_texts(docs, run, "doc_id long, text_hash long, start int, n int, anchor long, said long")
 
 
-def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """(anchor, said, i, win) of the single windows of the paths listed with each text."""
-
-    def run(batches):
-        for batch, texts in slices(batches):
-            out: tuple[list, ...] = ([], [], [], [])
-            for t, paths in zip(texts, batch.column(1).to_pylist()):
-                words = t.split()
-                for x in paths:
-                    for i in range(x["n"]):
-                        p = x["start"] + i
-                        for o, v in zip(out, (x["anchor"], x["said"], i, xxhash.xxh3_64_intdigest(b" ".join(words[p:p + window])))):
-                            o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                                              pa.array(np.array(out[3], np.uint64).view(np.int64))], names=["anchor", "said", "i", "win"])
-
-    return map_texts(rows, run, "anchor long, said long, i int, win long")
-
-
 def digest(words: list[bytes]) -> str:
     """128 bits of the words, joined by spaces."""
     return hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest()
 
 
-def _digests(rows: DataFrame, window: int) -> DataFrame:
-    """(anchor, said, digest) of the paths listed with each text, read at their coordinates."""
+def _read_again(docs: DataFrame, branching: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """What stands at the sources ``rep`` of edges and paths, from one pass over their texts.
+
+    (anchor, said, i, win, digest): a row per single window of the branching
+    edges, and a row with the digest of each path (i null). Rows that repeat a
+    source's id and text are read once.
+    """
+    place = F.struct("anchor", "said", F.col("rep.start").alias("start"), "n", "single")
+    wanted = branching.withColumn("single", F.lit(True)).unionByName(paths.withColumn("single", F.lit(False)), allowMissingColumns=True)
+    lists = wanted.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(place).alias("places"))
+    keys = ["doc_id", "text_hash"]
+    rows = docs.join(lists.hint("shuffle_hash"), keys).groupBy(*keys).agg(F.first("text").alias("text"), F.first("places").alias("places"))
 
     def run(batches):
         for batch, texts in slices(batches):
-            out: tuple[list, ...] = ([], [], [])
-            for t, paths in zip(texts, batch.column(1).to_pylist()):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for t, places in zip(texts, batch.column(1).to_pylist()):
                 words = t.split()
-                for x in paths:
-                    for o, v in zip(out, (x["anchor"], x["said"], digest(words[x["start"]:x["start"] + x["n"] + window - 1]))):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
-                                             names=["anchor", "said", "digest"])
-
-    return map_texts(rows, run, "anchor long, said long, digest string")
-
+                for x in places:
+                    p = x["start"]
+                    found = [(i, xxhash.xxh3_64_intdigest(b" ".join(words[p + i:p + i + window])), None) for i in range(x["n"])] if x["single"] \
+                        else [(None, 0, digest(words[p:p + x["n"] + window - 1]))]
+                    for f in found:
+                        for o, v in zip(out, (x["anchor"], x["said"], *f)):
+                            o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+                                              pa.array(np.array(out[3], np.uint64).view(np.int64)), pa.array(out[4], pa.string())],
+                                             names=["anchor", "said", "i", "win", "digest"])
 
-def _sources(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(text, paths): the texts at whose coordinates ``rep`` the edges are read again, with those edges."""
-    lists = edges.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct("anchor", "said", F.col("rep.start").alias("start"), "n")).alias("paths"))
-    return docs.join(lists.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("text", "paths")
+    return map_texts(rows.select("text", "places"), run, "anchor long, said long, i int, win long, digest string")
 
 
 def compacted(occurrences: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,6 +146,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     start, end and the digest that its words must have (null: windows that were
     compared one by one). Rows that repeat id and text have one list.
     """
+    docs = docs.select("text", "doc_id", "text_hash")
     found = stored(_paths(docs, window, anchor), "edges")
     # Written before they are joined: Spark splits a hot key of a join only where both sides are plain shuffles.
     shared = stored(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared-anchors")
@@ -164,21 +155,22 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     each = stored(found.groupBy("anchor", "said").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n")), "distinct-edges")
     forks = stored(each.groupBy("anchor").agg(F.count("*").alias("ways")).where("ways > 1").select("anchor"), "forks")
 
-    # Where the graph branches, single windows decide.
+    # Where the graph does not branch, repeated edges are compacted into paths.
+    straight = stored(each.where("rep.doc_id < last").join(forks, "anchor", "left_anti"), "straight")
+    lone = stored(found.join(straight.select("anchor", "said"), ["anchor", "said"], "left_semi"), "straight-places")
+    paths = stored(compacted(lone, straight).select("anchor", "said", "rep", "n"), "paths")
     branching = stored(each.join(forks, "anchor", "left_semi"), "branching")
-    wins = _windows(_sources(docs, branching), window).distinct()
-    wins = stored(wins.join(branching.select("anchor", "said", F.col("rep.doc_id").alias("first"), "last"), ["anchor", "said"]), "windows")
+    read = stored(_read_again(docs, branching, paths, window), "sources")
+    digests = read.where("i IS NULL").select("anchor", "said", "digest")
+    paths = stored(paths.join(digests, ["anchor", "said"]).select("anchor", "said", F.col("rep.doc_id").alias("first"), F.col("n").alias("windows"), "digest"), "paths")
+
+    # Elsewhere single windows decide.
+    wins = read.where("i IS NOT NULL").select("anchor", "said", "i", "win").join(branching.select("anchor", "said", F.col("rep.doc_id").alias("first"), "last"), ["anchor", "said"])
+    wins = stored(wins, "windows")
     low = stored(wins.groupBy("anchor", "win").agg(F.min("first").alias("low")), "first-windows")
     branched = (wins.join(low, ["anchor", "win"]).where("low < last").groupBy("anchor", "said")
                 .agg(F.collect_list(F.struct("i", F.col("low").alias("first"))).alias("windows")))
 
-    # Elsewhere, repeated edges are compacted into paths, and each path's source is read again.
-    straight = stored(each.where("rep.doc_id < last").join(forks, "anchor", "left_anti"), "straight")
-    lone = stored(found.join(straight.select("anchor", "said"), ["anchor", "said"], "left_semi"), "straight-places")
-    paths = stored(compacted(lone, straight).select("anchor", "said", "rep", "n"), "paths")
-    sources = stored(_digests(_sources(docs, paths), window).distinct(), "path-digests")
-    paths = stored(paths.join(sources, ["anchor", "said"]).select("anchor", "said", F.col("rep.doc_id").alias("first"), F.col("n").alias("windows"), "digest"), "paths")
-
     span = lambda a, b, d: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), d.alias("digest"))
     none = F.lit(None).cast("string")
     whole = lone.select("doc_id", "text_hash", "start", "anchor", "said").join(paths, ["anchor", "said"]).where("first < doc_id").select(
