@@ -97,7 +97,7 @@ def test_a_shared_passage_is_compacted_to_one_path(spark):
 def test_spans_with_other_words_stay(spark):
     """A span goes only where its words have the digest of its source."""
     assert substring.digest([b"a", b"b"]) != substring.digest([b"ab"])
-    body = " ".join(f"w{i}" for i in range(80))
+    body = " ".join(f"w{i}" for i in range(400))
     df = spark.createDataFrame([(1, body), (2, "x " + body)], "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
     (row,) = substring.repeated(df).collect()
     assert row.doc_id == 2 and any(s.digest == substring.digest(f"x {body}".encode().split()[s.start:s.end]) for s in row.spans if s.digest)
