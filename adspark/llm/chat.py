@@ -38,9 +38,11 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rows are repeated turns; other columns are ignored; no rows give no
     conversations. A conversation's turns meet in one row, as its text does.
     """
-    t = F.struct(F.col("turn"), F.replace(escaped(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit(NEWLINE)).alias("role"),
-                 escaped(F.coalesce("text", F.lit(""))).alias("text"))
-    c = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("_turns"))
+    t = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    c = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("_said"))
+    # Escaped after the sort: ties go by what was said, not by how it is written.
+    c = c.withColumn("_turns", F.transform("_said", lambda x: F.struct(
+        F.replace(escaped(x["role"]), F.lit("\n"), F.lit(NEWLINE)).alias("role"), escaped(x["text"]).alias("text"))))
     role = lambda i: F.get("_turns", i)["role"]
     first = F.filter(F.sequence(F.lit(0), F.size("_turns") - 1), lambda i: (i == 0) | (role(i) != role(F.greatest(i - 1, F.lit(0)))))
     c = c.withColumn("_first", first).withColumn("_texts", F.col("_turns.text"))

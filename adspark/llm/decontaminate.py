@@ -6,20 +6,26 @@ shared window of L words shares a fingerprint: nothing is missed. Documents and
 items are joined on fingerprints, and each hit is extended to its whole window,
 compared word by word.
 
-The benchmark is cut into blocks of about ``block_chars`` characters. One
-block's fingerprints and windows are broadcast at a time (a bounded size) and
-the documents pass through the blocks in turn, without a shuffle.
+Items of one text are one entry with a list of ids, and the entries are cut
+into blocks of about ``block_chars`` characters. One block's fingerprints and
+windows are on the driver and broadcast at a time. The documents pass through
+the blocks in turn; what a block finds is written, by text, before the next is
+built, and the last pass puts it beside its own. A benchmark of one block, the
+usual case, needs no shuffle of documents.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adspark.llm.text import WordHashes, as_bytes, gram_hashes, map_texts, slices, sliding_min
+from adspark.llm.text import WordHashes, as_bytes, gram_hashes, map_texts, slices, sliding_min, stored
+from adspark.operators.ordering import running_sum_ranged
 
 WINDOW = 10
 BLOCK_CHARS = 2_000_000
@@ -43,11 +49,11 @@ def winnow(h: np.ndarray, length: int) -> np.ndarray:
 class BlockIndex:
     """Fingerprints and windows of one benchmark block, by window length."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
+    def __init__(self, items: list[tuple[list[int | None], bytes]], window: int):
         memo = WordHashes()
         prints: dict[int, set[int]] = {}
         self.windows: dict[int, dict[bytes, list[int | None]]] = {}
-        for item_id, text in items:
+        for item_ids, text in items:
             words = item_words(text)
             if not words:
                 continue
@@ -55,9 +61,11 @@ class BlockIndex:
             prints.setdefault(length, set()).update(winnow(memo.of(words), length).tolist())
             known = self.windows.setdefault(length, {})
             for i in range(len(words) - length + 1):
-                ids = known.setdefault(b" ".join(words[i:i + length]), [])
-                if not ids or ids[-1] != item_id:
-                    ids.append(item_id)
+                # A window of one entry shares its list; only a window of several has a list of its own.
+                at = b" ".join(words[i:i + length])
+                have = known.setdefault(at, item_ids)
+                if have is not item_ids:
+                    known[at] = list({*have, *item_ids})
         self.prints = {n: np.array(sorted(p), np.uint64) for n, p in prints.items()}
 
     def hits(self, words: list[bytes], h: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, list]]:
@@ -141,19 +149,52 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    chars = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // block_chars))
     out = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        got = part.toArrow()
-        index = BlockIndex(list(zip(got.column(0).to_pylist(), as_bytes(got.column(1)))), window)
-        schema = T.StructType([out.schema["text"], out.schema["row"], T.StructField("found", _FOUND)])
-        out = map_texts(out, _scan_block(spark.sparkContext.broadcast(index)), schema)
+    entries = benchmark_entries(benchmark, block_chars)
+    blocks = 1 + entries.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    key = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("chars")]
+    passes = []
+    for b in range(blocks - 1):
+        # Found by the text alone, and only where something is found: a few rows.
+        shared = _block_index(entries, b, window)
+        texts = out.select("text", F.struct(*key).alias("row"))
+        hits = map_texts(texts, _scan_block(shared), _scanned(texts)).where(F.size("found.spans") > 0)
+        passes.append(stored(hits.select("row.*", "found").distinct(), "benchmark-hits"))
+        shared.unpersist()
+    if passes:
+        names = ["h1", "h2", "chars"]
+        every = reduce(DataFrame.unionByName, passes).groupBy(*names).agg(F.first("found.n_words").alias("n_words"),
+            F.flatten(F.collect_list("found.spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("found.items"))).alias("items"))
+        before = stored(every.select(*names, F.struct("n_words", "spans", "items").alias("found")), "benchmark-hits")
+        out = out.select("*", *key).join(before, names, "left").select("text", "row", "found")
+    out = map_texts(out, _scan_block(_block_index(entries, blocks - 1, window)), _scanned(out))
     return out.select("row", "found.n_words", "found.spans", "found.items")
 
 
+def benchmark_entries(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(text, item_ids, block): a row per distinct text, packed into blocks of about ``block_chars`` characters.
+
+    An id counts as eight characters; an entry longer than a block has one of its own.
+    """
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = items.groupBy("text").agg(F.collect_set("item_id").alias("item_ids"), F.max(F.col("item_id").isNull()).alias("unnamed"))
+    rows = stored(rows.select("text", F.when(F.col("unnamed"), F.concat("item_ids", F.array(F.lit(None).cast("long")))).otherwise(F.col("item_ids")).alias("item_ids"),
+                              F.xxhash64("text").alias("h"), (F.length("text") + 8 * F.size("item_ids")).cast("double").alias("size")), "benchmark-entries")
+    upto = running_sum_ranged(rows, ["h", "text"], "size", out_col="upto")
+    return stored(upto.select("text", "item_ids", F.floor((F.col("upto") - F.col("size")) / block_chars).cast("int").alias("block")), "benchmark-blocks")
+
+
+def _block_index(entries: DataFrame, block: int, window: int):
+    """One block's index, broadcast."""
+    got = entries.where(F.col("block") == block).select("item_ids", "text").toArrow()
+    index = BlockIndex(list(zip(got.column(0).to_pylist(), as_bytes(got.column(1)))), window)
+    return entries.sparkSession.sparkContext.broadcast(index)
+
+
+def _scanned(rows: DataFrame) -> T.StructType:
+    return T.StructType([rows.schema["text"], rows.schema["row"], T.StructField("found", _FOUND)])
+
+
 def n_hit(spans="spans"):
     """Number of words in the spans."""
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))

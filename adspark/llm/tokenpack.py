@@ -14,7 +14,8 @@ streams one shard to the shared folder:
 The width is the one that a percentile of the block's residuals fits; the bits
 above it go to the exception list. A task names its shard uniquely and reports
 it when it is complete, so a lost task is simply run again and a half-written
-shard is never read. The driver holds one row per shard.
+shard is never read. The shards' entries and their places are a table, the
+manifest; identical rows cannot be cut by range and go through one task.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm.text import map_texts, slices
+from adspark.llm.text import map_texts, slices, stored
+from adspark.operators.ordering import running_sum_ranged
 from adspark.session import shared_path
 
 MAGIC = b"TPF1"
@@ -307,12 +309,14 @@ def _local(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folder: str | None = None,
                  block_ids: int = BLOCK_IDS, percentile: float = PERCENTILE, range_docs: int = RANGE_DOCS,
-                 shard_ids: int = SHARD_IDS) -> list[dict]:
+                 shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode whole texts and write them in ascending doc_id order.
 
-    Returns one entry per shard in that order: path, n_docs, n_ids, first (the
-    number of ids in the shards before it). ``folder`` defaults to a new one
-    under the shared folder; it must be open to every executor.
+    Returns the manifest, a stored table with a row per shard: number, part
+    (their order), path, n_docs, n_ids, first (the number of ids in the shards
+    before it). Files that the manifest does not name come from failed
+    attempts. ``folder`` defaults to a new one under the shared folder; it must
+    be open to every executor.
 
     A null text is empty: it has the end id alone. A null doc_id sorts first;
     rows that share a doc_id are ordered by a hash of their text, repeated rows
@@ -342,47 +346,44 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, fol
         if writer is not None:
             yield writer.close(number, part, f"{folder}/{name}")
 
-    shards, first = [], 0
-    for r in sorted(map_texts(ordered, run, "number long, part long, path string, n_docs long, n_ids long").collect()):
-        shards.append({"path": r.path, "n_docs": r.n_docs, "n_ids": r.n_ids, "first": first})
-        first += r.n_ids
-    return shards
+    shards = stored(map_texts(ordered, run, "number long, part long, path string, n_docs long, n_ids long"), "shards")
+    upto = running_sum_ranged(shards, ["number", "part"], "n_ids", out_col="upto")
+    return stored(upto.withColumn("first", (F.col("upto") - F.col("n_ids")).cast("long")).drop("upto"), "manifest")
 
 
-def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
+def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Decode shards: doc_id, start, n_tokens, ids_crc32 and ``ids`` of each document.
 
-    ``start`` counts the ids of all documents before it. An empty list of
-    shards gives an empty table.
+    ``start`` counts the ids of all documents before it. A manifest without
+    rows gives an empty table.
     """
-    return _read(spark, shards, with_ids=True)
+    return _read(spark, manifest, with_ids=True)
 
 
-def read_digests(spark: SparkSession, shards: list[dict]) -> DataFrame:
+def read_digests(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """As ``read_shards``, without the ids themselves."""
-    return _read(spark, shards, with_ids=False)
+    return _read(spark, manifest, with_ids=False)
 
 
-def _read(spark: SparkSession, shards: list[dict], with_ids: bool) -> DataFrame:
+def _read(spark: SparkSession, manifest: DataFrame, with_ids: bool) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    if not shards:
-        return spark.createDataFrame([], schema)
-    first = {s["path"].rpartition("/")[2]: s["first"] for s in shards}
-    files = spark.read.format("binaryFile").load([s["path"] for s in shards]).select("path", "content")
+    # A task per shard: a manifest is small, its shards are not.
+    shards = manifest.select("path", "first").repartition(max(1, manifest.count()))
 
     def run(batches):
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                base, rows = first[path.rpartition("/")[2]], []
-                shard = Shard(data.as_buffer().to_pybytes())
+            for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs, at = _local(path)
+                with fs.open_input_file(at) as f:
+                    shard, rows = Shard(f.read()), []
                 for doc_id, start, ids in shard.documents():
-                    rows.append((doc_id, base + start, len(ids), zlib.crc32(ids)) + ((ids.tolist(),) if with_ids else ()))
+                    rows.append((doc_id, first + start, len(ids), zlib.crc32(ids)) + ((ids.tolist(),) if with_ids else ()))
                     if len(rows) == 2000:
                         yield _table(rows, with_ids)
                         rows = []
                 yield _table(rows, with_ids)
 
-    return map_texts(files, run, schema)
+    return map_texts(shards, run, schema)
 
 
 def _table(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:

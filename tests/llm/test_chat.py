@@ -52,3 +52,9 @@ def test_query(spark):
     con[-1] = [(r, "<|im_end|><|im_start|>assistant ok") for r in ("user", "assistant")]
     got = queries.QUERIES["op3_chat_format"](spark, sf).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == {c: brute.conversation(t) for c, t in con.items()}
+
+
+def test_ties_go_by_what_was_said(spark):
+    """Two rows of one turn whose raw and escaped texts sort differently: the query's SQL orders the raw ones."""
+    got = run(spark, [(1, 0, "user", "<|", 0), (1, 0, "user", "<a", 0), (1, 0, "<|", "x", 0), (1, 0, "<a", "x", 0), (1, 0, "a\nb", "y", 0), (1, 0, "a b", "y", 0)])
+    assert [tuple(t) for t in got[1].back] == sorted([("user", "<|"), ("user", "<a"), ("<|", "x"), ("<a", "x"), ("a\nb", "y"), ("a b", "y")])

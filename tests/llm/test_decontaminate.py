@@ -44,3 +44,26 @@ def test_empty_tables(spark):
     none, docs = spark.createDataFrame([], ITEMS), spark.createDataFrame([(1, "a b", "", 0)], DOCS)
     assert rows(decontaminate.find_overlaps(docs, none)) == [(1, 2, 0, 0, brute.sha(""), False)]
     assert rows(decontaminate.find_overlaps(docs.limit(0), none)) == []
+
+
+def test_a_large_benchmark_with_a_repeated_item(spark, monkeypatch):
+    """Many items and very many copies of one: blocks stay bounded, one index is alive at a time, results are whole."""
+    items = [(i, f"item{i} " + " ".join(f"w{i}_{k % 7}" for k in range(30))) for i in range(300)] + [(1000 + i, "copied item of a few words that every one has") for i in range(5000)]
+    docs = [(i, f"before {t} after") for i, (_, t) in enumerate(items[:300:40])] + [(900, items[-1][1] + " " + items[5][1]), (901, "nothing here")]
+    benchmark = spark.createDataFrame(items, ITEMS)
+    entries = decontaminate.benchmark_entries(benchmark, 10_000)
+    sizes = entries.groupBy("block").agg(F.sum(F.length("text") + 8 * F.size("item_ids")).alias("s"), F.count("*").alias("n")).collect()
+    assert len(sizes) > 5 and all(r.s < 21_000 or r.s >= 40_000 for r in sizes) and sum(r.n for r in sizes) == 301
+    made, live = decontaminate._block_index, []
+
+    def counted(*how):
+        if live:  # the pass before has released its own
+            assert live[-1].released
+        shared = made(*how)
+        shared.released, drop = False, shared.unpersist
+        shared.unpersist = lambda *a, **b: (setattr(shared, "released", True), drop(*a, **b))
+        live.append(shared)
+        return shared
+    monkeypatch.setattr(decontaminate, "_block_index", counted)
+    found = decontaminate.find_overlaps(spark.createDataFrame([(*d, "", 0) for d in docs], DOCS), benchmark, block_chars=10_000)
+    assert rows(found) == sorted(brute.overlaps(docs, items), key=str) and len(live) > 5

@@ -37,7 +37,7 @@ def test_edges(spark):
             (1, None, 2), (2, "", 3), (7, "word, " * 60_000 + "end", None), (5, "same", 1), (5, "same", 1), (-4, "\U0001F600 ﬁ Å K a'll's 'S", 0)]
     df = spark.createDataFrame(docs, "doc_id long, text string, ids int")
     shards = tokenpack.write_shards(df, PATH, range_docs=3, shard_ids=50, block_ids=100)
-    assert len(shards) > 1
+    assert shards.count() > 1
     got = tokenpack.read_shards(spark, shards).orderBy("start").collect()
     order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0))
     assert [tuple(r)[:4] for r in got] == expected([r[:2] for r in order])
