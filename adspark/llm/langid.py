@@ -18,16 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adspark.llm.text import held_out, map_texts, slices
+from adspark.llm.text import held_out, map_texts, slices, stored
 
 WINDOW = 256
 EMBED = 8
 FILTERS = {2: 8, 3: 12, 4: 12}
 TAPS = max(FILTERS)
-#: Bounds of the training sample: documents per language and windows of each.
+#: Bounds of the training sample: languages (those with the most texts), texts of each and windows of a text.
+MAX_LANGS = 200
 DOCS_PER_LANG = 700
 WINDOWS_PER_DOC = 2
 STEPS = 500
@@ -105,23 +106,35 @@ def fit(windows: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
     return ByteNet(langs, **p)
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc: int = WINDOWS_PER_DOC) -> ByteNet | None:
-    """Fit on a bounded sample: about ``docs_per_lang`` documents of each language, some windows of each.
+def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc: int = WINDOWS_PER_DOC, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
+    """(lang, window) of the training sample, sorted.
 
-    Learns from rows with a non-null lang that are not held out and have a
-    letter. None when there is no such row.
+    Of each language the ``docs_per_lang`` different texts with the smallest
+    hashes, ``windows_per_doc`` windows of each at places its hash names; all
+    of them where there are fewer. Repeated rows count once, so they neither
+    crowd others out nor swell the sample. At most ``max_langs`` languages: the
+    ones with the most different texts, ties by name.
     """
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))]), F.col("lang"))
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < rate * (1 << 20)
-    place = lambda k: 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
+    rows = docs.select("text", "lang").where(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("text", "lang", F.xxhash64("text").alias("h"))
+    texts = stored(rows.groupBy("lang", "h").agg(F.count("*").alias("copies")).select("lang", "h"), "language-texts")
+    langs = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = texts.join(F.broadcast(langs), "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_lang).select("lang", "h")
+    place = lambda k: 1 + F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
     cuts = F.array(*[F.substr("text", place(k).cast("int"), F.lit(WINDOW)) for k in range(windows_per_doc)])
-    got = sorted((r.lang, r.w) for r in rows.where(drawn).select("lang", F.explode(cuts).alias("w")).collect())
-    got = got or sorted((r.lang, r.w) for r in rows.select("lang", F.explode(cuts).alias("w")).limit(docs_per_lang).collect())
-    return fit([w.encode() for _, w in got], [x for x, _ in got])
+    # At most max_langs * docs_per_lang rows are looked for; their copies are one row before they are gathered.
+    found = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", cuts.alias("cuts")).groupBy("lang", "h").agg(F.min("cuts").alias("cuts"))
+    return sorted((r.lang, w) for r in found.collect() for w in r.cuts)
+
+
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc: int = WINDOWS_PER_DOC) -> ByteNet | None:
+    """Fit on a bounded sample (see ``sample``) of the rows with a non-null lang that are not held out and have a letter.
+
+    None when there is no such row.
+    """
+    got = sample(docs, docs_per_lang, windows_per_doc)
+    return fit([w.encode() for _, w in got], [x for x, _ in got]) if got else None
 
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")

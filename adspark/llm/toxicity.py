@@ -21,15 +21,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adspark.llm.text import held_out, map_texts, slices, stored
 
-#: Bounds of the training sample: documents per class, characters drawn of each.
+#: Bounds of the training sample: documents per class, and their characters together.
 DOCS_PER_CLASS = 1500
-TRAIN_CHARS = 30_000
+CLASS_CHARS = 6_000_000
 MIN_DOCS = 4
 DIMENSIONS = 1 << 21
 MIN_Z = 2.5
@@ -38,9 +38,6 @@ STEPS = 80
 MEMO_WORDS = 200_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
-#: A piece of a long sentence ends before a space if it can.
-PIECE_CHARS = 1000
-_PIECE = re.compile(r"\S[\s\S]{0,998}(?=\s|$)|\S{1,1000}")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -128,50 +125,39 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, min_docs: int =
     return Model({int(i): float(x) for i, x in zip(ids, theta) if x > 1e-3}, float(bias))
 
 
-def bounded(text: str, chars: int) -> str:
-    """A text of at most ``chars`` characters: a longer one gives a hashed draw of its sentences, in order.
+def sample(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, chars: int = CLASS_CHARS) -> DataFrame:
+    """(doc_id, text, toxic) of the training sample: whole documents, of each class the first in hashed order.
 
-    The draw goes over the whole text. Of a sentence longer than ``PIECE_CHARS`` the pieces are drawn.
-    """
-    if len(text) <= chars:
-        return text
-    parts = [p for m in _SENTENCE.finditer(text) for p in ([m[0]] if len(m[0]) <= PIECE_CHARS else _PIECE.findall(m[0]))]
-    left, taken = chars, []
-    for i in sorted(range(len(parts)), key=lambda i: (crc32(f"{i} {parts[i]}".encode("utf-8", "surrogatepass")), i)):
-        if len(parts[i]) < left:
-            left -= len(parts[i]) + 1
-            taken.append(i)
-    return "\n".join(parts[i] for i in sorted(taken))
-
-
-def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on at most ``docs_per_class`` labelled documents per class, of at most ``chars`` characters each.
-
-    The documents are drawn among those that have a text; of a longer one a
-    draw of its sentences is used (see ``bounded``). Learns from rows that are
-    not held out and have a non-null label; a doc_id labelled both ways counts
-    as toxic. Without labels of both classes every document scores like the
-    only class there is (no labels: not toxic).
+    A class gives at most ``docs_per_class`` documents, and stops before one
+    that would bring it over ``chars`` characters together; its first document
+    always counts. Documents without a text are not drawn. Rows that repeat id
+    and text count once. A doc_id labelled both ways counts as toxic.
     """
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    texts = docs.select("text", "doc_id").where(F.col("text").isNotNull())
-    known = stored(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
-    draw = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_per_class)
-    sample = draw(1).unionByName(draw(0))  # at most 2 * docs_per_class rows
-    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "doc_id", "toxic")
-
-    def cut(batches):
-        for batch, each in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([bounded(t.decode(), chars) for t in each], pa.string()), batch.column(1), batch.column(2)],
-                                             names=["text", "doc_id", "toxic"])
-
-    rows = stored(map_texts(rows, cut, rows.schema), "toxicity-sample")
-    first = lambda c: rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(docs_per_class)
-    rows = first(1).unionByName(first(0)).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").collect()
+             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")))
+    known = stored(known, "toxicity-labels")
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).where(F.col("text").isNotNull())
+    sizes = rows.select("doc_id", "h", F.length("text").alias("size")).join(known, "doc_id").groupBy("doc_id", "h").agg(F.max("size").alias("size"), F.max("toxic").alias("toxic"))
+    order = [F.xxhash64("doc_id", "h"), F.col("doc_id"), F.col("h")]
+    by_class = Window.partitionBy("toxic").orderBy(*order)
+    # A class's candidates are cut to docs_per_class in each task first, so the running sum is over a bounded number.
+    first = stored(sizes.withColumn("n", F.row_number().over(by_class)).where(F.col("n") <= docs_per_class), "toxicity-candidates")
+    before = F.coalesce(F.sum("size").over(by_class.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    chosen = first.withColumn("upto", before).where((F.col("n") == 1) | (F.col("upto") <= chars)).select("doc_id", "h", "toxic")
+    found = rows.join(F.broadcast(stored(chosen, "toxicity-chosen")), ["doc_id", "h"])  # at most 2 * docs_per_class rows
+    return found.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("doc_id", "text", "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, chars: int = CLASS_CHARS) -> Model:
+    """Fit on a bounded sample (see ``sample``) of the labelled rows that are not held out.
+
+    Without labels of both classes every document scores like the only class
+    there is (no labels: not toxic).
+    """
+    rows = sorted((crc32(f"{r.doc_id}".encode()), r.doc_id, r.text, int(r.toxic)) for r in sample(docs, labels, docs_per_class, chars).collect())
     if not rows:
         return Model({}, -20.0)
-    return fit([r.text for r in rows], [int(r.toxic) for r in rows])
+    return fit([r[2] for r in rows], [r[3] for r in rows])
 
 
 def sentence_scores(model: Model, weights: WordWeights, text: str) -> list[tuple[int, int, float]]:

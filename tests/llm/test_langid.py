@@ -5,6 +5,8 @@ import zlib
 import duckdb
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from adspark.llm import langid, queries
 
 DIR = "/root/testdata/sf0.01"
@@ -53,3 +55,23 @@ def test_never_reads_language_or_source(spark):
     a = langid.predict(df, net).collect()
     b = langid.predict(df.drop("lang", "source"), net).collect()
     assert sorted(a) == sorted(b)
+
+
+def test_repeated_rows_neither_crowd_out_nor_swell_the_sample(spark):
+    """50,000 copies of one English row beside three French ones: both languages are learned, whatever the ids."""
+    english, french = "the same english sentence is here once more", ["le chat est sur la table", "une phrase avec des mots", "encore une autre phrase"]
+    for base in (0, 100_000, 777_777):
+        copies = spark.range(base, base + 50_000).select(F.col("id").alias("doc_id"), F.lit(english).alias("text"), F.lit("en").alias("lang"))
+        docs = copies.unionByName(spark.createDataFrame([(base + 60_000 + i, t, "fr") for i, t in enumerate(french * 4)], "doc_id long, text string, lang string"))
+        got = langid.sample(docs)
+        assert len(got) <= 2 * (1 + len(french)) and {x for x, _ in got} == {"en", "fr"}
+    assert langid.train(docs).langs == ["en", "fr"]
+
+
+def test_the_sample_is_bounded_by_language(spark):
+    rows = [(i, f"words number {i} of a text", f"l{i % 7}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, docs_per_lang=5, windows_per_doc=3, max_langs=4)
+    assert len(got) == 4 * 5 * 3 and len({x for x, _ in got}) == 4
+    assert got == langid.sample(docs.repartition(9), docs_per_lang=5, windows_per_doc=3, max_langs=4)
+    assert langid.sample(docs.limit(0)) == [] and langid.train(docs.limit(0)) is None

@@ -1,5 +1,6 @@
 """Held-out quality of the multiple-instance model, located sentences, edge cases."""
 
+import math
 import random
 import zlib
 
@@ -56,13 +57,42 @@ def test_long_clean_texts_stay_clean(spark):
     assert toxicity.noisy_or(z for _, _, z in toxicity.sentence_scores(model, weights, clean + " zwackel grobnix. ")) >= 0.5
 
 
-def test_long_texts_are_bounded_by_sentence():
-    text = " ".join(f"Sentence number {i} has words." for i in range(400))
-    for t in (text, text.replace(".", ""), "a" * 50_000, "x" * 500 + " ."):
-        got = toxicity.bounded(t, 2000)
-        assert 0 < len(got) <= 2000 and all(line.strip() in t for line in got.split("\n"))
-    drawn = [int(w) for w in toxicity.bounded(text, 2000).split() if w.isdigit()]
-    assert toxicity.bounded("as it is.", 9) == "as it is." and drawn == sorted(drawn) and drawn[0] < 100 and drawn[-1] > 300
+def test_the_sample_is_whole_documents(spark):
+    """Within both bounds, each class by itself; never a part of a text; repeated rows once."""
+    rows = [(i, f"text {i}. " * (1 + i % 50), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, t) for i, t, _ in rows[:40]] + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    for n, chars in ((30, 10**9), (10**6, 4000), (10**6, 1), (10**6, 10**9)):
+        got = toxicity.sample(docs, labels, n, chars).collect()
+        assert len({r.doc_id for r in got}) == len(got) and not held & {r.doc_id for r in got}
+        assert all(r.text == rows[r.doc_id][1] and r.toxic == rows[r.doc_id][2] for r in got)
+        for y in (0, 1):
+            mine = [r for r in got if r.toxic == y]
+            assert 1 <= len(mine) <= n and (len(mine) == 1 or sum(len(r.text) for r in mine) <= chars)
+    assert len(got) == 400 - len(held)
+
+
+def brute_noisy_or(model, text):
+    """A document's score, sentence by sentence and feature by feature, without the code's memo and batches."""
+    import re
+    rest = 1.0
+    for s in re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", text or ""):
+        z = model.bias
+        for w in s.lower().split():
+            w = f"^{w.strip(toxicity._EDGE)}$".encode()
+            grams = {w} | {w[i:i + n] for n in (4, 5) for i in range(len(w) - n + 1)} if len(w) >= 3 else set()
+            z += sum(model.weights.get(f, 0.0) for f in {zlib.crc32(g) % toxicity.DIMENSIONS for g in grams})
+        rest *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - rest
+
+
+def test_scores_equal_brute_force(spark):
+    model = toxicity.train(spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet"))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert model.weights
+    for r in toxicity.score(docs, model, keep=["doc_id", "text"]).collect():
+        assert abs(r.score - brute_noisy_or(model, r.row.text)) < 1e-9
 
 
 def test_learns_where_one_class_is_long_or_labels_lack_documents(spark):
@@ -70,7 +100,7 @@ def test_learns_where_one_class_is_long_or_labels_lack_documents(spark):
     rows = [(i, ". ".join([t] * 12) if y else t, y) for i, t, y in rows]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(10_000 + i, 1) for i in range(3000)], "doc_id long, toxic int")
-    out = toxicity.score(docs, toxicity.train(docs, labels, docs_per_class=150, chars=min(len(t) for _, t, y in rows if y) - 1), keep=["doc_id"]).collect()
+    out = toxicity.score(docs, toxicity.train(docs, labels, docs_per_class=150), keep=["doc_id"]).collect()
     right = sum((r.score >= 0.5) == (r.row.doc_id % 4 == 0) for r in out)
     assert right >= 0.95 * len(out)
 
