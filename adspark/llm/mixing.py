@@ -1,8 +1,9 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-A source's documents fall into blocks by a hash, and an epoch is a permutation
-of its blocks. The mix takes whole epochs and, of the last one, the first
-blocks and a part of the next, so each source has an exact quota of blocks.
+A source's documents fall into blocks by a hash, and each epoch is a
+permutation of its blocks. The mix takes whole epochs and, of the last one, the
+first blocks and the documents after them that still fit, so each source has an
+exact quota of blocks.
 The quotas of all sources are split among the output shards by a tree: a node
 hands its left half a multivariate-hypergeometric draw of its quotas, the rest
 goes right, down to single shards. Each shard then takes the next blocks of
@@ -18,11 +19,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adspark.llm.text import n_words, stored
@@ -35,6 +37,10 @@ BLOCK_WORDS = 1 << 16
 BLOCK_DOCS = 1 << 12
 SHARD_BLOCKS = 64
 SEED = 17
+SHUFFLE_ROUNDS = 24
+#: Documents of a source that one task looks at to fill the words left after the last whole block.
+TAIL_DOCS = 1 << 12
+MAX_BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, max_epochs: int = MAX_EPOCHS) -> list[float]:
@@ -85,8 +91,16 @@ def _hypergeometric(rng: np.random.Generator, quotas: np.ndarray, want: int) ->
 
 
 def _permuted(block: Column, n: Column, epoch: Column) -> Column:
-    """Place of a block in an epoch: a cyclic shift, by a hash of the epoch, of the hashed blocks."""
-    return F.pmod(block + F.pmod(F.xxhash64(epoch, F.lit(SEED), n), n), n)
+    """Place of a block in an epoch: a permutation of 0 to n - 1 of its own for each epoch and n.
+
+    A swap-or-not shuffle: each round pairs every place with its mirror image
+    about a drawn point, and a hash of the pair decides whether the two swap.
+    Every round is a bijection for any n, and a task needs no table of places.
+    """
+    def swap(at: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(r, epoch, F.lit(SEED), n), n) - at, n)
+        return F.when(F.pmod(F.xxhash64(r, F.greatest(at, mirror), epoch, F.lit(SEED)), F.lit(2)) == 1, mirror).otherwise(at)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SHUFFLE_ROUNDS)), block.cast("long"), swap)
 
 
 @dataclass
@@ -108,8 +122,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: f
 
     Sources in code point order, null last, get ``weights`` in turn, again and
     again. Sizes are words; targets share ``share`` of all words. Documents of
-    a source that share id and text are drawn together, and a block that is
-    taken in part gives the documents that still fit. A source without words
+    a source that share id and text are drawn together. Of the last epoch the
+    blocks are taken whole as long as they fit; then come, in permuted order to
+    its end, the documents that still fit, so what a source misses of its
+    target is less than its smallest document left over. A source without words
     takes nothing; texts that are null or empty have size 0; an empty table
     has no sources. Other columns are ignored. A copy count never exceeds
     ``max_epochs``.
@@ -127,7 +143,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: f
     rest = [max(0, round(g - e * s)) if e < max_epochs else 0 for g, e, s in zip(goal, whole, sizes)]
     plan = spark.createDataFrame([(i, r.source, s, float(g), n, e, x) for i, (r, s, g, n, e, x) in enumerate(zip(rows, sizes, goal, blocks, whole, rest))],
                                  "no int, source string, source_size long, target double, n_blocks long, whole int, rest long")
-    plan = F.broadcast(plan)  # one row per source, made from the driver's own list
+    if len(rows) <= MAX_BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     joined = sized.join(plan, sized.source.eqNullSafe(plan.source)).select(
         "doc_id", sized.source, "text_hash", "size", "no", "n_blocks", "whole", "rest",
         F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(SEED)), F.col("n_blocks")).alias("block"))
@@ -139,20 +156,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: f
     cut = upto.where(F.col("upto") > F.col("rest")).groupBy("no").agg(
         F.min_by(F.struct("rank", (F.col("rest") - F.col("upto") + F.col("words")).cast("long").alias("left")), "rank").alias("cut"))
     cut = cut.select(F.col("no"), F.col("cut.rank").alias("cut_rank"), F.col("cut.left").alias("left"))
-    cut = [tuple(r) for r in cut.collect()]  # one row per source at most
-    cuts = spark.createDataFrame(cut, "no int, cut_rank long, left long")
-    part = part.join(F.broadcast(cuts), "no", "left").drop("left")
+    cuts = stored(cut, "cuts")  # one row per source at most
+    part = part.join(cuts.select("no", "cut_rank"), "no", "left")
     inside = part.where(F.col("cut_rank").isNull() | (F.col("rank") < F.col("cut_rank")))
-    edge = part.where(F.col("rank") == F.col("cut_rank"))
-    fits = _fitting(edge.select("no", "doc_id", "text_hash", "size"), {no: left for no, _, left in cut})
-    edge = edge.join(fits, (edge.no == fits.f_no) & edge.doc_id.eqNullSafe(fits.f_doc.cast("long")) & (edge.text_hash == fits.f_hash), "left_semi")
+    units = part.where(F.col("rank") >= F.col("cut_rank")).groupBy("no", "rank", "doc_id", "text_hash").agg(F.sum("size").alias("size"))
+    fits = _fitting(units.where("size > 0"), cuts.select("no", "left"))
+    fits = fits.select(F.col("no").alias("f_no"), F.col("doc_id").alias("f_doc"), F.col("text_hash").alias("f_hash"))
+    edge = part.where(F.col("rank") >= F.col("cut_rank")).join(fits, (F.col("no") == F.col("f_no")) & F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_hash") == F.col("f_hash")), "left_semi")
+    edge = edge.withColumn("rank", F.col("cut_rank"))  # they share the place of the block that did not fit
     last = inside.unionByName(edge).select("no", "doc_id", "source", "text_hash", "size", "n_blocks", F.col("whole").alias("epoch"), "rank")
     first = joined.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     first = first.withColumn("rank", _permuted(F.col("block"), F.col("n_blocks"), F.col("epoch")))
     drawn = first.select(*last.columns).unionByName(last)
 
     # Quotas in blocks: whole epochs, then those before the cut and the cut block.
-    cut_rank = {no: rank for no, rank, _ in cut}
+    cut_rank = {r["no"]: r["cut_rank"] for r in cuts.collect()}
     quotas = [e * n + ((cut_rank[i] + 1 if i in cut_rank else n) if x else 0) for i, (e, n, x) in enumerate(zip(whole, blocks, rest))]
     shares = _shares(spark, quotas, max(1, -(-sum(quotas) // shard_blocks)))
     at = F.col("epoch") * F.col("n_blocks") + F.col("rank")
@@ -177,22 +195,39 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     return copies.repartition("shard").sortWithinPartitions("shard", "place").select("row.*")
 
 
-def _fitting(edge: DataFrame, left: dict[int, int]) -> DataFrame:
-    """Of each source's one cut block, the documents that fit in the words left, in hashed order."""
+def _fitting(units: DataFrame, left: DataFrame) -> DataFrame:
+    """(no, doc_id, text_hash): of each source's ``units``, in order, those that fit in the words that are ``left``.
+
+    A round looks at the next ``TAIL_DOCS`` units of each source that fit by
+    themselves: the first always does, and one that is passed over never fits
+    later, for what is left only shrinks. Rounds go on until nothing fits;
+    mostly one or two, since a round fills what its documents can fill.
+    """
+    order = [F.col("rank"), F.col("h"), F.col("doc_id"), F.col("text_hash")]
+    units = stored(units.withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(SEED))).withColumn("place", F.struct(*order)), "tail")
+    left = left.withColumn("after", F.lit(None).cast(units.schema["place"].dataType))
+    fields = "no int, doc_id string, text_hash long, size long, rank long, h long, taken boolean, left long"
 
     def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        units = rows.groupby(["doc_id", "text_hash"], dropna=False)["size"].sum().reset_index()
-        units["order"] = pd.util.hash_pandas_object(units[["doc_id", "text_hash"]].astype("str"), index=False)
-        rest, taken = left[int(key[0])], []
-        for u in units.sort_values(["order", "text_hash"]).itertuples():
-            if u.size <= rest:
-                rest -= u.size
-                taken.append(u.Index)
-        got = units.loc[taken]
-        return pd.DataFrame({"f_no": int(key[0]), "f_doc": got["doc_id"], "f_hash": got["text_hash"]})
-
-    # As text, since pandas would turn ids beside a null into floats.
-    return edge.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("no").applyInPandas(choose, "f_no int, f_doc string, f_hash long")
+        rows = rows.sort_values("n")
+        rest, taken = int(rows["left"].iloc[0]), []
+        for size in rows["size"].tolist():
+            taken.append(size <= rest)
+            rest -= size if taken[-1] else 0
+        return rows.assign(taken=taken, left=rest)[["no", "doc_id", "text_hash", "size", "rank", "h", "taken", "left"]]
+
+    found = []
+    while True:
+        fit = units.join(left, "no").where((F.col("size") <= F.col("left")) & (F.col("after").isNull() | (F.col("place") > F.col("after"))))
+        near = fit.withColumn("n", F.row_number().over(Window.partitionBy("no").orderBy(*order))).where(F.col("n") <= TAIL_DOCS)
+        # Ids as text, since pandas would turn ids beside a null into floats.
+        looked = near.select("no", F.col("doc_id").cast("string").alias("doc_id"), "text_hash", "size", F.col("rank").cast("long").alias("rank"), "h", "left", "n")
+        seen = stored(looked.groupBy("no").applyInPandas(choose, fields), "tail-taken").withColumn("doc_id", F.col("doc_id").cast("long"))
+        if seen.limit(1).count() == 0:
+            break
+        found.append(seen.where("taken").select("no", "doc_id", "text_hash"))
+        left = stored(seen.groupBy("no").agg(F.first("left").alias("left"), F.max(F.struct(*order)).alias("after")), "tail-left")
+    return reduce(DataFrame.unionByName, found) if found else units.select("no", "doc_id", "text_hash").limit(0)
 
 
 def _shares(spark: SparkSession, quotas: list[int], n_shards: int) -> DataFrame:

@@ -151,7 +151,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = plan.draws.groupBy(*keys).agg(F.bit_count(epochs).alias("copies"))
     drawn = drawn.select(*[F.col(k).alias(f"d_{k}") for k in keys], "copies")
     same = F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & F.col("source").eqNullSafe(F.col("d_source")) & (F.col("text_hash") == F.col("d_text_hash"))
-    sources = F.broadcast(plan.sources.withColumnRenamed("source", "s_source"))  # one row per source
+    sources = plan.sources.withColumnRenamed("source", "s_source")
     return (plan.sizes.join(drawn, same, "left").join(sources, F.col("source").eqNullSafe(F.col("s_source")))
             .select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken")))
 
