@@ -169,7 +169,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"),
-                        pii.joined(F.concat("base", "added")).alias("spans"))
+                        pii.joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
+                        F.size(F.concat("base", "added")).cast("long").alias("n_private"))
 
 
 @_query("op11_hard_negatives")

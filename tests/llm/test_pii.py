@@ -89,3 +89,40 @@ def test_edges(spark):
     assert len(rows_out) == len(rows)
     assert sorted(len(r.base) for r in rows_out if r.doc_id is None or r.doc_id < 8) == [0, 0, 0, 0, 0, 0, 1, 1, 1]
     assert pii.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_secrets_of_the_table_are_found(spark):
+    """Every quoted token of the documents comes through the patterns; documents without one stay as they are."""
+    import re
+    docs = duckdb.sql(f"select doc_id, text from '{DIR}/documents.parquet'").fetchall()
+    got = {r.doc_id: r for r in queries.QUERIES["op6_pii"](spark, DIR).collect()}
+    tokens = 0
+    for d, t in docs:
+        said = [x.split(":") for x in got[d].spans.split(",") if x.startswith("secret")]
+        want = [m.span(1) for m in re.finditer(r"(?i)token = \"([0-9a-f]{40})\"", t or "")]
+        assert [(int(a), int(b)) for _, a, b in said] == want
+        assert got[d].n_private == len([x for x in got[d].spans.split(",") if x]) and got[d].n_added >= len(want)
+        tokens += len(want)
+    assert tokens >= 10
+
+
+def test_patterns_of_secrets_reach_unquoted_ones_and_need_confirmation(spark):
+    rng = random.Random(5)
+    key = lambda n=32: "".join(rng.choice("abcdef0123456789") for _ in range(n))
+    rows = [(i, f'conf api_key = "{key()}" end', 1, "") for i in range(20)] + [(100, f"see api_key = {key()} or so", 1, ""), (101, f"commit {key(40)} is fine", 1, "")]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    text = {i: t for i, t, _, _ in rows}
+    said = {i: [(s.kind, text[i][s.start:s.end]) for s in got[i].added] for i in got}
+    assert all(said[i] == [("secret", text[i].split('"')[1])] for i in range(20))
+    assert said[100] == [("secret", text[100].split()[3])] and said[101] == []
+    alone = pii.extract(spark.createDataFrame([(1, f'id: "{key()}"', 1, ""), (2, "nothing", 1, "")], SCHEMA)).collect()
+    assert not any(r.added for r in alone)  # one sight confirms no pattern
+
+
+def test_secret_seeds():
+    whole = lambda t, v: pii.secret_seed(t, t.index(v), t.index(v) + len(v))
+    v = "a8F3kd92LmQ0xz71bVn4"
+    assert whole(f'k = "{v}"', v) and whole(f"k:'{v}'", v)
+    assert not whole(f"k = {v}", v) and not whole(f'said "{v}"', v) and not whole(f'k = "{v}\'', v)
+    assert not whole('k = "' + "a1" * 20 + '"', "a1" * 20) and not whole('k = "12345678901234567890"', "12345678901234567890")
+    assert pii.shape("0" * 16) == "9/8" and pii.shape("a0" * 20) == "hex/11" and pii.shape(v).startswith("mix/") and pii.shape("a b").startswith("other/")
