@@ -25,9 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # The smallest neighbours are written before they are joined: Spark splits the rows of a node
+        # with very many neighbours only where both sides of a join are plain shuffles.
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lowest")
+        large = stored(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low)
         now = stored(small.distinct(), "edges")
         before, state = state, _state(now)

@@ -8,9 +8,12 @@ of Hamming distances to reference fingerprints (pivots) discards a pair when
 any of its coordinates differs by more than ``max_bits`` (the triangle
 inequality), and the survivors are verified bit by bit.
 
-Only distinct fingerprints are compared, a key gives a spanning forest and not
-its pairs, and a key with many fingerprints is cut into chunks whose pairs of
-chunks are separate groups.
+Only distinct fingerprints are compared, and a key gives a spanning forest and
+not its pairs. Of a key with many fingerprints the other bits are cut into
+``max_bits + 1`` sub-blocks: two linked fingerprints agree on at least one, so
+key and sub-block together are an exact key again, with far fewer fingerprints.
+One that still has many is cut into chunks whose pairs of chunks are separate
+groups; only there the work grows with the square of its fingerprints.
 """
 
 from __future__ import annotations
@@ -65,12 +68,22 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None
     return map_texts(d, run, T.StructType([d.schema["row"], T.StructField("fp", T.LongType())]))
 
 
-def _block_masks(max_bits: int) -> list[int]:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _block_masks(max_bits: int) -> list[tuple[int, list[int]]]:
+    """Of each choice of three blocks the mask, and the masks of the ``max_bits + 1`` sub-blocks of the other bits."""
     n = max_bits + 3
     cuts = [64 * i // n for i in range(n + 1)]
     blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    masks = [sum(c) for c in combinations(blocks, 3)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    out = []
+    for chosen in combinations(blocks, 3):
+        mask = sum(chosen)
+        rest = [bit for bit in range(64) if not mask >> bit & 1]
+        edges = [len(rest) * i // (max_bits + 1) for i in range(max_bits + 2)]
+        out.append((_signed(mask), [_signed(sum(1 << bit for bit in rest[a:b])) for a, b in zip(edges, edges[1:])]))
+    return out
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,15 +126,23 @@ def link_group(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.nda
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct ``fp`` values within ``max_bits`` of each other."""
     masks = _block_masks(max_bits)
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)]))
-    keyed = distinct.select("fp", keys.alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > 2 * chunk)
-    keyed = keyed.join(hot.withColumn("parts", F.ceil(F.col("count") / chunk)).select("key", "parts"), "key", "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    keyed = (keyed.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long")))
-                                                                         .otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
-             .select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(
-                 F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "fp"))
+    masked = lambda m: F.col("fp").bitwiseAND(F.lit(m).cast("long"))
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(F.lit(i), masked(m)).alias("key")) for i, (m, _) in enumerate(masks)]))
+    keyed = distinct.select("fp", keys.alias("k")).select("fp", "k.*")
+    hot = stored(keyed.groupBy("key").count().where(F.col("count") > 2 * chunk).select("key", F.lit(True).alias("hot")), "hot-keys")
+    keyed = keyed.join(hot, "key", "left")
+    cold = keyed.where("hot IS NULL").select("key", "fp")
+    subs = F.array(*[F.array(*[masked(m) for m in rest]) for _, rest in masks])
+    sub = keyed.where("hot").select("key", "fp", F.posexplode(F.get(subs, F.col("choice"))).alias("place", "bits")).select(F.xxhash64("key", "place", "bits").alias("key"), "fp")
+
+    crowded = sub.groupBy("key").count().where(F.col("count") > 2 * chunk)
+    crowded = stored(crowded.select("key", F.ceil(F.col("count") / chunk).alias("parts")), "crowded-keys")
+    sub = sub.join(crowded, "key", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    sub = (sub.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long")))
+                                             .otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+           .select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(
+               F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "fp"))
+    keyed = cold.unionByName(sub)
 
     def run(batches):
         keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)

@@ -76,3 +76,36 @@ def test_components(spark):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, 999: 999, 1000: 999, 1001: 999}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sub_blocks_cover_the_other_bits():
+    """Two fingerprints within the distance that share a choice of blocks agree on one of its sub-blocks."""
+    masks = simhash._block_masks(3)
+    assert len(masks) == 20
+    rng = random.Random(2)
+    for mask, rest in masks:
+        parts = [m % (1 << 64) for m in (mask, *rest)]
+        assert len(rest) == 4 and sum(parts) == 2**64 - 1 and all(a & b == 0 for i, a in enumerate(parts) for b in parts[:i])
+        free = [b for b in range(64) if not parts[0] >> b & 1]
+        for _ in range(50):
+            flip = sum(1 << b for b in rng.sample(free, 3))
+            assert any(flip & m == 0 for m in parts[1:])
+
+
+def test_a_key_with_very_many_fingerprints(spark):
+    """200,000 fingerprints that share three blocks: links equal brute force on a sample of them."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    shared = simhash._block_masks(3)[0][0] % (1 << 64)
+    fps = np.unique(rng.integers(0, 2**64, 200_000, dtype=np.uint64) & np.uint64(2**64 - 1 - shared) | np.uint64(0x5A5A5A5A5A5A5A5A & shared))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64).tolist()], "fp long").repartition(8)
+    edges = simhash.links(df).collect()
+    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 64 for r in edges)
+    root = {r.node: r.root for r in graph.components(spark.createDataFrame([(r.a, r.b) for r in edges], "a long, b long")).collect()}
+    of = lambda x: root.get(x, x)
+    seen = 0
+    for x in rng.choice(fps, 150):
+        near = fps[np.bitwise_count(fps ^ x) <= 3].view(np.int64).tolist()
+        assert {of(y) for y in near} == {of(int(np.int64(x.view(np.int64))))}
+        seen += len(near) > 1
+    assert seen > 20
