@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adspark.llm.text import held_out, map_texts, slices, stored
+from adspark.llm.text import below, held_out, map_texts, slices, stored
 
 WINDOW = 256
 EMBED = 8
@@ -118,9 +118,11 @@ def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc:
     rows = docs.select("text", "lang").where(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("text", "lang", F.xxhash64("text").alias("h"))
     texts = stored(rows.groupBy("lang", "h").agg(F.count("*").alias("copies")).select("lang", "h"), "language-texts")
-    langs = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    langs = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
     first = Window.partitionBy("lang").orderBy("h")
-    chosen = texts.join(F.broadcast(langs), "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_lang).select("lang", "h")
+    # The smallest hashes of many are looked for among those that are small at all: some eight times as many as asked for.
+    likely = texts.join(F.broadcast(langs), "lang").where(below(F.col("h"), 8 * (docs_per_lang + 32) / F.col("count")))
+    chosen = likely.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_lang).select("lang", "h")
     place = lambda k: 1 + F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
     cuts = F.array(*[F.substr("text", place(k).cast("int"), F.lit(WINDOW)) for k in range(windows_per_doc)])
     # At most max_langs * docs_per_lang rows are looked for; their copies are one row before they are gathered.

@@ -38,8 +38,8 @@ BLOCK_DOCS = 1 << 12
 SHARD_BLOCKS = 64
 SEED = 17
 SHUFFLE_ROUNDS = 24
-#: Documents of a source that one task looks at to fill the words left after the last whole block.
-TAIL_DOCS = 1 << 12
+#: Blocks of a source that one task looks at to fill the words left after the last whole block.
+TAIL_BLOCKS = 8
 MAX_BROADCAST_SOURCES = 100_000
 
 
@@ -198,14 +198,15 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 def _fitting(units: DataFrame, left: DataFrame) -> DataFrame:
     """(no, doc_id, text_hash): of each source's ``units``, in order, those that fit in the words that are ``left``.
 
-    A round looks at the next ``TAIL_DOCS`` units of each source that fit by
-    themselves: the first always does, and one that is passed over never fits
-    later, for what is left only shrinks. Rounds go on until nothing fits;
-    mostly one or two, since a round fills what its documents can fill.
+    A round looks at the units that fit by themselves in the next
+    ``TAIL_BLOCKS`` blocks that have any: the first always fits, and one that
+    is passed over never fits later, for what is left only shrinks. Rounds go
+    on until nothing fits; mostly one or two, since a round fills what its
+    documents can fill. A task holds a few blocks of one source.
     """
     order = [F.col("rank"), F.col("h"), F.col("doc_id"), F.col("text_hash")]
-    units = stored(units.withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(SEED))).withColumn("place", F.struct(*order)), "tail")
-    left = left.withColumn("after", F.lit(None).cast(units.schema["place"].dataType))
+    units = stored(units.withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(SEED))), "tail")
+    left = left.withColumn("after", F.lit(-1).cast("long"))
     fields = "no int, doc_id string, text_hash long, size long, rank long, h long, taken boolean, left long"
 
     def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -218,15 +219,17 @@ def _fitting(units: DataFrame, left: DataFrame) -> DataFrame:
 
     found = []
     while True:
-        fit = units.join(left, "no").where((F.col("size") <= F.col("left")) & (F.col("after").isNull() | (F.col("place") > F.col("after"))))
-        near = fit.withColumn("n", F.row_number().over(Window.partitionBy("no").orderBy(*order))).where(F.col("n") <= TAIL_DOCS)
+        fit = units.join(left, "no").where((F.col("size") <= F.col("left")) & (F.col("rank") > F.col("after")))
+        ranks = fit.select("no", "rank").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("no").orderBy("rank")))
+        ranks = stored(ranks.where(F.col("nth") <= TAIL_BLOCKS).select("no", "rank"), "tail-blocks")
+        near = fit.join(ranks, ["no", "rank"]).withColumn("n", F.row_number().over(Window.partitionBy("no").orderBy(*order)))
         # Ids as text, since pandas would turn ids beside a null into floats.
         looked = near.select("no", F.col("doc_id").cast("string").alias("doc_id"), "text_hash", "size", F.col("rank").cast("long").alias("rank"), "h", "left", "n")
         seen = stored(looked.groupBy("no").applyInPandas(choose, fields), "tail-taken").withColumn("doc_id", F.col("doc_id").cast("long"))
         if seen.limit(1).count() == 0:
             break
         found.append(seen.where("taken").select("no", "doc_id", "text_hash"))
-        left = stored(seen.groupBy("no").agg(F.first("left").alias("left"), F.max(F.struct(*order)).alias("after")), "tail-left")
+        left = stored(seen.groupBy("no").agg(F.first("left").alias("left"), F.max("rank").alias("after")), "tail-left")
     return reduce(DataFrame.unionByName, found) if found else units.select("no", "doc_id", "text_hash").limit(0)
 
 

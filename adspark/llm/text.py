@@ -46,6 +46,11 @@ def held_out(doc_id="doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def below(hashed: Column, rate: Column) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``rate`` of all values."""
+    return hashed.cast("double") / F.lit(float(1 << 64)) + F.lit(0.5) < rate
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adspark.llm.text import held_out, map_texts, slices, stored
+from adspark.llm.text import below, held_out, map_texts, slices, stored
 
 #: Bounds of the training sample: documents per class, and their characters together.
 DOCS_PER_CLASS = 1500
@@ -138,10 +138,11 @@ def sample(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CL
     known = stored(known, "toxicity-labels")
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).where(F.col("text").isNotNull())
     sizes = rows.select("doc_id", "h", F.length("text").alias("size")).join(known, "doc_id").groupBy("doc_id", "h").agg(F.max("size").alias("size"), F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id", "h"), F.col("doc_id"), F.col("h")]
-    by_class = Window.partitionBy("toxic").orderBy(*order)
-    # A class's candidates are cut to docs_per_class in each task first, so the running sum is over a bounded number.
-    first = stored(sizes.withColumn("n", F.row_number().over(by_class)).where(F.col("n") <= docs_per_class), "toxicity-candidates")
+    sizes = stored(sizes.withColumn("draw", F.xxhash64("doc_id", "h")), "toxicity-sizes")
+    by_class = Window.partitionBy("toxic").orderBy("draw", "doc_id", "h")
+    # The first of many are looked for among those with small hashes: some eight times as many as asked for.
+    likely = sizes.join(F.broadcast(sizes.groupBy("toxic").count()), "toxic").where(below(F.col("draw"), 8 * (docs_per_class + 32) / F.col("count")))
+    first = stored(likely.withColumn("n", F.row_number().over(by_class)).where(F.col("n") <= docs_per_class), "toxicity-candidates")
     before = F.coalesce(F.sum("size").over(by_class.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     chosen = first.withColumn("upto", before).where((F.col("n") == 1) | (F.col("upto") <= chars)).select("doc_id", "h", "toxic")
     found = rows.join(F.broadcast(stored(chosen, "toxicity-chosen")), ["doc_id", "h"])  # at most 2 * docs_per_class rows

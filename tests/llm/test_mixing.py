@@ -82,8 +82,8 @@ def test_tail_fills_in_order_and_rounds(spark, monkeypatch):
             if u[4] <= rest:
                 rest -= u[4]
                 want.add((no, u[2], u[3]))
-    for n in (4096, 3):
-        monkeypatch.setattr(mixing, "TAIL_DOCS", n)
+    for n in (8, 1):
+        monkeypatch.setattr(mixing, "TAIL_BLOCKS", n)
         assert {tuple(r) for r in mixing._fitting(df, lefts).collect()} == want
 
 
