@@ -22,6 +22,8 @@ REQUIRED_CONF = {
     # Keyed stream state (a lifetime cap keeps a counter per pair for ever) lives outside the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A batch writes what changed in the state, not a snapshot of each store.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

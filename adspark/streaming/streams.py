@@ -131,7 +131,8 @@ def stream_frequency_cap(wins_stream: DataFrame, tau: int) -> DataFrame:
     checkpoint carries the counts on. Wins without a user or campaign have no
     cap to count against and are left out.
     """
-    wins_stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", REQUIRED_CONF["spark.sql.streaming.stateStore.providerClass"])
+    for key in [k for k in REQUIRED_CONF if k.startswith("spark.sql.streaming.stateStore.")]:
+        wins_stream.sparkSession.conf.set(key, REQUIRED_CONF[key])
     wins = wins_stream.select("imp_id", "user_id", "campaign_id").where("user_id IS NOT NULL AND campaign_id IS NOT NULL")
     return wins.groupBy("user_id").transformWithStateInPandas(CapProcessor(tau), CAPPED, "append", "none")
 
