@@ -1,6 +1,6 @@
 """Column-level helpers."""
 
-from adspark.functions.hashing import fast_u, normal, sql_u, u, uniform_range  # noqa: F401
+from adspark.functions.hashing import normal, sql_u, u  # noqa: F401
 from adspark.functions.timefeat import (  # noqa: F401
     coerce_timestamp,
     cyclical,

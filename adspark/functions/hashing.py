@@ -3,8 +3,7 @@
 ``u(salt, key)`` takes the first 32 bits of ``md5(salt ':' key)`` and scales
 them to [0, 1). The same number comes out of DuckDB via
 ``sql_u(salt_sql, key_sql)``, so queries that draw random numbers can still
-be checked against an SQL oracle. ``fast_u`` uses ``xxhash64`` for hot paths
-that need no oracle twin.
+be checked against an SQL oracle.
 """
 
 from __future__ import annotations
@@ -37,17 +36,6 @@ def sql_u(salt_sql: str, *key_sqls: str) -> str:
     return f"(CAST(('0x' || substr(md5({joined}), 1, 8)) AS BIGINT) / {TWO_32})"
 
 
-def fast_u(salt: str, *keys) -> Column:
-    """Uniform in [0, 1) from xxhash64; cheaper than md5, no SQL twin."""
-    h = F.xxhash64(F.lit(salt), *[_as_col(k) for k in keys])
-    return F.pmod(h, F.lit(1 << 53).cast("bigint")).cast("double") / F.lit(float(1 << 53))
-
-
-def uniform_range(uni: Column, lo: float, hi: float) -> Column:
-    """Map a [0,1) uniform to [lo, hi)."""
-    return F.lit(float(lo)) + F.lit(float(hi - lo)) * uni
-
-
 def normal(u1: Column, u2: Column) -> Column:
     """Standard normal by Box-Muller from two uniforms (u1 shifted off zero)."""
     safe = F.greatest(u1, F.lit(1e-12))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +13,6 @@ from adspark.session import materialize
 MAX_PERIODS = 36_525
 
 
-def union_logs(logs: dict[str, DataFrame]) -> DataFrame:
-    """Stack several policies' logs with a ``policy`` column (L1)."""
-    return reduce(lambda a, b: a.unionByName(b),
-                  [df.withColumn("policy", F.lit(name)) for name, df in logs.items()])
-
-
 def _won(c):
     return F.when(F.col("win"), c).otherwise(F.lit(0.0))
 

@@ -1,7 +1,9 @@
 """DuckDB SQL twins of the registered queries (the correctness oracle).
 
-Written independently of the DataFrame code: the fixture views are repeated as
-SQL text, and each operator is re-stated in plain SQL over them.
+Each operator is re-stated in plain SQL over the fixture views. Taken from the
+code under test, and so not checked here, are data alone: the fixture mapping,
+the feature lists and the user-agent rules (tests hold these by hand-written
+cases).
 """
 
 from __future__ import annotations
