@@ -8,6 +8,7 @@ session without that setting gets a private temporary folder, as in tests.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,9 +42,25 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give every Python worker this package, as a zip that Spark sends to the executors; done once a context.
+
+    Needed wherever the package is not installed on the workers: the functions
+    of the text operators and streams are imported there. ``build_session``
+    calls it; call it on a session of your own.
+    """
+    sc = spark.sparkContext
+    if any(os.path.basename(str(f)) == "adspark.zip" for f in sc.listFiles):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="adspark-zip-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "adspark"), "zip", os.path.dirname(here), os.path.basename(here)))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a private one only for local sessions."""
     sc = spark.sparkContext
