@@ -752,6 +752,13 @@ SELECT i.event_id, NULL, NULL FROM imp i, clock WHERE i.dttm_utc + INTERVAL 7 DA
   ATTRIBUTED + """,
 clock AS (SELECT date_trunc('milliseconds', max(t)) - INTERVAL 1 DAY AS t FROM (SELECT dttm_utc AS t FROM imp UNION ALL SELECT conv_dttm_utc FROM conv))""")
 
+# At the end of the input: all conversions, and all impressions that none went to.
+q("stream_attribution_finished", """
+SELECT event_id, conv_event_id, round(latency_s, 3) AS latency_s FROM attributed
+UNION ALL
+SELECT event_id, NULL, NULL FROM imp
+WHERE campaign_id IS NOT NULL AND unique_id IS NOT NULL AND event_id NOT IN (SELECT event_id FROM attributed)""", ATTRIBUTED)
+
 ORACLE_SQL["ua_enrich_distinct"] = ORACLE_SQL["ua_enrich"]
 
 
@@ -878,6 +885,11 @@ ORACLE_SQL["footer_counts"] = "SELECT count(*) AS n_rows, " + ", ".join(
 
 q("stream_join_attribution", "SELECT event_id, conv_event_id, round(latency_s, 3) AS latency_s FROM attributed", ATTRIBUTED)
 
+# What a fitted model must reach: all scores are probabilities, and they rank better than chance.
+q("model_quality", """
+SELECT model, n_rows, n_pos, TRUE AS in_range, TRUE AS above_chance
+FROM (SELECT count(*) AS n_rows, CAST(sum(conversion_flag) AS BIGINT) AS n_pos FROM train) CROSS JOIN (VALUES ('log_odds'), ('logistic'), ('factors')) AS m(model)""", CLEAN_CTES)
+
 # --------------------------------------------------------------------------
 # The same results reached in another way: one SQL text for both forms
 # --------------------------------------------------------------------------

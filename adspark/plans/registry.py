@@ -934,6 +934,23 @@ def q_fit_score_fm(spark, sf):
     return s.select("event_id", "conv_event_id", "split", rd("score", 6).alias("score"))
 
 
+@register("model_quality")
+def q_model_quality(spark, sf):
+    """The three models on the rows they were fitted on: rows, positives, scores within 0 and 1, ranking better than chance."""
+    p, w, b, _ = linear_model(spark, sf)
+    train = staged(p.where(F.col("split") == "train"), "train")
+    models = {"log_odds": MO.score_linear(train, w, b, keep=["conversion_flag"]), "logistic": MO.fit_score_logistic(train, train),
+              "factors": MO.fit_score_fm(train, train, max_iter=20)}
+    out = None
+    for name, scores in models.items():
+        scores = staged(scores.select(F.lit(name).alias("model"), "score", F.col("conversion_flag").cast("int").alias("label")), name)
+        facts = scores.groupBy("model").agg(F.count("*").alias("n_rows"), F.sum("label").alias("n_pos"), F.min(F.col("score").between(0, 1)).alias("in_range"))
+        area = M.roc_auc_binned(scores).select(F.lit(name).alias("model"), (F.col("roc_auc_binned") > 0.5).alias("above_chance"))
+        row = facts.join(area, "model").select("model", "n_rows", "n_pos", "in_range", "above_chance")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --------------------------------------------------------------------------
 # Streaming
 # --------------------------------------------------------------------------
@@ -971,13 +988,24 @@ def q_stream_windowed_cpa(spark, sf):
                     *[rd(c).alias(c) for c in ("spend", "conv", "cpa")])
 
 
-@register("stream_attribution")
-def q_stream_attribution(spark, sf):
+def attributed(spark, sf, finish: bool):
     rows = ST.attribution_rows(FX.ad_impressions(spark, sf), FX.ad_conversions(spark, sf))
     out, state = shared_path(spark, "attribution"), shared_path(spark, "attribution-state")
     ST.drain_ranges(rows, "us", 4, lambda src: src, "attribution", foreach_batch=ST.stream_attribution(out, state))
-    r = spark.read.parquet(out)
-    return r.select("event_id", "conv_event_id", rd("latency_s", 3).alias("latency_s"))
+    if finish:
+        ST.finish_attribution(spark, out, state)
+    return spark.read.parquet(out).select("event_id", "conv_event_id", rd("latency_s", 3).alias("latency_s"))
+
+
+@register("stream_attribution")
+def q_stream_attribution(spark, sf):
+    return attributed(spark, sf, finish=False)
+
+
+@register("stream_attribution_finished")
+def q_stream_attribution_finished(spark, sf):
+    """stream_attribution at the end of its input: nothing stays open."""
+    return attributed(spark, sf, finish=True)
 
 
 @register("stream_join_attribution")

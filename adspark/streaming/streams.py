@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -188,7 +188,8 @@ def stream_attribution(out_path: str, state_path: str, window_days: int = 7, wat
     watermark has passed it. An impression whose window has passed without one
     is emitted with nulls. The watermark lies ``watermark`` behind the newest
     row so far; rows that come after it has passed them are late and left out,
-    as are rows without a campaign, user or time, which match nothing.
+    as are rows without a campaign, user or time, which match nothing. What
+    is open when a bounded input ends is settled by ``finish_attribution``.
 
     Batch b reads the snapshot of batch b-1 (the watermark, impressions whose
     window is open and unsettled conversions, as plain rows) and overwrites its
@@ -197,12 +198,11 @@ def stream_attribution(out_path: str, state_path: str, window_days: int = 7, wat
     ``rows_per_block`` rows, and only the last impression of each key in a
     range is carried on to the next.
     """
-    window_us, delay_ms = window_days * 86_400_000_000, pd.Timedelta(watermark) // pd.Timedelta("1ms")
-    key = ["campaign_id", "unique_id"]
+    delay_ms = pd.Timedelta(watermark) // pd.Timedelta("1ms")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        out, state = f"{out_path}/batch_id={batch_id}", f"{state_path}/batch_id={batch_id}"
+        state = f"{state_path}/batch_id={batch_id}"
         newest, was, rows = batch.agg(F.max("us")).first()[0], None, batch.withColumn("got", F.lit(False))
         if batch_id > 0:
             prev = f"{state_path}/batch_id={batch_id - 1}"
@@ -213,33 +213,55 @@ def stream_attribution(out_path: str, state_path: str, window_days: int = 7, wat
         now = max((t for t in (was, None if newest is None else (newest // 1000 - delay_ms) * 1000) if t is not None), default=None)
         spark.createDataFrame([(now,)], "now long").write.mode("overwrite").parquet(f"{state}/clock")
         rows = rows.where(F.col("us").isNotNull() & F.col("campaign_id").isNotNull() & F.col("unique_id").isNotNull())
-        rows = range_blocks(rows, [F.col(c) for c in (*key, "us", "kind", "event_id")], rows_per_block)
-        is_imp, passed = F.col("kind") == 0, F.lit(now).cast("bigint")
-
-        # The last impression so far: in the range by a running maximum, before it by one over the ranges of the key.
-        seen = F.when(is_imp, F.struct("us", "event_id"))
-        w_in = Window.partitionBy(*key, "_b").orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        conv = rows.withColumn("_in", F.max(seen).over(w_in)).where(~is_imp & (F.col("us") <= passed))
-        w_b = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        ends = rows.groupBy(*key, "_b").agg(F.max(seen).alias("_end"))
-        ends = ends.withColumn("_before", F.max("_end").over(w_b)).where(F.col("_before").isNotNull()).drop("_end")
-        gap = F.col("us") - F.col("_i.us")
-        conv = conv.join(ends, [*key, "_b"], "left").withColumn("_i", F.coalesce("_in", "_before")).where(gap <= window_us)
-        conv = conv.select(*key, F.col("_i.event_id").alias("event_id"), F.col("event_id").alias("conv_event_id"), (gap / F.lit(1e6)).alias("latency_s"))
-        conv.write.mode("overwrite").parquet(f"{out}/converted=true")
-
-        hit = spark.read.parquet(f"{out}/converted=true").select(*key, "event_id").distinct()
-        hit = hit.withColumn("kind", F.lit(0)).withColumn("_hit", F.lit(True))
-        rows = rows.drop("_b").join(hit, [*key, "kind", "event_id"], "left")
-        rows = rows.withColumn("got", F.col("got") | F.col("_hit").isNotNull()).drop("_hit")
-        is_open = F.when(is_imp, F.col("us") + window_us >= passed).otherwise(F.col("us") > passed)
-        none = rows.where(is_imp & ~is_open & ~F.col("got"))
-        none.select(*key, "event_id", F.lit(None).cast("long").alias("conv_event_id"), F.lit(None).cast("double").alias("latency_s")) \
-            .write.mode("overwrite").parquet(f"{out}/converted=false")
-        rows.where(is_open).write.mode("overwrite").parquet(f"{state}/rows")
+        passed, window_us = F.lit(now).cast("bigint"), window_days * 86_400_000_000
+        is_open = F.when(F.col("kind") == 0, F.col("us") + window_us >= passed).otherwise(F.col("us") > passed)
+        _settle(rows, is_open, F.col("us") <= passed, f"{out_path}/batch_id={batch_id}", window_us, rows_per_block) \
+            .write.mode("overwrite").parquet(f"{state}/rows")
     return run
 
 
+def finish_attribution(spark: SparkSession, out_path: str, state_path: str, window_days: int = 7, rows_per_block: int = 1_000_000) -> None:
+    """Settle what ``stream_attribution`` has left open, as if no row came any more.
+
+    For inputs that end: with it the output equals the batch form. The rows go
+    to the folder of the batch after the last one and the state stays, so the
+    call can be repeated, and a stream that goes on after all rewrites that
+    folder with what has really passed. A last batch that did not finish (its
+    snapshot lacks the rows) fails the call.
+    """
+    last = spark.read.option("basePath", state_path).parquet(f"{state_path}/batch_id=*/clock").agg(F.max("batch_id")).first()[0]
+    rows = spark.read.parquet(f"{state_path}/batch_id={last}/rows")
+    _settle(rows, F.lit(False), F.lit(True), f"{out_path}/batch_id={last + 1}", window_days * 86_400_000_000, rows_per_block)
+
+
+def _settle(rows: DataFrame, is_open: Column, is_due: Column, out: str, window_us: int, rows_per_block: int) -> DataFrame:
+    """Write the due conversions with their impressions, and closed impressions without one; returns the rows still open."""
+    key, spark = ["campaign_id", "unique_id"], rows.sparkSession
+    rows = range_blocks(rows, [F.col(c) for c in (*key, "us", "kind", "event_id")], rows_per_block)
+    is_imp = F.col("kind") == 0
+
+    # The last impression so far: in the range by a running maximum, before it by one over the ranges of the key.
+    seen = F.when(is_imp, F.struct("us", "event_id"))
+    w_in = Window.partitionBy(*key, "_b").orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    conv = rows.withColumn("_in", F.max(seen).over(w_in)).where(~is_imp & is_due)
+    w_b = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*key, "_b").agg(F.max(seen).alias("_end"))
+    ends = ends.withColumn("_before", F.max("_end").over(w_b)).where(F.col("_before").isNotNull()).drop("_end")
+    gap = F.col("us") - F.col("_i.us")
+    conv = conv.join(ends, [*key, "_b"], "left").withColumn("_i", F.coalesce("_in", "_before")).where(gap <= window_us)
+    conv = conv.select(*key, F.col("_i.event_id").alias("event_id"), F.col("event_id").alias("conv_event_id"), (gap / F.lit(1e6)).alias("latency_s"))
+    conv.write.mode("overwrite").parquet(f"{out}/converted=true")
+
+    hit = spark.read.parquet(f"{out}/converted=true").select(*key, "event_id").distinct()
+    hit = hit.withColumn("kind", F.lit(0)).withColumn("_hit", F.lit(True))
+    rows = rows.drop("_b").join(hit, [*key, "kind", "event_id"], "left")
+    rows = rows.withColumn("got", F.col("got") | F.col("_hit").isNotNull()).drop("_hit")
+    none = rows.where(is_imp & ~is_open & ~F.col("got"))
+    none.select(*key, "event_id", F.lit(None).cast("long").alias("conv_event_id"), F.lit(None).cast("double").alias("latency_s")) \
+        .write.mode("overwrite").parquet(f"{out}/converted=false")
+    return rows.where(is_open)
+
+
 def join_attribution(imp_stream: DataFrame, conv_stream: DataFrame, window_days: int = 7, watermark: str = "1 day") -> DataFrame:
     """Conversions with each impression they may go to, as a stream-stream outer join.
 

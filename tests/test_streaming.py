@@ -106,6 +106,45 @@ def test_stream_attribution_of_a_hot_key(spark):
     assert kept.count() < len(rows)
 
 
+def test_attribution_finished_equals_batch_and_is_taken_back_when_rows_come(spark):
+    """Settling what is open equals the batch form; done twice it adds nothing, and a stream that goes on replaces it."""
+    from pyspark.sql import functions as F
+
+    from adspark.operators import label as L
+    from adspark.session import shared_path
+    from adspark.streaming import streams as ST
+    imp, conv = R.imps(spark, SF_SMALL), R.convs(spark, SF_SMALL)
+    rows = ST.attribution_rows(imp, conv)
+    out, state, src, ckpt = (shared_path(spark, f"finish-{n}") for n in ("out", "state", "src", "ckpt"))
+    body = ST.stream_attribution(out, state, rows_per_block=100)
+
+    def read():
+        return sorted((r.event_id, r.conv_event_id or 0, round(r.latency_s or 0.0, 3)) for r in spark.read.parquet(out).collect())
+
+    def feed(part):
+        part.write.mode("append").parquet(src)
+        ST.drain(spark.readStream.schema(rows.schema).parquet(src), foreach_batch=body, checkpoint=ckpt)
+
+    def want(imp, conv):
+        got = [(r.event_id, r.conv_event_id, round(r.latency_s, 3)) for r in L.conversion_latency(imp, conv).collect()]
+        hit = {e for e, _, _ in got}
+        return sorted(got + [(r.event_id, 0, 0.0) for r in imp.where("campaign_id IS NOT NULL AND unique_id IS NOT NULL").collect() if r.event_id not in hit])
+
+    parts = ST.ranges(rows, "us", 3)
+    for part in parts[:2]:
+        feed(part)
+    upto = parts[1].agg(F.max("us")).first()[0]
+    till = lambda c: F.unix_micros(F.col(c).cast("timestamp")) <= upto
+    settled = read()
+    for _ in range(2):
+        ST.finish_attribution(spark, out, state, rows_per_block=100)
+        assert read() == want(imp.where(till("dttm_utc")), conv.where(till("conv_dttm_utc")))
+    assert len(settled) < len(read())
+    feed(parts[2])
+    ST.finish_attribution(spark, out, state, rows_per_block=100)
+    assert read() == want(imp, conv)
+
+
 def test_stream_attribution_needs_its_state(spark):
     import pytest
 
