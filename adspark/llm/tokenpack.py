@@ -48,8 +48,21 @@ MEMO_WORDS = 600_000
 
 _END = object()
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_PLAIN = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]+)")
-_SIGNS = re.compile(rb"[!-/:-@\[-`{-~]+")
+#: What a byte is to a word: 1 a letter a-z, 2 ASCII punctuation, 3 the line end after it, 0 another.
+_SHAPE = np.zeros(256, np.uint8)
+_SHAPE[97:123] = 1
+_SHAPE[list(_PUNCTUATION.encode())] = 2
+_SHAPE[10] = 3
+
+
+def _shapes(joined: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Letters a-z, punctuation and bytes of each word of a text with a line end after each, and whether a letter follows punctuation."""
+    kind = _SHAPE[joined]
+    ends = np.flatnonzero(kind == 3)
+    per = lambda flags: np.diff(np.cumsum(flags, dtype=np.int64)[ends], prepend=0)
+    after = np.zeros(len(kind), bool)
+    after[1:] = (kind[1:] == 1) & (kind[:-1] == 2)
+    return per(kind == 1), per(kind == 2), np.diff(ends, prepend=-1) - 1, per(after) > 0
 
 
 class _Codes(dict):
@@ -107,51 +120,61 @@ class WordEncoder:
         self.length[codes] = lens
         self.used += len(ids)
 
-    def _together(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of the words as one text, and the number per word; None if they are not one pre-token each."""
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+    def _together(self, tokenizer, text: str, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the text of ``n`` words, and the number per word; None if they are not one pre-token each."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) and ends[-1] == len(ids) else None
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == n and ends[-1] == len(ids) else None
 
     def _learn(self, new: list[bytes]) -> None:
-        """Encode new words; one with final punctuation is its stem, encoded once, and that punctuation."""
-        plain, lettered, alone, pairs, known = ([], []), ([], []), ([], []), ([], [], []), self.codes
-        for w in new:  # grows by the stems and punctuation met
-            code = known[w]
-            if w.isalpha() and w.islower():  # a-z alone, as bytes know no other letters
-                plain[0].append(code)
-                plain[1].append(w.decode())
-                continue
-            if m := _PLAIN.fullmatch(w):
-                to, text = pairs, m
-            elif _SIGNS.fullmatch(w):
-                to, text = plain, w.decode()
+        """Encode new words, whose codes follow one another; one with final punctuation is its stem, encoded once, and that punctuation."""
+        known, first = self.codes, self.codes[new[0]]
+        joined = np.frombuffer(b"\n".join(new) + b"\n", np.uint8)
+        letters, signs, size, mixed = _shapes(joined)
+        plain = (letters == size) | (signs == size)
+        paired = ~plain & (letters + signs == size) & ~mixed
+        alone, lettered, pairs = ([], []), ([], []), ([], [], [])
+        if plain.any():
+            codes = first + np.flatnonzero(plain)
+            text = joined[np.repeat(plain, size + 1)].tobytes().decode()
+            if got := self._together(self.plain, text, len(codes)):
+                self._put(codes, *got)
             else:
-                text = w.decode()
-                stem = text.rstrip(_PUNCTUATION)
-                to = lettered if stem.isalpha() and stem.lower().isalpha() else alone
-                if to is lettered and len(stem) < len(text):
-                    cut = len(w) - (len(text) - len(stem))
-                    to, text = pairs, (w, w[:cut], w[cut:])
-            to[0].append(code)
-            if to is pairs:
-                pairs[1].append(known[text[1]])
-                pairs[2].append(known[text[2]])
-                if known.new:
-                    new += known.new
-                    known.new = []
+                alone[0].extend(codes.tolist())
+                alone[1].extend(text.split())
+        at = np.flatnonzero(paired)
+        cuts = list(zip(map(new.__getitem__, at.tolist()), letters[at].tolist()))
+        pairs[0].extend((first + at).tolist())
+        pairs[1].extend([known[w[:k]] for w, k in cuts])
+        pairs[2].extend([known[w[k:]] for w, k in cuts])
+        for i in np.flatnonzero(~plain & ~paired).tolist():
+            w = new[i]
+            text = w.decode()
+            stem = text.rstrip(_PUNCTUATION)
+            if not (stem.isalpha() and stem.lower().isalpha()):
+                alone[0].append(first + i)
+                alone[1].append(text)
+            elif len(stem) < len(text):
+                cut = len(w) - (len(text) - len(stem))
+                pairs[0].append(first + i)
+                pairs[1].append(known[w[:cut]])
+                pairs[2].append(known[w[cut:]])
             else:
-                to[1].append(text)
-        for tokenizer, (codes, texts) in ((self.plain, plain), (self.full, lettered)):
-            if codes and (got := self._together(tokenizer, texts)):
-                self._put(np.array(codes), *got)
+                lettered[0].append(first + i)
+                lettered[1].append(text)
+        if lettered[0]:
+            if got := self._together(self.full, " ".join(lettered[1]), len(lettered[0])):
+                self._put(np.array(lettered[0]), *got)
             else:
-                alone[0].extend(codes)
-                alone[1].extend(texts)
+                alone[0].extend(lettered[0])
+                alone[1].extend(lettered[1])
         if alone[0]:
             each = [e.ids for e in self.full.encode_batch_fast(alone[1], add_special_tokens=False)]
             self._put(np.array(alone[0]), np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each]))
         if pairs[0]:
+            if known.new:  # stems and punctuation met, which are no pairs themselves
+                more, known.new = known.new, []
+                self._learn(more)
             ids, lens = self._gather(np.array(pairs[1:]).T.ravel())
             self._put(np.array(pairs[0]), ids, lens.reshape(-1, 2).sum(axis=1))
 
