@@ -59,6 +59,10 @@ def read_file_subset(spark: SparkSession, path: str, file_pattern: str) -> DataF
     return df.where(F.col("_metadata.file_path").rlike(file_pattern))
 
 
+#: Rows that a writer of ``compact`` is dealt, and files that it writes at most.
+WRITER_ROWS, WRITER_FILES = 1_200_000, 256
+
+
 def compact(df: DataFrame, path: str, partition_col: str, order_col: str,
             max_records_per_file: int = 1_200_000, row_group_bytes: int = 64 * 1024 * 1024) -> None:
     """Re-chunk into bounded files per partition value, sorted inside files.
@@ -66,9 +70,11 @@ def compact(df: DataFrame, path: str, partition_col: str, order_col: str,
     Rows are dealt out as (partition value, order) ranges that follow the
     data, so a hot partition value gets as many writers as its size asks for;
     each task sorts its rows, so files carry tight min/max statistics;
-    ``maxRecordsPerFile`` bounds file size.
+    ``maxRecordsPerFile`` bounds file size. Of small files a writer makes many:
+    a task and a range bound for each would cost more than the file.
     """
-    writers = max(1, -(-df.count() // max_records_per_file))
+    rows = max_records_per_file * min(WRITER_FILES, max(1, WRITER_ROWS // max_records_per_file))
+    writers = max(1, -(-df.count() // rows))
     (df.repartitionByRange(writers, partition_col, order_col)
        .sortWithinPartitions(partition_col, order_col)
        .write.mode("overwrite").option("compression", "snappy")
