@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from adspark.sources import smallfiles as SMALL
+
 
 def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], mode: str = "overwrite",
                       compression: str = "snappy", max_records_per_file: int | None = None,
@@ -60,7 +62,7 @@ def read_file_subset(spark: SparkSession, path: str, file_pattern: str) -> DataF
 
 
 #: Rows that a writer of ``compact`` is dealt, and files that it writes at most.
-WRITER_ROWS, WRITER_FILES = 1_200_000, 256
+WRITER_ROWS, WRITER_FILES = 1_200_000, 1024
 
 
 def compact(df: DataFrame, path: str, partition_col: str, order_col: str,
@@ -71,13 +73,15 @@ def compact(df: DataFrame, path: str, partition_col: str, order_col: str,
     data, so a hot partition value gets as many writers as its size asks for;
     each task sorts its rows, so files carry tight min/max statistics;
     ``maxRecordsPerFile`` bounds file size. Of small files a writer makes many:
-    a task and a range bound for each would cost more than the file.
+    a task and a range bound for each would cost more than the file; on a
+    local file system it writes them with Arrow (``smallfiles``).
     """
     rows = max_records_per_file * min(WRITER_FILES, max(1, WRITER_ROWS // max_records_per_file))
     writers = max(1, -(-df.count() // rows))
-    (df.repartitionByRange(writers, partition_col, order_col)
-       .sortWithinPartitions(partition_col, order_col)
-       .write.mode("overwrite").option("compression", "snappy")
+    dealt = df.repartitionByRange(writers, partition_col, order_col).sortWithinPartitions(partition_col, order_col)
+    if SMALL.writable(df, path, partition_col, max_records_per_file):
+        return SMALL.overwrite(dealt, path, partition_col, int(max_records_per_file), int(row_group_bytes))
+    (dealt.write.mode("overwrite").option("compression", "snappy")
        .option("maxRecordsPerFile", int(max_records_per_file))
        .option("parquet.block.size", int(row_group_bytes))
        .partitionBy(partition_col).parquet(path))
@@ -85,6 +89,9 @@ def compact(df: DataFrame, path: str, partition_col: str, order_col: str,
 
 def file_row_counts(spark: SparkSession, path: str, partition_col: str | None = None) -> DataFrame:
     """Rows per written file (for layout checks), with the partition value when given."""
+    found = SMALL.partitions(spark, path, partition_col) if partition_col else None
+    if found:
+        return SMALL.row_counts(spark, path, partition_col, found)
     keys = [F.col("_metadata.file_path").alias("file_path")] + ([F.col(partition_col)] if partition_col else [])
     return spark.read.parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
